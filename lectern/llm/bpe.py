@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +32,11 @@ from lectern.llm.common import whole_text
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 LEAF_CHARS = 16_384
 #: Entries of a worker's cache of encoded pieces; it is emptied beyond that.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
+#: Texts without these characters are already in composed form, and Python's letters are the tokenizer's there.
+UNUSUAL = re.compile(r"[^\x00-\x7E\xA1-\u017F]|[\xB2\xB3\xB9\xBC-\xBE]|<\|")
+#: The tokenizer's own split for such texts in lower case.
+PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xAA\xB5\xBA\xDF-\xF6\xF8-\u017F]+|[0-9]|[^\t-\r 0-9a-z\xAA\xB5\xBA\xDF-\xF6\xF8-\u017F]+")
 BLANK_FREE_RUN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{%d}"
 
 
@@ -51,7 +56,12 @@ class Codec:
         self.open = Tokenizer(BPE(model["vocab"], [m for m in merges if not m[1].endswith(self.suffix)] if self.suffix else merges))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in self.full.get_vocab(with_added_tokens=True).items()}
-        self.cache: dict[bytes, tuple[bytes, bytes]] = {}
+        self.cache: dict[bytes | str, tuple[bytes, bytes]] = {}
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+        rest = [b for b in range(256) if b not in kept]
+        self.letters = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if spec["pre_tokenizer"]["type"] == "Sequence" else ""
+        self.known_split = split == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -59,22 +69,30 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         return self.full.decode(ids, skip_special_tokens=False)
 
-    def pieces(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """(packed ids, decoded bytes) of each blank-free piece."""
-        new = [w for w in dict.fromkeys(words) if w not in self.cache]
+    def pieces(self, words: list) -> list[tuple[bytes, bytes]]:
+        """(packed ids, decoded bytes) of each blank-free piece (bytes) or pre-token in lower case (str)."""
+        try:
+            return [self.cache[w] for w in words]
+        except KeyError:
+            new = [w for w in dict.fromkeys(words) if w not in self.cache]
         if len(self.cache) + len(new) > CACHE_ENTRIES:
             self.cache.clear()
             new = list(dict.fromkeys(words))
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            for word, e in zip(part, self.full.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.cache[word] = (self.pack(e.ids), self.decode(e.ids).encode())
+            if isinstance(part[0], bytes):
+                found = self.full.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            else:
+                found = self.closed.encode_batch_fast([w if w.isascii() and w.isalpha() else w.encode().decode("latin-1").translate(self.letters) for w in part], add_special_tokens=False)
+            for word, e in zip(part, found, strict=True):
+                ids = e.ids
+                self.cache[word] = (self.pack(ids), " ".join(map(self.token.__getitem__, ids)).encode())
         return [self.cache[w] for w in words]
 
     def encode_text(self, text: str) -> tuple[bytes, str]:
         """Packed ids and decoded text of a text without long unsplit runs."""
         ids, said = [], []
-        words = text.encode("utf-8", "replace").split()
+        words = PRE_TOKEN.findall(text.lower()) if self.known_split and not UNUSUAL.search(text) else text.encode("utf-8", "replace").split()
         for at in range(0, len(words), 50_000):
             for packed, decoded in self.pieces(words[at : at + 50_000]):
                 if packed:

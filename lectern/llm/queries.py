@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.catalog import Catalog
-from lectern.llm import bpe
+from lectern.llm import bpe, pii, secrets, toxicity
 from lectern.llm.common import documents
 
 LLM_CATALOG = Catalog()
@@ -14,3 +14,20 @@ LLM_CATALOG = Catalog()
 @LLM_CATALOG.query("op1_bpe")
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir))
+
+
+@LLM_CATALOG.query("op2_secrets", secrets.ORACLE)
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    findings, _ = secrets.scan(docs)
+    return secrets.by_document(docs, findings)
+
+
+@LLM_CATALOG.query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(documents(spark, sf_dir))
+
+
+@LLM_CATALOG.query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
