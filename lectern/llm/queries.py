@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.catalog import Catalog
-from lectern.llm import bpe, pii, secrets, toxicity
+from lectern.llm import bpe, jaccard_join, pii, secrets, toxicity
 from lectern.llm.common import documents
 
 LLM_CATALOG = Catalog()
@@ -31,3 +31,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM_CATALOG.query("op8_toxicity")
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@LLM_CATALOG.query("op9_jaccard_join")
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.connected(documents(spark, sf_dir))
