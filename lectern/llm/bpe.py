@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from lectern.llm.common import whole_text
+from lectern.llm.common import whole_text, with_struct
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 LEAF_CHARS = 16_384
@@ -194,15 +194,12 @@ def encode(docs: DataFrame, vocabulary: str | None = None, leaf_chars: int = LEA
     path = vocabulary or public_tokenizers.path(DEFAULT_VOCABULARY)
     rows = docs.select("doc_id", whole_text().alias("text"))
     long = F.expr(f"length(text) >= {leaf_chars}") & F.col("text").rlike(BLANK_FREE_RUN % leaf_chars)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
     columns = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, decoded string" if keep else "")
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(path)
-        names = ["doc_id", *(x.split()[0] for x in columns.split(", "))]
-        for batch in batches:
-            found = [_digest({}, *c.encode_text(t), keep) for t in batch["text"]]
-            yield batch[["doc_id"]].assign(**{k: [f[k] for f in found] for k in names[1:]})[names]
+        for texts in batches:
+            yield pd.DataFrame([_digest({}, *c.encode_text(t), keep) for t in texts], columns=[x.split()[0] for x in columns.split(", ")])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -238,7 +235,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, leaf_chars: int = LEA
         found = _digest({"key": parts["key"].iloc[0]}, c.pack(out), c.decode(out), keep)
         return pd.DataFrame([found])
 
-    short = rows.where(~long).mapInPandas(whole, f"doc_id {id_type}, {columns}")
+    short = with_struct(rows.where(~long), whole, columns, "text").drop("text")
     keyed = rows.where(long).withColumn("key", F.sha2("text", 256))
     leaves = keyed.select("key", "text").dropDuplicates(["key"]).mapInPandas(cut, "key string, part long, kind string, said string")
     encoded = leaves.repartition("key", "part").mapInPandas(encode_leaves, "key string, part long, kind string, ids binary")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,14 +22,30 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; a temporary folder of its own only where that is unset, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="lectern-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the folder that the cluster shares (spark.checkpoint.dir); lost executors don't lose it."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """df as a table in the shared folder: computed once, and read again after executors are lost."""
+    path = f"{shared_folder(df.sparkSession)}/lectern-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_struct(df: DataFrame, fn: Callable, schema: str, *inputs: str) -> DataFrame:
+    """df and the columns of a struct that a batch function makes from some of its columns.
+
+    The other columns, ids above all, don't pass through pandas, where integers with nulls would become floats.
+    """
+    made = F.pandas_udf(fn, schema)(*inputs)
+    return df.withColumn("made_", made).select(*df.columns, "made_.*")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import checkpointed, whole_text
+from lectern.llm.common import checkpointed, whole_text, with_struct
 from lectern.llm.graph import components
 from lectern.llm.hashing import lower_ascii, shingle_set, word_hashes
 
@@ -71,26 +71,24 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, set_key, group_key, prefix, sketch of each row."""
     last = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         frequent = last.value
-        for batch in batches:
+        for texts in batches:
             rows = []
-            for doc_id, s in zip(batch["doc_id"], _sets(batch["text"], k), strict=True):
+            for s in _sets(texts, k):
                 if not len(s):
-                    rows.append((doc_id, 0, None, None, [], []))
+                    rows.append((0, None, None, [], []))
                     continue
                 at = np.searchsorted(frequent, s)
                 rare = frequent[np.minimum(at, len(frequent) - 1)] != s if len(frequent) else np.ones(len(s), bool)
                 prefix = np.concatenate([s[rare], s[~rare]])[: prefix_size(len(s), percent)]
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest()
                 group = hashlib.blake2b(prefix.tobytes(), digest_size=12).hexdigest() + f":{len(s)}"
-                rows.append((doc_id, len(s), key, group, prefix.astype(np.int64), sketch(s)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "group_key", "prefix", "sketch"])
-            out["doc_id"] = batch["doc_id"].to_numpy()
-            yield out
+                rows.append((len(s), key, group, prefix.astype(np.int64), sketch(s)))
+            yield pd.DataFrame(rows, columns=["n_shingles", "set_key", "group_key", "prefix", "sketch"])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(sign, f"doc_id {id_type}, n_shingles long, set_key string, group_key string, prefix array<long>, sketch array<long>")
+    schema = "n_shingles long, set_key string, group_key string, prefix array<long>, sketch array<long>"
+    return with_struct(docs, sign, schema, "text").drop("text")
 
 
 def _can_reach(na: str, nb: str, percent: int) -> Column:

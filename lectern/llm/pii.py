@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import whole_text
+from lectern.llm.common import whole_text, with_struct
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("phone", "account", "email")
@@ -244,16 +244,13 @@ def _scan(texts: list[str], trees: Trees) -> Iterator[tuple]:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans, their digest, and all spans, for each row. Null or empty text has none; repeated rows and null ids give a row each."""
     trees = docs.sparkSession.sparkContext.broadcast(trained())  # of fixed size
-    id_type = docs.schema["doc_id"].dataType.simpleString()
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = pd.DataFrame(list(_scan(list(batch["text"]), trees.value)), columns=names)
-            rows.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield rows
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame(list(_scan(list(texts), trees.value)), columns=names)
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInPandas(run, f"doc_id {id_type}, {SCHEMA}")
+    return with_struct(docs.select("doc_id", whole_text().alias("text")), run, SCHEMA, "text").drop("text")
 
 
 def redacted(docs: DataFrame) -> DataFrame:

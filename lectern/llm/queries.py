@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.catalog import Catalog
-from lectern.llm import bpe, jaccard_join, pii, secrets, toxicity
+from lectern.llm import bpe, jaccard_join, pii, secrets, substring_dedup, toxicity
 from lectern.llm.common import documents
 
 LLM_CATALOG = Catalog()
@@ -36,3 +36,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM_CATALOG.query("op9_jaccard_join")
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.connected(documents(spark, sf_dir))
+
+
+@LLM_CATALOG.query("op5_substring_dedup")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(documents(spark, sf_dir))
