@@ -1,8 +1,11 @@
 """N-gram Jaccard join by grouped prefixes.
 
 Each document is the set of its distinct word shingles. Equal sets are one
-class. Sets are ordered by one global order, frequent shingles last, and two
-sets that reach the threshold share one of their first shingles (the prefix).
+class. Sets are ordered by one global order, and two sets that reach the
+threshold share one of their first shingles (the prefix). First in the order
+come shingles that are known to stand in one document only: those of a quarter
+of the hash space that a filter of the repeated ones there doesn't hold. They
+can't be shared, so they need no posting. Frequent shingles come last.
 Classes with the same prefix and size form one group; groups that share a
 prefix shingle and whose sizes fit are paired, and pairs are expanded to their
 members and verified on the whole sets.
@@ -28,12 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.llm.bloom import filters, holds, size_for, words_in
 from lectern.llm.common import checkpointed, whole_text, with_struct
 from lectern.llm.graph import components
 from lectern.llm.hashing import lower_ascii, shingle_set, word_hashes
 
 #: A shingle in over one of so many documents of a batch (and in FREQUENT_LEAST) goes last in the order, so the list of such shingles is bounded by this times the mean set size.
 FREQUENT_SHARE, FREQUENT_LEAST = 1000, 8
+#: Shingles of one part in so many of the hash space are counted.
+COUNTED_PART = 4
 SKETCH_WORDS = 8
 
 
@@ -42,18 +48,32 @@ def _sets(texts: pd.Series, k: int) -> Iterator[np.ndarray]:
         yield shingle_set(words, k)
 
 
-def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Sorted hashes of shingles that are frequent within some batch of documents. Any fixed list gives right results; a good one short posting lists."""
+def _counted(h: np.ndarray) -> np.ndarray:
+    """The part of the hash space whose shingles are counted over all documents."""
+    return (h >> np.uint64(40)) % np.uint64(COUNTED_PART) == 0
+
+
+def shingle_order(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(filter of the counted shingles that several documents have, sorted frequent shingles).
+
+    The first is exact for shingles it doesn't hold. The second lists shingles
+    that are frequent within some batch; any fixed list gives right results,
+    and a good one short posting lists.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = list(_sets(batch["text"].drop_duplicates(), k))
-            found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
-            found = found[n > max(FREQUENT_LEAST, len(sets) // FREQUENT_SHARE)]
-            yield pd.DataFrame({"shingle": found.astype(np.int64)})
+            sets = list(_sets(batch["text"], k))
+            found, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
+            frequent = n > max(FREQUENT_LEAST, len(sets) // FREQUENT_SHARE)
+            for part, mark in ((_counted(found), 0), (frequent, 2)):
+                yield pd.DataFrame({"h": found[part].astype(np.int64), "n": np.minimum(n[part], 2).astype(np.int8) if not mark else np.int8(0)})
 
-    rows = docs.mapInPandas(count, "shingle long").distinct().toPandas()
-    return np.sort(rows["shingle"].to_numpy(np.int64).astype(np.uint64))
+    counts = docs.mapInPandas(count, "h long, n byte").groupBy("h").agg(F.sum("n").alias("n"), F.min("n").alias("mark"))
+    counts = checkpointed(counts.where("n > 1 or mark = 0"))
+    (repeated,) = filters(counts.where("n > 1"), size_for(words_in(docs) // (4 * COUNTED_PART)), repeated=F.lit(True))
+    rows = counts.where("mark = 0").select("h").toPandas()  # bounded by FREQUENT_SHARE times the mean set size
+    return repeated, np.sort(rows["h"].to_numpy(np.int64).astype(np.uint64))
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -68,11 +88,11 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, set_key, group_key, prefix, sketch of each row."""
-    last = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
+    """The row's columns and n_shingles, set_key, group_key, prefix (without shingles that nothing else has), sketch."""
+    order = docs.sparkSession.sparkContext.broadcast(shingle_order(docs, k))
 
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        frequent = last.value
+        repeated, frequent = order.value
         for texts in batches:
             rows = []
             for s in _sets(texts, k):
@@ -81,10 +101,13 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     continue
                 at = np.searchsorted(frequent, s)
                 rare = frequent[np.minimum(at, len(frequent) - 1)] != s if len(frequent) else np.ones(len(s), bool)
-                prefix = np.concatenate([s[rare], s[~rare]])[: prefix_size(len(s), percent)]
+                single = rare & _counted(s) & ~holds(repeated, s)
+                size = prefix_size(len(s), percent)
+                posted = np.concatenate([s[rare & ~single], s[~rare]])[: max(0, size - int(single.sum()))]
+                prefix = np.concatenate([s[single][:size], posted])
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest()
                 group = hashlib.blake2b(prefix.tobytes(), digest_size=12).hexdigest() + f":{len(s)}"
-                rows.append((len(s), key, group, prefix.astype(np.int64), sketch(s)))
+                rows.append((len(s), key, group, posted.astype(np.int64), sketch(s)))
             yield pd.DataFrame(rows, columns=["n_shingles", "set_key", "group_key", "prefix", "sketch"])
 
     schema = "n_shingles long, set_key string, group_key string, prefix array<long>, sketch array<long>"
@@ -102,8 +125,22 @@ def _sketches_allow(percent: int) -> Column:
     return apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of class representatives that reach the threshold on their whole sets."""
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of class representatives that reach the threshold on their whole sets, which are built for these pairs only."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = list(_sets(batch["text"], k))
+            right = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() == key for s, key in zip(sets, batch["set_key"], strict=True)]
+            out = batch[["doc_id"]].assign(shingles=[s.astype(np.int64) for s in sets])
+            yield out[right]
+
+    pairs = checkpointed(pairs)
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    keyed = classes.join(wanted, "doc_id").select("doc_id", "set_key")
+    id_type = classes.schema["doc_id"].dataType.simpleString()
+    built = keyed.join(texts.where("doc_id is not null"), "doc_id").mapInPandas(build, f"doc_id {id_type}, shingles array<long>")
+    sets = checkpointed(built.dropDuplicates(["doc_id", "shingles"]))
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xs"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("ys"))
     shared = F.size(F.array_intersect("xs", "ys"))
@@ -122,44 +159,33 @@ def links(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, Da
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("group_key").alias("group_key"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")
     )
     classes = checkpointed(classes)
-    groups = classes.groupBy("group_key").agg(F.min("doc_id").alias("pivot"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("members"))
+    groups = classes.groupBy("group_key").agg(
+        F.min("doc_id").alias("pivot"), F.min_by("sketch", "doc_id").alias("sketch"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("members")
+    )
 
     # groups by prefix shingle, where several groups have it
-    postings = groups.select(F.explode("prefix").alias("token"), "group_key", "pivot", "n")
+    postings = checkpointed(groups.select(F.explode("prefix").alias("token"), "group_key", "pivot", "n", "sketch"))
     shared = postings.groupBy("token").count().where("count > 1").select("token")
-    listed = checkpointed(postings.join(shared, "token"))
+    listed = postings.join(shared, "token")
     size = F.floor(F.log("n") * 1000).cast("int")
     reach = int(np.ceil(1000 * np.log(100 / percent))) + 1
     ordered = W.partitionBy("token").orderBy("size", "pivot")
+    who = F.struct("pivot", "n", "sketch")
     near = listed.withColumn("size", size).select(
-        "pivot", "n",
-        F.lag(F.struct("pivot", "n")).over(ordered).alias("before"),
-        F.min(F.struct("pivot", "n")).over(W.partitionBy("token").orderBy("size").rangeBetween(-reach, 0)).alias("first"),
+        F.col("pivot").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"),
+        F.lag(who).over(ordered).alias("before"),
+        F.first(who).over(W.partitionBy("token").orderBy("size").rangeBetween(-reach, 0)).alias("first"),
     )
-    star = near.select(F.col("pivot").alias("a"), F.col("n").alias("na"), F.explode(F.array("before", "first")).alias("other"))
-    star = star.select("a", "na", F.col("other.pivot").alias("b"), F.col("other.n").alias("nb")).where((F.col("b") != F.col("a")) & _can_reach("na", "nb", percent))
+    star = near.select("a", "na", "sa", F.explode(F.array("before", "first")).alias("other"))
+    star = star.select("a", "na", "sa", F.col("other.pivot").alias("b"), F.col("other.n").alias("nb"), F.col("other.sketch").alias("sb"))
+    star = star.where((F.col("b") != F.col("a")) & _can_reach("na", "nb", percent) & _sketches_allow(percent))
     inside = classes.join(groups.where("members > 1").select("group_key", "pivot"), "group_key").where("doc_id <> pivot")
     pairs = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(inside.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))).distinct()
-
-    # the whole sets of the classes that can link with another
     several = listed.select("group_key").union(groups.where("members > 1").select("group_key")).distinct()
-    members = checkpointed(classes.join(several, "group_key").select("group_key", "doc_id", "set_key", "n", "sketch"))
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = list(_sets(batch["text"], k))
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets]
-            out = batch[["doc_id", "set_key"]].assign(shingles=[s.astype(np.int64) for s in sets])
-            yield out[out["set_key"] == keys]
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    wanted = members.select("doc_id", "set_key").join(texts.where("doc_id is not null"), "doc_id")
-    sets = wanted.mapInPandas(build, f"doc_id {id_type}, set_key string, shingles array<long>").select("doc_id", "shingles").dropDuplicates(["doc_id", "shingles"])
-    sets = checkpointed(sets)
-
+    members = checkpointed(classes.join(several, "group_key").select("group_key", "doc_id", "n", "sketch"))
     repeated = known.select("doc_id", "set_key").distinct().join(classes.select("set_key", F.col("doc_id").alias("class")), "set_key")
     same_id = repeated.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.collect_set("class").alias("all")).where("a <> b")
-    edges = _verified(pairs, sets, percent).union(same_id.select("a", F.explode("all").alias("b")))
+    edges = _verified(pairs, classes, texts, k, percent).union(same_id.select("a", F.explode("all").alias("b")))
     edges = checkpointed(edges)
     labels = components(edges)
 
@@ -175,7 +201,7 @@ def links(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, Da
     side = lambda s, own: lists.select("list", F.col("doc_id").alias(own), F.col("label").alias(f"l{s}"), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
     apart = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
     rest = side("a", "a").join(side("b", "b"), "list").where(apart & _can_reach("na", "nb", percent) & _sketches_allow(percent)).select("a", "b").distinct()
-    more = checkpointed(_verified(rest, sets, percent))
+    more = checkpointed(_verified(rest, classes, texts, k, percent))
     if not more.isEmpty():
         labels = components(edges.union(more))
     rows = signed.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", F.col("doc_id").alias("class")), "set_key", "left")

@@ -25,24 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.bloom import filters, holds, size_for, words_in
 from lectern.llm.common import checkpointed, whole_text, with_struct
 from lectern.llm.hashing import runs, word_hashes
 
 WINDOW = 13
-#: Log2 of the Bloom filter's 64-bit words: 4,194,304 words, 32 MB.
-FILTER_BITS = 22
-PROBES = 4
-
-
-def _bits(h: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(h), np.uint64)
-    for j in range(PROBES):
-        out |= np.uint64(1) << ((h >> np.uint64(6 * j)) & np.uint64(63))
-    return out
-
-
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
 def _texts(batch: pd.DataFrame) -> list[bytes]:
@@ -64,27 +51,15 @@ def block_filters(docs: DataFrame, block: int) -> tuple[np.ndarray, np.ndarray]:
             yield pd.DataFrame({"h": found.astype(np.int64), "n": np.minimum(n, 2).astype(np.int8)})
 
     blocks = docs.mapInPandas(index, "h long, n byte").groupBy("h").agg(F.sum("n").alias("n"))
-    bit = lambda j: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {6 * j}) & 63 as int))")
-    bits = bit(0)
-    for j in range(1, PROBES):
-        bits = bits.bitwiseOR(bit(j))
-    words = blocks.select(F.expr(f"cast(shiftrightunsigned(h, {64 - FILTER_BITS}) as int)").alias("slot"), bits.alias("bits"), "n")
-    both = words.groupBy("slot").agg(F.bit_or("bits").alias("one"), F.bit_or(F.when(F.col("n") > 1, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias("several"))
-    rows = both.toPandas()  # at most 2^FILTER_BITS rows
-    filters = []
-    for name in ("one", "several"):
-        f = np.zeros(1 << FILTER_BITS, np.uint64)
-        f[rows["slot"].to_numpy(np.int64)] = rows[name].to_numpy(np.int64).astype(np.uint64)
-        filters.append(f)
-    return filters[0], filters[1]
+    one, several = filters(blocks, size_for(words_in(docs) // block), one=F.lit(True), several=F.col("n") > 1)
+    return one, several
 
 
 def window_hits(words: np.ndarray, window: int, block: int, one: np.ndarray, several: np.ndarray) -> np.ndarray:
     """Which windows hold a run that may be a block of another document."""
     rolling = runs(words, block)
-    bits, slot = _bits(rolling), _slot(rolling)
-    hit = (one[slot] & bits) == bits
-    hit[::block] &= (several[slot[::block]] & bits[::block]) == bits[::block]
+    hit = holds(one, rolling)
+    hit[::block] &= holds(several, rolling[::block])
     total = np.concatenate([[0], np.cumsum(hit)])
     n = len(words) - window + 1
     span = window - block + 1
