@@ -20,6 +20,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame
@@ -147,7 +148,7 @@ def codec(path: str) -> Codec:
 def _digest(row: dict, packed: bytes, decoded: str, keep: bool) -> dict:
     out = row | {"n_tokens": len(packed) // 4, "ids_sha256": hashlib.sha256(packed).hexdigest(), "decoded_sha256": hashlib.sha256(decoded.encode()).hexdigest()}
     if keep:
-        out |= {"ids": list(struct.unpack(f"<{len(packed) // 4}I", packed)), "decoded": decoded}
+        out |= {"ids": np.frombuffer(packed, np.uint32).astype(np.int32), "decoded": decoded}
     return out
 
 
@@ -194,7 +195,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, leaf_chars: int = LEA
     path = vocabulary or public_tokenizers.path(DEFAULT_VOCABULARY)
     rows = docs.select("doc_id", whole_text().alias("text"))
     long = F.expr(f"length(text) >= {leaf_chars}") & F.col("text").rlike(BLANK_FREE_RUN % leaf_chars)
-    columns = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, decoded string" if keep else "")
+    columns = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep else "")
 
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(path)

@@ -42,6 +42,7 @@ class Model:
     bias: float
     scale: float
     shift: float
+    base: float
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray, int]:
@@ -98,9 +99,10 @@ def pieces(text: str) -> Iterator[str]:
 
 
 def score(model: Model, text: str) -> float:
-    """0 to 1, higher if label 1 is likelier; the empty text gets the score of a window without evidence."""
+    """0 to 1, higher if label 1 is likelier; a text without words has none and gets at most the share of label 1 among the rows learnt from."""
     worst = max(window_means(model, p).max() for p in pieces(text))
-    return float(1 / (1 + np.exp(-(model.scale * (worst + model.bias) + model.shift))))
+    p = float(1 / (1 + np.exp(-(model.scale * (worst + model.bias) + model.shift))))
+    return p if text.strip() else min(p, model.base)
 
 
 def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 8, rate: float = 0.5, seed: int = 7) -> Model:
@@ -109,7 +111,7 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 8, r
     labels = np.asarray(labels, np.float64)
     if not len(texts) or labels.min() == labels.max():
         p = float(np.clip(labels.mean() if len(texts) else 0.1, 0.01, 0.99))
-        return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, float(np.log(p / (1 - p))))
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, float(np.log(p / (1 - p))), p)
     sets = []
     for text in texts:
         bucket, word, n_words = features(text)
@@ -166,7 +168,7 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 8, r
             out -= rate * 0.2 * g_out / np.sqrt(out_g)
             bias -= rate * 0.2 * g_bias / np.sqrt(bias_g)
     slope = (table @ (out[:, 1] - out[:, 0])).astype(np.float32)
-    model = Model(slope, float(bias[1] - bias[0]), 1.0, 0.0)
+    model = Model(slope, float(bias[1] - bias[0]), 1.0, 0.0, float(labels.mean()))
     held = range(n_fit, len(texts)) if len(texts) - n_fit >= 50 and 0 < labels[n_fit:].sum() < len(texts) - n_fit else range(len(texts))
     x = np.array([worst(slope, k)[0] + model.bias for k in held])
     y = labels[list(held)]
@@ -178,7 +180,7 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 8, r
         h = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum()]])
         step = np.linalg.solve(h, g)
         a, b = max(0.05, a - 0.5 * step[0]), b - 0.5 * step[1]
-    return Model(slope, model.bias, a, b)
+    return Model(slope, model.bias, a, b, model.base)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample_docs: int, sample_chars: int) -> DataFrame:
@@ -196,14 +198,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, sample_char
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["text", "toxic"], key=lambda s: s.map(lambda t: zlib.crc32(str(t).encode("utf-8", "replace"))), kind="stable").head(2 * sample_docs)
         m = train(list(rows["text"]), rows["toxic"].to_numpy())
-        return pd.DataFrame([(m.slope.tobytes(), m.bias, m.scale, m.shift)], columns=["slope", "bias", "scale", "shift"])
+        return pd.DataFrame([(m.slope.tobytes(), m.bias, m.scale, m.shift, m.base)], columns=["slope", "bias", "scale", "shift", "base"])
 
     sample = labelled_sample(docs, labels, sample_docs, sample_chars)
-    rows = sample.groupBy().applyInPandas(learn, "slope binary, bias double, scale double, shift double").collect()
+    rows = sample.groupBy().applyInPandas(learn, "slope binary, bias double, scale double, shift double, base double").collect()
     if not rows:
         return train([], np.zeros(0))
     r = rows[0]
-    return Model(np.frombuffer(bytes(r.slope), np.float32), r.bias, r["scale"], r["shift"])
+    return Model(np.frombuffer(bytes(r.slope), np.float32), r.bias, r["scale"], r["shift"], r["base"])
 
 
 def with_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
