@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import checkpointed
+
 #: Log2 of the most 64-bit words of a filter: 4,194,304 words, 32 MB. Beyond about 30 million keys a filter lets more through; what it lets through is always looked at.
 MOST_BITS = 22
 PROBES = 4
@@ -41,17 +44,37 @@ def _bits() -> Column:
     return bits
 
 
+#: Log2 of the words that travel as one row.
+CHUNK_BITS = 12
+
+
 def filters(hashes: DataFrame, size: int, **members: Column) -> list[np.ndarray]:
-    """A filter for each named condition, of the rows (h long, ...) that meet it. At most 2^MOST_BITS rows come to the driver."""
+    """A filter for each named condition, of the rows (h long, ...) that meet it.
+
+    Words are put together in Spark and come to the driver one partition after
+    the other, in chunks; all together they are at most 2^MOST_BITS words.
+    """
     slot = F.expr(f"cast(shiftrightunsigned(h, {64 - size}) as int)")
     none = F.lit(0).cast("long")
     words = hashes.select(slot.alias("slot"), *(F.when(c, _bits()).otherwise(none).alias(k) for k, c in members.items()))
-    rows = words.groupBy("slot").agg(*(F.bit_or(k).alias(k) for k in members)).toPandas()
-    out = []
-    for name in members:
-        f = np.zeros(1 << size, np.uint64)
-        f[rows["slot"].to_numpy(np.int64)] = rows[name].to_numpy(np.int64).astype(np.uint64)
-        out.append(f)
+    words = words.groupBy("slot").agg(*(F.bit_or(k).alias(k) for k in members))
+    names = list(members)
+    chunk = 1 << min(CHUNK_BITS, size)
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        first = int(rows["slot"].iloc[0]) // chunk * chunk
+        out = {"first": [first]}
+        for name in names:
+            part = np.zeros(chunk, np.int64)
+            part[rows["slot"].to_numpy() - first] = rows[name].to_numpy()
+            out[name] = [part.tobytes()]
+        return pd.DataFrame(out)
+
+    packed = words.groupBy(F.expr(f"slot div {chunk}")).applyInPandas(pack, "first long, " + ", ".join(f"{k} binary" for k in names))
+    out = [np.zeros(1 << size, np.uint64) for _ in names]
+    for row in checkpointed(packed).coalesce(8).toLocalIterator():
+        for f, name in zip(out, names, strict=True):
+            f[row["first"] : row["first"] + chunk] = np.frombuffer(row[name], np.uint64)
     return out
 
 

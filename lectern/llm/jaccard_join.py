@@ -73,7 +73,7 @@ def shingle_order(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     counts = checkpointed(counts.where("n > 1 or mark = 0"))
     (repeated,) = filters(counts.where("n > 1"), size_for(words_in(docs) // (4 * COUNTED_PART)), repeated=F.lit(True))
     rows = counts.where("mark = 0").select("h").toPandas()  # bounded by FREQUENT_SHARE times the mean set size
-    return repeated, np.sort(rows["h"].to_numpy(np.int64).astype(np.uint64))
+    return repeated, np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
 
 
 def prefix_size(n: int, percent: int) -> int:

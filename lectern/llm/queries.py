@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.catalog import Catalog
-from lectern.llm import bpe, decontaminate, jaccard_join, pii, secrets, substring_dedup, toxicity
+from lectern.llm import bpe, decontaminate, jaccard_join, pii, secrets, simhash, substring_dedup, toxicity
 from lectern.llm.common import documents
 
 LLM_CATALOG = Catalog()
@@ -46,3 +46,8 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM_CATALOG.query("op10_decontaminate")
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@LLM_CATALOG.query("op3_simhash")
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited(documents(spark, sf_dir))
