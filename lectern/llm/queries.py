@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.catalog import Catalog
-from lectern.llm import bpe, decontaminate, jaccard_join, lm_score, pii, secrets, simhash, substring_dedup, toxicity
+from lectern.llm import bpe, decontaminate, jaccard_join, lm_score, pii, secrets, simhash, substring_dedup, suffix_dedup, toxicity
 from lectern.llm.common import documents
 
 LLM_CATALOG = Catalog()
@@ -56,3 +56,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM_CATALOG.query("op6_lm_score")
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(documents(spark, sf_dir))
+
+
+@LLM_CATALOG.query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(documents(spark, sf_dir))
