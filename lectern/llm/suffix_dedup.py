@@ -37,7 +37,9 @@ PIECE = 1 << 20
 #: An anchor with over so many different contexts isn't sorted in one task.
 HOT_ANCHOR = 4000
 #: Bytes of contexts that are sorted together.
-BUCKET = 1 << 20
+BUCKET = 1 << 18
+#: Rows that a task looks at together.
+ROWS = 2000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -115,7 +117,7 @@ def _bytes(texts: pd.Series) -> list[bytes]:
 
 def repeated_anchors(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (whole.iloc[k : k + ROWS] for whole in batches for k in range(0, len(whole), ROWS)):
             for c in contexts(_bytes(batch["text"])):
                 h, n = np.unique(c["anchor"], return_counts=True)
                 yield pd.DataFrame({"h": h.astype(np.int64), "n": np.minimum(n, 2).astype(np.int8)})
@@ -140,7 +142,7 @@ def located(docs: DataFrame) -> DataFrame:
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["anchor", "context", "doc_id", "lo", "n", "said", "ranges"]
-        for batch in batches:
+        for batch in (whole.iloc[k : k + ROWS] for whole in batches for k in range(0, len(whole), ROWS)):
             ids = batch["doc_id"].to_numpy()
             rows = []
             for c in contexts(_bytes(batch["text"])):
@@ -305,17 +307,18 @@ def repeats(docs: DataFrame, keep: bool = False) -> DataFrame:
     hot = mixed.where(F.col("contexts") > HOT_ANCHOR).select("doc_id", "lo", "n", "said").mapInPandas(_hashed_windows, "key binary, doc_id long, p long")
     first = hot.groupBy("key").agg(F.min(F.struct("doc_id", "p")).alias("head"))
     hot_later = hot.join(first, "key").where(F.struct("doc_id", "p") > F.col("head")).select("doc_id", F.col("p").alias("lo"), F.lit(1).cast("long").alias("n"))
-    windows = later.union(hot_later).groupBy("doc_id").agg(F.collect_list(F.array("lo", "n")).alias("windows"))
+    windows = later.union(hot_later).groupBy("doc_id").agg(F.collect_list("lo").alias("los"), F.collect_list("n").alias("ns"))
     ranges = marks.union(sorted_out).groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges"))
     joined = texts.join(windows, "doc_id", "left").join(ranges, "doc_id", "left")
 
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, windows, ranges in batches:
+    def cut(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for texts, los, ns, ranges in batches:
             out = []
-            for text, own, packed in zip(_bytes(texts), windows, ranges, strict=True):
+            for text, lo, n, packed in zip(texts, los, ns, ranges, strict=True):
+                text = text.encode("utf-8", "surrogatepass")
                 pairs = [np.zeros((0, 2), np.int64)]
-                if own is not None:
-                    pairs.append(np.array([list(x) for x in own], np.int64).reshape(-1, 2))
+                if lo is not None:
+                    pairs.append(np.stack([np.asarray(lo, np.int64), np.asarray(n, np.int64)], 1))
                 if packed is not None:
                     pairs.append(np.frombuffer(b"".join(packed), np.int64).reshape(-1, 2))
                 at = np.concatenate(pairs)
@@ -331,4 +334,4 @@ def repeats(docs: DataFrame, keep: bool = False) -> DataFrame:
 
     schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep else "")
     names = [x.split()[0] for x in schema.split(", ")]
-    return with_struct(joined, cut, schema, "text", "windows", "ranges").select("doc_id", *names)
+    return with_struct(joined, cut, schema, "text", "los", "ns", "ranges").select("doc_id", *names)
