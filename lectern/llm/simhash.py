@@ -28,8 +28,12 @@ BLOCK_DOCS = 4096
 HOT_BLOCK = 200
 
 
-def terms(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(text), BLANKS), lambda w: w != "")
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), BLANKS), lambda w: w != "")
+
+
+def terms(words: Column) -> Column:
+    """words must be a column of its own: the runs refer to it again and again."""
     many = F.transform(F.sequence(F.lit(1), F.size(words) - (WORDS - 1)), lambda i: F.array_join(F.slice(words, i, WORDS), " "))
     few = F.when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.when(F.size(words) >= WORDS, many).otherwise(few))
@@ -70,7 +74,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
     """keys, print struct<hi, lo> of (keys, text). One row of texts for each value of keys; the aggregation runs where these rows are if they are partitioned by some of the keys."""
-    voted = texts.select(*keys, F.explode_outer(terms(F.col("text"))).alias("term")).groupBy(*keys).agg(*_votes(F.col("term")))
+    split = texts.select(*keys, words_of(F.col("text")).alias("words_"))
+    voted = split.select(*keys, F.explode_outer(terms(F.col("words_"))).alias("term")).groupBy(*keys).agg(*_votes(F.col("term")))
     return voted.select(*keys, F.struct(_signed(1).alias("hi"), _signed(0).alias("lo")).alias("print"))
 
 
