@@ -1,9 +1,8 @@
 """SimHash fingerprints with permuted block tables, by DataFrame functions alone.
 
-The terms of a text are its distinct runs of five words (letters in lower case;
-the whole sequence if there are fewer). Each term's 128-bit hash votes on the
-signed bits with its length in characters as weight, so runs of short, common
-words weigh less. Votes for two bits share one long: bit k in the lower half,
+The terms of a text are its distinct words, letters in lower case. Each term's
+128-bit hash votes on the signed bits with the word's length as weight, so
+short, common words weigh less. Votes for two bits share one long: bit k in the lower half,
 bit k + 32 in the upper, so 64 sums make a fingerprint of 128 bits.
 
 Two fingerprints within a Hamming radius r agree on one of r + 1 blocks of bits
@@ -19,7 +18,6 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import BLANKS, whole_text
 
-WORDS = 5
 HALVES = 0x0000000100000001
 BITS = 128
 #: Neighbouring ids share a block of about so many documents.
@@ -28,21 +26,16 @@ BLOCK_DOCS = 4096
 HOT_BLOCK = 200
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), BLANKS), lambda w: w != "")
-
-
-def terms(words: Column) -> Column:
-    """words must be a column of its own: the runs refer to it again and again."""
-    many = F.transform(F.sequence(F.lit(1), F.size(words) - (WORDS - 1)), lambda i: F.array_join(F.slice(words, i, WORDS), " "))
-    few = F.when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.when(F.size(words) >= WORDS, many).otherwise(few))
+def terms(text: Column) -> Column:
+    """Each distinct word as one number: its hash, with its length (63 at most) in the lowest bits."""
+    words = F.filter(F.split(F.lower(text), BLANKS), lambda w: w != "")
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(~63)).bitwiseOR(F.least(F.lit(63), F.length(w)).cast("long"))))
 
 
 def _votes(term: Column) -> list[Column]:
     out = []
-    weight = F.length(term).cast("long")
-    for half, seeded in enumerate((F.xxhash64(term), F.xxhash64(F.lit("second"), term))):
+    weight = term.bitwiseAND(F.lit(63))
+    for half, seeded in enumerate((F.xxhash64(term), F.xxhash64(F.lit(2), term))):
         for k in range(32):
             out.append(F.sum(F.shiftrightunsigned(seeded, k).bitwiseAND(F.lit(HALVES)) * weight).alias(f"v{32 * half + k}"))
     return [*out, F.sum(weight).alias("weight")]
@@ -74,8 +67,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
     """keys, print struct<hi, lo> of (keys, text). One row of texts for each value of keys; the aggregation runs where these rows are if they are partitioned by some of the keys."""
-    split = texts.select(*keys, words_of(F.col("text")).alias("words_"))
-    voted = split.select(*keys, F.explode_outer(terms(F.col("words_"))).alias("term")).groupBy(*keys).agg(*_votes(F.col("term")))
+    voted = texts.select(*keys, F.explode_outer(terms(F.col("text"))).alias("term")).groupBy(*keys).agg(*_votes(F.col("term")))
     return voted.select(*keys, F.struct(_signed(1).alias("hi"), _signed(0).alias("lo")).alias("print"))
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import struct
 
 import xxhash
 
@@ -9,14 +10,14 @@ from lectern.llm import simhash
 
 def fingerprint(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
-    terms = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    terms = {(xxhash.xxh64_intdigest(w.encode(), 42) & ~63 & (1 << 64) - 1) | min(63, len(w)) for w in words}
     votes, total = [0] * 128, 0
     for t in terms:
-        low = xxhash.xxh64_intdigest(t.encode(), 42)
-        high = xxhash.xxh64_intdigest(t.encode(), xxhash.xxh64_intdigest(b"second", 42))
-        total += len(t)
+        data, weight = struct.pack("<Q", t), t & 63
+        low, high = xxhash.xxh64_intdigest(data, 42), xxhash.xxh64_intdigest(data, xxhash.xxh64_intdigest(struct.pack("<i", 2), 42))
+        total += weight
         for k in range(128):
-            votes[k] += len(t) * (((low if k < 64 else high) >> (k % 64)) & 1)
+            votes[k] += weight * (((low if k < 64 else high) >> (k % 64)) & 1)
     return sum(1 << k for k in range(128) if 2 * votes[k] > total)
 
 
