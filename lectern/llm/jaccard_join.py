@@ -40,7 +40,8 @@ from lectern.llm.hashing import lower_ascii, shingle_set, word_hashes
 FREQUENT_SHARE, FREQUENT_LEAST = 1000, 8
 #: Shingles of one part in so many of the hash space are counted.
 COUNTED_PART = 4
-SKETCH_WORDS = 8
+#: 64-bit words of a document's sketch, and of the folded one that goes along with every posting.
+SKETCH_WORDS, FOLDED_WORDS = 32, 8
 
 
 def _sets(texts: pd.Series, k: int) -> Iterator[np.ndarray]:
@@ -119,9 +120,18 @@ def _can_reach(na: str, nb: str, percent: int) -> Column:
     return (F.col(na) * 100 >= F.col(nb) * percent) & (F.col(nb) * 100 >= F.col(na) * percent)
 
 
-def _sketches_allow(percent: int) -> Column:
+def _folded(sketch: Column) -> Column:
+    """The sketch with fewer cells: parities of joined cells."""
+    parts = [F.slice(sketch, 1 + j, FOLDED_WORDS) for j in range(0, SKETCH_WORDS, FOLDED_WORDS)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = F.zip_with(out, part, lambda x, y: x.bitwiseXOR(y))
+    return out
+
+
+def _sketches_allow(percent: int, words: int) -> Column:
     """difference <= (|a| + |b|) (100 - percent) / (100 + percent) whenever the pair reaches the threshold."""
-    apart = sum((F.bit_count(F.col("sa")[j].bitwiseXOR(F.col("sb")[j])) for j in range(SKETCH_WORDS)), F.lit(0))
+    apart = sum((F.bit_count(F.col("sa")[j].bitwiseXOR(F.col("sb")[j])) for j in range(words)), F.lit(0))
     return apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
 
 
@@ -160,7 +170,7 @@ def links(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, Da
     )
     classes = checkpointed(classes)
     groups = classes.groupBy("group_key").agg(
-        F.min("doc_id").alias("pivot"), F.min_by("sketch", "doc_id").alias("sketch"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("members")
+        F.min("doc_id").alias("pivot"), F.min_by(_folded(F.col("sketch")), "doc_id").alias("sketch"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("members")
     )
 
     # groups by prefix shingle, where several groups have it
@@ -178,7 +188,7 @@ def links(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, Da
     )
     star = near.select("a", "na", "sa", F.explode(F.array("before", "first")).alias("other"))
     star = star.select("a", "na", "sa", F.col("other.pivot").alias("b"), F.col("other.n").alias("nb"), F.col("other.sketch").alias("sb"))
-    star = star.where((F.col("b") != F.col("a")) & _can_reach("na", "nb", percent) & _sketches_allow(percent))
+    star = star.where((F.col("b") != F.col("a")) & _can_reach("na", "nb", percent) & _sketches_allow(percent, FOLDED_WORDS))
     inside = classes.join(groups.where("members > 1").select("group_key", "pivot"), "group_key").where("doc_id <> pivot")
     pairs = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(inside.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))).distinct()
     several = listed.select("group_key").union(groups.where("members > 1").select("group_key")).distinct()
@@ -200,7 +210,7 @@ def links(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, Da
     lists = checkpointed(in_list.union(in_group))
     side = lambda s, own: lists.select("list", F.col("doc_id").alias(own), F.col("label").alias(f"l{s}"), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
     apart = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
-    rest = side("a", "a").join(side("b", "b"), "list").where(apart & _can_reach("na", "nb", percent) & _sketches_allow(percent)).select("a", "b").distinct()
+    rest = side("a", "a").join(side("b", "b"), "list").where(apart & _can_reach("na", "nb", percent) & _sketches_allow(percent, SKETCH_WORDS)).select("a", "b").distinct()
     more = checkpointed(_verified(rest, classes, texts, k, percent))
     if not more.isEmpty():
         labels = components(edges.union(more))
