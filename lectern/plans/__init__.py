@@ -1,6 +1,6 @@
 """Registered queries over the driver tables, each with its oracle."""
 
-from lectern.plans import registry, search
+from lectern.plans import extensions, registry, search, text
 from lectern.plans.base import CATALOG
 
-__all__ = ["CATALOG", "registry", "search"]
+__all__ = ["CATALOG", "extensions", "registry", "search", "text"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.operators import registry as ops
@@ -12,12 +12,15 @@ from lectern.plans.base import (
 from lectern.session import table
 
 query = CATALOG.query
-now = F.expr(f"timestamp_ntz'{NOW}'")
+
+
+def now() -> Column:
+    return F.expr(f"timestamp_ntz'{NOW}'")
 
 
 @query("live_sessions", with_(GEN, WS) + f"SELECT g.gen_id AS session_id, g.workspace, NOT w.deleted AND w.expires > TIMESTAMP '{NOW}' AS live FROM gen g JOIN ws w USING (workspace)")
 def live_sessions(spark: SparkSession, d: str) -> DataFrame:
-    ws = workspaces(spark, d).select("workspace", (~F.col("deleted") & (F.col("expires") > now)).alias("live"))
+    ws = workspaces(spark, d).select("workspace", (~F.col("deleted") & (F.col("expires") > now())).alias("live"))
     return generations(spark, d).join(ws, "workspace").select(F.col("gen_id").alias("session_id"), "workspace", "live")
 
 
@@ -40,7 +43,7 @@ def docs_not_retired(spark: SparkSession, d: str) -> DataFrame:
 WHERE NOT w.deleted AND w.expires > TIMESTAMP '{NOW}' AND (a.state IS NULL OR a.state = 'queued') AND NOT EXISTS (SELECT 1 FROM tomb t WHERE t.kind = 'doc' AND t.id = d.doc_id)""",
 )
 def visible_documents(spark: SparkSession, d: str) -> DataFrame:
-    ws = workspaces(spark, d).where(~F.col("deleted") & (F.col("expires") > now)).select("workspace")
+    ws = workspaces(spark, d).where(~F.col("deleted") & (F.col("expires") > now())).select("workspace")
     rows = ops.not_retired(registry_documents(spark, d), retired(spark, d, "doc"), "doc_id").join(ws, "workspace")
     return rows.join(admissions(spark, d), "doc_id", "left").where("state is null or state = 'queued'").select("doc_id", "workspace", "title")
 
@@ -376,7 +379,7 @@ def generation_sources(spark: SparkSession, d: str) -> DataFrame:
     "SELECT user_id, event_type, event_id FROM events WHERE value <= 50 AND ts + INTERVAL 24 HOUR > TIMESTAMP '2024-01-20' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1",
 )
 def retained_outputs(spark: SparkSession, d: str) -> DataFrame:
-    alive = table(spark, d, "events").where("value <= 50").where(F.expr("ts + interval 24 hours") > now)
+    alive = table(spark, d, "events").where("value <= 50").where(F.expr("ts + interval 24 hours") > now())
     return alive.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
 
 
@@ -465,7 +468,7 @@ def orphaned_jobs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("expired_workspaces", with_(WS) + f"SELECT workspace FROM ws WHERE expires <= TIMESTAMP '{NOW}' AND NOT deleted")
 def expired_workspaces(spark: SparkSession, d: str) -> DataFrame:
-    return workspaces(spark, d).where((F.col("expires") <= now) & ~F.col("deleted")).select("workspace")
+    return workspaces(spark, d).where((F.col("expires") <= now()) & ~F.col("deleted")).select("workspace")
 
 
 @query(
