@@ -1,6 +1,6 @@
 """Registered queries over the driver tables, each with its oracle."""
 
-from lectern.plans import extensions, registry, search, text
+from lectern.plans import extensions, quality, registry, search, study, text
 from lectern.plans.base import CATALOG
 
-__all__ = ["CATALOG", "extensions", "registry", "search", "text"]
+__all__ = ["CATALOG", "extensions", "quality", "registry", "search", "study", "text"]

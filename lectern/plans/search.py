@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.operators import search
+from lectern.operators import search, selection
 from lectern.plans.base import CATALOG
 from lectern.session import table
 
@@ -35,3 +36,84 @@ SELECT query_id, vec_id, distance, rn FROM (
 )
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(scored(spark, sf_dir), 10, ["query_id"], ["vec_id"]).select("query_id", "vec_id", "distance", "rn")
+
+
+query = CATALOG.query
+
+
+@query("cosine_scores", f"WITH {SCORED_SQL} SELECT query_id, vec_id, distance, round(greatest(0.0, least(1.0, 1 - distance)), 6) AS sim FROM scored")
+def cosine_scores(spark: SparkSession, d: str) -> DataFrame:
+    return scored(spark, d).select("query_id", "vec_id", "distance", F.round(search.similarity(F.col("distance")), 6).alias("sim"))
+
+
+@query("vector_topk_filtered", f"WITH {SCORED_SQL} SELECT query_id, vec_id, distance, rn FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rn FROM scored WHERE label = 3) WHERE rn <= 5")
+def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return search.top_k(scored(spark, d).where("label = 3"), 5, ["query_id"], ["vec_id"]).select("query_id", "vec_id", "distance", "rn")
+
+
+@query("vector_topk_per_doc", f"WITH {SCORED_SQL} SELECT query_id, label, vec_id, distance, rn FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY distance, vec_id) AS rn FROM scored) WHERE rn <= greatest(1, 25 // 10)")
+def vector_topk_per_doc(spark: SparkSession, d: str) -> DataFrame:
+    return search.top_k(scored(spark, d), max(1, 25 // 10), ["query_id", "label"], ["vec_id"]).select("query_id", "label", "vec_id", "distance", "rn")
+
+
+@query("hits_dedup", f"WITH {SCORED_SQL} SELECT query_id, vec_id, label FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, round(distance, 2), label ORDER BY distance, vec_id) = 1")
+def hits_dedup(spark: SparkSession, d: str) -> DataFrame:
+    near = scored(spark, d).withColumn("same", F.round("distance", 2))
+    return search.top_k(near, 1, ["query_id", "same", "label"], ["vec_id"]).select("query_id", "vec_id", "label")
+
+
+@query(
+    "coverage_round_robin",
+    f"""WITH {SCORED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY distance, vec_id) AS turn FROM scored),
+c AS (SELECT *, sum(20 + vec_id % 7) OVER (PARTITION BY query_id ORDER BY turn, label ROWS UNBOUNDED PRECEDING) AS cost FROM r) SELECT query_id, label, turn, vec_id, cost::BIGINT AS cost FROM c WHERE cost <= 600""",
+)
+def coverage_round_robin(spark: SparkSession, d: str) -> DataFrame:
+    turns = scored(spark, d).withColumn("turn", F.row_number().over(Window.partitionBy("query_id", "label").orderBy("distance", "vec_id")))
+    running = Window.partitionBy("query_id").orderBy("turn", "label").rowsBetween(Window.unboundedPreceding, 0)
+    return turns.withColumn("cost", F.sum(F.lit(20) + F.col("vec_id") % 7).over(running)).where("cost <= 600").select("query_id", "label", "turn", "vec_id", "cost")
+
+
+@query(
+    "source_coverage",
+    f"""WITH {SCORED_SQL}, n AS (SELECT query_id, label FROM scored WHERE distance < 0.75 GROUP BY 1, 2), want AS (SELECT q.query_id, l.label FROM q, (SELECT DISTINCT label FROM embeddings) l)
+SELECT w.query_id, w.label, n.label IS NOT NULL AS covered FROM want w LEFT JOIN n ON n.query_id = w.query_id AND n.label = w.label""",
+)
+def source_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return scored(spark, d).groupBy("query_id", "label").agg((F.min("distance") < 0.75).alias("covered"))
+
+
+def hits(spark: SparkSession, d: str) -> DataFrame:
+    """The 25 nearest chunks of each query with their vectors, texts and costs."""
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    top = search.top_k(scored(spark, d), 25, ["query_id"], ["vec_id"]).join(vectors, "vec_id")
+    return top.select(
+        "query_id", F.col("label").cast("long").alias("doc"), F.col("vec_id").alias("idx"), F.concat(F.lit("chk_"), "vec_id").alias("chunk_id"),
+        search.similarity(F.col("distance")).alias("sim"), "vec", F.concat(F.lit("text "), F.col("vec_id") % 400).alias("text"), (F.lit(40) + F.col("vec_id") % 50).cast("long").alias("cost"),
+    )
+
+
+@query("mmr_select")
+def mmr_select(spark: SparkSession, d: str) -> DataFrame:
+    def select(rows: pd.DataFrame) -> pd.DataFrame:
+        return selection.mmr(rows, 10, 0.7, 500)[["query_id", "chunk_id", "place"]]
+
+    return hits(spark, d).groupBy("query_id").applyInPandas(select, "query_id long, chunk_id string, place long")
+
+
+@query("mmr_multi_source")
+def mmr_multi_source(spark: SparkSession, d: str) -> DataFrame:
+    def select(rows: pd.DataFrame) -> pd.DataFrame:
+        return selection.mmr_sources(rows, 10, 0.7, 700)[["query_id", "doc", "chunk_id", "place"]]
+
+    return hits(spark, d).groupBy("query_id").applyInPandas(select, "query_id long, doc long, chunk_id string, place long")
+
+
+@query("chunks")
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Token-bounded chunks of every document."""
+
+    @F.udf("array<struct<idx:int,tokens:int,text:string>>", useArrow=True)
+    def packed(text: str) -> list:
+        return selection.pack(text or "")
+
+    return table(spark, d, "documents").select("doc_id", F.explode(packed("text")).alias("c")).select("doc_id", "c.idx", "c.tokens", F.sha2("c.text", 256).alias("content"))
