@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: computed once, and read again after executors are lost."""
     path = f"{shared_folder(df.sparkSession)}/lectern-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.bloom import filters, holds, size_for, words_in
@@ -119,8 +119,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, keep: bool = False) -> DataFr
     known = texts.where("doc_id is not null")
     found = checkpointed(candidates(known, window, block))
     one = found.where("h is not null").select("h", "doc_id")
-    least = one.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h", "least")
-    later = one.join(least, "h").where("doc_id > least").groupBy("doc_id").agg(F.collect_list("h").alias("later"))
+    # a hash has a row for each batch at most
+    held = one.withColumn("least", F.min("doc_id").over(Window.partitionBy("h")))
+    later = held.where("doc_id > least").groupBy("doc_id").agg(F.collect_list("h").alias("later"))
     marks = found.where("marks is not null").groupBy("doc_id").agg(F.collect_list("marks").alias("marks"))
     rows = texts.join(later, "doc_id", "left").join(marks, "doc_id", "left")
 
