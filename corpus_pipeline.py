@@ -53,7 +53,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the token ids, and the digests of ids and decoded text."""
-    return bpe.encode(docs, keep=True).drop("decoded")
+    return bpe.encode(docs, keep=True)
 
 
 STAGES = [

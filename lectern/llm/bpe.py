@@ -33,7 +33,7 @@ from lectern.llm.common import whole_text, with_struct
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 LEAF_CHARS = 16_384
 #: Entries of a worker's cache of encoded pieces; it is emptied beyond that.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 #: Texts without these characters are already in composed form, and Python's letters are the tokenizer's there.
 UNUSUAL = re.compile(r"[^\x00-\x7E\xA1-\u017F]|[\xB2\xB3\xB9\xBC-\xBE]|<\|")
 #: The tokenizer's own split for such texts in lower case.
@@ -148,10 +148,22 @@ def codec(path: str) -> Codec:
 def _digest(row: dict, packed: bytes, decoded: str, keep: bool) -> dict:
     out = row | {"n_tokens": len(packed) // 4, "ids_sha256": hashlib.sha256(packed).hexdigest(), "decoded_sha256": hashlib.sha256(decoded.encode()).hexdigest()}
     if keep:
-        out |= {"ids": np.frombuffer(packed, np.uint32).astype(np.int32), "decoded": decoded}
+        out |= {"ids": np.frombuffer(packed, np.uint32).astype(np.int32)}
     return out
 
 
+def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """encoded and a column decoded: the text of its ids."""
+    path = vocabulary or public_tokenizers.path(DEFAULT_VOCABULARY)
+
+    @F.pandas_udf("string")
+    def said(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for ids in batches:
+            yield pd.Series([codec(path).decode([int(i) for i in x]) for x in ids], dtype=object)
+
+    return encoded.withColumn("decoded", said("ids"))
+
+
 def _leaves(path: str, leaf_chars: int, text: str) -> Iterator[tuple[int, str, str]]:
     """(order, kind, symbols or text) of the parts of a text with long unsplit runs."""
     c, words, n = codec(path), [], 0
@@ -187,7 +199,7 @@ def _leaves(path: str, leaf_chars: int, text: str) -> Iterator[tuple[int, str, s
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, leaf_chars: int = LEAF_CHARS, keep: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, and with `keep` ids and decoded themselves.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, and with `keep` the ids themselves; `decode` gives the text of ids.
 
     Null or empty text has no tokens and decodes to the empty text. Repeated
     rows and null ids give a row each. Other columns of docs are not kept.
@@ -195,7 +207,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, leaf_chars: int = LEA
     path = vocabulary or public_tokenizers.path(DEFAULT_VOCABULARY)
     rows = docs.select("doc_id", whole_text().alias("text"))
     long = F.expr(f"length(text) >= {leaf_chars}") & F.col("text").rlike(BLANK_FREE_RUN % leaf_chars)
-    columns = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep else "")
+    columns = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep else "")
 
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(path)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +43,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_struct(df: DataFrame, fn: Callable, schema: str, *inputs: str) -> DataFrame:
-    """df and the columns of a struct that a batch function makes from some of its columns.
+def with_struct(df: DataFrame, fn: Callable, schema: str, *inputs: str, rows: int = 1000) -> DataFrame:
+    """df and the columns of a struct that a batch function makes from some of its columns, so many rows at a time.
 
     The other columns, ids above all, don't pass through pandas, where integers with nulls would become floats.
     """
-    made = F.pandas_udf(fn, schema)(*inputs)
+
+    def parts(series: tuple[pd.Series, ...]) -> Iterator[tuple[pd.Series, ...]]:
+        for at in range(0, len(series[0]), rows):
+            yield tuple(s.iloc[at : at + rows].reset_index(drop=True) for s in series)
+
+    def one(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from fn(p[0] for series in batches for p in parts((series,)))
+
+    def many(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        yield from fn(p for series in batches for p in parts(series))
+
+    made = F.pandas_udf(one if len(inputs) == 1 else many, schema)(*inputs)
     return df.withColumn("made_", made).select(*df.columns, "made_.*")
