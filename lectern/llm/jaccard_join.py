@@ -192,7 +192,7 @@ def links(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, Da
     inside = classes.join(groups.where("members > 1").select("group_key", "pivot"), "group_key").where("doc_id <> pivot")
     pairs = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(inside.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))).distinct()
     several = listed.select("group_key").union(groups.where("members > 1").select("group_key")).distinct()
-    members = checkpointed(classes.join(several, "group_key").select("group_key", "doc_id", "n", "sketch"))
+    members = checkpointed(classes.join(several, "group_key").select("group_key", "doc_id", "n", "sketch", "prefix"))
     repeated = known.select("doc_id", "set_key").distinct().join(classes.select("set_key", F.col("doc_id").alias("class")), "set_key")
     same_id = repeated.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.collect_set("class").alias("all")).where("a <> b")
     edges = _verified(pairs, classes, texts, k, percent).union(same_id.select("a", F.explode("all").alias("b")))
@@ -204,13 +204,15 @@ def links(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, Da
     label = checkpointed(label)
     by_token = listed.select("token", "group_key").join(label, "group_key")
     mixed = by_token.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("token")
-    in_list = by_token.join(mixed, "token").select(F.col("token").cast("string").alias("list"), "doc_id", "label", "n", "sketch")
+    in_list = by_token.join(mixed, "token").select(F.col("token").cast("string").alias("list"), "doc_id", "label", "n", "sketch", "prefix")
     split = label.groupBy("group_key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("group_key")
-    in_group = label.join(split, "group_key").select(F.col("group_key").alias("list"), "doc_id", "label", "n", "sketch")
+    in_group = label.join(split, "group_key").select(F.col("group_key").alias("list"), "doc_id", "label", "n", "sketch", F.array().cast("array<bigint>").alias("prefix"))
     lists = checkpointed(in_list.union(in_group))
-    side = lambda s, own: lists.select("list", F.col("doc_id").alias(own), F.col("label").alias(f"l{s}"), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
+    side = lambda s, own: lists.select("list", F.col("doc_id").alias(own), F.col("label").alias(f"l{s}"), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"), F.col("prefix").alias(f"p{s}"))
     apart = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
-    rest = side("a", "a").join(side("b", "b"), "list").where(apart & _can_reach("na", "nb", percent) & _sketches_allow(percent, SKETCH_WORDS)).select("a", "b").distinct()
+    # of the lists that a pair shares, the one of the least shingle gives it
+    once = (F.size("pa") == 0) | (F.array_min(F.array_intersect("pa", "pb")).cast("string") == F.col("list"))
+    rest = side("a", "a").join(side("b", "b"), "list").where(apart & _can_reach("na", "nb", percent) & _sketches_allow(percent, SKETCH_WORDS) & once).select("a", "b").distinct()
     more = checkpointed(_verified(rest, classes, texts, k, percent))
     if not more.isEmpty():
         labels = components(edges.union(more))
