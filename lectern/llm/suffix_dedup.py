@@ -129,9 +129,11 @@ def repeated_anchors(docs: DataFrame) -> np.ndarray:
 
 def _ranges(doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(document, its ranges of windows as pairs of int64)."""
+    if not len(doc):
+        return
     order = np.argsort(doc, kind="stable")
     doc, pairs = doc[order], np.stack([lo[order], n[order]], 1).astype(np.int64)
-    edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, int)
+    edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     for a, b in zip(edges, np.append(edges[1:], len(doc)), strict=True):
         yield doc[a], pairs[a:b].tobytes()
 

@@ -74,3 +74,12 @@ def test_long_text_in_pieces(spark):
     docs = spark.createDataFrame([(1, a + a[5000:9000])], "doc_id long, text string")
     row = suffix_dedup.repeats(docs, keep=True).first()
     assert (row.n_removed, row.n_spans, bytes(row.kept)) == (4000, 1, a.encode())
+
+
+def test_a_batch_without_repeats_of_its_own(spark):
+    none = np.zeros(0, np.int64)
+    assert list(suffix_dedup._ranges(none, none, none)) == []
+    rnd = random.Random(9)
+    a = "".join(rnd.choice("abcdefgh ") for _ in range(400))
+    docs = spark.createDataFrame([(1, "x" + a), (2, a + "y")], "doc_id long, text string").repartition(2, "doc_id")
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.repeats(docs).collect()} == {1: 0, 2: 400}
