@@ -1,21 +1,19 @@
-"""Benchmark decontamination by a CGK embedding and bit sampling.
-
-The CGK random walk reads a text from its start and at each step writes the
-character under it and moves on or stays, as a random table over (step,
-character) says. Texts a small edit distance apart soon walk in step again, so
-their outputs differ in few places. Tables of sampled output places hash the
-outputs; an item-sized window that shares a bucket of some table with an item
-is a candidate, and the exact edit distance decides. The number of tables
-follows from the recall asked for at the largest distance.
-
-Windows are laid where a document and an item share a run of three words, in
-line with the item; all such places of the whole text count. The items are a
-stated set: they go to the executors in blocks of bounded size.
+"""Benchmark decontamination by counted pieces and the exact edit distance.
+
+Each item is cut into disjoint pieces of a few characters. An edit spoils one
+piece at most, so of a passage within the edit limit all pieces but that many
+stand in the text unchanged, and they lie in line: their places in text and
+item differ by about the same number, give or take the limit. Every place of
+the whole text is looked up; where enough pieces of an item lie in line, the
+exact edit distance of the whole item decides. So no passage within the limit
+is lost, wherever its edits are.
+
+The items are a stated set: they go to the executors in blocks of bounded size.
 """
 
 from __future__ import annotations
 
-import math
+import bisect
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,37 +23,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import whole_text, with_struct
-from lectern.llm.hashing import lower_ascii, runs, word_hashes
-
-RUN = 3
-STEPS = 320
-WALKS = 4
-SAMPLED = 6
-#: Of a window within the largest edit share, about so many times that share of the steps differ.
-DRIFT = 3.0
-BLOCK_CHARS = 8_000_000
-BATCH = 4096
-
-
-def tables_for(recall: float, share: float) -> int:
-    same = (1 - min(0.9, DRIFT * share)) ** SAMPLED
-    return max(WALKS, math.ceil(math.log(1 - recall) / math.log(1 - same)))
-
-
-def walk_bits(walk: int) -> np.ndarray:
-    return np.random.default_rng(1000 + walk).integers(0, 2, (STEPS, 257), dtype=np.int16)
+from lectern.llm.hashing import lower_ascii
+
+#: Characters of a piece, fewer where an item is so short that all of its pieces could be spoiled.
+PIECE = 5
+SLOT_BITS = 20
+BLOCK_CHARS = 500_000
+#: Texts are looked up together until they have about so many characters; longer ones in parts.
+GROUP_CHARS = 1 << 15
+
+
+def grams(codes: np.ndarray, q: int) -> np.ndarray:
+    """The q characters from each place on as one number."""
+    n = max(0, len(codes) - q + 1)
+    out = np.zeros(n, np.uint64)
+    for j in range(q):
+        out = (out << np.uint64(8)) | codes[j : j + n]
+    return out
 
 
-def embed(windows: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """CGK outputs of windows, an array of rows of codes with 256 after a text's end."""
-    n, width = windows.shape
-    flat, at = windows.ravel(), np.arange(n) * width
-    last = at + width - 1
-    out = np.empty((STEPS, n), np.int16)
-    for j in range(STEPS):
-        out[j] = c = flat[at]
-        at = np.minimum(at + bits[j, c], last)
-    return out
+def slots(keys: np.ndarray) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 def infix_distance(pattern: bytes, text: bytes) -> int:
@@ -80,108 +68,119 @@ def infix_distance(pattern: bytes, text: bytes) -> int:
 
 
 class Index:
-    """Items by their word runs, and by the buckets of every table."""
+    """The pieces of all items, and how many of each item's must lie in line."""
 
-    def __init__(self, texts: list[str], share: float, recall: float) -> None:
-        self.share = share
+    def __init__(self, texts: list[str], share: float) -> None:
         self.items = [b" ".join(lower_ascii(t).split()) for t in texts]
-        hashes, items, offsets = [], [], []
-        for i, (text, words) in enumerate(zip(self.items, word_hashes(self.items), strict=True)):
-            h = runs(words, RUN) if len(words) >= RUN else runs(words, len(words)) if len(words) else words
-            lengths = np.array([len(w) + 1 for w in text.split()], np.int64)
-            starts = np.cumsum(lengths) - lengths
-            hashes.append(h)
-            items.append(np.full(len(h), i))
-            offsets.append(starts[: len(h)])
-        h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-        order = np.argsort(h, kind="stable")
-        self.hash = h[order]
-        self.item = np.concatenate([*items, np.zeros(0, np.int64)]).astype(np.int64)[order]
-        self.offset = np.concatenate([*offsets, np.zeros(0, np.int64)]).astype(np.int64)[order]
-        self.short = sorted({len(t.split()) for t in self.items} & set(range(1, RUN)))
-        tables = tables_for(recall, share)
-        rnd = np.random.default_rng(5)
-        self.walks = [walk_bits(w) for w in range(WALKS)]
-        self.samples = [(t % WALKS, np.sort(rnd.choice(STEPS, SAMPLED, replace=False))) for t in range(tables)]
-        self.buckets: list[set[tuple[int, int]]] = []
-        if self.items:
-            self.buckets = [{(int(b), i) for i, b in enumerate(own)} for own in self.keys(self.items)]
-
-    def keys(self, windows: list[bytes]) -> list[np.ndarray]:
-        """The bucket of each window in each table."""
-        out = [[] for _ in self.samples]
-        for at in range(0, len(windows), BATCH):
-            part = windows[at : at + BATCH]
-            codes = np.full((len(part), STEPS + 1), 256, np.int16)
-            for k, w in enumerate(part):
-                own = np.frombuffer(w[:STEPS], np.uint8)
-                codes[k, : len(own)] = own
-            outs = [embed(codes, bits) for bits in self.walks]
-            for t, (walk, places) in enumerate(self.samples):
-                key = np.zeros(len(part), np.int64)
-                for p in places:
-                    key = key * 257 + outs[walk][p]
-                out[t].append(key)
-        return [np.concatenate(k) for k in out]
-
-    def windows(self, text: bytes, words: np.ndarray) -> list[tuple[int, int]]:
-        """(start, item) of the item-sized windows that share a word run in place."""
-        found = []
-        starts = None
-        for k in [RUN, *self.short]:
-            h = runs(words, k)
-            if not len(h) or not len(self.hash):
-                continue
-            low = np.searchsorted(self.hash, h)
-            hit = np.flatnonzero(self.hash[np.minimum(low, len(self.hash) - 1)] == h)
-            if not len(hit):
-                continue
-            if starts is None:
-                lengths = np.array([len(w) + 1 for w in text.split()], np.int64)
-                starts = np.cumsum(lengths) - lengths
-            n = np.searchsorted(self.hash, h[hit], side="right") - low[hit]
-            entry = np.repeat(low[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.maximum(0, np.repeat(starts[hit], n) - self.offset[entry])
-            found.append(np.stack([at, self.item[entry]], 1))
-        return [] if not found else [tuple(x) for x in np.unique(np.concatenate(found), axis=0).tolist()]
-
-    def matches(self, texts: list[bytes]) -> Iterator[dict[int, int]]:
+        self.length = np.array([len(t) for t in self.items], np.int64)
+        self.limit = np.array([int(share * len(t)) for t in self.items], np.int64)
+        self.width = np.maximum(1, self.limit)
+        self.longest = int((self.length + self.limit).max(initial=1))
+        self.group = max(4 * self.longest, GROUP_CHARS)
+        # an item of m characters keeps m // q - limit pieces at least; one character is the shortest piece
+        sizes = [next((q for q in range(PIECE, 1, -1) if m // q > k), 1) for m, k in zip(self.length.tolist(), self.limit.tolist(), strict=True)]
+        self.pieces = self.length // np.array(sizes, np.int64) if sizes else self.length
+        self.tables = []
+        for q in sorted(set(sizes)):
+            own = [i for i, size in enumerate(sizes) if size == q]
+            cut = [grams(np.frombuffer(self.items[i], np.uint8), q)[::q] for i in own]
+            keys = np.concatenate(cut)
+            order = np.argsort(keys, kind="stable")
+            known, first, count = np.unique(keys[order], return_index=True, return_counts=True)
+            item = np.repeat(own, [len(x) for x in cut])[order]
+            offset = np.concatenate([q * np.arange(len(x)) for x in cut])[order]
+            used = np.zeros(1 << SLOT_BITS, bool)
+            used[slots(known)] = True
+            self.tables.append((q, used, known, first, count, item, offset, self.width[item].astype(float)))
+
+    def parts(self, text: bytes) -> Iterator[bytes]:
+        """The text in parts that overlap by the longest passage; most texts are one part."""
+        for at in range(0, len(text), self.group):
+            yield text[at : at + self.group + self.longest]
+
+    def places(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(item, start, end, least distance) of all stretches that may hold the item, most pieces in line first.
+
+        The pieces that a passage keeps lie within limit places of one line, so within two neighbouring strips of that width.
+        """
+        # cells are the strips of all items, one item after the other; the last strip of an item stays empty
+        strips = (len(codes) + self.longest) // self.width + 2
+        cells = np.cumsum(strips) - strips
+        needed = np.repeat(self.pieces - self.limit, strips)
+        for q, used, known, first, count, items, offsets, widths in self.tables:
+            g = grams(codes, q)
+            at = np.flatnonzero(used[slots(g)])
+            g = g[at]
+            k = np.minimum(np.searchsorted(known, g), len(known) - 1)
+            same = known[k] == g
+            at, k = at[same], k[same]
+            n = count[k]
+            entry = np.repeat(first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            item = items[entry]
+            hit = cells[item] + ((np.repeat(at + self.longest, n) - offsets[entry]) / widths[entry]).astype(np.int64)
+            inside = np.bincount(hit, minlength=len(needed))
+            inside[:-1] += inside[1:]
+            enough = inside >= needed
+            # of the strips that are left, a piece that stands there several times counts once
+            size = int(self.pieces.max()) + 1
+            once = []
+            for own in (hit, hit - 1):
+                left = np.flatnonzero(enough[own])
+                once.append(own[left] * size + offsets[entry[left]] // q)
+            pairs, inside = np.unique(np.unique(np.concatenate(once)) // size, return_counts=True)
+            item = np.searchsorted(cells, pairs, side="right") - 1
+            strip = pairs - cells[item]
+            missing = self.pieces[item] - inside
+            may = np.flatnonzero(missing <= self.limit[item])
+            may = may[np.argsort(missing[may], kind="stable")]
+            start = strip * self.width[item] - self.longest
+            end = start + 2 * self.width[item] + self.length[item] + self.limit[item]
+            yield from zip(item[may].tolist(), (start - self.limit[item])[may].tolist(), end[may].tolist(), missing[may].tolist(), strict=True)
+
+    def search(self, group: list[tuple[int, bytes]], found: list[dict[int, int]]) -> None:
+        """Adds what the parts (text's number, part) hold to found."""
+        ends = np.cumsum([len(part) + 1 for _, part in group]).tolist()
+        codes = np.frombuffer(b"\n".join(part for _, part in group), np.uint8)
+        for i, start, end, least in self.places(codes):
+            for x in range(bisect.bisect_right(ends, start), len(group)):
+                d, part = group[x]
+                begin = ends[x] - len(part) - 1
+                if begin >= end:
+                    break
+                best = found[d].get(i, int(self.limit[i]) + 1)
+                if least < best:
+                    apart = infix_distance(self.items[i], part[max(0, start - begin) : end - begin])
+                    if apart < best:
+                        found[d][i] = apart
+
+    def matches(self, texts: list[bytes]) -> list[dict[int, int]]:
         """For each text the items within the edit share, with their distances."""
-        plain: list[bytes | None] = []
-        places: list[tuple[int, int, int]] = []
-        for d, (text, words) in enumerate(zip(texts, word_hashes(texts), strict=True)):
-            clean = b" ".join(text.split())
-            own = self.windows(clean, words)
-            plain.append(clean if own else None)
-            places += [(d, at, i) for at, i in own]
         found: list[dict[int, int]] = [{} for _ in texts]
-        for at in range(0, len(places), BATCH):
-            part = places[at : at + BATCH]
-            keys = self.keys([plain[d][a : a + len(self.items[i])] for d, a, i in part])
-            same = np.zeros(len(part), bool)
-            for buckets, own in zip(self.buckets, keys, strict=True):
-                same |= np.fromiter(((int(b), i) in buckets for b, (_, _, i) in zip(own, part, strict=True)), bool, len(part))
-            for k in np.flatnonzero(same):
-                d, a, i = part[k]
-                limit = int(self.share * len(self.items[i]))
-                if found[d].get(i, limit + 1) > 0:
-                    apart = infix_distance(self.items[i], plain[d][max(0, a - limit) : a + len(self.items[i]) + limit])
-                    if apart <= min(limit, found[d].get(i, limit)):
-                        found[d][i] = apart
-        yield from found
+        group: list[tuple[int, bytes]] = []
+        size = 0
+        for d, text in enumerate(texts if self.items else []):
+            for part in self.parts(b" ".join(text.split())):
+                group.append((d, part))
+                size += len(part)
+                if size >= self.group:
+                    self.search(group, found)
+                    group, size = [], 0
+        if group:
+            self.search(group, found)
+        return found
 
 
 def _finder(index: Broadcast) -> Callable:
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own, ids = index.value
         for texts in batches:
-            found = list(own.matches([lower_ascii(t or "") for t in texts]))
+            found = own.matches([lower_ascii(t or "") for t in texts])
             yield pd.DataFrame({"items_": [[ids[i] for i in sorted(f)] for f in found], "distances_": [[f[i] for i in sorted(f)] for f in found]})
 
     return find
 
 
-def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.15, recall: float = 0.9, name: str = "matched") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.15, name: str = "matched") -> DataFrame:
     """docs and a column (matched) array<struct<item_id, distance>>: the items found in the text within share * length edits, letters in lower case and blanks as one.
 
     Null or empty texts and items match nothing; equal items match alike.
@@ -193,7 +192,7 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.15, recall:
     parts = []
     for b in range(blocks):
         rows = named.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("text", "item_id").collect()  # at most about BLOCK_CHARS characters
-        index = docs.sparkSession.sparkContext.broadcast((Index([r.text for r in rows], share, recall), [r.item_id for r in rows]))
+        index = docs.sparkSession.sparkContext.broadcast((Index([r.text for r in rows], share), [r.item_id for r in rows]))
 
         rows = with_struct(out, _finder(index), "items_ array<long>, distances_ array<long>", "text")
         pairs = F.zip_with("items_", "distances_", lambda i, d: F.struct(i.alias("item_id"), d.alias("distance")))
@@ -202,7 +201,7 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.15, recall:
     return out.withColumn(name, F.concat(*parts)).drop(*parts)
 
 
-def leaks(docs: DataFrame, items: DataFrame, share: float = 0.15, recall: float = 0.9) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, share: float = 0.15) -> DataFrame:
     """doc_id, item_id, distance of every leak: a row for each document row and item it holds."""
-    found = contaminated(docs.select("doc_id", "text"), items, share, recall)
+    found = contaminated(docs.select("doc_id", "text"), items, share)
     return found.select("doc_id", F.explode("matched").alias("m")).select("doc_id", F.col("m.item_id").alias("item_id"), F.col("m.distance").alias("distance"))

@@ -60,3 +60,18 @@ def test_nulls_short_items_and_empty_tables(spark):
     got = sorted((r.doc_id or -1, r.item_id or -1, r.distance) for r in decontaminate.leaks(docs, items).collect())
     assert got == [(-1, 7, 0), (2, -1, 0), (2, -1, 0)]
     assert decontaminate.leaks(docs.limit(0), items).count() == 0 and decontaminate.leaks(docs, items.limit(0)).count() == 0
+
+
+def held(edit, n, length, seed):
+    """How many of n items of about length characters, changed by edit and put into other text, are found."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 8)))
+    items = [" ".join(word() for _ in range(length // 6)) for _ in range(n)]
+    texts = [" ".join([*(word() for _ in range(50)), edit(rnd, t), *(word() for _ in range(50))]).encode() for t in items]
+    return sum(i in f for i, f in enumerate(decontaminate.Index(items, 0.15).matches(texts)))
+
+
+def test_long_items_with_a_changed_or_missing_start():
+    changed = lambda rnd, t: "".join(rnd.choice("qrstuvwxyz") for _ in range(len(t) * 12 // 100)) + t[len(t) * 12 // 100 :]
+    missing = lambda rnd, t: t[len(t) * 12 // 100 :]
+    assert held(changed, 30, 1350, 3) == 30 and held(missing, 30, 1350, 4) == 30
