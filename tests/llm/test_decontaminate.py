@@ -75,3 +75,28 @@ def test_long_items_with_a_changed_or_missing_start():
     changed = lambda rnd, t: "".join(rnd.choice("qrstuvwxyz") for _ in range(len(t) * 12 // 100)) + t[len(t) * 12 // 100 :]
     missing = lambda rnd, t: t[len(t) * 12 // 100 :]
     assert held(changed, 30, 1350, 3) == 30 and held(missing, 30, 1350, 4) == 30
+
+
+def test_scattered_edits_up_to_the_limit():
+    def every_third_word(rnd, t):
+        words = t.split()
+        return " ".join("z" + w[1:] if k % 3 == 1 else w for k, w in enumerate(words))
+
+    def substituted(share):
+        def edit(rnd, t):
+            chars = list(t)
+            for k in rnd.sample(range(len(chars)), int(share * len(chars))):
+                chars[k] = "z"
+            return "".join(chars)
+
+        return edit
+
+    def anything(rnd, t):
+        chars = list(t)
+        for k in rnd.sample(range(len(chars)), int(0.15 * len(chars))):
+            chars[k] = rnd.choice(("", "z", "z" + chars[k]))
+        return "".join(chars)
+
+    assert held(every_third_word, 40, 230, 5) == 40 and held(anything, 40, 230, 6) == 40
+    assert [held(substituted(share), 40, 230, 7) for share in (0.1, 0.12, 0.14, 0.15)] == [40] * 4
+    assert held(substituted(0.15), 40, 90, 8) == 40
