@@ -8,9 +8,12 @@ leaves open are joined with their counts. The recurrent model (`recurrent`)
 knows the commonest words as symbols; the other words stand for 64 rare-word
 symbols by their last byte, and within such a symbol a word has its smoothed
 share of the training counts, so the probabilities of all words sum to one.
-It is trained on a bounded sample of training documents (`sample_docs`,
-`sample_words`); counts, score and state cover whole documents. Words are told
-apart by hashes of 58 bits and their last byte.
+It starts from weights learnt in one task from a few documents (`sample_docs`,
+`sample_words`) and then learns from every training document: in each of ROUNDS
+rounds every partition goes on from the same weights over its own documents of
+that round, and the weights are averaged by the words they have seen. Counts,
+score and state cover whole documents. Words are told apart by hashes of 58
+bits and their last byte.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +38,13 @@ ADD = 0.1
 HEAD_WORDS = 150_000
 RARE = recurrent.CLASS_WORDS
 END = RARE
+#: Each training document is learnt from in one of so many rounds.
+ROUNDS = 2
+RATE = 0.003
+#: A task learns from about so many words at once, and from so many in all at least if the input has them.
+LEARN_WORDS, TASK_WORDS = 200_000, 500_000
+#: Weights travel in so many pieces, so that their average spreads.
+PIECES = 256
 KNOWN = recurrent.SYMBOLS - RARE - 1
 
 
@@ -125,12 +136,12 @@ def symbols(counts: Counts, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def train(docs: DataFrame, counts: Counts, documents: int, sample_docs: int, sample_words: int) -> dict[str, np.ndarray]:
-    """Trains in one task on about sample_docs documents by a hash of their ids and texts, sample_words words at most."""
+    """First weights, learnt in one task from about sample_docs documents by a hash of their ids and texts, sample_words words at most."""
     share = min(1_000_000, math.ceil(1_000_000 * sample_docs / max(1, documents)))
     sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share)
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
-    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+    def first(rows: pd.DataFrame) -> pd.DataFrame:
         texts = sorted(set(rows["text"]), key=lambda t: (hash_of(t), t))
         _, hashes = _texts(pd.Series(texts, dtype=object))
         own, left = [], sample_words
@@ -141,11 +152,50 @@ def train(docs: DataFrame, counts: Counts, documents: int, sample_docs: int, sam
         w = recurrent.train(own, shared.value.frequency)
         return pd.DataFrame([[w[k].astype(np.float32).tobytes() for k in recurrent.NAMES]], columns=list(recurrent.NAMES))
 
-    rows = sample.select("text").groupBy().applyInPandas(learn, ", ".join(f"{k} binary" for k in recurrent.NAMES)).collect()
+    rows = sample.select("text").groupBy().applyInPandas(first, ", ".join(f"{k} binary" for k in recurrent.NAMES)).collect()
     like = recurrent.start(np.random.default_rng(3), counts.frequency)
     return {k: np.frombuffer(bytes(rows[0][k]), np.float32).reshape(like[k].shape) for k in recurrent.NAMES} if rows else like
 
 
+def learn(docs: DataFrame, counts: Counts, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The weights after every row of docs has been learnt from, by partitions whose weights are averaged after each round."""
+    context = docs.sparkSession.sparkContext
+    table = context.broadcast(counts)
+    tasks = max(1, counts.total // TASK_WORDS)
+
+    def average(rows: pd.DataFrame) -> pd.DataFrame:
+        total, words = 0.0, rows["words"].sum()
+        for n, part in zip(rows["words"], rows["part"], strict=True):
+            total = total + np.frombuffer(part, np.float32).astype(np.float64) * (n / words)
+        return pd.DataFrame({"piece": rows["piece"].iloc[:1], "part": [total.astype(np.float32).tobytes()]})
+
+    for turn in range(ROUNDS):
+        shared = context.broadcast(weights)
+
+        def walk(batches: Iterator[pd.DataFrame], shared: Broadcast = shared) -> Iterator[pd.DataFrame]:
+            adam = recurrent.Adam({k: x.copy() for k, x in shared.value.items()})
+            words, own, held = 0, [], 0
+            for batch in batches:
+                for at in range(0, len(batch), 1000):
+                    for h in _texts(batch["text"].iloc[at : at + 1000])[1]:
+                        own.append(symbols(table.value, h)[0])
+                        held += len(own[-1])
+                        if held >= LEARN_WORDS:
+                            adam.learn(own, RATE, recurrent.LANES)
+                            words, own, held = words + held, [], 0
+            if own:
+                adam.learn(own, RATE, recurrent.LANES)
+            if words + held:
+                parts = np.array_split(recurrent.flattened(adam.w), PIECES)
+                yield pd.DataFrame({"piece": range(PIECES), "words": words + held, "part": [x.tobytes() for x in parts]})
+
+        rows = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == turn).select("text").coalesce(tasks)
+        parts = rows.mapInPandas(walk, "piece int, words long, part binary").groupBy("piece").applyInPandas(average, "piece int, part binary").orderBy("piece").collect()  # the weights of one model
+        if parts:
+            weights = recurrent.shaped(np.concatenate([np.frombuffer(bytes(r["part"]), np.float32) for r in parts]), weights)
+    return weights
+
+
 def hash_of(text: str) -> int:
     h = next(word_hashes([lower_ascii(text)]))
     return int(h[0]) ^ len(h) if len(h) else 0
@@ -163,7 +213,7 @@ def score(docs: DataFrame, sample_docs: int = 600, sample_words: int = 250_000)
     documents = learnt.count()
     words = checkpointed(word_counts(learnt))
     counts = summarize(words, documents)
-    weights = train(learnt, counts, documents, sample_docs, sample_words)
+    weights = learn(learnt, counts, train(learnt, counts, documents, sample_docs, sample_words))
     shared = docs.sparkSession.sparkContext.broadcast((counts, weights))
     end = documents + ADD
 

@@ -167,35 +167,56 @@ def _gradients(w: dict, before: np.ndarray, fresh: np.ndarray, target: np.ndarra
         du += prior.T @ dg
         dh = np.where(fresh[t][:, None], np.float32(0), dh * z + dg @ w["u"].T)
     g["u"] = du
-    used, where = np.unique(before, return_inverse=True)
-    flat = np.zeros((len(used), 3 * H), np.float32)
-    np.add.at(flat, where.ravel(), dx.reshape(-1, 3 * H))
+    order = np.argsort(before, axis=None, kind="stable")
+    used, edges = np.unique(before.ravel()[order], return_index=True)
+    flat = np.add.reduceat(dx.reshape(-1, 3 * H)[order], edges)
     g["table"] = (used, flat)
     return g, states[-1], float(loss), n
 
 
-def train(docs: list[np.ndarray], frequency: np.ndarray, epochs: int = 4, rate: float = 0.01, width: int = 48, seed: int = 3) -> dict[str, np.ndarray]:
+class Adam:
     """Adam over windows of WINDOW steps; the state at a window's end starts the next, the gradient stops there."""
-    rnd = np.random.default_rng(seed)
-    w = start(rnd, frequency)
-    docs = [d for d in docs if len(d)]
-    if not docs:
-        return w
-    m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-    step = 0
-    for epoch in range(epochs):
-        order = rnd.permutation(len(docs))
-        symbols, owner = lanes([docs[d] for d in order], width)
+
+    def __init__(self, w: dict[str, np.ndarray]) -> None:
+        self.w = w
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+        self.step = 0
+
+    def learn(self, docs: list[np.ndarray], rate: float, width: int) -> None:
+        """Changes w by one pass over docs."""
+        w, m, v = self.w, self.m, self.v
+        symbols, owner = lanes(docs, width)
         h = np.zeros((symbols.shape[1], HIDDEN), np.float32)
         for window in _windows(symbols, owner):
-            g, h, _, _ = _gradients(w, *window, h)
-            step += 1
+            active = (window[3] >= 0).any(0)  # lanes that have ended stay out
+            g, h[active], _, _ = _gradients(w, *(x[:, active] for x in window), h[active])
+            self.step += 1
             size = np.sqrt(sum(float(((x[1] if isinstance(x, tuple) else x) ** 2).sum()) for x in g.values()))
-            cut, now = min(1.0, 1.0 / (size + 1e-9)), rate * (0.3 if epoch == epochs - 1 else 1) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
+            cut, now = min(1.0, 1.0 / (size + 1e-9)), rate * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
             for k, x in g.items():
                 at, x = x if isinstance(x, tuple) else (slice(None), x)
                 x = x * np.float32(cut)
                 m[k][at] = 0.9 * m[k][at] + 0.1 * x
                 v[k][at] = 0.99 * v[k][at] + 0.01 * x * x
                 w[k][at] -= np.float32(now) * m[k][at] / (np.sqrt(v[k][at]) + 1e-6)
+
+
+def train(docs: list[np.ndarray], frequency: np.ndarray, epochs: int = 4, rate: float = 0.01, width: int = 48, seed: int = 3) -> dict[str, np.ndarray]:
+    """First weights from a few documents that one task holds."""
+    rnd = np.random.default_rng(seed)
+    w = start(rnd, frequency)
+    docs = [d for d in docs if len(d)]
+    adam = Adam(w)
+    for epoch in range(epochs if docs else 0):
+        adam.learn([docs[d] for d in rnd.permutation(len(docs))], rate * (0.3 if epoch == epochs - 1 else 1), width)
     return w
+
+
+def flattened(w: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([w[k].ravel() for k in NAMES]).astype(np.float32)
+
+
+def shaped(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The weights that flattened made values of."""
+    ends = np.cumsum([like[k].size for k in NAMES])[:-1]
+    return {k: x.reshape(like[k].shape).copy() for k, x in zip(NAMES, np.split(values, ends), strict=True)}

@@ -73,3 +73,18 @@ def test_gradients_equal_differences():
         low = recurrent._gradients(w, *window, h)[2]
         w[k][at] = own
         assert abs(g[k][at] - (high - low) / 2e-3 / n) < 1e-3
+
+
+def test_every_training_row_is_learnt_from(spark, monkeypatch):
+    rnd = random.Random(8)
+    own = [f"w{k}" for k in range(60)]
+    chain = lambda n: " ".join(own[(s + 7 * k) % 60] for s in [rnd.randrange(60)] for k in range(n))
+    docs = spark.createDataFrame([(i, chain(150)) for i in range(400)], "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(lm_score, "TASK_WORDS", 20_000)
+    documents, words = docs.count(), lm_score.word_counts(docs)
+    counts = lm_score.summarize(words, documents)
+    first = lm_score.train(docs, counts, documents, 3, 450)
+    weights = lm_score.learn(docs, counts, first)
+    texts = [lm_score.symbols(counts, h)[0] for h in lm_score._texts([chain(150) for _ in range(40)])[1]]
+    assert recurrent.log_likelihood(weights, texts).sum() > recurrent.log_likelihood(first, texts).sum()
+    assert all((weights[k] != first[k]).any() for k in recurrent.NAMES)
