@@ -36,7 +36,7 @@ from lectern.llm.common import checkpointed, whole_text, with_struct
 from lectern.llm.graph import components
 from lectern.llm.hashing import lower_ascii, shingle_set, word_hashes
 
-#: A shingle in over one of so many documents of a batch (and in FREQUENT_LEAST) goes last in the order, so the list of such shingles is bounded by this times the mean set size.
+#: A shingle in over one of so many documents (and in FREQUENT_LEAST) goes last in the order, so the list of such shingles is bounded by this times the mean set size.
 FREQUENT_SHARE, FREQUENT_LEAST = 1000, 8
 #: Shingles of one part in so many of the hash space are counted.
 COUNTED_PART = 4
@@ -58,8 +58,9 @@ def shingle_order(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(filter of the counted shingles that several documents have, sorted frequent shingles).
 
     The first is exact for shingles it doesn't hold. The second lists shingles
-    that are frequent within some batch; any fixed list gives right results,
-    and a good one short posting lists.
+    that are frequent within some batch and, by the counts of the batches that
+    marked them, among all documents; any fixed list gives right results, and a
+    good one short posting lists.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -67,13 +68,16 @@ def shingle_order(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             sets = list(_sets(batch["text"], k))
             found, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
             frequent = n > max(FREQUENT_LEAST, len(sets) // FREQUENT_SHARE)
-            for part, mark in ((_counted(found), 0), (frequent, 2)):
-                yield pd.DataFrame({"h": found[part].astype(np.int64), "n": np.minimum(n[part], 2).astype(np.int8) if not mark else np.int8(0)})
-
-    counts = docs.mapInPandas(count, "h long, n byte").groupBy("h").agg(F.sum("n").alias("n"), F.min("n").alias("mark"))
-    counts = checkpointed(counts.where("n > 1 or mark = 0"))
+            few, none = np.minimum(n, 2), np.zeros(len(n), np.int64)
+            for part, own, marked in ((_counted(found), few, none), (frequent, none, n)):
+                yield pd.DataFrame({"h": found[part].astype(np.int64), "n": own[part].astype(np.int8), "marked": marked[part].astype(np.int64)})
+
+    total = docs.count()
+    most = max(FREQUENT_LEAST, total // FREQUENT_SHARE)
+    counts = docs.mapInPandas(count, "h long, n byte, marked long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("marked").alias("marked"))
+    counts = checkpointed(counts.where((F.col("n") > 1) | (F.col("marked") > most)))
     (repeated,) = filters(counts.where("n > 1"), size_for(words_in(docs) // (4 * COUNTED_PART)), repeated=F.lit(True))
-    rows = counts.where("mark = 0").select("h").toPandas()  # bounded by FREQUENT_SHARE times the mean set size
+    rows = counts.where(F.col("marked") > most).select("h").toPandas()  # each stands in over one of FREQUENT_SHARE documents, so there are at most FREQUENT_SHARE times the mean set size
     return repeated, np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
 
 

@@ -54,3 +54,11 @@ def test_nulls_repeats_and_empty(spark):
     rows = sorted(((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard_join.connected(docs).collect()))
     assert rows == [(-1, 0, -1), (-1, 2, -1), (5, 2, 5), (5, 2, 5), (5, 2, 5), (7, 2, 5), (9, 1, 9)]
     assert jaccard_join.connected(docs.limit(0)).count() == 0
+
+
+def test_frequent_list_holds_no_small_groups(spark):
+    """Copies that stand together are frequent in their batch but not among all documents."""
+    rows = [(i, f"a b c d{i // 12} e{i // 12} f{i // 12}") for i in range(15_600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    _, frequent = jaccard_join.shingle_order(docs, 3)
+    assert len(frequent) == 1
