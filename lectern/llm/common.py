@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,19 +26,64 @@ def whole_text(name: str = "text") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; a temporary folder of its own only where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a temporary folder will do for a master on this machine alone, as in tests; anywhere else
+    executors couldn't read each other's files there, so that is an error.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="lectern-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir isn't set: name a folder there that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-shared-"))
+        folder = context.getCheckpointDir()
     return folder
 
 
+#: Spark then deletes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files: their results are in tables, so nothing reads these again."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: computed once, and read again after executors are lost."""
-    path = f"{shared_folder(df.sparkSession)}/lectern-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/lectern-{uuid.uuid4().hex}"
+    with shuffles_cleaned(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what `checkpointed` wrote, after the last reader of these tables has been written itself."""
+    for table in tables:
+        folders = {file.rsplit("/", 1)[0] for file in table.inputFiles()}
+        for folder in folders:
+            if folder.rsplit("/", 1)[-1].startswith("lectern-"):
+                path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(name: str, *taken: DataFrame) -> str:
+    """A column name like `name` that none of these frames has."""
+    used = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:
@@ -60,4 +107,5 @@ def with_struct(df: DataFrame, fn: Callable, schema: str, *inputs: str, rows: in
         yield from fn(p for series in batches for p in parts(series))
 
     made = F.pandas_udf(one if len(inputs) == 1 else many, schema)(*inputs)
-    return df.withColumn("made_", made).select(*df.columns, "made_.*")
+    struct = fresh("made", df)
+    return df.withColumn(struct, made).select(*(F.col(f"`{c}`") for c in df.columns), f"{struct}.*")

@@ -7,11 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 
 PIECE_BYTES = 1 << 21
-_POWERS = 4096
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_PLACES = 4096
 _SEEDS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
-with np.errstate(over="ignore"):
-    POWER = np.cumprod(np.full(_POWERS, _ODD, np.uint64), dtype=np.uint64)
+#: Odd weights of the first places of a word; further places take them times an odd number for each stretch of so many.
+WEIGHTS = np.random.default_rng(5).integers(0, 1 << 63, _PLACES, np.uint64) * np.uint64(2) + np.uint64(1)
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
 
@@ -34,7 +33,10 @@ def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         return starts, np.zeros(0, np.uint64)
     at = np.arange(starts[0], len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b))))
     with np.errstate(over="ignore"):
-        v = POWER[at & (_POWERS - 1)] * (b[starts[0] :].astype(np.uint64) + np.uint64(1)) + (at >> 12).astype(np.uint64)
+        v = WEIGHTS[at & (_PLACES - 1)] * (b[starts[0] :].astype(np.uint64) + np.uint64(1))
+        far = np.flatnonzero(at >= _PLACES)
+        if len(far):
+            v[far] *= mix((at[far] // _PLACES).astype(np.uint64)) | np.uint64(1)
         v[blank[starts[0] :]] = 0
         return starts, mix(np.add.reduceat(v, starts - starts[0]))
 
