@@ -83,3 +83,25 @@ def masked(text: Column, ranges: Column) -> Column:
         ),
     )
     return F.when(walked["ok"], F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.length(text))))
+
+
+STROKES, ENDS, CURVES = ("S", "s", "B", "B*", "b", "b*"), ("S", "s", "B", "B*", "b", "b*", "n", "f", "f*", "F"), ("Do", "c", "v", "y", "sh")
+
+
+def drawn(ops: Column) -> Column:
+    """Whether drawing operators (op, x, y) show an image, a curve, a diagonal, or three stroked rectangles."""
+    null = F.lit(None).cast("double")
+    begin = F.struct(F.lit(False).alias("seen"), null.alias("x"), null.alias("y"), F.lit(0).alias("open"), F.lit(0).alias("drawn"))
+
+    def step(s: Column, o: Column) -> Column:
+        end, at = o["op"].isin(*ENDS), o["op"].isin("m", "l")
+        slanted = (o["op"] == "l") & F.coalesce((F.abs(s["x"] - o["x"]) > 0.1) & (F.abs(s["y"] - o["y"]) > 0.1), F.lit(False))
+        return F.struct(
+            (s["seen"] | o["op"].isin(*CURVES) | slanted).alias("seen"),
+            F.when(end, null).when(at, o["x"]).otherwise(s["x"]).alias("x"), F.when(end, null).when(at, o["y"]).otherwise(s["y"]).alias("y"),
+            F.when(end, 0).when(o["op"] == "re", s["open"] + 1).otherwise(s["open"]).alias("open"),
+            F.when(o["op"].isin(*STROKES), s["drawn"] + s["open"]).otherwise(s["drawn"]).alias("drawn"),
+        )
+
+    last = F.aggregate(ops, begin, step)
+    return last["seen"] | (last["drawn"] >= 3)

@@ -1,91 +1,209 @@
-"""Structural text and content queries over literal fixtures, which the driver tables don't hold."""
+"""Structural text and content queries over Markdown, quizzes and drawings made from the driver tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import structure
+from lectern.functions import text as t
 from lectern.plans.base import CATALOG
 from lectern.session import table
 
 query = CATALOG.query
-MARKDOWN = [
-    (1, "before\n# One\nbody\n```\n# not a heading\n```\n## Two\nend"),
-    (2, "no headings\n\nat all"),
-    (3, "# A\n| x | y |\n|---|---|\n| 1 | 2 |\n\n~~~\nopen fence\n# inside"),
-]
+
+
+def batched(fn: Callable, kind: str, *columns: Column) -> Column:
+    """A column of fn over the rows of Arrow batches; null where the first argument is."""
+
+    def rows(parts: tuple[pd.Series, ...]) -> pd.Series:
+        return pd.Series([None if row[0] is None else fn(*row) for row in zip(*parts, strict=True)], dtype=object)
+
+    def one(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from (rows((part,)) for part in batches)
+
+    def many(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        yield from map(rows, batches)
+
+    return F.pandas_udf(one if len(columns) == 1 else many, kind)(*columns)
+
+
+# one Markdown text for each conversation: plain text, fences with headings inside, tables and headings take turns
+MARKDOWN_SQL = """md AS (SELECT conv_id, string_agg(CASE turn % 4 WHEN 3 THEN '## ' || role || E'\\n' || text WHEN 1 THEN E'```\\n# ' || text || E'\\n```'
+  WHEN 2 THEN text || E'\\n| role | n |\\n|---|:---:|\\n| ' || role || ' | ' || turn || ' |' ELSE text END, E'\\n\\n' ORDER BY turn) AS text FROM conversations GROUP BY 1),
+raw AS (SELECT conv_id, unnest(string_split(text, E'\\n')) AS said, generate_subscripts(string_split(text, E'\\n'), 1) AS line FROM md),
+marked AS (SELECT *, starts_with(said, '```') AS edge, sum(starts_with(said, '```')::INT) OVER (PARTITION BY conv_id ORDER BY line) AS fences FROM raw),
+l AS (SELECT *, edge OR fences % 2 = 1 AS inside, NOT edge AND fences % 2 = 0 AND regexp_full_match(said, ' {0,3}#{1,6}\\s+.*') AS heading FROM marked)"""
+
+
+def markdown(spark: SparkSession, d: str) -> DataFrame:
+    turn = F.col("turn") % 4
+    part = (
+        F.when(turn == 3, F.concat(F.lit("## "), "role", F.lit("\n"), "text"))
+        .when(turn == 1, F.concat(F.lit("```\n# "), "text", F.lit("\n```")))
+        .when(turn == 2, F.concat("text", F.lit("\n| role | n |\n|---|:---:|\n| "), "role", F.lit(" | "), F.col("turn").cast("string"), F.lit(" |")))
+        .otherwise(F.col("text"))
+    )
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))).alias("turns"))
+    return turns.select("conv_id", F.array_join(F.transform("turns", lambda x: x["part"]), "\n\n").alias("text"))
 
 
 @query(
     "markdown_sections",
-    "SELECT * FROM (VALUES (1, '(introducción)', 1, 1), (1, 'One', 2, 6), (1, 'Two', 7, 8), (2, '(sin encabezados)', 1, 3), (3, 'A', 1, 8)) v(doc_id, title, line_start, line_end)",
+    f"""WITH {MARKDOWN_SQL}, h AS (SELECT conv_id, trim(regexp_extract(said, '#\\s+(.*)$', 1)) AS title, line FROM l WHERE heading),
+size AS (SELECT conv_id, max(line) AS lines FROM l GROUP BY 1), f AS (SELECT conv_id, min(line) AS first FROM h GROUP BY 1),
+starts AS (SELECT * FROM h UNION ALL SELECT DISTINCT l.conv_id, '(introducción)', 1 FROM l JOIN f ON f.conv_id = l.conv_id AND l.line < f.first WHERE trim(said) <> ''
+  UNION ALL SELECT conv_id, '(sin encabezados)', 1 FROM size WHERE conv_id NOT IN (SELECT conv_id FROM f))
+SELECT conv_id, title, line::INT AS line_start, coalesce(lead(line) OVER (PARTITION BY conv_id ORDER BY line) - 1, lines)::INT AS line_end FROM starts JOIN size USING (conv_id)""",
 )
 def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
-    found = F.udf(structure.sections, "array<struct<title:string,line_start:int,line_end:int>>", useArrow=True)
-    return spark.createDataFrame(MARKDOWN, "doc_id int, text string").select("doc_id", F.explode(found("text")).alias("s")).select("doc_id", "s.*")
+    found = batched(structure.sections, "array<struct<title:string,line_start:int,line_end:int>>", F.col("text"))
+    return markdown(spark, d).select("conv_id", F.explode(found).alias("s")).select("conv_id", "s.*")
 
 
 @query(
     "text_blocks",
-    """SELECT * FROM (VALUES (1, 'paragraph', 1, 3), (1, 'fence', 4, 6), (1, 'paragraph', 7, 8), (2, 'paragraph', 1, 1), (2, 'paragraph', 3, 3),
-(3, 'paragraph', 1, 1), (3, 'table', 2, 4), (3, 'fence', 6, 8)) v(doc_id, kind, line_start, line_end)""",
+    f"""WITH {MARKDOWN_SQL}, k AS (SELECT *, NOT inside AND contains(said, '|') AND trim(replace(said, '|', ' ')) <> '' AS is_row FROM l),
+starts AS (SELECT *, is_row AND coalesce(regexp_full_match(lead(said) OVER w, '\\|?[-:| ]*-{{3,}}[-:| ]*\\|?') AND contains(lead(said) OVER w, '|'), false) AS top, sum((NOT is_row)::INT) OVER w AS island FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY line)),
+cls AS (SELECT *, CASE WHEN inside THEN 'fence' WHEN trim(said) = '' THEN '' WHEN is_row AND bool_or(top) OVER (PARTITION BY conv_id, island, is_row ORDER BY line) THEN 'table' ELSE 'paragraph' END AS kind FROM starts),
+fresh AS (SELECT *, (kind <> lag(kind, 1, '?') OVER w OR edge AND fences % 2 = 1)::INT AS new FROM cls WINDOW w AS (PARTITION BY conv_id ORDER BY line)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY line) AS block FROM fresh)
+SELECT conv_id, kind, min(line)::INT AS line_start, max(line)::INT AS line_end FROM numbered WHERE kind <> '' GROUP BY conv_id, block, kind""",
 )
 def text_blocks(spark: SparkSession, d: str) -> DataFrame:
-    found = F.udf(structure.blocks, "array<struct<kind:string,line_start:int,line_end:int>>", useArrow=True)
-    return spark.createDataFrame(MARKDOWN, "doc_id int, text string").select("doc_id", F.explode(found("text")).alias("s")).select("doc_id", "s.*")
+    found = batched(structure.blocks, "array<struct<kind:string,line_start:int,line_end:int>>", F.col("text"))
+    return markdown(spark, d).select("conv_id", F.explode(found).alias("s")).select("conv_id", "s.*")
 
 
-@query("logical_cut", "SELECT * FROM (VALUES (1, 6), (2, 11), (3, 6), (4, 4), (5, 3)) v(id, cut)")
+@query(
+    "logical_cut",
+    """WITH d AS (SELECT doc_id, text, (length(text) // 2)::INT AS upto FROM documents),
+parts AS (SELECT *, unnest(regexp_extract_all(substr(text, 1, upto), '\\S*\\s+')) AS said, generate_subscripts(regexp_extract_all(substr(text, 1, upto), '\\S*\\s+'), 1) AS pos FROM d),
+placed AS (SELECT *, sum(length(said)) OVER (PARTITION BY doc_id ORDER BY pos) AS done, regexp_extract(said, '^\\S*') AS word FROM parts),
+gaps AS (SELECT doc_id, done, word, substr(said, length(word) + 1) AS space, regexp_extract(substr(text, done::INT + 1, 300), '^\\s*(\\S*)', 1) AS following FROM placed),
+worth AS (SELECT doc_id, CASE WHEN contains(space, E'\\n\\n') THEN 3 WHEN contains(space, E'\\n') THEN 2 WHEN regexp_matches(word, '[.!?;]$') THEN 1 ELSE 0 END AS worth,
+  done - CASE WHEN contains(space, E'\\n') THEN position(CASE WHEN contains(space, E'\\n\\n') THEN E'\\n\\n' ELSE E'\\n' END IN reverse(space)) - 1 ELSE 0 END AS cut
+  FROM gaps WHERE lower(word) NOT IN ('no', 'not', 'não', 'sin', 'excepto') AND following NOT IN ('ms', 's', 'MB', 'GB', 'KB', '%', 'kg'))
+SELECT doc_id, coalesce(cut, CASE WHEN upto >= length(text) THEN length(text) ELSE upto END)::INT AS cut FROM d LEFT JOIN (SELECT doc_id, max({'worth': worth, 'cut': cut}).cut AS cut FROM worth GROUP BY 1) USING (doc_id)""",
+)
 def logical_cut(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, "First\nsecond line here", 15), (2, "One thing. Another thing", 20), (3, "takes 250 ms here", 11), (4, "abcdefgh", 4), (5, "abc", 9)]
-    cut = F.udf(structure.logical_cut, "int", useArrow=True)
-    return spark.createDataFrame(rows, "id int, text string, upto int").select("id", cut("text", "upto").alias("cut"))
+    """Where each document would be cut in about half."""
+    cut = batched(structure.logical_cut, "int", F.col("text"), F.expr("cast(length(text) div 2 as int)"))
+    return table(spark, d, "documents").select("doc_id", cut.alias("cut"))
 
 
-@query("repair_text", "SELECT * FROM (VALUES (1, 'canción'), (2, 'información'), (3, 'averías'), (4, 'niño'), (5, '100%25 & co'), (6, 'así')) v(id, text)")
+@query("repair_text", "SELECT doc_id, sha256(text) AS content FROM documents")
 def repair_text(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, "canci&oacute;n"), (2, "informaci3n"), (3, "aver%edas"), (4, "ni\\u00f1o"), (5, "100%25 & co"), (6, "as&lacute;")]
-    fixed = F.udf(structure.repair, "string", useArrow=True)
-    return spark.createDataFrame(rows, "id int, raw string").select("id", fixed("raw").alias("text"))
+    """Texts whose accented letters were written as entities and codes are those texts again."""
+    damaged = F.col("text")
+    for pattern, form in (("é", "&eacute;"), ("ü", "&#252;"), ("è", "&egrave"), ("ß", "&#xDF;"), ("ç", "&ccedil;"), ("(?<=[a-z])ä(?=[a-z])", "%e4"), ("(?<=[a-z])ö", r"\\u00f6"), ("(?<=[b-z]ci)ó(?=n[ .,])", "3")):
+        damaged = F.regexp_replace(damaged, pattern, form)
+    return table(spark, d, "documents").select("doc_id", F.sha2(batched(structure.repair, "string", damaged), 256).alias("content"))
+
 
+JSON_SQL = """SELECT event_id, CASE event_id % 4 WHEN 1 THEN replace(props, '}', ', "k": ' || event_id || '}') WHEN 2 THEN regexp_replace(props, '[0-9]+', 'NaN') WHEN 3 THEN substr(props, 1, length(props) - 1) ELSE props END AS raw FROM events"""
 
-@query("strict_json", "SELECT * FROM (VALUES (1, 'ok'), (2, 'duplicate key'), (3, 'not finite'), (4, 'syntax'), (5, 'ok')) v(id, verdict)")
+
+@query(
+    "strict_json",
+    f"""WITH e AS ({JSON_SQL}), k AS (SELECT *, regexp_extract_all(raw, '"([^"]*)"\\s*:', 1) AS keys FROM e)
+SELECT event_id, CASE WHEN NOT json_valid(replace(raw, 'NaN', '0')) THEN 'syntax' WHEN len(list_distinct(keys)) < len(keys) THEN 'duplicate key' WHEN contains(raw, 'NaN') THEN 'not finite' ELSE 'ok' END AS verdict FROM k""",
+)
 def strict_json(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, '{"a": [1, {"b": null}]}'), (2, '{"a": {"b": 1, "b": 2}}'), (3, '{"a": NaN}'), (4, "{a: 1}"), (5, "[]")]
-    told = F.udf(structure.strict_json, "string", useArrow=True)
-    return spark.createDataFrame(rows, "id int, raw string").select("id", told("raw").alias("verdict"))
+    kind, props = F.col("event_id") % 4, F.col("props")
+    twice = F.replace(props, F.lit("}"), F.concat(F.lit(', "k": '), F.col("event_id").cast("string"), F.lit("}")))
+    raw = F.when(kind == 1, twice).when(kind == 2, F.regexp_replace(props, "[0-9]+", "NaN")).when(kind == 3, F.expr("substring(props, 1, length(props) - 1)")).otherwise(props)
+    return table(spark, d, "events").select("event_id", batched(structure.strict_json, "string", raw).alias("verdict"))
+
 
+# a quiz for each conversation, a question for each turn: some lack options, repeat an option's id or have a key that is no option
+QUIZ_SQL = """q AS (SELECT conv_id, turn, 'q' || turn AS id, text, CASE WHEN turn % 7 = 6 THEN 'z' ELSE chr(97 + (turn % 3)::INT) END AS key, role AS why,
+  list_transform(range(CASE WHEN turn % 5 = 4 THEN 2 ELSE 4 END), lambda i: {'id': chr(97 + (CASE WHEN i = 1 AND turn % 6 = 5 THEN 0 ELSE i END)::INT), 'text': role || ' ' || i}) AS options FROM conversations)"""
 
-QUIZ = "array<struct<id:string,text:string,key:string,why:string,options:array<struct<id:string,text:string>>>>"
-QUIZZES = [
-    (1, [("q1", "Which?", "b", "because", [("a", "A"), ("b", "B"), ("c", "C"), ("d", "D")])]),
-    (2, [("q1", "Two?", "z", "no", [("a", "A"), ("a", "B"), ("c", "C"), ("d", "D")]), ("q2", "Few?", "a", "so", [("a", "A")])]),
-]
 
+def quizzes(spark: SparkSession, d: str) -> DataFrame:
+    size = F.when(F.col("turn") % 5 == 4, 2).otherwise(4)
+    letter = lambda n: F.char(F.lit(97) + n)
+    option = lambda i: F.struct(letter(F.when((i == 1) & (F.col("turn") % 6 == 5), 0).otherwise(i)).alias("id"), F.concat_ws(" ", "role", i.cast("string")).alias("text"))
+    item = F.struct(
+        F.concat(F.lit("q"), "turn").alias("id"), "text", F.when(F.col("turn") % 7 == 6, "z").otherwise(letter(F.col("turn") % 3)).alias("key"), F.col("role").alias("why"),
+        F.transform(F.sequence(F.lit(0), size - 1), option).alias("options"),
+    )
+    asked = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", item.alias("item")))).alias("turns"))
+    return asked.select("conv_id", F.transform("turns", lambda x: x["item"]).alias("items"))
 
-@query("quiz_student_view", """SELECT * FROM (VALUES (1, '[{"id":"q1","text":"Which?","options":4}]'), (2, '[{"id":"q1","text":"Two?","options":4},{"id":"q2","text":"Few?","options":1}]')) v(quiz_id, items)""")
+
+@query("quiz_student_view", f"""WITH {QUIZ_SQL} SELECT conv_id, '[' || string_agg('{{"id":"' || id || '","text":' || to_json(text) || ',"options":' || len(options) || '}}', ',' ORDER BY turn) || ']' AS items FROM q GROUP BY 1""")
 def quiz_student_view(spark: SparkSession, d: str) -> DataFrame:
     """Questions without key and reason."""
     shown = F.transform("items", lambda q: q.dropFields("key", "why").withField("options", F.size(q["options"])))
-    return spark.createDataFrame(QUIZZES, f"quiz_id int, items {QUIZ}").select("quiz_id", F.to_json(shown).alias("items"))
+    return quizzes(spark, d).select("conv_id", F.to_json(shown).alias("items"))
 
 
-@query("quiz_violations", "SELECT * FROM (VALUES (1, 'q1', ''), (2, 'q1', 'ids,key'), (2, 'q2', 'count')) v(quiz_id, item, violations)")
+@query(
+    "quiz_violations",
+    f"""WITH {QUIZ_SQL}, i AS (SELECT *, list_transform(options, lambda o: o.id) AS ids FROM q)
+SELECT conv_id, id AS item, concat_ws(',', CASE WHEN len(ids) <> 4 THEN 'count' END, CASE WHEN len(list_distinct(ids)) < len(ids) THEN 'ids' END, CASE WHEN NOT list_contains(ids, key) THEN 'key' END) AS violations FROM i""",
+)
 def quiz_violations(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(QUIZZES, f"quiz_id int, items {QUIZ}").select("quiz_id", F.explode("items").alias("q"))
+    rows = quizzes(spark, d).select("conv_id", F.explode("items").alias("q"))
     ids = F.transform("q.options", lambda o: o["id"])
     codes = F.array(F.when(F.size(ids) != 4, "count"), F.when(F.size(F.array_distinct(ids)) < F.size(ids), "ids"), F.when(~F.array_contains(ids, F.col("q.key")), "key"))
-    return rows.select("quiz_id", F.col("q.id").alias("item"), F.array_join(F.array_compact(codes), ",").alias("violations"))
+    return rows.select("conv_id", F.col("q.id").alias("item"), F.array_join(F.array_compact(codes), ",").alias("violations"))
 
 
-@query("content_segments", "SELECT * FROM (VALUES (1, '/items/0/text', 'Which?'), (1, '/items/0/options/1/text', 'B'), (2, '/items/0/text', 'Two?'), (2, '/items/1/text', 'Few?'), (2, '/items/1/options/0/text', 'A')) v(quiz_id, path, said)")
+@query(
+    "content_segments",
+    f"""WITH {QUIZ_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM q), o AS (SELECT conv_id, i, key, unnest(options) AS option, generate_subscripts(options, 1) - 1 AS j FROM n)
+SELECT conv_id, '/items/' || i || '/text' AS path, text AS said FROM n UNION ALL SELECT conv_id, '/items/' || i || '/options/' || j || '/text', option.text FROM o WHERE option.id = key""",
+)
 def content_segments(spark: SparkSession, d: str) -> DataFrame:
     """Texts of a content tree with their paths; wrong options don't count."""
-    items = spark.createDataFrame(QUIZZES, f"quiz_id int, items {QUIZ}").select("quiz_id", F.posexplode("items").alias("i", "q"))
-    item = items.select("quiz_id", F.concat(F.lit("/items/"), "i", F.lit("/text")).alias("path"), F.col("q.text").alias("said"))
-    options = items.select("quiz_id", "i", F.col("q.key").alias("key"), F.posexplode("q.options").alias("o", "option")).where("option.id = key")
-    return item.union(options.select("quiz_id", F.concat(F.lit("/items/"), "i", F.lit("/options/"), "o", F.lit("/text")), "option.text"))
+    items = quizzes(spark, d).select("conv_id", F.posexplode("items").alias("i", "q"))
+    item = items.select("conv_id", F.concat(F.lit("/items/"), "i", F.lit("/text")).alias("path"), F.col("q.text").alias("said"))
+    options = items.select("conv_id", "i", F.col("q.key").alias("key"), F.posexplode("q.options").alias("o", "option")).where("option.id = key")
+    return item.union(options.select("conv_id", F.concat(F.lit("/items/"), "i", F.lit("/options/"), "o", F.lit("/text")), "option.text"))
+
+
+# a page for each order, a drawing operator for each of its lines
+DRAWN_SQL = """ops AS (SELECT l_orderkey AS page, CASE WHEN l_suppkey % 40 = 0 THEN 'Do' ELSE ['m', 'l', 're', 're', 'S', 'f', 're', 'n', 'l', 're'][(l_suppkey % 10 + 1)::INT] END AS op, l_quantity AS x, floor(l_extendedprice / 20000) AS y,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos FROM lineitem),
+paths AS (SELECT *, coalesce(sum((op IN ('S', 'f', 'n'))::INT) OVER (PARTITION BY page ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS path FROM ops),
+points AS (SELECT *, lag(x) OVER w AS x0, lag(y) OVER w AS y0 FROM paths WHERE op IN ('m', 'l') WINDOW w AS (PARTITION BY page, path ORDER BY pos)),
+rects AS (SELECT page, sum(n) AS n FROM (SELECT page, path, count(*) FILTER (op = 're') AS n FROM paths GROUP BY 1, 2 HAVING bool_or(op = 'S')) GROUP BY 1)"""
+
+
+def drawings(spark: SparkSession, d: str) -> DataFrame:
+    names = F.array(*(F.lit(x) for x in ("m", "l", "re", "re", "S", "f", "re", "n", "l", "re")))
+    op = F.when(F.col("l_suppkey") % 40 == 0, "Do").otherwise(F.get(names, (F.col("l_suppkey") % 10).cast("int")))
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.struct(op.alias("op"), F.col("l_quantity").alias("x"), F.floor(F.col("l_extendedprice") / 20000).cast("double").alias("y")).alias("op"))
+    pages = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return pages.select("page", F.transform("lines", lambda x: x["op"]).alias("ops"))
+
+
+@query(
+    "visual_pages",
+    f"""WITH {DRAWN_SQL} SELECT DISTINCT page, page IN (SELECT page FROM ops WHERE op = 'Do') OR page IN (SELECT page FROM points WHERE op = 'l' AND abs(x - x0) > 0.1 AND abs(y - y0) > 0.1)
+OR page IN (SELECT page FROM rects WHERE n >= 3) AS visual FROM ops""",
+)
+def visual_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with an image, a curve, a diagonal, or three stroked rectangles."""
+    return drawings(spark, d).select("page", t.drawn(F.col("ops")).alias("visual"))
+
+
+@query(
+    "mask_ranges",
+    """SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND length(text) > 1 OR length(text) < 30 THEN NULL ELSE sha256(repeat(' ', 5) || substr(text, 6, 10) || repeat(' ', 10) || substr(text, 26)) END AS masked FROM documents""",
+)
+def mask_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Two ranges of each text blanked out; null where they overlap or the text is shorter."""
+    one = lambda s, e: F.struct(F.lit(s).alias("s"), F.lit(e).alias("e"))
+    ranges = F.when(F.col("doc_id") % 5 == 0, F.array(one(0, 5), one(4, 25))).otherwise(F.array(one(0, 5), one(15, 25)))
+    beyond = F.when(F.length("text") < 30, F.array(one(0, 5), one(15, 31))).otherwise(ranges)
+    return table(spark, d, "documents").select("doc_id", F.sha2(t.masked(F.col("text"), beyond), 256).alias("masked"))
 
 
 @query("blind_review", "SELECT doc_id, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 12) AS case_code, lang, n_chars FROM documents JOIN labels USING (doc_id)")

@@ -221,13 +221,6 @@ def fence_length(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(FENCES, "id int, said string").select("id", t.fence(F.col("said")).alias("fence"))
 
 
-@query("mask_ranges", "SELECT * FROM (VALUES (1, 'ab   fgh  '), (2, NULL), (3, 'abcdefghij'), (4, NULL)) v(id, masked)")
-def mask_ranges(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, "abcdefghij", [(2, 5), (8, 10)]), (2, "abcdefghij", [(2, 5), (4, 6)]), (3, "abcdefghij", []), (4, "abc", [(2, 9)])]
-    frame = spark.createDataFrame(rows, "id int, said string, ranges array<struct<s:int,e:int>>")
-    return frame.select("id", t.masked(F.col("said"), F.col("ranges")).alias("masked"))
-
-
 @query("table_rows", r"SELECT id, line LIKE '%|%' AND trim(trim(line), '|') <> '' AS is_row, regexp_full_match(trim(trim(line), '|'), '\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*') AS is_delimiter FROM (VALUES (1, '| a | b |'), (2, '|---|:--:|'), (3, '---'), (4, 'a | b'), (5, '| -- |'), (6, '|')) v(id, line)")
 def table_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame([(1, "| a | b |"), (2, "|---|:--:|"), (3, "---"), (4, "a | b"), (5, "| -- |"), (6, "|")], "id int, line string")
@@ -292,28 +285,3 @@ def deck_rows(spark: SparkSession, d: str) -> DataFrame:
 def footnote_numbers(spark: SparkSession, d: str) -> DataFrame:
     firsts = table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("first_line"))
     return firsts.select("l_orderkey", "l_partkey", F.dense_rank().over(Window.partitionBy("l_orderkey").orderBy("first_line", "l_partkey")).alias("note"))
-
-
-@query("visual_pages", "SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, true), (5, false)) v(page, visual)")
-def visual_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages with an image, a curve, a diagonal, or three stroked rectangles."""
-    rows = [
-        (1, [("Do", 0.0, 0.0)]), (2, [("m", 0.0, 0.0), ("l", 5.0, 5.0)]), (3, [("m", 0.0, 0.0), ("l", 9.0, 0.0), ("re", 0.0, 0.0), ("S", 0.0, 0.0)]),
-        (4, [("re", 0.0, 0.0)] * 3 + [("S", 0.0, 0.0)]), (5, [("re", 0.0, 0.0)] * 5 + [("f", 0.0, 0.0)]),
-    ]
-    frame = spark.createDataFrame(rows, "page int, ops array<struct<op:string,x:double,y:double>>")
-    null = F.lit(None).cast("double")
-    begin = F.struct(F.lit(False).alias("seen"), null.alias("x"), null.alias("y"), F.lit(0).alias("open"), F.lit(0).alias("drawn"))
-
-    def step(s, o):
-        stroke, end = o["op"].isin("S", "s", "B", "B*", "b", "b*"), o["op"].isin("S", "s", "B", "B*", "b", "b*", "n", "f", "f*", "F")
-        at = o["op"].isin("m", "l")
-        slanted = (o["op"] == "l") & F.coalesce((F.abs(s["x"] - o["x"]) > 0.1) & (F.abs(s["y"] - o["y"]) > 0.1), F.lit(False))
-        return F.struct(
-            (s["seen"] | o["op"].isin("Do", "c", "v", "y", "sh") | slanted).alias("seen"),
-            F.when(end, null).when(at, o["x"]).otherwise(s["x"]).alias("x"), F.when(end, null).when(at, o["y"]).otherwise(s["y"]).alias("y"),
-            F.when(end, 0).when(o["op"] == "re", s["open"] + 1).otherwise(s["open"]).alias("open"), F.when(stroke, s["drawn"] + s["open"]).otherwise(s["drawn"]).alias("drawn"),
-        )
-
-    last = F.aggregate("ops", begin, step)
-    return frame.select("page", (last["seen"] | (last["drawn"] >= 3)).alias("visual"))
