@@ -7,17 +7,21 @@ come shingles that are known to stand in one document only: those of a quarter
 of the hash space that a filter of the repeated ones there doesn't hold. They
 can't be shared, so they need no posting. Frequent shingles come last.
 Classes with the same prefix and size form one group; groups that share a
-prefix shingle and whose sizes fit are paired, and pairs are expanded to their
-members and verified on the whole sets.
+prefix shingle are paired if their sizes and the shingle's places in the order
+leave enough to share, and pairs are expanded to their members and verified on
+the whole sets.
 
 Only links that can join two components are looked for, so a large group of
 near copies gives no square of pairs: first every member is held against one
 pivot of its group and every group against its neighbour and a pivot in each
 prefix shingle's list; then all pairs in those lists whose members still lie in
-different components are held against each other, by a parity sketch whose
-Hamming distance bounds the sets' difference from below, and verified if it
-allows the link. Nothing is capped: every pair of documents that is left out is
-already connected or can't reach the threshold.
+different components. A pair is verified if its parity sketches, whose Hamming
+distance bounds the sets' difference from below, allow the link. Nothing is
+capped: every pair of documents that is left out is already connected or can't
+reach the threshold.
+
+Postings hold a shingle, its place, an id and a size; sketches and sets are
+joined to pairs only, and tables between steps are deleted after their last reader.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm.bloom import filters, holds, size_for, words_in
-from lectern.llm.common import checkpointed, whole_text, with_struct
+from lectern.llm.common import checkpointed, dropped, whole_text, with_struct
 from lectern.llm.graph import components
 from lectern.llm.hashing import lower_ascii, shingle_set, word_hashes
 
@@ -40,8 +44,8 @@ from lectern.llm.hashing import lower_ascii, shingle_set, word_hashes
 FREQUENT_SHARE, FREQUENT_LEAST = 1000, 8
 #: Shingles of one part in so many of the hash space are counted.
 COUNTED_PART = 4
-#: 64-bit words of a document's sketch, and of the folded one that goes along with every posting.
-SKETCH_WORDS, FOLDED_WORDS = 32, 8
+#: 64-bit words of a document's sketch.
+SKETCH_WORDS = 32
 
 
 def _sets(texts: pd.Series, k: int) -> Iterator[np.ndarray]:
@@ -78,6 +82,7 @@ def shingle_order(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     counts = checkpointed(counts.where((F.col("n") > 1) | (F.col("marked") > most)))
     (repeated,) = filters(counts.where("n > 1"), size_for(words_in(docs) // (4 * COUNTED_PART)), repeated=F.lit(True))
     rows = counts.where(F.col("marked") > most).select("h").toPandas()  # each stands in over one of FREQUENT_SHARE documents, so there are at most FREQUENT_SHARE times the mean set size
+    dropped(counts)
     return repeated, np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -93,7 +98,7 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The row's columns and n_shingles, set_key, group_key, prefix (without shingles that nothing else has), sketch."""
+    """The row's columns and n (shingles), set_key, group_key, skipped (shingles of the prefix that nothing else has), prefix (the others), sketch."""
     order = docs.sparkSession.sparkContext.broadcast(shingle_order(docs, k))
 
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -102,126 +107,150 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
             rows = []
             for s in _sets(texts, k):
                 if not len(s):
-                    rows.append((0, None, None, [], []))
+                    rows.append((0, None, None, 0, [], []))
                     continue
                 at = np.searchsorted(frequent, s)
                 rare = frequent[np.minimum(at, len(frequent) - 1)] != s if len(frequent) else np.ones(len(s), bool)
                 single = rare & _counted(s) & ~holds(repeated, s)
-                size = prefix_size(len(s), percent)
-                posted = np.concatenate([s[rare & ~single], s[~rare]])[: max(0, size - int(single.sum()))]
+                size, alone = prefix_size(len(s), percent), int(single.sum())
+                posted = np.concatenate([s[rare & ~single], s[~rare]])[: max(0, size - alone)]
                 prefix = np.concatenate([s[single][:size], posted])
-                key = hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest()
-                group = hashlib.blake2b(prefix.tobytes(), digest_size=12).hexdigest() + f":{len(s)}"
-                rows.append((len(s), key, group, posted.astype(np.int64), sketch(s)))
-            yield pd.DataFrame(rows, columns=["n_shingles", "set_key", "group_key", "prefix", "sketch"])
+                key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                group = hashlib.blake2b(prefix.tobytes() + len(s).to_bytes(8, "little"), digest_size=16).digest()
+                rows.append((len(s), key, group, alone, posted.astype(np.int64), sketch(s)))
+            yield pd.DataFrame(rows, columns=["n", "set_key", "group_key", "skipped", "prefix", "sketch"])
 
-    schema = "n_shingles long, set_key string, group_key string, prefix array<long>, sketch array<long>"
+    schema = "n long, set_key binary, group_key binary, skipped int, prefix array<long>, sketch array<long>"
     return with_struct(docs, sign, schema, "text").drop("text")
 
 
-def _can_reach(na: str, nb: str, percent: int) -> Column:
-    """Sizes allow the threshold."""
-    return (F.col(na) * 100 >= F.col(nb) * percent) & (F.col(nb) * 100 >= F.col(na) * percent)
+def _can_reach(percent: int) -> Column:
+    """Sizes na, nb allow the threshold."""
+    return (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
 
 
-def _folded(sketch: Column) -> Column:
-    """The sketch with fewer cells: parities of joined cells."""
-    parts = [F.slice(sketch, 1 + j, FOLDED_WORDS) for j in range(0, SKETCH_WORDS, FOLDED_WORDS)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = F.zip_with(out, part, lambda x, y: x.bitwiseXOR(y))
-    return out
+def _enough_left(percent: int) -> Column:
+    """If the shingle in places ia, ib is the first that two sets share, what stands from there on suffices for the threshold."""
+    return F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
 
 
-def _sketches_allow(percent: int, words: int) -> Column:
-    """difference <= (|a| + |b|) (100 - percent) / (100 + percent) whenever the pair reaches the threshold."""
-    apart = sum((F.bit_count(F.col("sa")[j].bitwiseXOR(F.col("sb")[j])) for j in range(words)), F.lit(0))
-    return apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches allow the link: difference <= (|a| + |b|) (100 - percent) / (100 + percent) whenever they reach the threshold."""
+    left = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    apart = sum((F.bit_count(F.col("sa")[j].bitwiseXOR(F.col("sb")[j])) for j in range(SKETCH_WORDS)), F.lit(0))
+    near = pairs.join(left, "a").join(right, "b").where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+    return near.select("a", "b").distinct()
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class representatives that reach the threshold on their whole sets, which are built for these pairs only."""
+def _whole_sets(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """doc_id, shingles of members (doc_id, set_key), from the texts."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = list(_sets(batch["text"], k))
-            right = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() == key for s, key in zip(sets, batch["set_key"], strict=True)]
-            out = batch[["doc_id"]].assign(shingles=[s.astype(np.int64) for s in sets])
+            right = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == key for s, key in zip(sets, batch["set_key"], strict=True)]
+            out = batch[["doc_id", "set_key"]].assign(shingles=[s.astype(np.int64) for s in sets])
             yield out[right]
 
-    pairs = checkpointed(pairs)
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    keyed = classes.join(wanted, "doc_id").select("doc_id", "set_key")
-    id_type = classes.schema["doc_id"].dataType.simpleString()
-    built = keyed.join(texts.where("doc_id is not null"), "doc_id").mapInPandas(build, f"doc_id {id_type}, shingles array<long>")
-    sets = checkpointed(built.dropDuplicates(["doc_id", "shingles"]))
+    id_type = members.schema["doc_id"].dataType.simpleString()
+    built = members.join(texts.where("doc_id is not null"), "doc_id").mapInPandas(build, f"doc_id {id_type}, set_key binary, shingles array<long>")
+    return built.dropDuplicates(["doc_id", "set_key"]).select("doc_id", "shingles")  # an id may stand on several rows
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that reach the threshold on their whole sets."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xs"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("ys"))
     shared = F.size(F.array_intersect("xs", "ys"))
     union = F.size("xs") + F.size("ys") - shared
-    return pairs.join(left, "a").join(right, "b").where(shared * 100 >= union * percent).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(shared * 100 >= union * percent).select("a", "b").distinct()
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _near_in_lists(listed: DataFrame, percent: int) -> DataFrame:
+    """Of each shingle's list, every group with the one before it by size, and with the smallest whose size allows a link."""
+    size = F.floor(F.log("n") * 1000).cast("int")
+    reach = int(np.ceil(1000 * np.log(100 / percent))) + 1
+    by_size = W.partitionBy("token").orderBy("size")
+    other = F.struct("pivot", "n", "place")
+    near = listed.withColumn("size", size).withColumns({"before": F.lag(other).over(W.partitionBy("token").orderBy("size", "pivot")), "first": F.first(other).over(by_size.rangeBetween(-reach, 0))})
+    star = near.select(F.col("pivot").alias("a"), F.col("n").alias("na"), F.col("place").alias("ia"), F.explode(F.array("before", "first")).alias("o"))
+    star = star.select("a", "na", "ia", F.col("o.pivot").alias("b"), F.col("o.n").alias("nb"), F.col("o.place").alias("ib"))
+    return star.where(_can_reach(percent) & _enough_left(percent)).select("a", "b")
+
+
+def _apart_in_lists(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with different labels that share a list. rows: token, place, n, doc_id, label.
+
+    Which sizes and places of a list go together is settled first, so that documents whose sizes and places can't link are never paired.
+    """
+    kinds = rows.select("token", "n", "place").distinct()
+    one = kinds.select("token", F.col("n").alias("na"), F.col("place").alias("ia"))
+    two = kinds.select("token", F.col("n").alias("nb"), F.col("place").alias("ib"))
+    fit = one.join(two, "token").where(_can_reach(percent) & _enough_left(percent) & ((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("ia") <= F.col("ib"))))
+    left = rows.select("token", F.col("n").alias("na"), F.col("place").alias("ia"), F.col("doc_id").alias("a"), F.col("label").alias("la"))
+    right = rows.select("token", F.col("n").alias("nb"), F.col("place").alias("ib"), F.col("doc_id").alias("b"), F.col("label").alias("lb"))
+    return fit.join(left, ["token", "na", "ia"]).join(right, ["token", "nb", "ib"]).where("la <> lb").select("a", "b")
+
+
+def _mixed(rows: DataFrame, by: str) -> DataFrame:
+    """The values of `by` whose rows have several labels."""
+    return rows.groupBy(by).agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select(by)
 
 
 def links(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
-    """(rows, labels): rows has doc_id, n_shingles, set_key, class (smallest doc_id with the same set) of each row;
+    """(rows, labels): rows has doc_id, n_shingles, class (smallest doc_id with the same set) of each row;
     labels has node, component of the classes that link with others. Rows without an id or without words link with nothing.
     If an id stands on several rows, all their sets are that document's."""
     texts = docs.select("doc_id", whole_text().alias("text"))
     signed = checkpointed(signatures(texts, k, percent))
     known = signed.where("doc_id is not null and set_key is not null")
-    classes = known.groupBy("set_key").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("group_key").alias("group_key"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")
-    )
-    classes = checkpointed(classes)
-    groups = classes.groupBy("group_key").agg(
-        F.min("doc_id").alias("pivot"), F.min_by(_folded(F.col("sketch")), "doc_id").alias("sketch"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("members")
-    )
-
-    # groups by prefix shingle, where several groups have it
-    postings = checkpointed(groups.select(F.explode("prefix").alias("token"), "group_key", "pivot", "n", "sketch"))
-    shared = postings.groupBy("token").count().where("count > 1").select("token")
-    listed = postings.join(shared, "token")
-    size = F.floor(F.log("n") * 1000).cast("int")
-    reach = int(np.ceil(1000 * np.log(100 / percent))) + 1
-    ordered = W.partitionBy("token").orderBy("size", "pivot")
-    who = F.struct("pivot", "n", "sketch")
-    near = listed.withColumn("size", size).select(
-        F.col("pivot").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"),
-        F.lag(who).over(ordered).alias("before"),
-        F.first(who).over(W.partitionBy("token").orderBy("size").rangeBetween(-reach, 0)).alias("first"),
-    )
-    star = near.select("a", "na", "sa", F.explode(F.array("before", "first")).alias("other"))
-    star = star.select("a", "na", "sa", F.col("other.pivot").alias("b"), F.col("other.n").alias("nb"), F.col("other.sketch").alias("sb"))
-    star = star.where((F.col("b") != F.col("a")) & _can_reach("na", "nb", percent) & _sketches_allow(percent, FOLDED_WORDS))
-    inside = classes.join(groups.where("members > 1").select("group_key", "pivot"), "group_key").where("doc_id <> pivot")
-    pairs = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(inside.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))).distinct()
-    several = listed.select("group_key").union(groups.where("members > 1").select("group_key")).distinct()
-    members = checkpointed(classes.join(several, "group_key").select("group_key", "doc_id", "n", "sketch", "prefix"))
-    repeated = known.select("doc_id", "set_key").distinct().join(classes.select("set_key", F.col("doc_id").alias("class")), "set_key")
-    same_id = repeated.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.collect_set("class").alias("all")).where("a <> b")
-    edges = _verified(pairs, classes, texts, k, percent).union(same_id.select("a", F.explode("all").alias("b")))
-    edges = checkpointed(edges)
+    parts = [F.first(c).alias(c) for c in ("n", "group_key", "skipped", "prefix", "sketch")]
+    classes = checkpointed(known.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), *parts))
+    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(classes.select("set_key", F.col("doc_id").alias("class")), "set_key", "left")
+    rows = checkpointed(rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")))
+    ids = rows.where("class is not null").groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("m"), F.collect_set("class").alias("all"))
+    same_id = ids.where("a <> m").select("a", F.explode("all").alias("b"))
+    dropped(signed)
+
+    # groups, and those that share a prefix shingle with others
+    groups = classes.groupBy("group_key").agg(F.min("doc_id").alias("pivot"), F.first("n").alias("n"), F.first("skipped").alias("skipped"), F.first("prefix").alias("prefix"), F.count("*").alias("members"))
+    groups = checkpointed(groups)
+    postings = groups.select(F.posexplode("prefix").alias("at", "token"), "pivot", "n", "skipped").select("token", (F.col("at") + F.col("skipped")).alias("place"), "pivot", "n")
+    several = F.count("*").over(W.partitionBy("token"))
+    listed = checkpointed(postings.withColumn("several", several).where("several > 1").drop("several"))
+    open_groups = listed.select("pivot").union(groups.where("members > 1").select("pivot")).distinct()
+    in_group = classes.join(groups.join(open_groups, "pivot").select("group_key", "pivot"), "group_key")
+    members = checkpointed(in_group.select("pivot", "doc_id", "set_key", "n", "sketch"))
+    dropped(groups, classes)
+    sets = checkpointed(_whole_sets(members.select("doc_id", "set_key"), texts, k))
+    sketches = members.select("doc_id", "n", "sketch")
+
+    inside = members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+    pairs = checkpointed(_plausible(_ordered(_near_in_lists(listed, percent).union(inside)), sketches, percent))
+    edges = checkpointed(_verified(pairs, sets, percent).union(same_id))
     labels = components(edges)
 
     # what may still link different components
-    label = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
-    label = checkpointed(label)
-    by_token = listed.select("token", "group_key").join(label, "group_key")
-    mixed = by_token.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("token")
-    in_list = by_token.join(mixed, "token").select(F.col("token").cast("string").alias("list"), "doc_id", "label", "n", "sketch", "prefix")
-    split = label.groupBy("group_key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("group_key")
-    in_group = label.join(split, "group_key").select(F.col("group_key").alias("list"), "doc_id", "label", "n", "sketch", F.array().cast("array<bigint>").alias("prefix"))
-    lists = checkpointed(in_list.union(in_group))
-    side = lambda s, own: lists.select("list", F.col("doc_id").alias(own), F.col("label").alias(f"l{s}"), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"), F.col("prefix").alias(f"p{s}"))
-    apart = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
-    # of the lists that a pair shares, the one of the least shingle gives it
-    once = (F.size("pa") == 0) | (F.array_min(F.array_intersect("pa", "pb")).cast("string") == F.col("list"))
-    rest = side("a", "a").join(side("b", "b"), "list").where(apart & _can_reach("na", "nb", percent) & _sketches_allow(percent, SKETCH_WORDS) & once).select("a", "b").distinct()
-    more = checkpointed(_verified(rest, classes, texts, k, percent))
+    label = members.select("pivot", "doc_id", "n").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    label = checkpointed(label.select("pivot", "doc_id", "n", F.coalesce("component", "doc_id").alias("label")))
+    by_token = listed.select("token", "place", "pivot").join(label, "pivot").select("token", "place", "n", "doc_id", "label")
+    lists = checkpointed(by_token.join(_mixed(by_token, "token"), "token"))
+    split = label.join(_mixed(label, "pivot"), "pivot")
+    side = lambda x: split.select("pivot", F.col("doc_id").alias(x), F.col("label").alias(f"l{x}"))
+    in_groups = side("a").join(side("b"), "pivot").where("la <> lb").select("a", "b")
+    rest = checkpointed(_ordered(_apart_in_lists(lists, percent).union(in_groups)))
+    more = checkpointed(_verified(checkpointed(_plausible(rest, sketches, percent)), sets, percent))
     if not more.isEmpty():
-        labels = components(edges.union(more))
-    rows = signed.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", F.col("doc_id").alias("class")), "set_key", "left")
-    return rows.withColumn("class", F.when(F.col("doc_id").isNotNull(), F.col("class"))), labels
+        first = labels
+        labels = components(first.toDF("a", "b").union(more))
+        dropped(first)
+    dropped(listed, members, sets, pairs, edges, label, lists, rest, more)
+    return rows, labels
 
 
 def connected(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:

@@ -1,7 +1,8 @@
 import random
 import re
 
-from lectern.llm import jaccard_join
+from lectern.llm import hashing, jaccard_join
+from lectern.llm.graph import components
 
 
 def brute(rows, k, percent):
@@ -62,3 +63,38 @@ def test_frequent_list_holds_no_small_groups(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     _, frequent = jaccard_join.shingle_order(docs, 3)
     assert len(frequent) == 1
+
+
+def test_components_of_chains_stars_and_hubs(spark):
+    rnd = random.Random(2)
+    chain = [(i, i + 1) for i in range(2000)]
+    mixed = list(range(5000, 7000))
+    rnd.shuffle(mixed)
+    edges = chain + list(zip(mixed, mixed[1:], strict=False)) + [(9000 + i, 8999) for i in range(1, 800)] + [(i, 20_000) for i in range(10_000, 10_500)] + [(3, 3), (None, 4), (5, None)]
+    rounds = []
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), rounds).collect()}
+    want = {i: 0 for i in range(2001)} | {i: 5000 for i in mixed} | {i: 8999 for i in range(8999, 9800) if i != 9000} | {i: 10_000 for i in [*range(10_000, 10_500), 20_000]}
+    assert got == want and len(rounds) < 20
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_long_words_differ_wherever_they_differ():
+    word = bytearray(b"ab" * 2500)
+    word[10], word[10 + 4096] = 120, 121
+    other = bytearray(word)
+    other[10], other[10 + 4096] = 121, 120
+    a, b = (next(hashing.word_hashes([bytes(w)])) for w in (word, other))
+    assert a[0] != b[0] and a[0] == next(hashing.word_hashes([b"x " + bytes(word)]))[1]
+
+
+def test_very_long_texts_and_templates(spark):
+    """A template that a third of the rows share, with few words of their own; and a text of 60,000 words with its copy."""
+    rnd = random.Random(7)
+    template = [f"t{i}" for i in range(30)]
+    rows = [(i, " ".join(template + [f"own{i}_{j}" for j in range(i % 5)])) for i in range(120)]
+    long = [f"w{rnd.randint(0, 900)}" for _ in range(60_000)]
+    rows += [(1000, " ".join(long)), (1001, " ".join([*long[:30_000], "changed", *long[30_000:]]))] + [(2000 + i, f"alone {i} x{i} y{i} z{i}") for i in range(200)]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, n int, set_key int").repartition(5)
+    for k, percent in ((3, 90), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.connected(docs, k, percent).collect()}
+        assert got == brute(rows, k, percent)
