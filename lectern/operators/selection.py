@@ -1,20 +1,16 @@
-"""Greedy selections that relational algebra can't express: diversity under a budget, packing, admission.
+"""Greedy selections that relational algebra can't express: diversity under a budget, admission.
 
-Each works on one group of bounded size (the fetched hits of a query, one
-document, the calls of one key) inside applyInPandas.
+Each works on one group of bounded size (the fetched hits of a query, the
+calls of one key) inside applyInPandas.
 """
 
 from __future__ import annotations
 
-import re
 from collections import deque
 
 import numpy as np
 import pandas as pd
 
-TOKEN = re.compile(r"\w+|[^\w\s]")
-
-
 def mmr(hits: pd.DataFrame, k: int, trade: float, budget: int) -> pd.DataFrame:
     """Maximal marginal relevance: the best of trade * sim - (1 - trade) * (largest cosine to what is selected); an item over the budget is left out and the loop goes on."""
     hits = hits.sort_values(["sim", "idx", "chunk_id"], ascending=[False, True, True], kind="stable")
@@ -71,47 +67,6 @@ def mmr_sources(hits: pd.DataFrame, k: int, trade: float, budget: int) -> pd.Dat
     return hits.iloc[taken].assign(place=np.arange(1, len(taken) + 1))
 
 
-def pack(text: str, target: int = 750, most: int = 825, overlap: int = 120) -> list[tuple[int, int, str]]:
-    """(index, tokens, text) of chunks of whole sentences or, where one is too long, of word runs; a chunk starts with the tail of the last one."""
-    count = lambda s: len(TOKEN.findall(s))
-    units: list[str] = []
-    for unit in re.split(r"\n+|(?<=[.!?;])\s+", text):
-        words = unit.split()
-        step = max(1, target - overlap)
-        while words and count(" ".join(words)) > step:
-            n = min(len(words), step)
-            while n > 1 and count(" ".join(words[:n])) > step:
-                n = n // 2
-            units.append(" ".join(words[:n]))
-            words = words[n:]
-        if words:
-            units.append(" ".join(words))
-    out, held, fresh, tail = [], [], False, ""
-
-    def close() -> None:
-        nonlocal held, fresh, tail
-        said = "\n\n".join(held)
-        out.append((len(out), count(said), said))
-        words = held[-1].split()
-        while words and count(" ".join(words)) > overlap:
-            words = words[1:] if len(words) < 64 else words[len(words) // 8 :]
-        tail = " ".join(words)
-        held, fresh = [tail] if tail else [], False
-
-    for unit in units:
-        if fresh and count("\n\n".join([*held, unit])) > target:
-            close()
-        if not fresh and held and count("\n\n".join([*held, unit])) > most:
-            held = []
-        held.append(unit)
-        fresh = True
-        if count("\n\n".join(held)) >= target:
-            close()
-    if fresh:
-        close()
-    return out
-
-
 def admit(calls: pd.DataFrame, per_minute: int, tokens_per_minute: int, per_day: int) -> pd.Series:
     """Which calls are accepted, in time order; only accepted ones fill the window, and one aged exactly 60 s still does."""
     window: deque = deque()

@@ -98,12 +98,12 @@ def pending_effects(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "document_jobs",
     with_(GEN, LINK) + """SELECT DISTINCT doc_id, gen_id FROM (SELECT primary_doc AS doc_id, gen_id FROM gen WHERE primary_doc IS NOT NULL
-UNION ALL SELECT doc_id, gen_id FROM link UNION ALL SELECT gen_id % 500 + 1, gen_id FROM gen WHERE status = 'P') WHERE doc_id % 50 = 3""",
+UNION ALL SELECT doc_id, gen_id FROM link UNION ALL SELECT gen_id % 500 + 1, gen_id FROM gen WHERE status = 'P')""",
 )
 def document_jobs(spark: SparkSession, d: str) -> DataFrame:
     gens = generations(spark, d)
     keys = gens.where("primary_doc is not null").select(F.col("primary_doc").alias("doc_id"), "gen_id").union(links(spark, d).select("doc_id", "gen_id"))
-    return keys.union(gens.where("status = 'P'").select(F.col("gen_id") % 500 + 1, "gen_id")).where("doc_id % 50 = 3").distinct()
+    return keys.union(gens.where("status = 'P'").select(F.col("gen_id") % 500 + 1, "gen_id")).distinct()
 
 
 SNAP = """snap AS (SELECT gen_id, json_array(primary_doc, gen_id % 500 + 1) AS sources FROM gen WHERE primary_doc IS NOT NULL)"""
@@ -228,13 +228,13 @@ def active_jobs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "idempotency_outcome",
-    """WITH e AS (SELECT event_id, user_id, event_type, substr(props, 1, 7) AS body FROM events),
+    """WITH e AS (SELECT event_id, user_id, event_type, props AS body FROM events),
 f AS (SELECT *, first_value(body) OVER w AS one, row_number() OVER w AS n FROM e WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id))
 SELECT event_id, CASE WHEN n = 1 THEN 'created' WHEN body = one THEN 'duplicate' ELSE 'conflict' END AS outcome FROM f""",
 )
 def idempotency_outcome(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
-    rows = table(spark, d, "events").withColumn("body", F.substring("props", 1, 7)).withColumns({"one": F.first("body").over(w), "n": F.row_number().over(w)})
+    rows = table(spark, d, "events").withColumn("body", F.col("props")).withColumns({"one": F.first("body").over(w), "n": F.row_number().over(w)})
     return rows.select("event_id", F.when(F.col("n") == 1, "created").when(F.col("body") == F.col("one"), "duplicate").otherwise("conflict").alias("outcome"))
 
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import chunking
+from lectern.functions import text as t
 from lectern.operators import search, selection
+from lectern.operators.batches import batched
 from lectern.plans.base import CATALOG
 from lectern.session import table
 
 SCORED_SQL = """
-q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q_vec FROM embeddings WHERE vec_id < 8),
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q_vec FROM embeddings WHERE vec_id % 20 = 0),
 scored AS (
   SELECT q.query_id, e.vec_id, e.label,
     round(greatest(0.0, least(2.0, 1 - list_dot_product(q.q_vec, e.embedding::DOUBLE[])
@@ -22,7 +27,7 @@ scored AS (
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = search.with_norm(table(spark, sf_dir, "embeddings"))
-    queries = vectors.where("vec_id < 8").select(
+    queries = vectors.where("vec_id % 20 = 0").select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"), F.col("vec_norm").alias("q_norm")
     )
     return search.score_pairs(queries, vectors)
@@ -56,10 +61,48 @@ def vector_topk_per_doc(spark: SparkSession, d: str) -> DataFrame:
     return search.top_k(scored(spark, d), max(1, 25 // 10), ["query_id", "label"], ["vec_id"]).select("query_id", "label", "vec_id", "distance", "rn")
 
 
-@query("hits_dedup", f"WITH {SCORED_SQL} SELECT query_id, vec_id, label FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, round(distance, 2), label ORDER BY distance, vec_id) = 1")
+@query(
+    "hits_dedup",
+    f"""WITH {SCORED_SQL}, fetched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rn FROM scored) WHERE rn <= 25
+  UNION ALL SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY distance, vec_id) AS rn FROM scored) WHERE rn <= 4),
+said AS (SELECT DISTINCT query_id, vec_id, distance, 'text ' || vec_id % 10 AS same FROM fetched)
+SELECT query_id, min_by(vec_id, {{'distance': distance, 'vec_id': vec_id}}) AS vec_id, same, count(*) AS dropped_with_it FROM said GROUP BY 1, 3""",
+)
 def hits_dedup(spark: SparkSession, d: str) -> DataFrame:
-    near = scored(spark, d).withColumn("same", F.round("distance", 2))
-    return search.top_k(near, 1, ["query_id", "same", "label"], ["vec_id"]).select("query_id", "vec_id", "label")
+    """Candidates of two fetches: one row for each id, and of those with one text (blanks collapsed) the nearest."""
+    found = scored(spark, d)
+    fetched = search.top_k(found, 25, ["query_id"], ["vec_id"]).union(search.top_k(found, 4, ["query_id", "label"], ["vec_id"]))
+    said = F.concat(F.repeat(F.lit(" "), F.col("vec_id").cast("int") % 3), F.lit("text"), F.repeat(F.lit(" "), F.col("vec_id").cast("int") % 4 + 1), (F.col("vec_id") % 10).cast("string"))
+    once = fetched.dropDuplicates(["query_id", "vec_id"]).withColumn("same", t.identity(said))
+    nearest = Window.partitionBy("query_id", "same").orderBy("distance", "vec_id")
+    kept = once.withColumns({"rn": F.row_number().over(nearest), "dropped_with_it": F.count("*").over(Window.partitionBy("query_id", "same"))}).where("rn = 1")
+    return kept.select("query_id", "vec_id", "same", "dropped_with_it")
+
+
+@query(
+    "source_type_default",
+    f"""WITH {SCORED_SQL} SELECT query_id, vec_id, distance, rn FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rn FROM scored WHERE label % 3 <> 1) WHERE rn <= 5""",
+)
+def source_type_default(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest chunks of type 'text'; a chunk without a type has it."""
+    kind = F.when(F.col("label") % 3 == 0, F.lit(None).cast("string")).when(F.col("label") % 3 == 1, "image").otherwise("text")
+    rows = scored(spark, d).withColumn("source_type", kind).where(F.coalesce("source_type", F.lit("text")) == "text")
+    return search.top_k(rows, 5, ["query_id"], ["vec_id"]).select("query_id", "vec_id", "distance", "rn")
+
+
+@query(
+    "snapshot_guard",
+    f"""WITH {SCORED_SQL}, top AS (SELECT query_id, vec_id, label FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 10),
+now AS (SELECT label, 1 + (count(*) % 5 = 0)::INT AS version FROM embeddings GROUP BY 1),
+stale AS (SELECT DISTINCT query_id FROM top JOIN now USING (label) WHERE version <> 1)
+SELECT query_id, vec_id FROM top WHERE query_id NOT IN (SELECT query_id FROM stale)""",
+)
+def snapshot_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Results whose documents have kept the version they were read at; a result goes whole if one of its documents hasn't."""
+    top = search.top_k(scored(spark, d), 10, ["query_id"], ["vec_id"]).select("query_id", "vec_id", "label").withColumn("read_version", F.lit(1))
+    active = table(spark, d, "embeddings").groupBy("label").agg((F.lit(1) + (F.count("*") % 5 == 0).cast("int")).alias("version"))
+    changed = F.max(F.coalesce(F.col("version") != F.col("read_version"), F.lit(True))).over(Window.partitionBy("query_id"))
+    return top.join(active, "label", "left").withColumn("changed", changed).where("not changed").select("query_id", "vec_id")
 
 
 @query(
@@ -68,7 +111,8 @@ def hits_dedup(spark: SparkSession, d: str) -> DataFrame:
 c AS (SELECT *, sum(20 + vec_id % 7) OVER (PARTITION BY query_id ORDER BY turn, label ROWS UNBOUNDED PRECEDING) AS cost FROM r) SELECT query_id, label, turn, vec_id, cost::BIGINT AS cost FROM c WHERE cost <= 600""",
 )
 def coverage_round_robin(spark: SparkSession, d: str) -> DataFrame:
-    turns = scored(spark, d).withColumn("turn", F.row_number().over(Window.partitionBy("query_id", "label").orderBy("distance", "vec_id")))
+    """Sources take turns until the budget of 600 is spent; a chunk costs 20 at least, so 30 turns of each source are enough."""
+    turns = search.top_k(scored(spark, d), 30, ["query_id", "label"], ["vec_id"]).withColumnRenamed("rn", "turn")
     running = Window.partitionBy("query_id").orderBy("turn", "label").rowsBetween(Window.unboundedPreceding, 0)
     return turns.withColumn("cost", F.sum(F.lit(20) + F.col("vec_id") % 7).over(running)).where("cost <= 600").select("query_id", "label", "turn", "vec_id", "cost")
 
@@ -110,10 +154,13 @@ def mmr_multi_source(spark: SparkSession, d: str) -> DataFrame:
 
 @query("chunks")
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Token-bounded chunks of every document."""
+    """Token-bounded chunks of every document; a document that can't be kept within the limits gives one row with the reason."""
+    kind = "array<struct<idx:int,section:string,line_start:int,line_end:int,tokens:int,content:string,problem:string>>"
 
-    @F.udf("array<struct<idx:int,tokens:int,text:string>>", useArrow=True)
-    def packed(text: str) -> list:
-        return selection.pack(text or "")
+    def packed(text: str) -> list[tuple]:
+        try:
+            return [(i, c.section, c.first_line, c.last_line, c.tokens, hashlib.sha256(c.text.encode()).hexdigest(), None) for i, c in enumerate(chunking.chunks(text))]
+        except chunking.Oversized as problem:
+            return [(None, None, None, None, None, None, str(problem))]
 
-    return table(spark, d, "documents").select("doc_id", F.explode(packed("text")).alias("c")).select("doc_id", "c.idx", "c.tokens", F.sha2("c.text", 256).alias("content"))
+    return table(spark, d, "documents").select("doc_id", F.explode(batched(packed, kind, F.col("text"))).alias("c")).select("doc_id", "c.*")

@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import structure
 from lectern.functions import text as t
+from lectern.operators.batches import batched
 from lectern.plans.base import CATALOG
 from lectern.session import table
 
 query = CATALOG.query
 
 
-def batched(fn: Callable, kind: str, *columns: Column) -> Column:
-    """A column of fn over the rows of Arrow batches; null where the first argument is."""
-
-    def rows(parts: tuple[pd.Series, ...]) -> pd.Series:
-        return pd.Series([None if row[0] is None else fn(*row) for row in zip(*parts, strict=True)], dtype=object)
-
-    def one(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from (rows((part,)) for part in batches)
-
-    def many(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        yield from map(rows, batches)
-
-    return F.pandas_udf(one if len(columns) == 1 else many, kind)(*columns)
-
-
 # one Markdown text for each conversation: plain text, fences with headings inside, tables and headings take turns
 MARKDOWN_SQL = """md AS (SELECT conv_id, string_agg(CASE turn % 4 WHEN 3 THEN '## ' || role || E'\\n' || text WHEN 1 THEN E'```\\n# ' || text || E'\\n```'
   WHEN 2 THEN text || E'\\n| role | n |\\n|---|:---:|\\n| ' || role || ' | ' || turn || ' |' ELSE text END, E'\\n\\n' ORDER BY turn) AS text FROM conversations GROUP BY 1),
@@ -213,11 +196,11 @@ def blind_review(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 12).alias("case_code"), "lang", "n_chars")
 
 
-@query("visual_chunks", "SELECT page_id, 'vis_' || substr(sha256(url || '#' || page_id), 1, 24) AS chunk_id, CASE WHEN page_id % 4 = 0 THEN 'Ambiguous: ' ELSE '' END || substr(url, 1, 60) || ' Limitations: none' AS text FROM pages")
+@query("visual_chunks", "SELECT page_id, 'vis_' || substr(sha256(url || '#' || page_id), 1, 24) AS chunk_id, CASE WHEN page_id % 4 = 0 THEN 'Ambiguous: ' ELSE '' END || url || ' Limitations: none' AS text FROM pages")
 def visual_chunks(spark: SparkSession, d: str) -> DataFrame:
     lead = F.when(F.col("page_id") % 4 == 0, "Ambiguous: ").otherwise("")
     chunk = F.concat(F.lit("vis_"), F.substring(F.sha2(F.concat_ws("#", "url", "page_id"), 256), 1, 24))
-    return table(spark, d, "pages").select("page_id", chunk.alias("chunk_id"), F.concat(lead, F.substring("url", 1, 60), F.lit(" Limitations: none")).alias("text"))
+    return table(spark, d, "pages").select("page_id", chunk.alias("chunk_id"), F.concat(lead, F.col("url"), F.lit(" Limitations: none")).alias("text"))
 
 
 @query("document_coverage", "SELECT source, sum(CASE WHEN n_chars >= 200 THEN 1 ELSE 0 END)::BIGINT AS processed, count(*) AS pages, sum(CASE WHEN n_chars >= 200 THEN 1 ELSE 0 END)::BIGINT || '/' || count(*) AS coverage FROM documents GROUP BY 1")

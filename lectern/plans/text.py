@@ -53,10 +53,11 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", t.tokens(F.col("text")).cast("bigint").alias("tokens"))
 
 
-@query("evidence_cost", f"""SELECT source, sum(len(regexp_extract_all('{{"chunk_id":' || doc_id || ',"text":' || to_json(text) || '}}', '{RE_TOKEN}')))::BIGINT AS cost FROM documents GROUP BY 1""")
+@query("evidence_cost", f"""SELECT source, len(regexp_extract_all('[' || string_agg('{{"chunk_id":' || doc_id || ',"text":' || to_json(text) || '}}', ',') || ']', '{RE_TOKEN}'))::BIGINT AS cost FROM documents GROUP BY 1""")
 def evidence_cost(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of the JSON list of a source's evidence. Punctuation is a token each, so the list costs its items, the commas between them and two brackets; it is never built."""
     written = F.to_json(F.struct(F.col("doc_id").alias("chunk_id"), "text"))
-    return docs(spark, d).groupBy("source").agg(F.sum(t.tokens(written)).alias("cost"))
+    return docs(spark, d).groupBy("source").agg((F.sum(t.tokens(written)) + F.count("*") + 1).alias("cost"))
 
 
 @query("text_identity", r"SELECT sha256(trim(regexp_replace(text, '[ \t\n\r\x0B\f]+', ' ', 'g'))) AS identity, count(*) AS n FROM documents GROUP BY 1")
@@ -155,56 +156,72 @@ def section_inventory(spark: SparkSession, d: str) -> DataFrame:
     return firsts.select("doc_id", "section", F.row_number().over(Window.partitionBy("doc_id").orderBy("first_idx", "section")).alias("place"))
 
 
-@query("ambiguous_sections", f"WITH {CHUNK_SQL} SELECT doc_id, substr(trim(said), 1, 8) AS title, count(*) AS n FROM chunk WHERE doc_id % 4 >= 2 GROUP BY 1, 2 HAVING count(*) > 1")
+@query("ambiguous_sections", f"WITH {CHUNK_SQL} SELECT doc_id, trim(said) AS title, count(*) AS n FROM chunk WHERE doc_id % 4 >= 2 GROUP BY 1, 2 HAVING count(*) > 1")
 def ambiguous_sections(spark: SparkSession, d: str) -> DataFrame:
-    rows = chunk_rows(spark, d).where("doc_id % 4 >= 2").groupBy("doc_id", F.substring(F.trim("said"), 1, 8).alias("title"))
+    rows = chunk_rows(spark, d).where("doc_id % 4 >= 2").groupBy("doc_id", F.trim("said").alias("title"))
     return rows.agg(F.count("*").alias("n")).where("n > 1")
 
 
-# Fixed patterns of terms, without \b and \w, whose meaning differs between engines; True marks identifiers.
+# Fixed patterns of terms with Unicode boundaries; True marks identifiers. Possessive word runs keep the last one from looking back into words.
+WORD = r"[\p{L}\p{N}_]"
 TERM_PATTERNS = (
-    ("`([^`\\n]{1,100})`", True),
-    ("([A-Z][A-Z0-9_-]{1,15}(?:\\.[A-Za-z_][A-Za-z0-9_.]*)?)", True),
-    ("((?:Oracle|Google|Amazon|Microsoft)(?:[ \\t]+[A-Z][A-Za-z0-9_-]*){1,4})", True),
-    ("(IPv[46]|[A-Za-z]+_[A-Za-z0-9_]+|(?:[A-Z][a-z]+){2,}|[a-z]+(?:[A-Z][a-z0-9]*)+)", True),
-    ("\\*\\*([^*\\n]{2,100})\\*\\*", False),
-    ("(?m)^#{1,6}[ \\t]+(.{2,100})$", False),
-    ("([\\p{L}\\p{N}_][\\p{L}\\p{N}_-]*(?:[ \\t]+[\\p{L}\\p{N}_][\\p{L}\\p{N}_-]*){0,5})[ \\t]+(?:es|son|is|are|é|são)[ \\t]+", False),
+    (r"`([^`\n]{1,100})`", True),
+    (rf"(?<!{WORD})([A-Z][A-Z0-9_-]{{1,15}}(?:\.[A-Za-z_][\p{{L}}\p{{N}}_.]*)?)(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))", True),
+    (rf"(?<!{WORD})((?:Oracle|Google|Amazon|Microsoft)(?:[ \t]+[A-Z][\p{{L}}\p{{N}}_-]*){{1,4}})", True),
+    (rf"(?<!{WORD})(IPv[46]|[A-Za-z]+_[A-Za-z0-9_]+|(?:[A-Z][a-z]+){{2,}}|[a-z]+(?:[A-Z][a-z0-9]*)+)(?!{WORD})", True),
+    (r"\*\*([^*\n]{2,100})\*\*", False),
+    (r"(?m)^#{1,6}[ \t]+(.{2,100})$", False),
+    (rf"(?iu)(?<![\p{{L}}\p{{N}}_])([\p{{L}}\p{{N}}_À-ÿ][\p{{L}}\p{{N}}_À-ÿ-]*+(?:[ \t]++[\p{{L}}\p{{N}}_À-ÿ][\p{{L}}\p{{N}}_À-ÿ-]*+){{0,5}})[ \t]+(?:es|son|is|are|é|são)[ \t]+", False),
 )
-TERM_SQL = "raw AS (" + "\nUNION ALL ".join(
-    f"SELECT doc_id, source, {k} AS pattern, {str(flag).lower()} AS identifier, unnest(regexp_extract_all(text, '{p}', 1)) AS said, generate_subscripts(regexp_extract_all(text, '{p}', 1), 1) AS at FROM documents"
-    for k, (p, flag) in enumerate(TERM_PATTERNS)
-) + r"""), clean AS (SELECT *, CASE WHEN identifier THEN trim(regexp_replace(said, '[ \t\n\r]+', ' ', 'g'))
-  ELSE regexp_replace(trim(trim(regexp_replace(said, '[ \t\n\r]+', ' ', 'g')), '.,:;()'), '^(?i:Una?|Las?|Los?|The|An?|Uma?|Os|As) +', '') END AS term FROM raw),
+ARTICLE = r"^(?:una?|las?|los?|the|an?|uma?|os|as)\s+"
+# the same in the other engine, which has no look-around: a letter beside a match is taken along and the match is then dropped
+_BESIDE = r"[^\x00-\x7F]?"
+_SQL_PATTERNS = (
+    (r"`([^`\n]{1,100})`", True, False),
+    (rf"{_BESIDE}\b[A-Z][A-Z0-9_-]{{1,15}}(?:\.[A-Za-z_][\p{{L}}\p{{N}}_.]*)?\b{_BESIDE}", True, True),
+    (rf"{_BESIDE}\b(?:Oracle|Google|Amazon|Microsoft)(?:[ \t]+[A-Z][\p{{L}}\p{{N}}_-]*){{1,4}}", True, True),
+    (rf"{_BESIDE}\b(?:IPv[46]|[A-Za-z]+_[A-Za-z0-9_]+|(?:[A-Z][a-z]+){{2,}}|[a-z]+(?:[A-Z][a-z0-9]*)+)\b{_BESIDE}", True, True),
+    (r"\*\*([^*\n]{2,100})\*\*", False, False),
+    (r"(?m)^#{1,6}[ \t]+(.{2,100})$", False, False),
+    (r"(?i)([\p{L}\p{N}_À-ÿ][\p{L}\p{N}_À-ÿ-]*(?:[ \t]+[\p{L}\p{N}_À-ÿ][\p{L}\p{N}_À-ÿ-]*){0,5})[ \t]+(?:es|son|is|are|é|são)[ \t]+", False, False),
+)
+TERM_SQL = CHUNK_SQL + ", raw AS (" + "\nUNION ALL ".join(
+    f"SELECT doc_id, idx, {str(flag).lower()} AS identifier, {str(beside).lower()} AS beside, unnest(regexp_extract_all(said, '{p}'{'' if beside else ', 1'})) AS said FROM chunk"
+    for p, flag, beside in _SQL_PATTERNS
+) + r"""), own AS (SELECT doc_id, idx, identifier, CASE WHEN beside THEN trim(said, '“”‘’«»„…–—') ELSE said END AS said FROM raw WHERE NOT beside OR NOT regexp_matches(regexp_replace(said, '^[\x00-\x7F].*[\x00-\x7F]$', ''), '^[\p{L}\p{N}]|[\p{L}\p{N}]$')),
+clean AS (SELECT doc_id, idx, identifier, CASE WHEN identifier THEN trim(regexp_replace(said, '\s+', ' ', 'g')) ELSE regexp_replace(trim(trim(regexp_replace(said, '\s+', ' ', 'g')), '.,:;()'), '^(una?|las?|los?|the|an?|uma?|os|as)\s+', '', 'i') END AS term FROM own),
 term AS (SELECT *, lower(term) AS key FROM clean WHERE length(term) BETWEEN 2 AND 100 AND upper(term) NOT IN (""" + ", ".join(f"'{w}'" for w in t.NOISE) + "))"
 
 
 def terms(spark: SparkSession, d: str) -> DataFrame:
-    found = None
-    base = docs(spark, d)
-    for k, (pattern, identifier) in enumerate(TERM_PATTERNS):
-        part = base.select("doc_id", "source", F.lit(k).alias("pattern"), F.lit(identifier).alias("identifier"), F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("at", "said"))
-        found = part if found is None else found.union(part)
-    flat = F.trim(F.regexp_replace("said", r"[ \t\n\r]+", " "))
-    bare = F.regexp_replace(F.regexp_replace(flat, r"^[.,:;()]+|[.,:;()]+$", ""), "^(?i:Una?|Las?|Los?|The|An?|Uma?|Os|As) +", "")
-    rows = found.withColumn("term", F.when(F.col("identifier"), flat).otherwise(bare)).withColumn("key", F.lower("term"))
-    return rows.where(F.length("term").between(2, 100) & ~F.upper("term").isin(*t.NOISE))
+    """doc_id, idx, identifier, key of every sighting of a term, from one scan."""
+    said = lambda flag: lambda x: F.struct(F.lit(flag).alias("identifier"), x.alias("said"))
+    found = F.concat(*(F.transform(F.regexp_extract_all("said", F.lit(p), F.lit(1)), said(flag)) for p, flag in TERM_PATTERNS))
+    rows = chunk_rows(spark, d).select("doc_id", "idx", F.explode(found).alias("m")).select("doc_id", "idx", "m.*")
+    flat = F.trim(F.regexp_replace("said", r"\s+", " "))
+    bare = F.regexp_replace(F.regexp_replace(flat, r"^[.,:;()]+|[.,:;()]+$", ""), "(?i)" + ARTICLE, "")
+    rows = rows.withColumn("term", F.when(F.col("identifier"), flat).otherwise(bare)).where(F.length("term").between(2, 100) & ~F.upper("term").isin(*t.NOISE))
+    return rows.select("doc_id", "idx", "identifier", F.lower("term").alias("key"))
 
 
 @query(
     "term_candidates",
-    f"""WITH {TERM_SQL}, merged AS (SELECT source, key, bool_or(identifier) AS identifier, count(DISTINCT doc_id) AS documents FROM term GROUP BY 1, 2)
-SELECT source, key, identifier, documents, place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY identifier DESC, key) AS place FROM merged) WHERE place <= 64""",
+    f"""WITH {TERM_SQL}, merged AS (SELECT doc_id, key, bool_or(identifier) AS identifier, count(*) AS sightings FROM term GROUP BY 1, 2)
+SELECT doc_id, key, identifier, sightings, place, greatest(0, n - 64) AS omitted FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY identifier DESC, key) AS place, count(*) OVER (PARTITION BY doc_id) AS n FROM merged) WHERE place <= 64""",
 )
 def term_candidates(spark: SparkSession, d: str) -> DataFrame:
-    merged = terms(spark, d).groupBy("source", "key").agg(F.bool_or("identifier").alias("identifier"), F.countDistinct("doc_id").alias("documents"))
-    return merged.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("identifier"), "key"))).where("place <= 64")
+    """The 64 first terms of each document, identifiers ahead, and how many more it has."""
+    merged = terms(spark, d).groupBy("doc_id", "key").agg(F.bool_or("identifier").alias("identifier"), F.count("*").alias("sightings"))
+    own = Window.partitionBy("doc_id")
+    placed = merged.withColumns({"place": F.row_number().over(own.orderBy(F.desc("identifier"), "key")), "omitted": F.greatest(F.lit(0), F.count("*").over(own) - 64)})
+    return placed.where("place <= 64")
 
 
-@query("term_locations", f"WITH {TERM_SQL}, l AS (SELECT DISTINCT source, key, doc_id FROM term) SELECT source, key, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY source, key ORDER BY doc_id) AS place FROM l) WHERE place <= 8")
+@query("term_locations", f"WITH {TERM_SQL}, l AS (SELECT DISTINCT doc_id, key, idx FROM term) SELECT doc_id, key, idx::BIGINT AS idx, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY idx) AS place FROM l) WHERE place <= 8")
 def term_locations(spark: SparkSession, d: str) -> DataFrame:
-    places = terms(spark, d).select("source", "key", "doc_id").distinct()
-    return places.withColumn("place", F.row_number().over(Window.partitionBy("source", "key").orderBy("doc_id"))).where("place <= 8")
+    """The first 8 chunks of a document that hold each of its terms."""
+    places = terms(spark, d).select("doc_id", "key", F.col("idx").cast("bigint").alias("idx")).distinct()
+    return places.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("idx"))).where("place <= 8")
 
 
 @query("glossary_search", f"WITH {TERM_SQL} SELECT DISTINCT key, translate(key, 'áéíóúüñàèìòùâêîôûç', 'aeiouunaeiouaeiouc') AS sort_key FROM term WHERE contains(key, 'ta')")
@@ -274,10 +291,10 @@ def export_matrix(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, format string, allowed boolean")
 
 
-@query("deck_rows", """SELECT conv_id, turn, '"' || replace(role, '"', '""') || '","' || replace(replace(substr(text, 1, 40), '"', '""'), E'\\n', '<br>') || '","doc_' || conv_id || '"' AS line FROM conversations""")
+@query("deck_rows", """SELECT conv_id, turn, '"' || replace(role, '"', '""') || '","' || replace(replace(text, '"', '""'), E'\\n', '<br>') || '","doc_' || conv_id || '"' AS line FROM conversations""")
 def deck_rows(spark: SparkSession, d: str) -> DataFrame:
     quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
-    dorso = F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit("<br>"))
+    dorso = F.replace("text", F.lit("\n"), F.lit("<br>"))
     return table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(",", quoted(F.col("role")), quoted(dorso), quoted(F.concat(F.lit("doc_"), "conv_id"))).alias("line"))
 
 
