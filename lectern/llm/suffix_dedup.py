@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.bloom import filters, holds, size_for
-from lectern.llm.common import checkpointed, whole_text, with_struct
+from lectern.llm.common import checkpointed, dropped, whole_text, with_struct
 from lectern.llm.hashing import mix
 
 LENGTH = 100
@@ -127,45 +127,46 @@ def repeated_anchors(docs: DataFrame) -> np.ndarray:
     return filters(anchors, size_for(size // 140), repeated=F.lit(True))[0]
 
 
-def _ranges(doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(document, its ranges of windows as pairs of int64)."""
-    if not len(doc):
-        return
-    order = np.argsort(doc, kind="stable")
-    doc, pairs = doc[order], np.stack([lo[order], n[order]], 1).astype(np.int64)
-    edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    for a, b in zip(edges, np.append(edges[1:], len(doc)), strict=True):
-        yield doc[a], pairs[a:b].tobytes()
+def _ranges(doc: np.ndarray, key: np.ndarray, lo: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    """doc_id, key, ranges: the ranges of windows of each document text as pairs of int64."""
+    order = np.lexsort((lo, key, doc))
+    doc, key, pairs = doc[order], key[order], np.stack([lo[order], n[order]], 1).astype(np.int64)
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+    edges = np.flatnonzero(new)
+    return pd.DataFrame({"doc_id": doc[edges], "key": key[edges], "ranges": [x.tobytes() for x in np.split(pairs, edges[1:])] if len(doc) else []})
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """Contexts whose anchor repeats, the first in its batch: anchor, context, doc_id, lo, n, said; and doc_id, ranges of windows of the other ones."""
+    """Of docs (doc_id, key, text) the contexts whose anchor repeats, the first in its batch: anchor, context, doc_id, key, lo, n, said; and doc_id, key, ranges of windows of the other ones."""
     shared = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs))  # of bounded size
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["anchor", "context", "doc_id", "lo", "n", "said", "ranges"]
+        names = ["anchor", "context", "doc_id", "key", "lo", "n", "said", "ranges"]
         for batch in (whole.iloc[k : k + ROWS] for whole in batches for k in range(0, len(whole), ROWS)):
-            ids = batch["doc_id"].to_numpy()
+            ids, keys = batch["doc_id"].to_numpy(), batch["key"].to_numpy()
             rows = []
             for c in contexts(_bytes(batch["text"])):
                 keep = np.flatnonzero(holds(shared.value, c["anchor"]))
                 said = [c["piece"][a : a + n + LENGTH - 1] for a, n in zip(c["at"][keep].tolist(), c["n"][keep].tolist(), strict=True)]
-                rows.append((c["anchor"][keep], c["context"][keep], ids[c["doc"][keep]], c["lo"][keep], c["n"][keep], np.array([*said, None], object)[:-1]))
+                own = c["doc"][keep]
+                rows.append((c["anchor"][keep], c["context"][keep], ids[own], keys[own], c["lo"][keep], c["n"][keep], np.array([*said, None], object)[:-1]))
             if not rows:
                 continue
-            anchor, context, doc, lo, n, said = (np.concatenate(x) for x in zip(*rows, strict=True))
+            anchor, context, doc, key, lo, n, said = (np.concatenate(x) for x in zip(*rows, strict=True))
             order = np.lexsort((lo, doc, context, anchor))
-            anchor, context, doc, lo, n, said = (x[order] for x in (anchor, context, doc, lo, n, said))
+            anchor, context, doc, key, lo, n, said = (x[order] for x in (anchor, context, doc, key, lo, n, said))
             new = np.ones(len(anchor), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])
             head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.zeros(0, int)
             later = (doc != doc[head]) | (lo != lo[head])
-            yield pd.DataFrame({"anchor": anchor[new].astype(np.int64), "context": context[new].astype(np.int64), "doc_id": doc[new], "lo": lo[new], "n": n[new], "said": said[new], "ranges": None}, columns=names)
-            marked = list(_ranges(doc[later], lo[later], n[later]))
-            if marked:
-                yield pd.DataFrame({"anchor": None, "context": None, "doc_id": [d for d, _ in marked], "lo": None, "n": None, "said": None, "ranges": [r for _, r in marked]}, columns=names)
+            # rows of one id are one document, so one that stands in the head's place in another text isn't later, but may be held against an earlier one
+            first = new | ~later & (key != key[head])
+            yield pd.DataFrame({"anchor": anchor[first].astype(np.int64), "context": context[first].astype(np.int64), "doc_id": doc[first], "key": key[first], "lo": lo[first], "n": n[first], "said": said[first], "ranges": None}, columns=names)
+            if later.any():
+                yield _ranges(doc[later], key[later], lo[later], n[later]).reindex(columns=names)
 
-    return docs.mapInPandas(locate, "anchor long, context long, doc_id long, lo long, n long, said binary, ranges binary")
+    return docs.mapInPandas(locate, "anchor long, context long, doc_id long, key long, lo long, n long, said binary, ranges binary")
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -225,7 +226,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 def bucket_repeats(said: list[bytes], doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, window) of the windows of these contexts that equal an earlier one of them."""
+    """(context, window) of the windows of these contexts that equal one of an earlier place."""
     text = np.frombuffer(b"".join(said), np.uint8)
     lengths = np.array([len(s) for s in said], np.int64)
     first = np.cumsum(lengths) - lengths
@@ -244,19 +245,19 @@ def bucket_repeats(said: list[bytes], doc: np.ndarray, lo: np.ndarray, n: np.nda
     by = np.lexsort((p, d, group))
     heads = by[np.searchsorted(group[by], np.arange(group[-1] + 1))] if len(group) else by
     later = (d != d[heads][group]) | (p != p[heads][group])
-    return d[later], p[later]
+    return owner[starts][later], p[later]
 
 
 def _sorted_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """doc_id, ranges of repeated windows; rows come sorted by anchor."""
+    """doc_id, key, ranges of repeated windows; rows come sorted by anchor."""
     held: list[pd.DataFrame] = []
     size = 0
 
     def settle(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        d, p = bucket_repeats(list(rows["said"]), rows["doc_id"].to_numpy(np.int64), rows["lo"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
-        marked = list(_ranges(d, p, np.ones(len(p), np.int64)))
-        if marked:
-            yield pd.DataFrame({"doc_id": [x for x, _ in marked], "ranges": [r for _, r in marked]})
+        doc, key = rows["doc_id"].to_numpy(np.int64), rows["key"].to_numpy(np.int64)
+        c, p = bucket_repeats(list(rows["said"]), doc, rows["lo"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
+        if len(c):
+            yield _ranges(doc[c], key[c], p, np.ones(len(p), np.int64))
 
     for batch in batches:
         sizes = batch["said"].map(len).to_numpy()
@@ -278,9 +279,32 @@ def _sorted_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _hashed_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for said, doc, lo, n in zip(batch["said"], batch["doc_id"], batch["lo"], batch["n"], strict=True):
-            keys = [hashlib.blake2b(said[k : k + LENGTH], digest_size=16).digest() for k in range(n)]
-            yield pd.DataFrame({"key": keys, "doc_id": doc, "p": lo + np.arange(n)})
+        for said, doc, key, lo, n in zip(batch["said"], batch["doc_id"], batch["key"], batch["lo"], batch["n"], strict=True):
+            hashes = [hashlib.blake2b(said[k : k + LENGTH], digest_size=16).digest() for k in range(n)]
+            yield pd.DataFrame({"window": hashes, "doc_id": doc, "key": key, "lo": lo + np.arange(n)})
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, key, los, ns, ranges: the windows of docs (doc_id, key, text) that also start earlier, as a table."""
+    found = checkpointed(located(docs))
+    place = F.struct("doc_id", "lo")
+    same = Window.partitionBy("anchor", "context")
+    rows = found.where("anchor is not null").drop("ranges").withColumn("head", F.min(place).over(same))
+    later = rows.where(place > F.col("head")).select("doc_id", "key", "lo", "n")
+    # the first of each context, where an anchor has several
+    heads = rows.where(place == F.col("head")).drop("head")
+    several = heads.groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("context").alias("least"), F.max("context").alias("most")).where("least <> most").select("anchor", "contexts")
+    mixed = checkpointed(heads.join(several, "anchor"))
+    usual = mixed.where(F.col("contexts") <= HOT_ANCHOR).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "lo")
+    by_order = usual.select("anchor", "doc_id", "key", "lo", "n", "said").mapInPandas(_sorted_buckets, "doc_id long, key long, ranges binary")
+    hot = mixed.where(F.col("contexts") > HOT_ANCHOR).select("doc_id", "key", "lo", "n", "said").mapInPandas(_hashed_windows, "window binary, doc_id long, key long, lo long")
+    first = hot.groupBy("window").agg(F.min(place).alias("head"))
+    hot_later = hot.join(first, "window").where(place > F.col("head")).select("doc_id", "key", "lo", F.lit(1).cast("long").alias("n"))
+    ranges = found.where("ranges is not null").select("doc_id", "key", "ranges").union(by_order).groupBy("doc_id", "key").agg(F.collect_list("ranges").alias("ranges"))
+    windows = later.union(hot_later).groupBy("doc_id", "key").agg(F.collect_list("lo").alias("los"), F.collect_list("n").alias("ns"))
+    out = checkpointed(windows.join(ranges, ["doc_id", "key"], "full"))
+    dropped(found, mixed)
+    return out
 
 
 def repeats(docs: DataFrame, keep: bool = False) -> DataFrame:
@@ -292,26 +316,8 @@ def repeats(docs: DataFrame, keep: bool = False) -> DataFrame:
     Rows with one id are the same document: equal places of theirs are not
     earlier than each other.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    known = texts.where("doc_id is not null")
-    found = checkpointed(located(known))
-    marks = found.where("ranges is not null").select("doc_id", "ranges")
-    place = F.struct("doc_id", "lo")
-    same = Window.partitionBy("anchor", "context")
-    rows = found.where("anchor is not null").drop("ranges").withColumn("head", F.min(place).over(same))
-    later = rows.where(place > F.col("head")).select("doc_id", "lo", "n")
-    # the first of each context, where an anchor has several
-    heads = rows.where(place == F.col("head")).dropDuplicates(["anchor", "context", "doc_id", "lo"]).drop("head")
-    several = heads.groupBy("anchor").agg(F.count("*").alias("contexts"), F.countDistinct("context").alias("different")).where("different > 1")
-    mixed = checkpointed(heads.join(several, "anchor"))
-    usual = mixed.where(F.col("contexts") <= HOT_ANCHOR).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "lo")
-    sorted_out = usual.select("anchor", "doc_id", "lo", "n", "said").mapInPandas(_sorted_buckets, "doc_id long, ranges binary")
-    hot = mixed.where(F.col("contexts") > HOT_ANCHOR).select("doc_id", "lo", "n", "said").mapInPandas(_hashed_windows, "key binary, doc_id long, p long")
-    first = hot.groupBy("key").agg(F.min(F.struct("doc_id", "p")).alias("head"))
-    hot_later = hot.join(first, "key").where(F.struct("doc_id", "p") > F.col("head")).select("doc_id", F.col("p").alias("lo"), F.lit(1).cast("long").alias("n"))
-    windows = later.union(hot_later).groupBy("doc_id").agg(F.collect_list("lo").alias("los"), F.collect_list("n").alias("ns"))
-    ranges = marks.union(sorted_out).groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges"))
-    joined = texts.join(windows, "doc_id", "left").join(ranges, "doc_id", "left")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("key", F.xxhash64("text", F.md5("text")))
+    joined = texts.join(marked(texts.where("doc_id is not null")), ["doc_id", "key"], "left")
 
     def cut(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for texts, los, ns, ranges in batches:
@@ -324,7 +330,6 @@ def repeats(docs: DataFrame, keep: bool = False) -> DataFrame:
                 if packed is not None:
                     pairs.append(np.frombuffer(b"".join(packed), np.int64).reshape(-1, 2))
                 at = np.concatenate(pairs)
-                at = at[at.sum(1) + LENGTH - 1 <= len(text)]  # of another row with this id
                 change = np.zeros(len(text) + 1, np.int64)
                 np.add.at(change, at[:, 0], 1)
                 np.add.at(change, at.sum(1) + LENGTH - 1, -1)

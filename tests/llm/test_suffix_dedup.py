@@ -78,8 +78,19 @@ def test_long_text_in_pieces(spark):
 
 def test_a_batch_without_repeats_of_its_own(spark):
     none = np.zeros(0, np.int64)
-    assert list(suffix_dedup._ranges(none, none, none)) == []
+    assert not len(suffix_dedup._ranges(none, none, none, none))
     rnd = random.Random(9)
     a = "".join(rnd.choice("abcdefgh ") for _ in range(400))
     docs = spark.createDataFrame([(1, "x" + a), (2, a + "y")], "doc_id long, text string").repartition(2, "doc_id")
     assert {r.doc_id: r.n_removed for r in suffix_dedup.repeats(docs).collect()} == {1: 0, 2: 400}
+
+
+def test_one_id_on_rows_with_different_texts(spark):
+    rnd = random.Random(12)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    p, a, q = text(400), text(300), text(250)
+    rows = [(1, p), (5, p), (5, a), (5, q + p[:150]), (5, a), (6, a + q), (6, q + a), (7, p[50:300]), (None, p), (7, None)]
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeats(docs).collect())
+        assert got == brute(rows)
