@@ -9,26 +9,27 @@ from lectern.llm import simhash
 
 
 def fingerprint(text):
-    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
-    terms = {(xxhash.xxh64_intdigest(w.encode(), 42) & ~63 & (1 << 64) - 1) | min(63, len(w)) for w in words}
-    votes, total = [0] * 128, 0
-    for t in terms:
-        data, weight = struct.pack("<Q", t), t & 63
-        low, high = xxhash.xxh64_intdigest(data, 42), xxhash.xxh64_intdigest(data, xxhash.xxh64_intdigest(struct.pack("<i", 2), 42))
-        total += weight
+    hashed = lambda numbers, seed: seed if not numbers else hashed(numbers[1:], xxhash.xxh64_intdigest(struct.pack("<Q", numbers[0]), seed))
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+    runs = [words[i : i + 5] for i in range(max(1, len(words) - 4))] if words else []
+    votes = [0] * 128
+    for run in runs:
+        low = hashed(run, 42)
+        high = xxhash.xxh64_intdigest(struct.pack("<Q", low), xxhash.xxh64_intdigest(struct.pack("<i", 2), 42))
         for k in range(128):
-            votes[k] += weight * (((low if k < 64 else high) >> (k % 64)) & 1)
-    return sum(1 << k for k in range(128) if 2 * votes[k] > total)
+            votes[k] += ((low if k < 64 else high) >> (k % 64)) & 1
+    return sum(1 << k for k in range(128) if 2 * votes[k] > len(runs))
 
 
-def test_rows_equal_brute_force(spark):
+def test_rows_equal_brute_force(spark, monkeypatch):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdé") for _ in range(rnd.randint(1, 6)))
     rows = [(7 * i * i, " ".join(word() for _ in range(rnd.choice((0, 1, 3, 4, 5, 30, 200))))) for i in range(80)]
     rows += [(7 * 81 * 81, rows[0][1]), (10**12, None), (10**12 + 1, "x  y\tz\n" * 50)]
+    rows += [(-(2**63) + 5, "far below"), (2**63 - 1, "far above far above far above")]
     keep = rows[:]
+    monkeypatch.setattr(simhash, "BLOCK_DOCS", 16)
     rnd.shuffle(rows)
-    simhash.BLOCK_DOCS = 16
     docs = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, print string").repartition(3)
     got = {r.doc_id: r for r in simhash.edited(docs).collect()}
     keep.sort()
@@ -40,12 +41,15 @@ def test_rows_equal_brute_force(spark):
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
         assert (r.fingerprint, r.edited_fingerprint) == (f"{a:032x}", f"{b:032x}")
+        near = sum((a ^ fingerprint(x or "")).bit_count() <= 3 for _, x in keep) - 1
+        assert r.n_near == (near if i % 20 == 0 else None)
         assert r.near_edited == 1 - (a ^ b).bit_count() / 128 and r.near_next == 1 - (a ^ c).bit_count() / 128
 
 
 def test_nulls_repeats_one_row_and_empty(spark):
     docs = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (1, "p q"), (1, "p q"), (2, None)], "doc_id long, text string")
     rows = simhash.edited(docs).collect()
+    assert sorted(r.near_next for r in rows if r.doc_id == 1)[1] == 1.0
     assert len(rows) == 5 and [r.near_next for r in rows if r.doc_id is None] == [None, None]
     assert len({r.fingerprint for r in rows}) == 3
     one = simhash.edited(docs.where("doc_id = 2")).first()
@@ -53,6 +57,13 @@ def test_nulls_repeats_one_row_and_empty(spark):
     assert simhash.edited(docs.limit(0)).count() == 0
 
 
+def test_very_long_text_and_order_of_words(spark):
+    text = " ".join(f"w{i % 997}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, text), (2, " ".join(reversed(text.split()))), (3, text)], "doc_id long, text string")
+    prints = {r.doc_id: r.fingerprint for r in simhash.edited(docs).collect()}
+    assert prints[1] == prints[3] == f"{fingerprint(text):032x}" and prints[2] != prints[1]
+
+
 def test_radius_search_equals_brute_force(spark):
     rnd = random.Random(6)
     prints = [rnd.getrandbits(128) for _ in range(20)]
