@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import whole_text, with_struct
+from lectern.llm.common import fresh, whole_text, with_struct
 from lectern.llm.hashing import lower_ascii
 
 #: Characters of a piece, fewer where an item is so short that all of its pieces could be spoiled.
@@ -170,12 +170,12 @@ class Index:
         return found
 
 
-def _finder(index: Broadcast) -> Callable:
+def _finder(index: Broadcast, *names: str) -> Callable:
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own, ids = index.value
         for texts in batches:
             found = own.matches([lower_ascii(t or "") for t in texts])
-            yield pd.DataFrame({"items_": [[ids[i] for i in sorted(f)] for f in found], "distances_": [[f[i] for i in sorted(f)] for f in found]})
+            yield pd.DataFrame(dict(zip(names, ([[ids[i] for i in sorted(f)] for f in found], [[f[i] for i in sorted(f)] for f in found]), strict=True)))
 
     return find
 
@@ -194,11 +194,12 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.15, name: s
         rows = named.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("text", "item_id").collect()  # at most about BLOCK_CHARS characters
         index = docs.sparkSession.sparkContext.broadcast((Index([r.text for r in rows], share), [r.item_id for r in rows]))
 
-        rows = with_struct(out, _finder(index), "items_ array<long>, distances_ array<long>", "text")
-        pairs = F.zip_with("items_", "distances_", lambda i, d: F.struct(i.alias("item_id"), d.alias("distance")))
-        out = rows.withColumn(f"matched{b}_", pairs).drop("items_", "distances_")
-        parts.append(f"matched{b}_")
-    return out.withColumn(name, F.concat(*parts)).drop(*parts)
+        item, apart, part = fresh("items", out), fresh("distances", out), fresh(f"part{b}", out)
+        rows = with_struct(out, _finder(index, item, apart), f"{item} array<long>, {apart} array<long>", "text")
+        pairs = F.zip_with(item, apart, lambda i, d: F.struct(i.alias("item_id"), d.alias("distance")))
+        out = rows.withColumn(part, pairs).drop(item, apart)
+        parts.append(part)
+    return out.withColumn(name, F.concat(*parts)).drop(*(p for p in parts if p != name))
 
 
 def leaks(docs: DataFrame, items: DataFrame, share: float = 0.15) -> DataFrame:

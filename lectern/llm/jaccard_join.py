@@ -258,3 +258,15 @@ def connected(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     rows, labels = links(docs, k, percent)
     named = rows.join(labels.select(F.col("node").alias("class"), "component"), "class", "left")
     return named.select("doc_id", "n_shingles", F.coalesce("component", "class", "doc_id").alias("component_id"))
+
+
+#: The same by counting shared shingles of all pairs, for documents whose ids don't repeat.
+ORACLE = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(2, len(w) - 1)), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM d),
+one AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM sets WHERE doc_id IS NOT NULL),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS n FROM one a JOIN one b ON a.h = b.h AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY 1, 2, 3, 4),
+links AS (SELECT a, b FROM shared WHERE 100 * n >= 90 * (na + nb - n)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE reach.a = sets.doc_id), doc_id)) AS component_id FROM sets"""

@@ -1,9 +1,10 @@
 """Secret scans with an incremental blob ledger.
 
 Every version of a text is addressed by the SHA-256 of its content. A ledger
-holds the (blob, rule version) pairs that were scanned. A scan takes only one
-copy of each blob that the ledger doesn't know, applies the rules, and joins
-the findings back to every path that has the blob. DataFrame functions only.
+holds each (blob, rule version) pair that was scanned, with its findings. A
+scan takes only one copy of each blob that the ledger doesn't know, applies the
+rules, and adds to the ledger; the findings of old and new blobs join back to
+every path that has the blob. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from lectern.llm.common import whole_text
 
 RULE_VERSION = "1"
+#: Parts that the paths of a blob are dealt to.
+SALTS = 8
 KEYWORD = "".join(f"[{c.upper()}{c}]" for c in "password") + "|" + "".join(f"[{c.upper()}{c}]" for c in "passwd") + "|" + "".join(f"[{c.upper()}{c}]" for c in "secret") + "|" + "".join(f"[{c.upper()}{c}]" for c in "token") + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
 ASSIGN = rf"(?:{KEYWORD})[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+"
 #: What stands before the value of an assignment. The value can't hold a colon or quote, but it can start with "=" signs, which the pattern gives to the separator only once.
@@ -77,25 +80,33 @@ def spelled(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["at"].cast("string"), s["until"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(findings, ledger). docs: any version of any document, as doc_id and text; other columns are ignored.
+def scan(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
+    """The ledger after docs: blob, rule_version, spans, a row for each pair scanned so far.
 
-    findings: blob, spans of each blob scanned now that has any. ledger: blob,
-    rule_version of the given ledger and of all blobs of docs. Null text counts as empty.
+    docs: any version of any document, as doc_id and text; other columns are
+    ignored. A blob is scanned once for each rule version, however many rows
+    and earlier scans have it. Null text counts as empty; ids may be null or
+    repeat. Write the ledger before it is used for the next scan.
     """
     rows = docs.select(whole_text().alias("text")).withColumn("blob", F.sha2("text", 256))
-    findings = rule_findings(unseen(rows, ledger, rule_version)).where(F.size("spans") > 0)
-    now = rows.select("blob", F.lit(rule_version).alias("rule_version"))
-    return findings, (now if ledger is None else now.unionByName(ledger.select("blob", "rule_version"))).distinct()
+    now = rule_findings(unseen(rows, ledger, rule_version)).select("blob", F.lit(rule_version).alias("rule_version"), "spans")
+    return now if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(now)
 
 
-def by_document(docs: DataFrame, findings: DataFrame) -> DataFrame:
-    """A row for each row of docs with the findings of its blob: counts and digest of the base rules, and all spans."""
-    paths = docs.select("doc_id", F.sha2(whole_text(), 256).alias("blob"))
+def by_document(docs: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
+    """A row for each row of docs with the findings that the ledger has of its blob: counts and digest of the base rules, and all spans.
+
+    Spans come by position, and by kind in the listed order where positions tie.
+    A blob that the ledger lacks at this rule version has no findings. Paths of
+    one blob are dealt to SALTS parts, so copies of one text aren't one task.
+    """
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    paths = docs.select("doc_id", F.sha2(whole_text(), 256).alias("blob"), salt.alias("salt"))
+    known = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spans = F.coalesce(F.col("spans"), F.array().cast("array<struct<at:int,kind:int,until:int>>"))
     of_kind = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(BASE)]
-    rows = paths.join(findings, "blob", "left").withColumn("spans", spans)
+    rows = paths.join(known, ["blob", "salt"], "left").withColumn("spans", spans)
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
     return rows.select("doc_id", *counts, F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
 

@@ -154,3 +154,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, keep: bool = False) -> DataFr
     schema = "n_words long, n_removed long, kept_sha256 string" + (", kept string, removed array<array<long>>" if keep else "")
     names = [x.split()[0] for x in schema.split(", ")]
     return with_struct(rows, cut, schema, "text", "later", "marks").select("doc_id", *names)
+
+
+#: The same over words and positions, for window 13.
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+places AS (SELECT rid, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13 AND doc_id IS NOT NULL),
+runs AS (SELECT rid, doc_id, i, array_to_string(w[i:i + 12], ' ') AS run FROM places),
+later AS (SELECT rid, i FROM (SELECT rid, doc_id, i, min(doc_id) OVER (PARTITION BY run) AS least FROM runs) WHERE doc_id > least),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 13)) AS j FROM later),
+words AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+kept AS (SELECT rid, count(g.j) AS n_removed, string_agg(word, ' ' ORDER BY words.j) FILTER (g.j IS NULL) AS said FROM words LEFT JOIN gone g USING (rid, j) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(said, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)"""

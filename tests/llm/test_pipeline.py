@@ -1,9 +1,11 @@
 import random
 
 import corpus_pipeline
-from lectern.llm import decontaminate, pii
+from lectern.llm import pii
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Extra columns with the names that stages use themselves.
+EXTRA = ", toxicity long, worded long, place long, matched long, made long, items long, distances long, part0 long, component_id long, n long"
 
 
 def tables(spark, folder):
@@ -50,7 +52,22 @@ def test_stages_take_effect(spark, tmp_path):
     texts = {r.doc_id: r.text for r in seen["pii"]}
     assert texts[1003].endswith("[email]") and texts[1004] is None and not any(pii.base_spans(t or "") for t in texts.values())
     assert len(seen["bpe"]) == len(seen["pii"]) and all(r.n_tokens == len(r.ids) for r in seen["bpe"])
-    assert decontaminate.tables_for(0.9, 0.15) < 200
+
+
+def test_clashing_columns_and_very_long_texts_stay(spark, tmp_path):
+    rows, _, item = tables(spark, tmp_path)
+    words = " ".join(f"word{i % 700}" for i in range(50_000))
+    some = [(*r, *range(10)) for r in rows[:60]] + [(5000, words, "en", "s", 0, *range(10)), (5001, "x" * 100_000, None, None, None, *range(10)), (5002, words + " " + item, "en", "s", 0, *range(10))]
+    docs = spark.createDataFrame(some, COLUMNS + EXTRA)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == (COLUMNS + EXTRA).replace(",", "").split()[::2]
+        docs.write.parquet(f"{tmp_path}/clash_{name}")
+        docs = spark.read.parquet(f"{tmp_path}/clash_{name}")
+    kept = {r.doc_id: r for r in docs.collect()}
+    assert kept[5000].text == words and kept[5000].place == 2 and len(kept[5001].text) == 100_000 and 5002 not in kept
+    encoded = {r.doc_id: r.n_tokens for r in corpus_pipeline.encode_text(spark, docs, str(tmp_path)).collect()}
+    assert encoded[5000] >= 50_000 and len(encoded) == len(kept)
 
 
 def test_run_and_empty_table(spark, tmp_path):

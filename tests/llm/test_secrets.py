@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from lectern.llm import secrets
 
 
@@ -21,8 +23,8 @@ TEXTS = [
 
 def test_base_spans_and_rows(spark):
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)] + [(None, TEXTS[0], 1), (0, TEXTS[0], 1)], "doc_id long, text string, blob int")
-    findings, ledger = secrets.scan(docs)
-    rows = secrets.by_document(docs, findings).collect()
+    ledger = secrets.scan(docs)
+    rows = secrets.by_document(docs, ledger).collect()
     assert len(rows) == len(TEXTS) + 2
     names = [n for n, _, _ in secrets.RULES]
     for r in rows:
@@ -33,11 +35,24 @@ def test_base_spans_and_rows(spark):
     assert ledger.count() == len({t or "" for t in TEXTS})
 
 
-def test_only_unseen_blobs_are_scanned(spark):
+def test_only_unseen_blobs_are_scanned_and_findings_stay(spark):
     old = spark.createDataFrame([(1, "token = abcdefgh"), (2, "clean")], "doc_id long, text string")
-    _, ledger = secrets.scan(old)
-    new = spark.createDataFrame([(1, "token = abcdefgh"), (3, "secret = hgfedcba")], "doc_id long, text string")
-    findings, grown = secrets.scan(new, ledger)
-    assert findings.count() == 1 and grown.count() == 3
-    assert secrets.scan(new, ledger, "2")[0].count() == 2
-    assert secrets.scan(old.limit(0))[0].count() == 0
+    ledger = secrets.scan(old)
+    new = spark.createDataFrame([(1, "token = abcdefgh"), (3, "secret = hgfedcba"), (4, "token = abcdefgh")], "doc_id long, text string")
+    rows = new.select("text").withColumn("blob", F.sha2("text", 256))
+    assert [r.text for r in secrets.unseen(rows, ledger, "1").collect()] == ["secret = hgfedcba"]
+    grown = secrets.scan(new, ledger)
+    assert grown.count() == 3
+    found = {r.doc_id: r.n_assign for r in secrets.by_document(new, grown).collect()}
+    assert found == {1: 1, 3: 1, 4: 1}
+    assert {r.n_assign for r in secrets.by_document(old, grown).collect()} == {0, 1}
+    again = secrets.scan(new, grown, "2")
+    assert again.count() == 5 and {r.n_assign for r in secrets.by_document(new, again, "2").collect()} == {1}
+    assert secrets.scan(old.limit(0)).count() == 0 and secrets.by_document(old.limit(0), ledger).count() == 0
+
+
+def test_very_long_text(spark):
+    text = ("x " * 200_000) + "token = abcdefgh " + "f" * 100_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = secrets.by_document(docs, secrets.scan(docs)).first()
+    assert row.spans == f"assign:400000:400016,hex:400017:{len(text)}"
