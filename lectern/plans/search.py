@@ -136,7 +136,22 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("mmr_select")
+HITS_SQL = f"""{SCORED_SQL}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rn FROM scored) WHERE rn <= 25),
+hits AS (SELECT query_id, top.label::BIGINT AS doc, vec_id AS idx, greatest(0.0, least(1.0, 1 - distance)) AS sim, embedding::DOUBLE[] AS vec, 'text ' || vec_id % 400 AS said, 40 + vec_id % 50 AS cost FROM top JOIN embeddings USING (vec_id))"""
+
+
+@query(
+    "mmr_select",
+    f"""WITH RECURSIVE {HITS_SQL}, own AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, idx) AS place FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, said ORDER BY sim DESC, idx) = 1),
+near AS (SELECT a.query_id, a.idx, list({{'idx': b.idx, 'cos': list_dot_product(a.vec, b.vec) / sqrt(list_dot_product(a.vec, a.vec)) / sqrt(list_dot_product(b.vec, b.vec))}}) AS others FROM own a JOIN own b USING (query_id) GROUP BY 1, 2),
+h AS (SELECT query_id, idx, sim, cost, place, others FROM own JOIN near USING (query_id, idx)),
+s AS (SELECT query_id, []::BIGINT[] AS taken, []::BIGINT[] AS seen, 0::BIGINT AS spent FROM (SELECT DISTINCT query_id FROM h)
+UNION ALL SELECT query_id, CASE WHEN spent + best.cost <= 500 THEN list_append(taken, best.idx) ELSE taken END, list_append(seen, best.idx), CASE WHEN spent + best.cost <= 500 THEN spent + best.cost ELSE spent END FROM (
+  SELECT s.query_id, s.taken, s.seen, s.spent, max({{'worth': 0.7 * h.sim - 0.3 * coalesce(list_max(list_transform(list_filter(h.others, lambda x: list_contains(s.taken, x.idx)), lambda x: x.cos)), 0.0), 'order': -h.place, 'idx': h.idx, 'cost': h.cost}}) AS best
+  FROM s JOIN h ON h.query_id = s.query_id AND NOT list_contains(s.seen, h.idx) WHERE len(s.taken) < 10 GROUP BY 1, 2, 3, 4)),
+done AS (SELECT query_id, max_by(taken, len(seen)) AS taken FROM s GROUP BY 1)
+SELECT query_id, 'chk_' || unnest(taken) AS chunk_id, generate_subscripts(taken, 1) AS place FROM done""",
+)
 def mmr_select(spark: SparkSession, d: str) -> DataFrame:
     def select(rows: pd.DataFrame) -> pd.DataFrame:
         return selection.mmr(rows, 10, 0.7, 500)[["query_id", "chunk_id", "place"]]

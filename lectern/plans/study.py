@@ -107,7 +107,15 @@ def rolling_rate(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", F.count("*").over(minute).alias("calls"), F.count("*").over(day).alias("today"))
 
 
-@query("admission_replay")
+@query(
+    "admission_replay",
+    """WITH RECURSIVE c AS (SELECT event_id, user_id, epoch(ts)::BIGINT - (epoch(ts) < epoch(ts)::BIGINT)::INT AS second, 10 + event_id % 60 AS tokens, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT - (epoch(ts) < epoch(ts)::BIGINT)::INT, event_id) AS rn FROM events),
+s AS (SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, []::STRUCT(sec BIGINT, n BIGINT)[] AS win, -1::BIGINT AS day, 0 AS today, false AS accepted FROM (SELECT DISTINCT user_id FROM c)
+UNION ALL SELECT user_id, rn, event_id, CASE WHEN ok THEN list_append(live, {'sec': second, 'n': tokens}) ELSE live END, second // 86400, done + ok::INT, ok FROM (
+  SELECT *, len(live) < 3 AND coalesce(list_sum(list_transform(live, lambda x: x.n)), 0) + tokens <= 120 AND done + 1 <= 20 AS ok FROM (
+    SELECT c.user_id, c.rn, c.event_id, c.second, c.tokens, list_filter(s.win, lambda x: c.second - x.sec <= 60) AS live, CASE WHEN c.second // 86400 = s.day THEN s.today ELSE 0 END AS done FROM s JOIN c ON c.user_id = s.user_id AND c.rn = s.rn + 1)))
+SELECT event_id, accepted FROM s WHERE rn > 0""",
+)
 def admission_replay(spark: SparkSession, d: str) -> DataFrame:
     """Calls of each user in time order; only accepted ones count in the windows."""
 
