@@ -90,13 +90,21 @@ def rejection_summary(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("eval_id", F.size("p").cast("bigint").alias("rejected"), F.array_join(F.transform(F.slice("p", 1, 5), lambda x: x.cast("string")), ",").alias("shown"))
 
 
-@query("citation_check", """SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, count(*) AS refs, bool_and(p.p_partkey IS NOT NULL) AS known, bool_and(coalesce(p.p_size % 7 = l.l_suppkey % 7, false)) AS page_agrees
+@query("citation_check", """SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, count(*) AS refs, bool_and(p.p_partkey IS NOT NULL) AS known, bool_and(coalesce(p.p_size % 7 = l.l_suppkey % 7, false)) AS page_agrees,
+bool_and(coalesce(p.p_partkey % 150 = l.l_orderkey % 150, false)) AS document_agrees, bool_and(coalesce(p.p_partkey IS NOT NULL AND coalesce(nullif(p.p_type, 'PROMO'), 'documento') = CASE WHEN l.l_linenumber % 3 = 0 THEN 'documento' WHEN l.l_suppkey % 2 = 0 THEN p.p_type ELSE 'LARGE' END, false)) AS section_agrees
 FROM lineitem l LEFT JOIN (SELECT * FROM part WHERE p_partkey % 19 <> 0) p ON p.p_partkey = l.l_partkey GROUP BY 1, 2, 3""")
 def citation_check(spark: SparkSession, d: str) -> DataFrame:
-    evidence = table(spark, d, "part").where("p_partkey % 19 <> 0").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("page"))
-    rows = table(spark, d, "lineitem").join(evidence, "l_partkey", "left")
-    agrees = F.coalesce(F.col("page") % 7 == F.col("l_suppkey") % 7, F.lit(False))
-    return rows.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.count("*").alias("refs"), F.bool_and(F.col("page").isNotNull()).alias("known"), F.bool_and(agrees).alias("page_agrees"))
+    """Whether each citation names authorised evidence, and agrees with its page, document and section; a section without a name is 'documento'."""
+    evidence = table(spark, d, "part").where("p_partkey % 19 <> 0").select(
+        F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("page"), (F.col("p_partkey") % 150).alias("document"), F.coalesce(F.nullif(F.col("p_type"), F.lit("PROMO")), F.lit("documento")).alias("section"), "p_type"
+    )
+    cited = F.when(F.col("l_linenumber") % 3 == 0, "documento").when(F.col("l_suppkey") % 2 == 0, F.col("p_type")).otherwise("LARGE")
+    rows = table(spark, d, "lineitem").join(evidence, "l_partkey", "left").withColumn("cited", cited)
+    agrees = lambda own, cited: F.bool_and(F.coalesce(own == cited, F.lit(False)))
+    return rows.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(
+        F.count("*").alias("refs"), F.bool_and(F.col("page").isNotNull()).alias("known"), agrees(F.col("page") % 7, F.col("l_suppkey") % 7).alias("page_agrees"),
+        agrees(F.col("document"), F.col("l_orderkey") % 150).alias("document_agrees"), agrees(F.col("section"), F.col("cited")).alias("section_agrees"),
+    )
 
 
 JUDGE = """review AS (SELECT doc_id, quality = 1 AND toxic = 0 AS human, (doc_id * 7) % 10 < 8 AS judge, doc_id % 3 AS lang, doc_id % 4 AS rating, doc_id % 11 <> 0 AS comparable FROM labels)"""

@@ -524,12 +524,81 @@ def prune_references(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "comparable_pairs",
+    "comparable_classes",
     with_(GEN, LINK) + """, s AS (SELECT g.gen_id, g.workspace, coalesce(string_agg(l.doc_id % 5, ',' ORDER BY l.doc_id % 5), '') AS sources FROM gen g LEFT JOIN (SELECT DISTINCT gen_id, doc_id % 5 AS doc_id FROM link) l USING (gen_id) GROUP BY 1, 2)
-SELECT a.gen_id AS one, b.gen_id AS two FROM s a JOIN s b ON a.workspace = b.workspace AND a.sources = b.sources AND a.gen_id < b.gen_id""",
+SELECT gen_id, min(gen_id) OVER w AS class_id, count(*) OVER w - 1 AS partners FROM s WINDOW w AS (PARTITION BY workspace, sources)""",
 )
-def comparable_pairs(spark: SparkSession, d: str) -> DataFrame:
+def comparable_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Generations of one workspace from the same sources can be compared: the class of each, and with how many others. A class stands for all its pairs."""
     sets = links(spark, d).groupBy("gen_id").agg(F.sort_array(F.collect_set(F.col("doc_id") % 5)).alias("sources"))
     rows = generations(spark, d).select("gen_id", "workspace").join(sets, "gen_id", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<bigint>")))
-    one, two = rows.withColumnRenamed("gen_id", "one"), rows.withColumnRenamed("gen_id", "two")
-    return one.join(two, ["workspace", "sources"]).where("one < two").select("one", "two")
+    classes = rows.groupBy("workspace", "sources").agg(F.min("gen_id").alias("class_id"), (F.count("*") - 1).alias("partners"))
+    return rows.join(classes, ["workspace", "sources"]).select("gen_id", "class_id", "partners")
+
+
+@query(
+    "comparable_pairs",
+    with_(GEN, LINK) + """, s AS (SELECT g.gen_id, g.workspace, coalesce(string_agg(l.doc_id % 5, ',' ORDER BY l.doc_id % 5), '') AS sources FROM gen g LEFT JOIN (SELECT DISTINCT gen_id, doc_id % 5 AS doc_id FROM link) l USING (gen_id) GROUP BY 1, 2)
+SELECT a.gen_id AS one, b.gen_id AS two FROM s a JOIN s b ON a.workspace = b.workspace AND a.sources = b.sources AND a.gen_id < b.gen_id WHERE a.gen_id % 20 = 0 OR b.gen_id % 20 = 0""",
+)
+def comparable_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each generation of the stated query set, whose id is divisible by 20, with all that it can be compared with."""
+    classes = comparable_classes(spark, d)
+    asked = classes.where("gen_id % 20 = 0").select(F.col("gen_id").alias("query"), "class_id")
+    pairs = asked.join(classes.select("gen_id", "class_id"), "class_id").where("query <> gen_id")
+    return pairs.select(F.least("query", "gen_id").alias("one"), F.greatest("query", "gen_id").alias("two")).distinct()
+
+
+TREE = """tree AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN NULL ELSE (turn - 1) // 2 END AS parent FROM conversations)"""
+
+
+@query(
+    "prune_tree",
+    f"""WITH RECURSIVE {TREE}, dead AS (SELECT conv_id, turn FROM tree WHERE turn % 5 = 3 OR conv_id % 11 = 4 AND turn = 1
+UNION SELECT t.conv_id, t.turn FROM tree t JOIN dead d ON d.conv_id = t.conv_id AND d.turn = t.parent)
+SELECT conv_id, turn FROM tree EXCEPT SELECT conv_id, turn FROM dead""",
+)
+def prune_tree(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of each content tree when nodes with a retired reference go with all that hangs on them."""
+    node = F.struct(F.col("turn").alias("turn"), F.when(F.col("turn") > 0, F.floor((F.col("turn") - 1) / 2)).alias("parent"), ((F.col("turn") % 5 == 3) | (F.col("conv_id") % 11 == 4) & (F.col("turn") == 1)).alias("retired"))
+    trees = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    # parents come before their children, so one pass over a tree's nodes is enough
+    gone = F.aggregate("nodes", F.array().cast("array<bigint>"), lambda dead, n: F.when(n["retired"] | F.array_contains(dead, F.coalesce(n["parent"], F.lit(-1))), F.array_append(dead, n["turn"])).otherwise(dead))
+    kept = F.filter(F.transform("nodes", lambda n: n["turn"]), lambda t: ~F.array_contains("gone", t))
+    return trees.withColumn("gone", gone).select("conv_id", F.explode(kept).alias("turn"))
+
+
+@query(
+    "object_listing",
+    """WITH names AS (SELECT source || '/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS name FROM documents),
+page AS (SELECT source_name, (row_number() OVER (PARTITION BY source_name ORDER BY name) - 1) // 25 AS page, name FROM (SELECT name, split_part(name, '/', 1) AS source_name FROM names)),
+listed AS (SELECT source_name, page, max(name) AS cursor FROM page GROUP BY 1, 2),
+told AS (SELECT source_name, page, CASE WHEN page > 0 AND page % 3 = 2 THEN lag(cursor) OVER (PARTITION BY source_name ORDER BY page) ELSE cursor END AS cursor FROM listed)
+SELECT source_name, count(*) AS pages, count(*) - count(DISTINCT cursor) AS repeated, min(page) FILTER (again) AS first_repeat FROM (SELECT *, row_number() OVER (PARTITION BY source_name, cursor ORDER BY page) > 1 AS again FROM told) GROUP BY 1""",
+)
+def object_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Listings of all names under a prefix, page by page: how many pages each took, and whether a page's cursor came twice, which would never end."""
+    names = table(spark, d, "documents").select(F.col("source").alias("source_name"), F.concat_ws("/", "source", F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("name"))
+    page = F.floor((F.row_number().over(Window.partitionBy("source_name").orderBy("name")) - 1) / 25)
+    listed = names.withColumn("page", page).groupBy("source_name", "page").agg(F.max("name").alias("cursor"))
+    stuck = F.lag("cursor").over(Window.partitionBy("source_name").orderBy("page"))
+    told = listed.withColumn("cursor", F.when((F.col("page") > 0) & (F.col("page") % 3 == 2), stuck).otherwise(F.col("cursor")))
+    again = F.row_number().over(Window.partitionBy("source_name", "cursor").orderBy("page")) > 1
+    rows = told.withColumn("again", again).groupBy("source_name")
+    return rows.agg(F.count("*").alias("pages"), F.count_if("again").alias("repeated"), F.min(F.when(F.col("again"), F.col("page"))).alias("first_repeat"))
+
+
+@query(
+    "polled_jobs",
+    with_(GEN) + """, seen AS (SELECT gen_id, unnest(range(0, 5)) AS poll, gen_id % 7 AS done FROM gen),
+told AS (SELECT gen_id, poll, CASE WHEN poll < done THEN 'running' WHEN gen_id % 3 = 0 THEN 'failed' ELSE 'completed' END AS state FROM seen)
+SELECT gen_id, coalesce(min(poll) FILTER (state <> 'running') + 1, count(*)) AS polls, coalesce(min_by(state, poll) FILTER (state <> 'running'), 'running') AS last_state FROM told GROUP BY 1""",
+)
+def polled_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """How often each job is asked for its state, five times at most: asking stops at the first end state."""
+    done = F.col("gen_id") % 7
+    told = generations(spark, d).select("gen_id", done.alias("done"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("poll"))
+    told = told.withColumn("state", F.when(F.col("poll") < F.col("done"), "running").when(F.col("gen_id") % 3 == 0, "failed").otherwise("completed"))
+    ended = F.min(F.when(F.col("state") != "running", F.struct("poll", "state")))
+    rows = told.groupBy("gen_id").agg(ended.alias("ended"), F.count("*").alias("asked"))
+    return rows.select("gen_id", F.coalesce((F.col("ended.poll") + 1).cast("long"), "asked").alias("polls"), F.coalesce("ended.state", F.lit("running")).alias("last_state"))

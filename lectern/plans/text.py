@@ -176,6 +176,7 @@ TERM_PATTERNS = (
 ARTICLE = r"^(?:una?|las?|los?|the|an?|uma?|os|as)\s+"
 # the same in the other engine, which has no look-around: a letter beside a match is taken along and the match is then dropped
 _BESIDE = r"[^\x00-\x7F]?"
+_DOUBLED = r"regexp_replace(said, '([^\x00-\x7F])', '\1\1', 'g')"  # so that a letter between two matches goes with both
 _SQL_PATTERNS = (
     (r"`([^`\n]{1,100})`", True, False),
     (rf"{_BESIDE}\b[A-Z][A-Z0-9_-]{{1,15}}(?:\.[A-Za-z_][\p{{L}}\p{{N}}_.]*)?\b{_BESIDE}", True, True),
@@ -186,7 +187,7 @@ _SQL_PATTERNS = (
     (r"(?i)([\p{L}\p{N}_À-ÿ][\p{L}\p{N}_À-ÿ-]*(?:[ \t]+[\p{L}\p{N}_À-ÿ][\p{L}\p{N}_À-ÿ-]*){0,5})[ \t]+(?:es|son|is|are|é|são)[ \t]+", False, False),
 )
 TERM_SQL = CHUNK_SQL + ", raw AS (" + "\nUNION ALL ".join(
-    f"SELECT doc_id, idx, {str(flag).lower()} AS identifier, {str(beside).lower()} AS beside, unnest(regexp_extract_all(said, '{p}'{'' if beside else ', 1'})) AS said FROM chunk"
+    f"SELECT doc_id, idx, {str(flag).lower()} AS identifier, {str(beside).lower()} AS beside, unnest(regexp_extract_all({_DOUBLED if beside else 'said'}, '{p}'{'' if beside else ', 1'})) AS said FROM chunk"
     for p, flag, beside in _SQL_PATTERNS
 ) + r"""), own AS (SELECT doc_id, idx, identifier, CASE WHEN beside THEN trim(said, '“”‘’«»„…–—') ELSE said END AS said FROM raw WHERE NOT beside OR NOT regexp_matches(regexp_replace(said, '^[\x00-\x7F].*[\x00-\x7F]$', ''), '^[\p{L}\p{N}]|[\p{L}\p{N}]$')),
 clean AS (SELECT doc_id, idx, identifier, CASE WHEN identifier THEN trim(regexp_replace(said, '\s+', ' ', 'g')) ELSE regexp_replace(trim(trim(regexp_replace(said, '\s+', ' ', 'g')), '.,:;()'), '^(una?|las?|los?|the|an?|uma?|os|as)\s+', '', 'i') END AS term FROM own),

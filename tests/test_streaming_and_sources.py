@@ -29,6 +29,24 @@ def test_streams(spark, tmp_path):
     assert accepted[0] and accepted[2] and accepted[4] and not accepted[6]
 
 
+def test_jobs_end_or_expire(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    at = lambda i, s, job, kind: (i, start + timedelta(seconds=s), job, kind, 0.0, "")
+    parts = [
+        [at(0, 0, 1, "queued"), at(1, 5, 2, "queued"), at(2, 9, 2, "running"), at(3, 20, 3, "queued")],
+        [at(4, 30, 2, "completed"), at(5, 40, 2, "running"), at(6, 200, 3, "running")],
+        [at(7, 900, 4, "queued")],
+        [at(8, 1300, 5, "queued")],
+    ]
+    folder = f"{tmp_path}/jobs"
+    for part in parts:
+        spark.createDataFrame(part, streams.SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    got = {}
+    for r in run(streams.queue_states(streams.source(spark, folder)), "jobs"):
+        got.setdefault(r.user_id, []).append(r.state)
+    assert got[2] == ["queued", "running", "completed"] and got[1] == ["queued", "expired"] and got[3][-1] == "expired"
+
+
 def test_files_and_published_versions(spark, tmp_path):
     folder = tmp_path / "files"
     folder.mkdir()
