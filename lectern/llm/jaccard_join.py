@@ -14,8 +14,9 @@ the whole sets.
 Only links that can join two components are looked for, so a large group of
 near copies gives no square of pairs: first every member is held against one
 pivot of its group and every group against its neighbour and a pivot in each
-prefix shingle's list; then all pairs in those lists whose members still lie in
-different components. A pair is verified if its parity sketches, whose Hamming
+prefix shingle's list; where lists still hold many pairs of different components,
+their documents are held against a few pivots of each list in some turns; then
+all pairs in those lists whose members still lie in different components. A pair is verified if its parity sketches, whose Hamming
 distance bounds the sets' difference from below, allow the link. Nothing is
 capped: every pair of documents that is left out is already connected or can't
 reach the threshold.
@@ -42,10 +43,14 @@ from lectern.llm.hashing import lower_ascii, shingle_set, word_hashes
 
 #: A shingle in over one of so many documents (and in FREQUENT_LEAST) goes last in the order, so the list of such shingles is bounded by this times the mean set size.
 FREQUENT_SHARE, FREQUENT_LEAST = 1000, 8
+#: A batch counts a shingle for that list if so many of its documents have it, and half of FREQUENT_SHARE's part of them.
+MARKED_LEAST = 3
 #: Shingles of one part in so many of the hash space are counted.
 COUNTED_PART = 4
-#: 64-bit words of a document's sketch.
-SKETCH_WORDS = 32
+#: While lists hold over so many pairs of different components for each of their rows, documents are first held against a few pivots of each list.
+MANY_PAIRS, PIVOTS, TURNS = 8, 4, 2
+#: 64-bit words of a document's sketch, and of the folded one that rows of lists carry.
+SKETCH_WORDS, FOLDED_WORDS = 32, 4
 
 
 def _sets(texts: pd.Series, k: int) -> Iterator[np.ndarray]:
@@ -71,7 +76,7 @@ def shingle_order(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             sets = list(_sets(batch["text"], k))
             found, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-            frequent = n > max(FREQUENT_LEAST, len(sets) // FREQUENT_SHARE)
+            frequent = n >= max(MARKED_LEAST, len(sets) // (2 * FREQUENT_SHARE))
             few, none = np.minimum(n, 2), np.zeros(len(n), np.int64)
             for part, own, marked in ((_counted(found), few, none), (frequent, none, n)):
                 yield pd.DataFrame({"h": found[part].astype(np.int64), "n": own[part].astype(np.int8), "marked": marked[part].astype(np.int64)})
@@ -134,6 +139,31 @@ def _enough_left(percent: int) -> Column:
     return F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
 
 
+def _folded() -> list[Column]:
+    """The sketch with fewer cells, as columns f0, ...: parities of joined cells."""
+    out = []
+    for j in range(FOLDED_WORDS):
+        word = F.col("sketch")[j]
+        for k in range(j + FOLDED_WORDS, SKETCH_WORDS, FOLDED_WORDS):
+            word = word.bitwiseXOR(F.col("sketch")[k])
+        out.append(word.alias(f"f{j}"))
+    return out
+
+
+FOLDED = [f"f{j}" for j in range(FOLDED_WORDS)]
+
+
+def _side(x: str, source: str = "") -> list[Column]:
+    """A document of a pair, as columns named by its side: id, size, place, label, folded sketch."""
+    names = {"doc_id": x, "n": f"n{x}", "place": f"i{x}", "label": f"l{x}"} | {f: f"{f}{x}" for f in FOLDED}
+    return [F.col(source + c).alias(name) for c, name in names.items()]
+
+
+def _folds_allow(percent: int) -> Column:
+    apart = sum((F.bit_count(F.col(f"{f}a").bitwiseXOR(F.col(f"{f}b"))) for f in FOLDED), F.lit(0))
+    return apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+
+
 def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sketches allow the link: difference <= (|a| + |b|) (100 - percent) / (100 + percent) whenever they reach the threshold."""
     left = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
@@ -184,7 +214,7 @@ def _near_in_lists(listed: DataFrame, percent: int) -> DataFrame:
 
 
 def _apart_in_lists(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with different labels that share a list. rows: token, place, n, doc_id, label.
+    """Pairs (a, b) with different labels that share a list. rows: token, place, n, doc_id, label and folded sketches.
 
     Which sizes and places of a list go together is settled first, so that documents whose sizes and places can't link are never paired.
     """
@@ -192,9 +222,9 @@ def _apart_in_lists(rows: DataFrame, percent: int) -> DataFrame:
     one = kinds.select("token", F.col("n").alias("na"), F.col("place").alias("ia"))
     two = kinds.select("token", F.col("n").alias("nb"), F.col("place").alias("ib"))
     fit = one.join(two, "token").where(_can_reach(percent) & _enough_left(percent) & ((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("ia") <= F.col("ib"))))
-    left = rows.select("token", F.col("n").alias("na"), F.col("place").alias("ia"), F.col("doc_id").alias("a"), F.col("label").alias("la"))
-    right = rows.select("token", F.col("n").alias("nb"), F.col("place").alias("ib"), F.col("doc_id").alias("b"), F.col("label").alias("lb"))
-    return fit.join(left, ["token", "na", "ia"]).join(right, ["token", "nb", "ib"]).where("la <> lb").select("a", "b")
+    left, right = rows.select("token", *_side("a")), rows.select("token", *_side("b"))
+    both = fit.join(left, ["token", "na", "ia"]).join(right, ["token", "nb", "ib"])
+    return both.where((F.col("la") != F.col("lb")) & _folds_allow(percent)).select("a", "b")
 
 
 def _mixed(rows: DataFrame, by: str) -> DataFrame:
@@ -202,6 +232,35 @@ def _mixed(rows: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by).agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select(by)
 
 
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """pivot, doc_id, n, label and folded sketch of the members of open groups, as a table."""
+    found = members.select("pivot", "doc_id", "n", *_folded()).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return checkpointed(found.select("pivot", "doc_id", "n", F.coalesce("component", "doc_id").alias("label"), *FOLDED))
+
+
+def _mixed_lists(listed: DataFrame, label: DataFrame) -> DataFrame:
+    """token, place, n, doc_id, label and folded sketch of the rows of lists that hold several components, as a table."""
+    by_token = listed.select("token", "place", "pivot").join(label, "pivot").drop("pivot")
+    return checkpointed(by_token.join(_mixed(by_token, "token"), "token"))
+
+
+def _many_pairs(lists: DataFrame) -> bool:
+    """Whether the lists hold many more pairs of different components than rows."""
+    same = lists.groupBy("token", "label").agg(F.count("*").cast("double").alias("c"))
+    per = same.groupBy("token").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+    total = per.agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n") - F.col("squares")).alias("pairs")).first()
+    return (total["pairs"] or 0) / 2 > MANY_PAIRS * (total["rows"] or 0)
+
+
+def _with_pivots(lists: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b): each document of a list with PIVOTS documents that a hash of the ids picks there, others in each turn."""
+    who = F.struct("doc_id", "n", "place", "label", *FOLDED)
+    picked = lists.groupBy("token").agg(*(F.min_by(who, F.xxhash64("doc_id", F.lit(turn * PIVOTS + k))).alias(f"p{k}") for k in range(PIVOTS)))
+    each = lists.join(picked.select("token", F.explode(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("p")), "token")
+    each = each.select(*_side("a"), *_side("b", "p."))
+    return each.where((F.col("la") != F.col("lb")) & _can_reach(percent) & _enough_left(percent) & _folds_allow(percent)).select("a", "b")
+
+
 def links(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
     """(rows, labels): rows has doc_id, n_shingles, class (smallest doc_id with the same set) of each row;
     labels has node, component of the classes that link with others. Rows without an id or without words link with nothing.
@@ -236,20 +295,29 @@ def links(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, Da
     labels = components(edges)
 
     # what may still link different components
-    label = members.select("pivot", "doc_id", "n").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    label = checkpointed(label.select("pivot", "doc_id", "n", F.coalesce("component", "doc_id").alias("label")))
-    by_token = listed.select("token", "place", "pivot").join(label, "pivot").select("token", "place", "n", "doc_id", "label")
-    lists = checkpointed(by_token.join(_mixed(by_token, "token"), "token"))
+    label = _labelled(members, labels)
+    lists = _mixed_lists(listed, label)
+    for turn in range(TURNS):
+        if not _many_pairs(lists):
+            break
+        near = _ordered(_with_pivots(lists, turn, percent))
+        found = checkpointed(_verified(_plausible(near, sketches, percent), sets, percent))
+        if found.isEmpty():
+            break
+        first, labels = labels, components(labels.toDF("a", "b").union(found))
+        dropped(first, label, lists, found)
+        label = _labelled(members, labels)
+        lists = _mixed_lists(listed, label)
     split = label.join(_mixed(label, "pivot"), "pivot")
     side = lambda x: split.select("pivot", F.col("doc_id").alias(x), F.col("label").alias(f"l{x}"))
     in_groups = side("a").join(side("b"), "pivot").where("la <> lb").select("a", "b")
     rest = checkpointed(_ordered(_apart_in_lists(lists, percent).union(in_groups)))
-    more = checkpointed(_verified(checkpointed(_plausible(rest, sketches, percent)), sets, percent))
+    likely = checkpointed(_plausible(rest, sketches, percent))
+    more = checkpointed(_verified(likely, sets, percent))
     if not more.isEmpty():
-        first = labels
-        labels = components(first.toDF("a", "b").union(more))
+        first, labels = labels, components(labels.toDF("a", "b").union(more))
         dropped(first)
-    dropped(listed, members, sets, pairs, edges, label, lists, rest, more)
+    dropped(listed, members, sets, pairs, edges, label, lists, rest, likely, more)
     return rows, labels
 
 
