@@ -5,14 +5,14 @@ table) go to the scoring tasks; a rarer word of a training document that a
 filter of the repeated words doesn't hold has the count 1, one of a held-out
 document that a filter of all words doesn't hold has 0; the few words that this
 leaves open are joined with their counts. The recurrent model (`recurrent`)
-knows the commonest words as symbols; the other words stand for 64 rare-word
+knows the commonest words as symbols; the other words stand for 32 rare-word
 symbols by their last byte, and within such a symbol a word has its smoothed
 share of the training counts, so the probabilities of all words sum to one.
 It starts from weights learnt in one task from a few documents (`sample_docs`,
 `sample_words`) and then learns from every training document: in each of ROUNDS
 rounds every partition goes on from the same weights over its own documents of
 that round, and the weights are averaged by the words they have seen. Counts,
-score and state cover whole documents. Words are told apart by hashes of 58
+score and state cover whole documents. Words are told apart by hashes of 59
 bits and their last byte.
 """
 

@@ -13,7 +13,7 @@ import heapq
 
 import numpy as np
 
-CLASSES, CLASS_WORDS, HIDDEN = 64, 64, 32
+CLASSES, CLASS_WORDS, HIDDEN = 32, 32, 16
 SYMBOLS = CLASSES * CLASS_WORDS
 WINDOW, LANES = 32, 256
 NAMES = ("table", "u", "out_class", "bias_class", "out_word", "bias_word")

@@ -184,19 +184,20 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 8, r
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample_docs: int, sample_chars: int) -> DataFrame:
-    """A bounded set of labelled rows, by a hash of their ids; longer texts than sample_chars aren't learnt from."""
+    """A bounded set of labelled rows, by a hash of their ids; longer texts than sample_chars aren't learnt from. If an id stands on several rows, one of them is."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic").where(fold != 2).dropDuplicates(["doc_id"])
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     rows = docs.select("doc_id", whole_text().alias("text")).where(F.length("text") <= sample_chars)
-    return rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # at most sample_docs ids
+    found = rows.join(F.broadcast(chosen), "doc_id")  # at most sample_docs ids
+    return found.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, sample_chars: int = 10_000) -> Model:
     """Trains in one task, on the bounded sample; only the model comes to the driver."""
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["text", "toxic"], key=lambda s: s.map(lambda t: zlib.crc32(str(t).encode("utf-8", "replace"))), kind="stable").head(2 * sample_docs)
+        rows = rows.sort_values(["text", "toxic"], key=lambda s: s.map(lambda t: zlib.crc32(str(t).encode("utf-8", "replace"))), kind="stable")
         m = train(list(rows["text"]), rows["toxic"].to_numpy())
         return pd.DataFrame([(m.slope.tobytes(), m.bias, m.scale, m.shift, m.base)], columns=["slope", "bias", "scale", "shift", "base"])
 
