@@ -31,9 +31,9 @@ def ext_intersect(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_nationkey").alias("nation")).intersect(table(spark, d, "supplier").select("s_nationkey"))
 
 
-@query("ext_except", "SELECT p_partkey AS part FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 10")
+@query("ext_except", "SELECT p_partkey AS part FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
 def ext_except(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select(F.col("p_partkey").alias("part")).subtract(table(spark, d, "lineitem").where("l_quantity > 10").select("l_partkey"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("part")).subtract(table(spark, d, "lineitem").where("l_quantity > 45").select("l_partkey"))
 
 
 @query("ext_asof", "WITH a AS (SELECT * FROM events WHERE event_type = 'purchase'), b AS (SELECT * FROM events WHERE event_type <> 'purchase') SELECT a.event_id, max_by(b.event_id, (b.ts, b.event_id)) AS before FROM a LEFT JOIN b ON a.user_id = b.user_id AND b.ts <= a.ts GROUP BY 1")
@@ -45,10 +45,10 @@ def ext_asof(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("before", seen).where("bought").select("event_id", "before")
 
 
-@query("ext_approx_distinct", "SELECT event_type, true AS near FROM events GROUP BY 1")
+@query("ext_approx_distinct", "SELECT event_type, count(DISTINCT user_id) AS exact, true AS near FROM events GROUP BY 1")
 def ext_approx_distinct(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("a"), F.countDistinct("user_id").alias("n"))
-    return rows.select("event_type", (F.abs(F.col("a") - F.col("n")) <= 0.1 * F.col("n")).alias("near"))
+    return rows.select("event_type", F.col("n").alias("exact"), (F.abs(F.col("a") - F.col("n")) <= 0.1 * F.col("n")).alias("near"))
 
 
 @query("ext_tumbling", "SELECT event_type, strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")

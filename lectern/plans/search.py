@@ -167,7 +167,40 @@ def mmr_multi_source(spark: SparkSession, d: str) -> DataFrame:
     return hits(spark, d).groupBy("query_id").applyInPandas(select, "query_id long, doc long, chunk_id string, place long")
 
 
-@query("chunks")
+CHUNKS_SQL = r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, E'\n')) AS line, generate_subscripts(string_split(text, E'\n'), 1) AS no FROM documents),
+said AS (SELECT doc_id, line, no, no - row_number() OVER (PARTITION BY doc_id ORDER BY no) AS block FROM l WHERE regexp_matches(line, '\S')),
+blocks AS (SELECT doc_id, min(no) AS block, string_agg(line, E'\n' ORDER BY no) AS said FROM said GROUP BY doc_id, said.block),
+-- parts of blocks: a block of over 825 tokens is cut at the last best gap before its 631st token
+parts AS (
+  SELECT doc_id, block, block AS line, said AS rest, NULL::VARCHAR AS part, NULL::BIGINT AS part_line, 0 AS n, len(regexp_extract_all(said, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) > 825 AS big FROM blocks
+  UNION ALL
+  SELECT doc_id, block, line + length(substr(rest, 1, cut)) - length(replace(substr(rest, 1, cut), E'\n', '')), substr(rest, cut + 1), substr(rest, 1, cut), line, n + 1, big FROM (
+    SELECT *, CASE WHEN NOT big OR upto IS NULL THEN length(rest) ELSE coalesce(list_max(list_transform(list_filter(gaps, lambda g: g.cut IS NOT NULL), lambda g: {'worth': g.worth, 'cut': g.cut})).cut, upto) END::INT AS cut FROM (
+      SELECT *, list_transform(range(1, len(runs) + 1), lambda i: CASE WHEN lower(regexp_extract(runs[i], '^\S*')) IN ('no', 'not', 'não', 'sin', 'excepto')
+          OR regexp_extract(substr(rest, ends[i]::INT + 1, 64), '^\s*(\S*)', 1) IN ('ms', 's', 'MB', 'GB', 'KB', '%', 'kg') THEN {'worth': 0, 'cut': NULL::BIGINT}
+          ELSE {'worth': CASE WHEN contains(runs[i], E'\n') THEN 2 WHEN regexp_matches(runs[i], '[.!?;]\s+$') THEN 1 ELSE 0 END, 'cut': ends[i]::BIGINT - CASE WHEN contains(runs[i], E'\n') THEN position(E'\n' IN reverse(runs[i])) - 1 ELSE 0 END} END) AS gaps FROM (
+        SELECT *, list_transform(range(1, len(runs) + 1), lambda i: list_sum(list_transform(runs[1:i], lambda r: length(r)))) AS ends FROM (
+          SELECT *, CASE WHEN upto IS NULL THEN [] ELSE regexp_extract_all(substr(rest, 1, upto::INT), '\S*\s+') END AS runs FROM (
+            SELECT *, CASE WHEN big AND len(toks) > 630 THEN list_sum(list_transform(toks[1:630], lambda t: length(t))) + length(toks[631]) - length(regexp_extract(toks[631], '\S+$')) END AS upto FROM (
+              SELECT *, CASE WHEN big THEN regexp_extract_all(rest, '\s*(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])') ELSE [] END AS toks FROM parts WHERE rest <> ''))))))),
+sized AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block, n) AS u, part AS said, part_line AS line, part_line + length(rtrim(part, E'\n')) - length(replace(rtrim(part, E'\n'), E'\n', '')) AS last, regexp_extract_all(part, '\s*(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])') AS toks FROM parts WHERE part IS NOT NULL),
+-- the last words of each part with at most 120 tokens
+ended AS (SELECT *, len(toks) AS n, CASE WHEN len(toks) <= 120 THEN said ELSE (CASE WHEN regexp_matches(substr(said, list_sum(list_transform(toks[1:len(toks) - 120], lambda t: length(t)))::INT + 1), '\s') THEN regexp_replace(substr(said, list_sum(list_transform(toks[1:len(toks) - 120], lambda t: length(t)))::INT + 1), '^\S*\s+', '') ELSE '' END) END AS tail FROM sized),
+units AS (SELECT doc_id, u, max(u) OVER (PARTITION BY doc_id) AS ends_at, n, {'said': said, 'line': line, 'last': last} AS unit, CASE WHEN tail = '' THEN [] ELSE [{'said': tail, 'line': line + length(said) - length(tail) - length(replace(substr(said, 1, (length(said) - length(tail))::INT), E'\n', '')), 'last': last}] END AS tail,
+  len(regexp_extract_all(tail, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS tail_n FROM ended),
+packed AS (
+  SELECT DISTINCT doc_id, 0::BIGINT AS u, NULL::STRUCT(said VARCHAR, line BIGINT, "last" BIGINT)[] AS pack, 0::BIGINT AS size, false AS fresh, NULL::STRUCT(said VARCHAR, line BIGINT, "last" BIGINT)[] AS tail, 0::BIGINT AS tail_n, NULL::STRUCT(said VARCHAR, line BIGINT, "last" BIGINT)[] AS out1, 0::BIGINT AS size1, NULL::STRUCT(said VARCHAR, line BIGINT, "last" BIGINT)[] AS out2, 0::BIGINT AS size2 FROM units
+  UNION ALL
+  SELECT doc_id, u, CASE WHEN size3 >= 750 THEN tail ELSE pack3 END, CASE WHEN size3 >= 750 THEN tail_n ELSE size3 END, size3 < 750, tail, tail_n, out1, old_size, CASE WHEN size3 >= 750 OR u = ends_at THEN pack3 END, size3 FROM (
+    SELECT *, list_append(CASE WHEN NOT fresh2 AND size2 + n > 825 THEN [] ELSE pack2 END, unit) AS pack3, CASE WHEN NOT fresh2 AND size2 + n > 825 THEN 0 ELSE size2 END + n AS size3 FROM (
+      SELECT t.doc_id, t.u, t.ends_at, t.n, t.unit, t.tail, t.tail_n, p.size AS old_size, p.fresh AND p.size + t.n > 750 AS shut, CASE WHEN p.fresh AND p.size + t.n > 750 THEN p.pack END AS out1,
+        CASE WHEN p.fresh AND p.size + t.n > 750 THEN p.tail ELSE coalesce(p.pack, []) END AS pack2, CASE WHEN p.fresh AND p.size + t.n > 750 THEN p.tail_n ELSE p.size END AS size2, p.fresh AND p.size + t.n <= 750 AS fresh2
+      FROM packed p JOIN units t ON t.doc_id = p.doc_id AND t.u = p.u + 1))),
+outs AS (SELECT doc_id, u, 1 AS k, out1 AS pack, size1 AS size FROM packed WHERE out1 IS NOT NULL UNION ALL SELECT doc_id, u, 2, out2, size2 FROM packed WHERE out2 IS NOT NULL)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY u, k) - 1)::INT AS idx, '(sin encabezados)' AS section, pack[1].line::INT AS line_start, pack[-1]."last"::INT AS line_end, size::INT AS tokens, sha256(array_to_string(list_transform(pack, lambda x: x.said), E'\n\n')) AS content, NULL::VARCHAR AS problem FROM outs"""
+
+
+@query("chunks", CHUNKS_SQL)
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """Token-bounded chunks of every document; a document that can't be kept within the limits gives one row with the reason."""
     kind = "array<struct<idx:int,section:string,line_start:int,line_end:int,tokens:int,content:string,problem:string>>"

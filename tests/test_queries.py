@@ -72,15 +72,6 @@ def test_multi_source_invariants():
         assert sorted(out["chunk_id"]) == sorted(again["chunk_id"])
 
 
-def test_packing_keeps_text_and_limits():
-    text = "\n".join(" ".join(f"w{i}_{j}" for j in range(37)) + "." for i in range(90)) + "\n" + "x " * 3000
-    chunks = selection.pack(text)
-    assert all(n <= 825 for _, n, _ in chunks) and [i for i, _, _ in chunks] == list(range(len(chunks)))
-    said = " ".join(c for _, _, c in chunks)
-    assert set(text.split()) <= set(said.split())
-    assert selection.pack("") == []
-
-
 def test_admission_counts_accepted_calls_only():
     calls = pd.DataFrame({"second": [0, 1, 2, 3, 60, 61, 62], "tokens": [1] * 7})
     assert selection.admit(calls, 3, 100, 100).tolist() == [True, True, True, False, False, True, True]
