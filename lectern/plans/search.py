@@ -159,7 +159,25 @@ def mmr_select(spark: SparkSession, d: str) -> DataFrame:
     return hits(spark, d).groupBy("query_id").applyInPandas(select, "query_id long, chunk_id string, place long")
 
 
-@query("mmr_multi_source")
+@query(
+    "mmr_multi_source",
+    f"""WITH RECURSIVE {HITS_SQL}, own AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc, idx) AS place FROM hits WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY query_id, doc, said ORDER BY sim DESC, idx) = 1),
+options AS (SELECT query_id, doc, list({{'idx': idx, 'cost': cost}} ORDER BY place) AS options FROM own GROUP BY 1, 2),
+cheap AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY query_id, doc ORDER BY cost, sim DESC, idx) = 1),
+slots AS (SELECT query_id, doc, cost, count(*) OVER (PARTITION BY query_id) AS sources, row_number() OVER w AS slot, sum(cost) OVER w AS upto FROM cheap WINDOW w AS (PARTITION BY query_id ORDER BY cost, sim DESC, doc, idx)),
+base AS (SELECT * FROM slots JOIN options USING (query_id, doc) WHERE upto <= 700),
+raised AS (SELECT query_id, sources, count(*) AS slots, 0::BIGINT AS slot, sum(cost)::BIGINT AS spent, []::BIGINT[] AS taken FROM base GROUP BY 1, 2
+UNION ALL SELECT query_id, sources, slots, slot + 1, spent - cost + pick.cost, list_append(taken, pick.idx) FROM (
+  SELECT r.*, b.cost, list_filter(b.options, lambda x: r.spent - b.cost + x.cost <= 700)[1] AS pick FROM raised r JOIN base b ON b.query_id = r.query_id AND b.slot = r.slot + 1)),
+near AS (SELECT a.query_id, a.idx, list({{'idx': b.idx, 'cos': list_dot_product(a.vec, b.vec) / sqrt(list_dot_product(a.vec, a.vec)) / sqrt(list_dot_product(b.vec, b.vec))}}) AS others FROM own a JOIN own b USING (query_id) GROUP BY 1, 2),
+h AS (SELECT query_id, idx, sim, cost, place, others FROM own JOIN near USING (query_id, idx)),
+s AS (SELECT query_id, sources, slots, taken, taken AS seen, spent FROM raised WHERE slot = slots
+UNION ALL SELECT query_id, sources, slots, CASE WHEN spent + best.cost <= 700 THEN list_append(taken, best.idx) ELSE taken END, list_append(seen, best.idx), CASE WHEN spent + best.cost <= 700 THEN spent + best.cost ELSE spent END FROM (
+  SELECT s.query_id, s.sources, s.slots, s.taken, s.seen, s.spent, max({{'worth': 0.7 * h.sim - 0.3 * list_max(list_transform(list_filter(h.others, lambda x: list_contains(s.taken, x.idx)), lambda x: x.cos)), 'order': -h.place, 'idx': h.idx, 'cost': h.cost}}) AS best
+  FROM s JOIN h ON h.query_id = s.query_id AND NOT list_contains(s.seen, h.idx) WHERE s.slots = s.sources AND len(s.taken) < greatest(10, s.sources) GROUP BY 1, 2, 3, 4, 5, 6)),
+done AS (SELECT query_id, max_by(taken, len(seen)) AS taken FROM s GROUP BY 1), each AS (SELECT query_id, unnest(taken) AS idx, generate_subscripts(taken, 1) AS place FROM done)
+SELECT query_id, doc, 'chk_' || idx AS chunk_id, each.place FROM each JOIN own USING (query_id, idx)""",
+)
 def mmr_multi_source(spark: SparkSession, d: str) -> DataFrame:
     def select(rows: pd.DataFrame) -> pd.DataFrame:
         return selection.mmr_sources(rows, 10, 0.7, 700)[["query_id", "doc", "chunk_id", "place"]]
