@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.operators.batches import batched
+
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 CONTROL = r"[\x00-\x08\x0B\x0E-\x1F\x7F]"
 
@@ -55,10 +59,34 @@ def html_field(text: Column) -> Column:
 
 
 def tag(text: Column) -> Column:
+    """One tag; the text is in composed form already (`tags` sees to that)."""
     clean = F.regexp_replace(F.trim(text), r"[^\p{L}\p{N}_:.\-]", "_")
     return F.when(clean.startswith("-"), F.concat(F.lit("nm_"), clean)).otherwise(clean)
 
 
+def tags(texts: Column) -> Column:
+    """The distinct tags of an array of texts, in their order."""
+    composed = batched(lambda values: [unicodedata.normalize("NFC", v) for v in values if v is not None], "array<string>", texts)
+    return F.array_distinct(F.filter(F.transform(composed, tag), lambda x: x != ""))
+
+
+# The characters that Markdown gives a meaning.
+MARKDOWN_SIGNS = r"[\\`*_{}\[\]()#+.!|>~-]"
+
+
+def markdown_text(text: Column, one_line: bool = False) -> Column:
+    """Text that Markdown shows as it is: no markup, links or headings come from it."""
+    out = F.regexp_replace(F.regexp_replace(text, "\r\n|\r", "\n"), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+    out = F.trim(F.regexp_replace(out, r"\s+", " ")) if one_line else out
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(sign), F.lit(entity))
+    return F.regexp_replace(out, f"({MARKDOWN_SIGNS})", r"\\$1")
+
+
+def quoted(text: Column) -> Column:
+    return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
 def stable_id(text: Column) -> Column:
     """A number from the first 48 bits of the digest."""
     return F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("bigint")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as t
 from lectern.plans.base import CATALOG
 from lectern.session import table
+from lectern.sources import decks
 
 query = CATALOG.query
 RE_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
@@ -73,9 +74,35 @@ def html_field(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.sha2(t.html_field(F.col("text")), 256).alias("field"))
 
 
-@query("tag_normalize", r"SELECT p_partkey, CASE WHEN x LIKE '-%' THEN 'nm_' || x ELSE x END AS tag FROM (SELECT p_partkey, regexp_replace(trim(p_name || ' / ' || p_type), '[^\p{L}\p{N}_:.\-]', '_', 'g') AS x FROM part)")
+@query(
+    "tag_normalize",
+    r"""WITH raw AS (SELECT p_partkey, [p_name || ' / ' || p_type, ' ' || p_type || ' ', p_type, '-' || p_brand, 'e' || chr(769) || lower(p_name), '-' || p_brand] AS raws FROM part),
+each AS (SELECT p_partkey, list_transform(raws, lambda r: regexp_replace(trim(nfc_normalize(r)), '[^\p{L}\p{N}_:.\-]', '_', 'g')) AS cleans FROM raw),
+named AS (SELECT p_partkey, list_transform(cleans, lambda x: CASE WHEN x LIKE '-%' THEN 'nm_' || x ELSE x END) AS tags FROM each)
+SELECT p_partkey, array_to_string(list_filter(tags, lambda x, i: list_position(tags, x) = i), ' ') AS tags FROM named""",
+)
 def tag_normalize(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", t.tag(F.concat_ws(" / ", "p_name", "p_type")).alias("tag"))
+    """Tags in composed form, each once, in the order they came."""
+    brand = F.concat(F.lit("-"), "p_brand")
+    raws = F.array(F.concat_ws(" / ", "p_name", "p_type"), F.concat(F.lit(" "), "p_type", F.lit(" ")), F.col("p_type"), brand, F.concat(F.lit("é"), F.lower("p_name")), brand)
+    return table(spark, d, "part").select("p_partkey", F.array_join(t.tags(raws), " ").alias("tags"))
+
+
+@query(
+    "markdown_text",
+    r"""SELECT doc_id, sha256(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '([\\`*_{}\[\]()#+.!|>~-])', '\\\1', 'g')) AS body,
+sha256(regexp_replace(replace(replace(replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '([\\`*_{}\[\]()#+.!|>~-])', '\\\1', 'g')) AS heading FROM documents""",
+)
+def markdown_text(spark: SparkSession, d: str) -> DataFrame:
+    """The text as Markdown shows it unchanged, as it stands and as one line."""
+    return docs(spark, d).select("doc_id", F.sha2(t.markdown_text(F.col("text")), 256).alias("body"), F.sha2(t.markdown_text(F.col("text"), one_line=True), 256).alias("heading"))
+
+
+@query("config_fingerprint", """SELECT p_partkey, substr(sha256('{"overlap":' || p_size || ',"target":' || (700 + p_size) || '}'), 1, 16) AS fingerprint FROM part""")
+def config_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    """A digest of a chunking configuration, from its JSON with sorted keys."""
+    config = F.to_json(F.struct(F.col("p_size").alias("overlap"), (F.lit(700) + F.col("p_size")).alias("target")))
+    return table(spark, d, "part").select("p_partkey", F.substring(F.sha2(config, 256), 1, 16).alias("fingerprint"))
 
 
 @query("stable_ids", "SELECT doc_id, CAST('0x' || substr(sha256(source || ':' || doc_id), 1, 12) AS BIGINT) AS stable_id FROM documents")
@@ -292,11 +319,45 @@ def export_matrix(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, format string, allowed boolean")
 
 
-@query("deck_rows", """SELECT conv_id, turn, '"' || replace(role, '"', '""') || '","' || replace(replace(text, '"', '""'), E'\\n', '<br>') || '","doc_' || conv_id || '"' AS line FROM conversations""")
+HTML_SQL = "'<span>' || replace(replace(replace(replace(replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;'), '[', '&#91;'), ']', '&#93;'), E'\\n', '<br>'), E'\\t', '&#9;') || '</span>'"
+
+
+@query(
+    "deck_rows",
+    f"""WITH heads AS (SELECT unnest([chr(65279) || '#separator:Comma', '#html:true', '#tags column:3', '#guid column:4', '#deck column:5', '#columns:Front,Back,Tags,GUID,Deck']) AS line, unnest(range(0, 6)) AS place),
+cards AS (SELECT conv_id, 6 + turn AS place, list_transform([{HTML_SQL.format("role")}, {HTML_SQL.format("text")}, role || ' doc_' || conv_id, substr(sha256(conv_id || ':' || turn), 1, 12), 'deck ' || conv_id], lambda f: '"' || replace(f, '"', '""') || '"') AS fields FROM conversations)
+SELECT conv_id AS deck_id, place, line FROM heads, (SELECT DISTINCT conv_id FROM conversations) UNION ALL SELECT conv_id, place, array_to_string(fields, ',') FROM cards""",
+)
 def deck_rows(spark: SparkSession, d: str) -> DataFrame:
-    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
-    dorso = F.replace("text", F.lit("\n"), F.lit("<br>"))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(",", quoted(F.col("role")), quoted(dorso), quoted(F.concat(F.lit("doc_"), "conv_id"))).alias("line"))
+    """The lines of a deck's file for each conversation."""
+    cards = table(spark, d, "conversations").select(
+        F.col("conv_id").alias("deck_id"), F.col("turn").alias("place"), t.html_field(F.col("role")).alias("front"), t.html_field(F.col("text")).alias("back"),
+        F.concat_ws(" ", t.tag(F.col("role")), t.tag(F.concat(F.lit("doc_"), "conv_id"))).alias("tags"), F.substring(F.sha2(F.concat_ws(":", "conv_id", "turn"), 256), 1, 12).alias("guid"),
+        F.concat(F.lit("deck "), "conv_id").alias("deck"),
+    )
+    return decks.deck_lines(cards)
+
+
+@query(
+    "footnote_text",
+    """WITH firsts AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS first_line FROM lineitem GROUP BY 1, 2),
+notes AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY first_line, l_partkey) AS note FROM firsts),
+lines AS (SELECT l_orderkey, l_linenumber, string_agg(DISTINCT '[^' || note || ']', '' ORDER BY '[^' || note || ']') AS marks FROM lineitem JOIN notes USING (l_orderkey, l_partkey) GROUP BY 1, 2),
+body AS (SELECT l_orderkey, string_agg('line ' || l_linenumber || marks, E'\\n' ORDER BY l_linenumber) AS said FROM lines GROUP BY 1),
+foot AS (SELECT l_orderkey, string_agg('[^' || note || ']: part ' || l_partkey, E'\\n' ORDER BY note) AS said FROM notes GROUP BY 1)
+SELECT l_orderkey, sha256(body.said || E'\\n\\n' || foot.said) AS page FROM body JOIN foot USING (l_orderkey)""",
+)
+def footnote_text(spark: SparkSession, d: str) -> DataFrame:
+    """Each order's lines as Markdown, with footnotes numbered by their first use."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    firsts = lines.groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("first_line"))
+    notes = firsts.withColumn("note", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("first_line", "l_partkey")))
+    mark = F.concat(F.lit("[^"), "note", F.lit("]"))
+    each = lines.join(notes, ["l_orderkey", "l_partkey"]).groupBy("l_orderkey", "l_linenumber").agg(F.array_join(F.array_sort(F.collect_set(mark)), "").alias("marks"))
+    written = lambda struct: F.transform(F.array_sort(F.collect_list(struct)), lambda x: x["said"])
+    body = each.groupBy("l_orderkey").agg(F.array_join(written(F.struct("l_linenumber", F.concat(F.lit("line "), F.col("l_linenumber").cast("string"), "marks").alias("said"))), "\n").alias("body"))
+    foot = notes.groupBy("l_orderkey").agg(F.array_join(written(F.struct("note", F.concat(mark, F.lit(": part "), F.col("l_partkey").cast("string")).alias("said"))), "\n").alias("foot"))
+    return body.join(foot, "l_orderkey").select("l_orderkey", F.sha2(F.concat_ws("\n\n", "body", "foot"), 256).alias("page"))
 
 
 @query("footnote_numbers", "SELECT l_orderkey, l_partkey, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY first_line, l_partkey) AS note FROM (SELECT l_orderkey, l_partkey, min(l_linenumber) AS first_line FROM lineitem GROUP BY 1, 2)")
