@@ -60,3 +60,13 @@ def test_kept_text_and_empty_table(spark):
     row = substring_dedup.repeats(docs, keep=True).where("doc_id = 2").first()
     assert row.kept == "head tail" and row.removed == [[1, 31]]
     assert substring_dedup.repeats(docs.limit(0)).count() == 0
+
+
+def test_very_long_text(spark):
+    rnd = random.Random(5)
+    words = [f"w{rnd.randint(0, 10**9)}" for _ in range(120_000)]
+    long = "y" * 20_000
+    rows = [(1, " ".join(words)), (2, " ".join(["head", *words[70_000:], "tail"])), (3, " ".join([long, *words[:12]])), (4, " ".join([*words[20:32], long]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.n_removed for r in substring_dedup.repeats(docs).collect()}
+    assert got == {1: 0, 2: 50_000, 3: 0, 4: 0}

@@ -37,3 +37,37 @@ def test_rows(spark):
     assert len(rows) == 123 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
     assert toxicity.classify(docs, marks.limit(0)).count() == 123
     assert toxicity.classify(docs.limit(0), marks).count() == 0
+
+
+def plain_score(model, text):
+    """The score by loops over words and their n-grams."""
+    words = text.lower().split()
+    words = [w for i, w in enumerate(words) if i == 0 or w != words[i - 1]]
+    mask, mix = (1 << 64) - 1, int(toxicity.MIX)
+    n = max(1, len(words) // toxicity.WINDOW_WORDS)
+    sums, counts = [0.0] * n, [0] * n
+    for i, w in enumerate(words):
+        at = min(i // toxicity.WINDOW_WORDS, n - 1)
+        for size in toxicity.SIZES:
+            for k in range(len(w) + 3 - size):
+                h = 0
+                for c in f" {w} "[k : k + size]:
+                    h = (h * mix + ord(c)) & mask
+                h = ((h ^ (h >> 29)) * mix) & mask
+                sums[at] += float(model.slope[h >> 47])
+                counts[at] += 1
+    worst = max(s / max(c, toxicity.FULL_WINDOW) for s, c in zip(sums, counts, strict=True))
+    p = 1 / (1 + np.exp(-(model.scale * (worst + model.bias) + model.shift)))
+    return p if words else min(p, model.base)
+
+
+def test_scores_equal_plain_loops():
+    model = toxicity.train(*corpus(200, 1))
+    for text in [*corpus(40, 9)[0], "", " \n", "a", "é ü zorkel zorkel zorkel", "one two " * 30]:
+        assert abs(toxicity.score(model, text) - plain_score(model, text)) < 1e-6, text
+
+
+def test_very_long_text_is_judged_whole():
+    model = toxicity.train(*corpus(600, 1))
+    clean = " ".join(corpus(1, 5, ("a",))[0] * 6000)
+    assert len(clean) > toxicity.PIECE_CHARS and toxicity.score(model, clean) < 0.3 <= toxicity.score(model, clean + " zorkel blaxxing zorkel")
