@@ -13,7 +13,7 @@ from lectern.functions import text as t
 from lectern.operators import search, selection
 from lectern.operators.batches import batched
 from lectern.plans.base import CATALOG
-from lectern.session import table
+from lectern.session import spread, table
 
 SCORED_SQL = """
 q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q_vec FROM embeddings WHERE vec_id % 20 = 0),
@@ -229,4 +229,4 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
         except chunking.Oversized as problem:
             return [(None, None, None, None, None, None, str(problem))]
 
-    return table(spark, d, "documents").select("doc_id", F.explode(batched(packed, kind, F.col("text"))).alias("c")).select("doc_id", "c.*")
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(batched(packed, kind, F.col("text"))).alias("c")).select("doc_id", "c.*")

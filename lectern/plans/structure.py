@@ -9,7 +9,7 @@ from lectern.functions import structure
 from lectern.functions import text as t
 from lectern.operators.batches import batched
 from lectern.plans.base import CATALOG
-from lectern.session import table
+from lectern.session import spread, table
 
 query = CATALOG.query
 
@@ -75,7 +75,7 @@ SELECT doc_id, coalesce(cut, CASE WHEN upto >= length(text) THEN length(text) EL
 def logical_cut(spark: SparkSession, d: str) -> DataFrame:
     """Where each document would be cut in about half."""
     cut = batched(structure.logical_cut, "int", F.col("text"), F.expr("cast(length(text) div 2 as int)"))
-    return table(spark, d, "documents").select("doc_id", cut.alias("cut"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", cut.alias("cut"))
 
 
 @query("repair_text", "SELECT doc_id, sha256(text) AS content FROM documents")
@@ -84,7 +84,7 @@ def repair_text(spark: SparkSession, d: str) -> DataFrame:
     damaged = F.col("text")
     for pattern, form in (("é", "&eacute;"), ("ü", "&#252;"), ("è", "&egrave"), ("ß", "&#xDF;"), ("ç", "&ccedil;"), ("(?<=[a-z])ä(?=[a-z])", "%e4"), ("(?<=[a-z])ö", r"\\u00f6"), ("(?<=[b-z]ci)ó(?=n[ .,])", "3")):
         damaged = F.regexp_replace(damaged, pattern, form)
-    return table(spark, d, "documents").select("doc_id", F.sha2(batched(structure.repair, "string", damaged), 256).alias("content"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.sha2(batched(structure.repair, "string", damaged), 256).alias("content"))
 
 
 JSON_SQL = """SELECT event_id, CASE event_id % 4 WHEN 1 THEN replace(props, '}', ', "k": ' || event_id || '}') WHEN 2 THEN regexp_replace(props, '[0-9]+', 'NaN') WHEN 3 THEN substr(props, 1, length(props) - 1) ELSE props END AS raw FROM events"""

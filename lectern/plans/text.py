@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as t
 from lectern.plans.base import CATALOG
-from lectern.session import table
+from lectern.session import spread, table
 from lectern.sources import decks
 
 query = CATALOG.query
@@ -51,7 +51,7 @@ def object_list_page(spark: SparkSession, d: str) -> DataFrame:
 
 @query("token_counts", f"SELECT doc_id, len(regexp_extract_all(text, '{RE_TOKEN}')) AS tokens FROM documents")
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", t.tokens(F.col("text")).cast("bigint").alias("tokens"))
+    return spread(docs(spark, d).select("doc_id", "text")).select("doc_id", t.tokens(F.col("text")).cast("bigint").alias("tokens"))
 
 
 @query("evidence_cost", f"""SELECT source, len(regexp_extract_all('[' || string_agg('{{"chunk_id":' || doc_id || ',"text":' || to_json(text) || '}}', ',') || ']', '{RE_TOKEN}'))::BIGINT AS cost FROM documents GROUP BY 1""")
@@ -123,12 +123,12 @@ told AS (SELECT doc_id, source, CASE WHEN es >= en AND es >= pt THEN 'es' WHEN e
 
 @query("detect_language", f"WITH {LANG} SELECT doc_id, language FROM told")
 def detect_language(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", t.language(F.col("text")).alias("language"))
+    return spread(docs(spark, d).select("doc_id", "text")).select("doc_id", t.language(F.col("text")).alias("language"))
 
 
 @query("collective_language", f"WITH {LANG} SELECT source, CASE WHEN count(DISTINCT language) = 1 THEN min(language) ELSE 'mixto' END AS language FROM told GROUP BY 1")
 def collective_language(spark: SparkSession, d: str) -> DataFrame:
-    told = docs(spark, d).select("source", t.language(F.col("text")).alias("language"))
+    told = spread(docs(spark, d).select("source", "text")).select("source", t.language(F.col("text")).alias("language"))
     return told.groupBy("source").agg(F.when(F.min("language") == F.max("language"), F.min("language")).otherwise("mixto").alias("language"))
 
 
@@ -198,7 +198,7 @@ TERM_PATTERNS = (
     (rf"(?<!{WORD})(IPv[46]|[A-Za-z]+_[A-Za-z0-9_]+|(?:[A-Z][a-z]+){{2,}}|[a-z]+(?:[A-Z][a-z0-9]*)+)(?!{WORD})", True),
     (r"\*\*([^*\n]{2,100})\*\*", False),
     (r"(?m)^#{1,6}[ \t]+(.{2,100})$", False),
-    (rf"(?iu)(?<![\p{{L}}\p{{N}}_])([\p{{L}}\p{{N}}_À-ÿ][\p{{L}}\p{{N}}_À-ÿ-]*+(?:[ \t]++[\p{{L}}\p{{N}}_À-ÿ][\p{{L}}\p{{N}}_À-ÿ-]*+){{0,5}})[ \t]+(?:es|son|is|are|é|são)[ \t]+", False),
+    (r"(?<![\p{L}\p{N}_])([\p{L}\p{N}_×÷][\p{L}\p{N}_×÷-]*+(?:[ \t]++[\p{L}\p{N}_×÷][\p{L}\p{N}_×÷-]*+){0,5})[ \t]++(?iu:es|son|is|are|é|são)[ \t]++", False),
 )
 ARTICLE = r"^(?:una?|las?|los?|the|an?|uma?|os|as)\s+"
 # the same in the other engine, which has no look-around: a letter beside a match is taken along and the match is then dropped
@@ -225,7 +225,7 @@ def terms(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, idx, identifier, key of every sighting of a term, from one scan."""
     said = lambda flag: lambda x: F.struct(F.lit(flag).alias("identifier"), x.alias("said"))
     found = F.concat(*(F.transform(F.regexp_extract_all("said", F.lit(p), F.lit(1)), said(flag)) for p, flag in TERM_PATTERNS))
-    rows = chunk_rows(spark, d).select("doc_id", "idx", F.explode(found).alias("m")).select("doc_id", "idx", "m.*")
+    rows = spread(chunk_rows(spark, d).select("doc_id", "idx", "said")).select("doc_id", "idx", F.explode(found).alias("m")).select("doc_id", "idx", "m.*")
     flat = F.trim(F.regexp_replace("said", r"\s+", " "))
     bare = F.regexp_replace(F.regexp_replace(flat, r"^[.,:;()]+|[.,:;()]+$", ""), "(?i)" + ARTICLE, "")
     rows = rows.withColumn("term", F.when(F.col("identifier"), flat).otherwise(bare)).where(F.length("term").between(2, 100) & ~F.upper("term").isin(*t.NOISE))

@@ -23,3 +23,9 @@ def build_session(app: str = "lectern", master: str | None = None, shuffle_parti
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of the scale-factor folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For work that costs far more than reading does: a table of few partitions is dealt to all cores. One that has as many partitions as there are cores stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
