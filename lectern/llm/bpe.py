@@ -39,7 +39,7 @@ LEAF_CHARS = 16_384
 #: Segments that one task joins at once.
 FAN = 64
 #: Entries of a worker's cache of encoded pieces, in each of two generations.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 100_000
 #: Texts are looked up together until they have about so many characters.
 GROUP_CHARS = 1 << 19
 #: Texts without these characters are already in composed form, and Python's letters are the tokenizer's there.

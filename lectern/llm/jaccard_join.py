@@ -58,6 +58,11 @@ def _sets(texts: pd.Series, k: int) -> Iterator[np.ndarray]:
         yield shingle_set(words, k)
 
 
+def _smaller(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Batches of so many rows at most, which bounds what a task holds."""
+    return (batch.iloc[at : at + rows] for batch in batches for at in range(0, len(batch), rows))
+
+
 def _counted(h: np.ndarray) -> np.ndarray:
     """The part of the hash space whose shingles are counted over all documents."""
     return (h >> np.uint64(40)) % np.uint64(COUNTED_PART) == 0
@@ -73,7 +78,7 @@ def shingle_order(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _smaller(batches, 4000):
             sets = list(_sets(batch["text"], k))
             found, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
             frequent = n >= max(MARKED_LEAST, len(sets) // (2 * FREQUENT_SHARE))
@@ -177,7 +182,7 @@ def _whole_sets(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """doc_id, shingles of members (doc_id, set_key), from the texts."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _smaller(batches, 1000):
             sets = list(_sets(batch["text"], k))
             right = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == key for s, key in zip(sets, batch["set_key"], strict=True)]
             out = batch[["doc_id", "set_key"]].assign(shingles=[s.astype(np.int64) for s in sets])
