@@ -90,6 +90,18 @@ def runs(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
+def runs_at(words: np.ndarray, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the runs of k words that start at these places."""
+    out = []
+    for own in (words, mix(words ^ _SEEDS[4])):
+        h = own[at]
+        with np.errstate(over="ignore"):
+            for j in range(1, k):
+                h = (h ^ (h >> np.uint64(29))) * _SEEDS[j % 5] + own[at + j]
+        out.append(mix(h))
+    return out[0], out[1]
+
+
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     """Sorted distinct k-word shingles; the whole sequence as one if there are fewer words."""
     return np.unique(runs(words, min(k, len(words)))) if len(words) else words

@@ -5,9 +5,10 @@ Every document's words are cut into non-overlapping reference blocks of
 whole block of either. All rolling runs of a block's length are probed against
 the index of blocks (a Bloom filter of fixed size; a second one holds blocks
 that several documents have, so that a document's own blocks don't count as
-hits). Windows around hits are candidates, with no false negatives; they alone
-are hashed, gathered by hash and held against the smallest document that has
-them, and neighbouring windows that repeat join into maximal repeats.
+hits). A hit is extended to the windows that hold it; these are candidates, with
+no false negatives. They alone are hashed, to 128 bits, gathered by hash and held
+against the smallest document that has them, and neighbouring windows that repeat
+join into maximal repeats.
 
 Within a batch a window is sent on for its smallest document only; the others
 are marked at once. So a passage that a third of all rows share gives one row
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.bloom import filters, holds, size_for, words_in
-from lectern.llm.common import checkpointed, whole_text, with_struct
-from lectern.llm.hashing import runs, word_hashes
+from lectern.llm.common import checkpointed, dropped, whole_text, with_struct
+from lectern.llm.hashing import runs, runs_at, word_hashes
 
 WINDOW = 13
 
@@ -67,43 +68,57 @@ def window_hits(words: np.ndarray, window: int, block: int, one: np.ndarray, sev
 
 
 def candidates(docs: DataFrame, window: int, block: int) -> DataFrame:
-    """doc_id, h: the smallest document of each candidate window in a batch; doc_id, marks: windows known to repeat already, as packed bits."""
+    """doc_id, h, g: the smallest document of each candidate window in a batch; doc_id, marks: windows known to repeat already, as packed bits."""
     shared = docs.sparkSession.sparkContext.broadcast(block_filters(docs, block))  # of fixed size
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one, several = shared.value
+        names = ["doc_id", "h", "g", "marks"]
         for batch in batches:
-            hashes, owner, place, sizes = [], [], [], []
+            hashes, more, owner, place, sizes = [], [], [], [], []
             data = _texts(batch)
             for i, words in enumerate(word_hashes(data)):
                 sizes.append(max(0, len(words) - window + 1))
                 if sizes[-1]:
                     at = np.flatnonzero(window_hits(words, window, block, one, several))
-                    hashes.append(runs(words, window)[at])
+                    h, g = runs_at(words, window, at)
+                    hashes.append(h)
+                    more.append(g)
                     owner.append(np.full(len(at), i))
                     place.append(at)
             if not hashes:
                 continue
-            h, i, at = np.concatenate(hashes), np.concatenate(owner), np.concatenate(place)
+            h, g, i, at = np.concatenate(hashes), np.concatenate(more), np.concatenate(owner), np.concatenate(place)
             ids = batch["doc_id"].to_numpy()
             rank = ids[i]
-            order = np.lexsort((rank, h))
-            h, i, at, rank = h[order], i[order], at[order], rank[order]
+            order = np.lexsort((rank, g, h))
+            h, g, i, at, rank = h[order], g[order], i[order], at[order], rank[order]
             new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
+            new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
             least = rank[new][np.cumsum(new) - 1]
             later = rank > least
-            yield pd.DataFrame({"doc_id": rank[new], "h": h[new].astype(np.int64), "marks": None})
+            yield pd.DataFrame({"doc_id": rank[new], "h": h[new].astype(np.int64), "g": g[new].astype(np.int64), "marks": None})
             marked = pd.DataFrame({"i": i[later], "at": at[later]})
             out = []
             for k, own in marked.groupby("i")["at"]:
                 flags = np.zeros(sizes[k], np.uint8)
                 flags[own.to_numpy()] = 1
-                out.append((ids[k], None, _key(data[k]) + np.packbits(flags).tobytes()))
+                out.append((ids[k], None, None, _key(data[k]) + np.packbits(flags).tobytes()))
             if out:
-                yield pd.DataFrame(out, columns=["doc_id", "h", "marks"])
+                yield pd.DataFrame(out, columns=names)
 
-    return docs.mapInPandas(probe, "doc_id long, h long, marks binary")
+    return docs.mapInPandas(probe, "doc_id long, h long, g long, marks binary")
+
+
+def found_again(words: np.ndarray, window: int, hs: np.ndarray, gs: np.ndarray) -> np.ndarray:
+    """Which windows have one of these pairs of hashes."""
+    size = len(words) - window + 1
+    h, g = runs_at(words, window, np.arange(size))
+    flags = np.isin(h, hs)
+    at = np.flatnonzero(flags)
+    known = set(zip(hs.tolist(), gs.tolist(), strict=True))
+    flags[at] = [pair in known for pair in zip(h[at].tolist(), g[at].tolist(), strict=True)]
+    return flags
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, keep: bool = False) -> DataFrame:
@@ -118,23 +133,27 @@ def repeats(docs: DataFrame, window: int = WINDOW, keep: bool = False) -> DataFr
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     known = texts.where("doc_id is not null")
     found = checkpointed(candidates(known, window, block))
-    one = found.where("h is not null").select("h", "doc_id")
-    # a hash has a row for each batch at most
-    held = one.withColumn("least", F.min("doc_id").over(Window.partitionBy("h")))
-    later = held.where("doc_id > least").groupBy("doc_id").agg(F.collect_list("h").alias("later"))
+    one = found.where("h is not null").select("h", "g", "doc_id")
+    # a window has a row for each batch at most
+    held = one.withColumn("least", F.min("doc_id").over(Window.partitionBy("h", "g")))
+    later = held.where("doc_id > least").groupBy("doc_id").agg(F.collect_list("h").alias("hs"), F.collect_list("g").alias("gs"))
     marks = found.where("marks is not null").groupBy("doc_id").agg(F.collect_list("marks").alias("marks"))
-    rows = texts.join(later, "doc_id", "left").join(marks, "doc_id", "left")
+    again = checkpointed(later.join(marks, "doc_id", "full"))
+    dropped(found)
+    rows = texts.join(again, "doc_id", "left")
 
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, laters, masks in batches:
+    def cut(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for texts, firsts, seconds, masks in batches:
             out = []
             data = [t.encode("utf-8", "surrogatepass") for t in texts]
-            for text, words, later, marks in zip(data, word_hashes(data), laters, masks, strict=True):
+            for text, words, hs, gs, marks in zip(data, word_hashes(data), firsts, seconds, masks, strict=True):
                 n = len(words)
                 gone = np.zeros(n, bool)
                 size = n - window + 1
-                if size > 0 and (later is not None or marks is not None):
-                    flags = np.isin(runs(words, window), np.asarray(later, np.int64).astype(np.uint64)) if later is not None else np.zeros(size, bool)
+                if size > 0 and (hs is not None or marks is not None):
+                    flags = np.zeros(size, bool)
+                    if hs is not None:
+                        flags |= found_again(words, window, *(np.asarray(x, np.int64).astype(np.uint64) for x in (hs, gs)))
                     for m in marks if marks is not None else []:
                         if m[:8] == _key(text):
                             flags |= np.unpackbits(np.frombuffer(m, np.uint8, offset=8), count=size).astype(bool)
@@ -153,7 +172,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, keep: bool = False) -> DataFr
 
     schema = "n_words long, n_removed long, kept_sha256 string" + (", kept string, removed array<array<long>>" if keep else "")
     names = [x.split()[0] for x in schema.split(", ")]
-    return with_struct(rows, cut, schema, "text", "later", "marks").select("doc_id", *names)
+    return with_struct(rows, cut, schema, "text", "hs", "gs", "marks").select("doc_id", *names)
 
 
 #: The same over words and positions, for window 13.
