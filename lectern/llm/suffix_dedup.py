@@ -284,17 +284,31 @@ def _hashed_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"window": hashes, "doc_id": doc, "key": key, "lo": lo + np.arange(n)})
 
 
+def _of_anchors(rows: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The rows whose anchor may be among these, by a filter of bounded size; whole rows needn't be shuffled to drop the others."""
+    (mask,) = filters(anchors.select(F.col("anchor").alias("h")), size_for(anchors.count()), own=F.lit(True))
+    shared = rows.sparkSession.sparkContext.broadcast(mask)
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[holds(shared.value, batch["anchor"].to_numpy(np.int64).view(np.uint64))]
+
+    return rows.mapInPandas(keep, rows.schema)
+
+
 def marked(docs: DataFrame) -> DataFrame:
     """doc_id, key, los, ns, ranges: the windows of docs (doc_id, key, text) that also start earlier, as a table."""
     found = checkpointed(located(docs))
     place = F.struct("doc_id", "lo")
-    same = Window.partitionBy("anchor", "context")
-    rows = found.where("anchor is not null").drop("ranges").withColumn("head", F.min(place).over(same))
-    later = rows.where(place > F.col("head")).select("doc_id", "key", "lo", "n")
-    # the first of each context, where an anchor has several
-    heads = rows.where(place == F.col("head")).drop("head")
-    several = heads.groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("context").alias("least"), F.max("context").alias("most")).where("least <> most").select("anchor", "contexts")
-    mixed = checkpointed(heads.join(several, "anchor"))
+    rows = found.where("anchor is not null").drop("ranges")
+    # the first place of each context; bytes stay where they are
+    heads = checkpointed(rows.groupBy("anchor", "context").agg(F.min(place).alias("head"), F.count("*").alias("rows")))
+    later = rows.drop("said").join(heads.where("rows > 1"), ["anchor", "context"]).where(place > F.col("head")).select("doc_id", "key", "lo", "n")
+    # the contexts of anchors that have several different ones
+    several = heads.groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("context").alias("least"), F.max("context").alias("most"))
+    several = checkpointed(several.where("least <> most").select("anchor", "contexts"))
+    mixed = _of_anchors(rows, several).join(several, "anchor").withColumn("head", F.min(place).over(Window.partitionBy("anchor", "context")))
+    mixed = checkpointed(mixed.where(place == F.col("head")).drop("head"))
     usual = mixed.where(F.col("contexts") <= HOT_ANCHOR).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "lo")
     by_order = usual.select("anchor", "doc_id", "key", "lo", "n", "said").mapInPandas(_sorted_buckets, "doc_id long, key long, ranges binary")
     hot = mixed.where(F.col("contexts") > HOT_ANCHOR).select("doc_id", "key", "lo", "n", "said").mapInPandas(_hashed_windows, "window binary, doc_id long, key long, lo long")
@@ -303,7 +317,7 @@ def marked(docs: DataFrame) -> DataFrame:
     ranges = found.where("ranges is not null").select("doc_id", "key", "ranges").union(by_order).groupBy("doc_id", "key").agg(F.collect_list("ranges").alias("ranges"))
     windows = later.union(hot_later).groupBy("doc_id", "key").agg(F.collect_list("lo").alias("los"), F.collect_list("n").alias("ns"))
     out = checkpointed(windows.join(ranges, ["doc_id", "key"], "full"))
-    dropped(found, mixed)
+    dropped(found, heads, several, mixed)
     return out
 
 
