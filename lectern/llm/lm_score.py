@@ -135,6 +135,20 @@ def symbols(counts: Counts, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return np.append(np.where(symbol < 0, rare, symbol), END), rare, count
 
 
+def sequences(counts: Counts, hashes: list[np.ndarray]) -> list[np.ndarray]:
+    """The symbols of each text with its end: what `symbols` gives, from the few words that are symbols alone."""
+    own = np.flatnonzero(counts.symbol >= 0)
+    words, symbol = counts.words[own], counts.symbol[own]
+    out = []
+    for h in hashes:
+        s = (h % np.uint64(RARE)).astype(np.int64)
+        if len(words):
+            at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+            s = np.where(words[at] == h, symbol[at], s)
+        out.append(np.append(s, END))
+    return out
+
+
 def train(docs: DataFrame, counts: Counts, documents: int, sample_docs: int, sample_words: int) -> dict[str, np.ndarray]:
     """First weights, learnt in one task from about sample_docs documents by a hash of their ids and texts, sample_words words at most."""
     share = min(1_000_000, math.ceil(1_000_000 * sample_docs / max(1, documents)))
@@ -177,8 +191,8 @@ def learn(docs: DataFrame, counts: Counts, weights: dict[str, np.ndarray]) -> di
             words, own, held = 0, [], 0
             for batch in batches:
                 for at in range(0, len(batch), 1000):
-                    for h in _texts(batch["text"].iloc[at : at + 1000])[1]:
-                        own.append(symbols(table.value, h)[0])
+                    for sequence in sequences(table.value, _texts(batch["text"].iloc[at : at + 1000])[1]):
+                        own.append(sequence)
                         held += len(own[-1])
                         if held >= LEARN_WORDS:
                             adam.learn(own, RATE, recurrent.LANES)

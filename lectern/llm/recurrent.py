@@ -53,30 +53,37 @@ def lanes(docs: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
     return symbols, owner
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def _forward(w: dict, before: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
-    """States after each step, from the symbols before; fresh marks steps that start a document."""
+def _forward(w: dict, before: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """States after each step, from the symbols before, and what the way back needs of each step; fresh marks steps that start a document."""
     u, H = w["u"], HIDDEN
     x = w["table"][before]
-    states, kept = np.empty((*before.shape, H), np.float32), []
+    kind = x.dtype
+    states, prior, cand, carried = (np.empty((*before.shape, H), kind) for _ in range(4))
+    gates = np.empty((*before.shape, 2 * H), kind)
+    started = fresh.any(1)
     for t in range(len(before)):
-        h = np.where(fresh[t][:, None], np.float32(0), h)
+        if started[t]:
+            h = np.where(fresh[t][:, None], kind.type(0), h)
         g = h @ u
-        zr = _sigmoid(x[t, :, : 2 * H] + g[:, : 2 * H])
-        z, r = zr[:, :H], zr[:, H:]
-        n = np.tanh(x[t, :, 2 * H :] + r * g[:, 2 * H :])
-        kept.append((h, z, r, n, g[:, 2 * H :]))
-        h = n + z * (h - n)
+        zr = gates[t]
+        np.add(x[t, :, : 2 * H], g[:, : 2 * H], out=zr)
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        prior[t], carried[t] = h, g[:, 2 * H :]
+        np.tanh(x[t, :, 2 * H :] + zr[:, H:] * carried[t], out=cand[t])
+        h = cand[t] + zr[:, :H] * (h - cand[t])
         states[t] = h
-    return states, kept
+    return states, (prior, gates, cand, carried)
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    e = np.exp(logits - logits.max(-1, keepdims=True))
-    return e / e.sum(-1, keepdims=True)
+    """In place."""
+    logits -= logits.max(-1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(-1, keepdims=True)
+    return logits
 
 
 def _windows(symbols: np.ndarray, owner: np.ndarray):
@@ -117,13 +124,18 @@ def log_likelihood(w: dict, docs: list[np.ndarray]) -> np.ndarray:
         logits = s @ w["out_class"] + w["bias_class"]
         top = logits.max(1)
         got = logits[np.arange(len(goal)), group] - top - np.log(np.exp(logits - top[:, None]).sum(1))
-        order = np.argsort(group, kind="stable")
+        order = np.argsort(group.astype(np.int8), kind="stable")  # a radix sort
         edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        sorted_s, sorted_word, inside = s[order], word[order], np.empty(len(goal), np.float32)
         for c in np.flatnonzero(np.diff(edges)):
-            rows = order[edges[c] : edges[c + 1]]
-            logits = s[rows] @ w["out_word"][c] + w["bias_word"][c]
+            part = slice(edges[c], edges[c + 1])
+            logits = sorted_s[part] @ w["out_word"][c] + w["bias_word"][c]
             top = logits.max(1)
-            got[rows] += logits[np.arange(len(rows)), word[rows]] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+            chosen = logits[np.arange(len(logits)), sorted_word[part]] - top
+            logits -= top[:, None]
+            np.exp(logits, out=logits)
+            inside[part] = chosen - np.log(logits.sum(1))
+        got[order] += inside
         sums += np.bincount(who, got, len(docs_here))
     total[docs_here] = sums
     return total
@@ -142,35 +154,42 @@ def _gradients(w: dict, before: np.ndarray, fresh: np.ndarray, target: np.ndarra
     p[np.arange(len(goal)), group] -= 1
     g["out_class"], g["bias_class"] = s.T @ p / n, p.sum(0) / n
     ds = p @ w["out_class"].T
-    order = np.argsort(group, kind="stable")
+    order = np.argsort(group.astype(np.int8), kind="stable")  # a radix sort
     edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
+    sorted_s, sorted_word, sorted_ds = s[order], word[order], np.empty_like(s)
     for c in np.flatnonzero(np.diff(edges)):
-        rows = order[edges[c] : edges[c + 1]]
-        q = _softmax(s[rows] @ w["out_word"][c] + w["bias_word"][c])
-        loss -= np.log(q[np.arange(len(rows)), word[rows]] + 1e-20).sum()
-        q[np.arange(len(rows)), word[rows]] -= 1
-        g["out_word"][c], g["bias_word"][c] = s[rows].T @ q / n, q.sum(0) / n
-        ds[rows] += q @ w["out_word"][c].T
+        part = slice(edges[c], edges[c + 1])
+        q = _softmax(sorted_s[part] @ w["out_word"][c] + w["bias_word"][c])
+        at = np.arange(len(q))
+        loss -= np.log(q[at, sorted_word[part]] + 1e-20).sum()
+        q[at, sorted_word[part]] -= 1
+        g["out_word"][c], g["bias_word"][c] = sorted_s[part].T @ q / n, q.sum(0) / n
+        sorted_ds[part] = q @ w["out_word"][c].T
+    ds[order] += sorted_ds
     dstates = np.zeros((live.size, H), np.float32)
     dstates[live] = ds / n
     dstates = dstates.reshape(states.shape)
-    dx = np.empty((*before.shape, 3 * H), np.float32)
-    du, dh = np.zeros_like(w["u"]), np.zeros_like(h)
+    prior, gates, cand, carried = kept
+    z, r = gates[..., :H], gates[..., H:]
+    to_cand, to_z, to_r = (1 - z) * (1 - cand * cand), (prior - cand) * z * (1 - z), carried * r * (1 - r)
+    dg, dx = (np.empty((*before.shape, 3 * H), states.dtype) for _ in range(2))
+    back, dh, started = np.ascontiguousarray(w["u"].T), np.zeros_like(h), fresh.any(1)
     for t in range(len(before) - 1, -1, -1):
-        prior, z, r, cand, gn = kept[t]
         dh = dh + dstates[t]
-        dn = dh * (1 - z) * (1 - cand**2)
-        dz = dh * (prior - cand) * z * (1 - z)
-        dr = dn * gn * r * (1 - r)
-        dg = np.concatenate([dz, dr, dn * r], 1)
-        dx[t] = np.concatenate([dz, dr, dn], 1)
-        du += prior.T @ dg
-        dh = np.where(fresh[t][:, None], np.float32(0), dh * z + dg @ w["u"].T)
-    g["u"] = du
-    order = np.argsort(before, axis=None, kind="stable")
-    used, edges = np.unique(before.ravel()[order], return_index=True)
-    flat = np.add.reduceat(dx.reshape(-1, 3 * H)[order], edges)
-    g["table"] = (used, flat)
+        dn = dh * to_cand[t]
+        np.multiply(dh, to_z[t], out=dg[t, :, :H])
+        np.multiply(dn, to_r[t], out=dg[t, :, H : 2 * H])
+        np.multiply(dn, r[t], out=dg[t, :, 2 * H :])
+        dx[t, :, 2 * H :] = dn
+        dh = dh * z[t] + dg[t] @ back
+        if started[t]:
+            dh = np.where(fresh[t][:, None], dh.dtype.type(0), dh)
+    dx[:, :, : 2 * H] = dg[:, :, : 2 * H]
+    g["u"] = prior.reshape(-1, H).T @ dg.reshape(-1, 3 * H)
+    order = np.argsort(before.astype(np.int16), axis=None, kind="stable")  # a radix sort
+    sorted_before = before.ravel()[order]
+    edges = np.flatnonzero(np.append(True, sorted_before[1:] != sorted_before[:-1]))
+    g["table"] = (sorted_before[edges], np.add.reduceat(dx.reshape(-1, 3 * H)[order], edges))
     return g, states[-1], float(loss), n
 
 
