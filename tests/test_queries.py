@@ -82,5 +82,6 @@ def test_admission_counts_accepted_calls_only():
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() == 80
+    asked = spark.read.parquet(f"{__spark_entry__.SMOKE_DIR}/embeddings.parquet").where("vec_id % 20 = 0").count()
+    assert __spark_entry__.entry(spark).count() == 10 * asked > 0
     assert set(CATALOG.queries) <= set(__spark_entry__.queries())
