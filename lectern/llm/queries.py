@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.catalog import Catalog
-from lectern.llm import bpe, decontaminate, jaccard_join, lm_score, pii, secrets, simhash, substring_dedup, suffix_dedup, toxicity
+from lectern.llm import bpe, byte_bpe, conversation, decontaminate, jaccard_join, lm_score, merkle, pii, secrets, simhash, substring_dedup, suffix_dedup, toxicity
 from lectern.llm.common import checkpointed, documents
 
 LLM_CATALOG = Catalog()
@@ -64,3 +64,18 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM_CATALOG.query("op4_suffix_dedup")
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(documents(spark, sf_dir))
+
+
+@LLM_CATALOG.query("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@LLM_CATALOG.query("op12_merkle")
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))
+
+
+@LLM_CATALOG.query("op13_byte_bpe")
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode(documents(spark, sf_dir))
