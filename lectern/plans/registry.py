@@ -226,12 +226,12 @@ def active_jobs(spark: SparkSession, d: str) -> DataFrame:
     return generations(spark, d).groupBy("workspace").agg(of("P").alias("running"), of("O").alias("queued"))
 
 
-@query(
-    "idempotency_outcome",
-    """WITH e AS (SELECT event_id, user_id, event_type, props AS body FROM events),
+OUTCOME_SQL = """WITH e AS (SELECT event_id, user_id, event_type, props AS body FROM events),
 f AS (SELECT *, first_value(body) OVER w AS one, row_number() OVER w AS n FROM e WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id))
-SELECT event_id, CASE WHEN n = 1 THEN 'created' WHEN body = one THEN 'duplicate' ELSE 'conflict' END AS outcome FROM f""",
-)
+SELECT event_id, CASE WHEN n = 1 THEN 'created' WHEN body = one THEN 'duplicate' ELSE 'conflict' END AS outcome FROM f"""
+
+
+@query("idempotency_outcome", OUTCOME_SQL)
 def idempotency_outcome(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
     rows = table(spark, d, "events").withColumn("body", F.col("props")).withColumns({"one": F.first("body").over(w), "n": F.row_number().over(w)})

@@ -12,6 +12,7 @@ from lectern.functions import chunking
 from lectern.functions import text as t
 from lectern.operators import search, selection
 from lectern.operators.batches import batched
+from lectern.operators.vector_index import VectorIndex
 from lectern.plans.base import CATALOG
 from lectern.session import spread, table
 
@@ -46,6 +47,19 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 query = CATALOG.query
 
 
+@query(
+    "vector_topk_indexed",
+    f"""WITH {SCORED_SQL}
+SELECT query_id, vec_id, distance, rn FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rn FROM scored) WHERE rn <= 10""",
+)
+def vector_topk_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same through a partitioned index: near lists first, then those that the first ones' reach doesn't rule out."""
+    vectors = search.with_norm(table(spark, d, "embeddings"))
+    index = VectorIndex.build(vectors.select("vec_id", "embedding", "vec_norm"), "vec_id")
+    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"), F.col("vec_norm").alias("q_norm"))
+    return index.certified(queries, 10, 8).select("query_id", "vec_id", "distance", "rn")
+
+
 @query("cosine_scores", f"WITH {SCORED_SQL} SELECT query_id, vec_id, distance, round(greatest(0.0, least(1.0, 1 - distance)), 6) AS sim FROM scored")
 def cosine_scores(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).select("query_id", "vec_id", "distance", F.round(search.similarity(F.col("distance")), 6).alias("sim"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.operators import selection
+from lectern.operators import admission
 from lectern.plans.base import CATALOG
+from lectern.plans.registry import OUTCOME_SQL
 from lectern.session import table
+from lectern.streaming import stateful
+from lectern.streaming.feed import drained, folder_for
 
 query = CATALOG.query
 TOKENS_SQL = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))"
@@ -113,24 +115,87 @@ def rolling_rate(spark: SparkSession, d: str) -> DataFrame:
     return told.join(minutes, ["event_type", "day", "minute"]).select("event_id", "calls", (F.col("so_far") + F.col("earlier")).alias("today"))
 
 
-@query(
-    "admission_replay",
-    """WITH RECURSIVE c AS (SELECT event_id, user_id, epoch(ts)::BIGINT - (epoch(ts) < epoch(ts)::BIGINT)::INT AS second, 10 + event_id % 60 AS tokens, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT - (epoch(ts) < epoch(ts)::BIGINT)::INT, event_id) AS rn FROM events),
+ADMISSION_SQL = """WITH RECURSIVE c AS (SELECT event_id, user_id, epoch(ts)::BIGINT - (epoch(ts) < epoch(ts)::BIGINT)::INT AS second, 10 + event_id % 60 AS tokens, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT - (epoch(ts) < epoch(ts)::BIGINT)::INT, event_id) AS rn FROM events),
 s AS (SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, []::STRUCT(sec BIGINT, n BIGINT)[] AS win, -1::BIGINT AS day, 0 AS today, false AS accepted FROM (SELECT DISTINCT user_id FROM c)
 UNION ALL SELECT user_id, rn, event_id, CASE WHEN ok THEN list_append(live, {'sec': second, 'n': tokens}) ELSE live END, second // 86400, done + ok::INT, ok FROM (
   SELECT *, len(live) < 3 AND coalesce(list_sum(list_transform(live, lambda x: x.n)), 0) + tokens <= 120 AND done + 1 <= 20 AS ok FROM (
     SELECT c.user_id, c.rn, c.event_id, c.second, c.tokens, list_filter(s.win, lambda x: c.second - x.sec <= 60) AS live, CASE WHEN c.second // 86400 = s.day THEN s.today ELSE 0 END AS done FROM s JOIN c ON c.user_id = s.user_id AND c.rn = s.rn + 1)))
-SELECT event_id, accepted FROM s WHERE rn > 0""",
-)
+SELECT event_id, accepted FROM s WHERE rn > 0"""
+
+
+def calls(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"), (F.lit(10) + F.col("event_id") % 60).alias("tokens"))
+
+
+@query("admission_replay", ADMISSION_SQL)
 def admission_replay(spark: SparkSession, d: str) -> DataFrame:
-    """Calls of each user in time order; only accepted ones count in the windows."""
+    """Calls of each user in time order; only accepted ones count in the windows of 3 calls and 120 tokens a minute and 20 calls a day."""
+    return admission.replayed(calls(spark, d), "user_id", "event_id", admission.Limits(60, 3, 120, 20))
+
+
+@query("admission_stream", ADMISSION_SQL)
+def admission_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a stream of the events, whose state holds the windows and ends with them."""
+    rows = event_stream(spark, d).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", (F.lit(10) + F.col("event_id") % 60).alias("tokens"))
+    return drained(stateful.admitted(rows, "key", 60, 3, 120, 20).where("id is not null")).select(F.col("id").alias("event_id"), "accepted")
+
+
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of the events and one without a user, a day after the last of them, that moves the watermark past them."""
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    end = folder_for(spark)
+    table(spark, d, "events").agg(F.max("ts").alias("ts")).select(F.lit(None).cast("long").alias("event_id"), F.expr("ts + interval 1 day").alias("ts"), *(F.lit(None).cast(k).alias(c) for c, k in (("user_id", "long"), ("event_type", "string"), ("value", "double"), ("props", "string")))).write.parquet(end)
+    read = lambda path: spark.readStream.schema(schema).parquet(path)
+    return read(f"{d}/events.parquet*").unionByName(read(end)).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+# an attempt of a user with a value below 25 fails; five that weren't refused within 100,000 seconds lock the user out
+LOCK_SQL = """WITH RECURSIVE c AS (SELECT event_id, user_id, epoch(ts)::BIGINT - (epoch(ts) < epoch(ts)::BIGINT)::INT AS second, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT - (epoch(ts) < epoch(ts)::BIGINT)::INT, event_id) AS rn FROM events WHERE value < 25),
+s AS (SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, []::BIGINT[] AS win, false AS locked FROM (SELECT DISTINCT user_id FROM c)
+UNION ALL SELECT user_id, rn, event_id, CASE WHEN len(live) < 5 THEN list_append(live, second) ELSE live END, len(live) >= 5 FROM (
+  SELECT c.user_id, c.rn, c.event_id, c.second, list_filter(s.win, lambda x: c.second - x <= 100000) AS live FROM s JOIN c ON c.user_id = s.user_id AND c.rn = s.rn + 1))
+SELECT event_id, locked FROM s WHERE rn > 0"""
+
+
+@query("attempt_lock", LOCK_SQL)
+def attempt_lock(spark: SparkSession, d: str) -> DataFrame:
+    """Failed attempts, and which of them met a lock: one that is refused doesn't count, so a lock ends when the attempts that made it have aged."""
+    failed = events(spark, d).where("value < 25").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"), F.lit(0).cast("long").alias("tokens"))
+    return admission.replayed(failed, "user_id", "event_id", admission.Limits(100_000, 5)).select("event_id", (~F.col("accepted")).alias("locked"))
+
+
+@query("attempt_lock_stream", LOCK_SQL)
+def attempt_lock_stream(spark: SparkSession, d: str) -> DataFrame:
+    failed = event_stream(spark, d).where("value < 25 or event_id is null").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", F.lit(0).cast("long").alias("tokens"))
+    return drained(stateful.admitted(failed, "key", 100_000, 5).where("id is not null")).select(F.col("id").alias("event_id"), (~F.col("accepted")).alias("locked"))
+
+
+@query("idempotency_stream", OUTCOME_SQL)
+def idempotency_stream(spark: SparkSession, d: str) -> DataFrame:
+    """What each event of a user and type is to the first one's body, as the stream tells it."""
+    rows = event_stream(spark, d).select(F.concat_ws(":", "user_id", "event_type").alias("key"), F.col("event_id").alias("id"), "ts", F.coalesce("props", F.lit("")).alias("body"))
+    return drained(stateful.outcomes(rows, "key", 400 * 86_400).where("id is not null")).select(F.col("id").alias("event_id"), "outcome")
+
+
+# a job for each user and day of events: it is queued first, a purchase completes it, an error fails it, and six hours without an event end it
+JOBS_SQL = """WITH e AS (SELECT event_id, user_id * 1000 + dayofyear(ts) AS job, floor(epoch(ts))::BIGINT AS second, event_type, ts FROM events),
+n AS (SELECT *, row_number() OVER w AS place, lag(second) OVER w AS before FROM e WINDOW w AS (PARTITION BY job ORDER BY second, event_id)),
+s AS (SELECT *, CASE WHEN place = 1 THEN 'queued' WHEN event_type = 'purchase' THEN 'completed' WHEN event_type = 'error' THEN 'failed' ELSE 'running' END AS state, coalesce(second - before > 21600, false) AS late FROM n),
+u AS (SELECT *, coalesce(sum((state IN ('completed', 'failed'))::INT) OVER (PARTITION BY job ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended, sum(late::INT) OVER (PARTITION BY job ORDER BY place) AS expired FROM s),
+k AS (SELECT * FROM u WHERE ended = 0 AND expired = 0)
+SELECT job, event_id, state, second FROM k UNION ALL SELECT job, NULL, 'expired', max(second) + 21600 FROM k GROUP BY 1 HAVING NOT bool_or(state IN ('completed', 'failed'))"""
 
-    def replay(calls: pd.DataFrame) -> pd.DataFrame:
-        calls = calls.sort_values(["second", "event_id"], kind="stable")
-        return calls.assign(accepted=selection.admit(calls, 3, 120, 20))[["event_id", "accepted"]]
 
-    rows = events(spark, d).select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"), (F.lit(10) + F.col("event_id") % 60).alias("tokens"))
-    return rows.groupBy("user_id").applyInPandas(replay, "event_id long, accepted boolean")
+@query("job_feed", JOBS_SQL)
+def job_feed(spark: SparkSession, d: str) -> DataFrame:
+    """The states of jobs as a resumable feed delivers them, up to the first end state or six hours of silence."""
+    rows = event_stream(spark, d)
+    job = F.col("user_id") * 1000 + F.dayofyear("ts")
+    first = table(spark, d, "events").groupBy((F.col("user_id") * 1000 + F.dayofyear("ts")).alias("job")).agg(F.min_by("event_id", F.struct(F.unix_seconds(F.col("ts").cast("timestamp")), "event_id")).alias("first"))
+    kind = F.when(F.col("first").isNotNull(), "queued").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("running")
+    told = rows.withColumn("job", job).join(first.withColumnRenamed("first", "event_id").withColumn("first", F.col("event_id")), ["job", "event_id"], "left")
+    states = stateful.job_states(told.select(F.coalesce("job", F.lit(-1)).alias("job"), F.col("event_id").alias("id"), "ts", F.coalesce(kind, F.lit("")).alias("body")), "queued", ("completed", "failed"), 21_600)
+    return drained(states).where("job >= 0").select("job", F.col("id").alias("event_id"), "state", "second")
 
 
 @query(

@@ -1,10 +1,7 @@
-"""Readers of raw documents, and versioned writes with an atomic pointer."""
+"""Readers of raw documents."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,17 +29,3 @@ def texts(files: DataFrame) -> DataFrame:
     """path, digest, text of the admitted text files. The digest is that of the bytes, as for pasted text."""
     good = files.where("verdict = 'ok' and ext <> 'pdf'")
     return good.select("path", F.sha2("content", 256).alias("digest"), normalized(F.expr("try_validate_utf8(content)")).alias("text"))
-
-
-def publish(rows: DataFrame, root: str, name: str) -> str:
-    """Writes a new version in whole and then turns the pointer to it; a failed write leaves the old version visible."""
-    version = uuid.uuid4().hex
-    rows.write.parquet(f"{root}/{name}/{version}")
-    spark = rows.sparkSession
-    spark.createDataFrame([(json.dumps({"version": version}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/{name}/current")
-    return version
-
-
-def published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    pointer = spark.read.text(f"{root}/{name}/current").first()["value"]
-    return spark.read.parquet(f"{root}/{name}/{json.loads(pointer)['version']}")

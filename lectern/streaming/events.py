@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the event queries: feed, windows, first-of-key, and stateful admission.
+"""Structured Streaming forms of the event queries: feed, windows, first-of-key. Those with state and timers are in `stateful`.
 
 Each takes a streaming DataFrame with the columns of `events` and returns one;
 the caller chooses sink, trigger and checkpoint.
@@ -6,12 +6,8 @@ the caller chooses sink, trigger and checkpoint.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -34,75 +30,3 @@ def tumbling(events: DataFrame, width: str = "1 hour", late: str = "2 hours") ->
 def first_of_key(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Exactly one event of each id, for as long as the watermark holds its state."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
-
-
-def conflicts(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """event_id, outcome: created, duplicate (same body again) or conflict (another body under the id).
-
-    An id is forgotten when the watermark has passed its last event by `late`.
-    """
-
-    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        known, last = state.get if state.exists else (None, 0)
-        out = []
-        for batch in batches:
-            batch = batch.sort_values("ts", kind="stable")
-            for body in batch["props"]:
-                out.append("created" if known is None else "duplicate" if body == known else "conflict")
-                known = body if known is None else known
-            last = max(last, int(batch["ts"].max().timestamp() * 1000))
-        if known is not None:
-            state.update((known, last))
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({"event_id": key[0], "outcome": out})
-
-    rows = events.withWatermark("ts", late)
-    return rows.groupBy("event_id").applyInPandasWithState(judge, "event_id long, outcome string", "body string, last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-END_STATES = ("completed", "failed", "cancelled", "expired")
-
-
-def queue_states(events: DataFrame, wait_seconds: int = 300) -> DataFrame:
-    """user_id, state, at_ms: the states of each job (a user_id's events, event_type its state); a job that waits over
-    wait_seconds without another event expires. The first end state ends it: its state is dropped and later events are not reported."""
-
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, ended = state.get if state.exists else (0, False)
-        if state.hasTimedOut:
-            state.remove()
-            if not ended:
-                yield pd.DataFrame({"user_id": key[0], "state": ["expired"], "at_ms": [seen + 1000 * wait_seconds]})
-            return
-        out = []
-        for kind, at in pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")[["event_type", "ts"]].itertuples(index=False):
-            if not ended:
-                seen, ended = int(at.timestamp() * 1000), kind in END_STATES
-                out.append((key[0], kind, seen))
-        state.update((seen, ended))
-        state.setTimeoutTimestamp(max(seen + 1000 * wait_seconds, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["user_id", "state", "at_ms"])
-
-    rows = events.withWatermark("ts", "0 seconds")
-    return rows.groupBy("user_id").applyInPandasWithState(follow, "user_id long, state string, at_ms long", "seen long, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def admission(events: DataFrame, per_minute: int = 3) -> DataFrame:
-    """event_id, accepted: calls of each user under a limit of accepted calls in 60 seconds; the state is the accepted calls' times."""
-
-    def admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        calls = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-        accepted = []
-        for at in (calls["ts"].astype("int64") // 10**9 if calls["ts"].dtype != "datetime64[us]" else calls["ts"].astype("int64") // 10**6):
-            held = [t for t in held if at - t <= 60]
-            accepted.append(len(held) < per_minute)
-            if accepted[-1]:
-                held.append(int(at))
-        state.update((held,))
-        yield pd.DataFrame({"event_id": calls["event_id"], "accepted": accepted})
-
-    return events.groupBy("user_id").applyInPandasWithState(admit, "event_id long, accepted boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)

@@ -27,31 +27,9 @@ def test_streams(spark, tmp_path):
     assert len(run(streams.feed(source, 30), "feed")) == 9
     assert sum(r.n for r in run(streams.tumbling(source), "tumbling", "complete")) == 41
     assert len(run(streams.first_of_key(source), "firsts")) == 40
-    outcomes = [r.outcome for r in run(streams.conflicts(source), "outcomes")]
-    assert outcomes.count("created") == 40 and outcomes.count("conflict") == 1
-    accepted = {r.event_id: r.accepted for r in run(streams.admission(source), "admitted")}
-    assert accepted[0] and accepted[2] and accepted[4] and not accepted[6]
 
 
-def test_jobs_end_or_expire(spark, tmp_path):
-    start = datetime(2024, 1, 1)
-    at = lambda i, s, job, kind: (i, start + timedelta(seconds=s), job, kind, 0.0, "")
-    parts = [
-        [at(0, 0, 1, "queued"), at(1, 5, 2, "queued"), at(2, 9, 2, "running"), at(3, 20, 3, "queued")],
-        [at(4, 30, 2, "completed"), at(5, 40, 2, "running"), at(6, 200, 3, "running")],
-        [at(7, 900, 4, "queued")],
-        [at(8, 1300, 5, "queued")],
-    ]
-    folder = f"{tmp_path}/jobs"
-    for part in parts:
-        spark.createDataFrame(part, streams.SCHEMA).coalesce(1).write.mode("append").parquet(folder)
-    got = {}
-    for r in run(streams.queue_states(streams.source(spark, folder)), "jobs"):
-        got.setdefault(r.user_id, []).append(r.state)
-    assert got[2] == ["queued", "running", "completed"] and got[1] == ["queued", "expired"] and got[3][-1] == "expired"
-
-
-def test_files_and_published_versions(spark, tmp_path):
+def test_files(spark, tmp_path):
     folder = tmp_path / "files"
     folder.mkdir()
     (folder / "a.txt").write_bytes("﻿line\r\nnext\f".encode())
@@ -64,9 +42,6 @@ def test_files_and_published_versions(spark, tmp_path):
     verdicts = {r.path.rsplit("/", 1)[1]: r.verdict for r in files.collect()}
     assert verdicts == {"a.txt": "ok", "b.md": "text", "c.PDF": "ok", "d.pdf": "magic", "e.exe": "type", "f.txt": "text"}
     assert tables.texts(files).first().text == "line\nnext\n"
-    tables.publish(spark.range(3).toDF("x"), str(tmp_path), "t")
-    tables.publish(spark.range(5).toDF("x"), str(tmp_path), "t")
-    assert tables.published(spark, str(tmp_path), "t").count() == 5
 
 
 def test_decks_as_files(spark, tmp_path):
