@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.operators import registry as ops
+from lectern.operators import trees
 from lectern.plans.base import (
     ADM, CATALOG, DOC, GEN, LINK, NOW, TOMB, WS, admissions, generations, links, registry_documents, retired, stamp, with_, workspaces,
 )
@@ -560,12 +561,22 @@ SELECT conv_id, turn FROM tree EXCEPT SELECT conv_id, turn FROM dead""",
 )
 def prune_tree(spark: SparkSession, d: str) -> DataFrame:
     """What is left of each content tree when nodes with a retired reference go with all that hangs on them."""
-    node = F.struct(F.col("turn").alias("turn"), F.when(F.col("turn") > 0, F.floor((F.col("turn") - 1) / 2)).alias("parent"), ((F.col("turn") % 5 == 3) | (F.col("conv_id") % 11 == 4) & (F.col("turn") == 1)).alias("retired"))
-    trees = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
-    # parents come before their children, so one pass over a tree's nodes is enough
-    gone = F.aggregate("nodes", F.array().cast("array<bigint>"), lambda dead, n: F.when(n["retired"] | F.array_contains(dead, F.coalesce(n["parent"], F.lit(-1))), F.array_append(dead, n["turn"])).otherwise(dead))
-    kept = F.filter(F.transform("nodes", lambda n: n["turn"]), lambda t: ~F.array_contains("gone", t))
-    return trees.withColumn("gone", gone).select("conv_id", F.explode(kept).alias("turn"))
+    parent = F.when(F.col("turn") > 0, F.floor((F.col("turn") - 1) / 2))
+    dead = (F.col("turn") % 5 == 3) | (F.col("conv_id") % 11 == 4) & (F.col("turn") == 1)
+    return trees.surviving(table(spark, d, "conversations").select("conv_id", "turn", parent.alias("parent"), dead.alias("dead")), "conv_id", "turn", "parent", "dead")[0]
+
+
+# all lines of a part in the order of its orders, each one below the one before: chains as deep as a part has lines
+@query(
+    "prune_chain",
+    """WITH RECURSIVE n AS (SELECT DISTINCT l_partkey AS part, l_orderkey AS line FROM lineitem), c AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY line) AS place FROM n),
+dead AS (SELECT part, min(place) AS first FROM c WHERE line % 9 = 4 GROUP BY 1) SELECT c.part, c.line FROM c LEFT JOIN dead USING (part) WHERE first IS NULL OR place < first""",
+)
+def prune_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Chains of a part's lines: what stands below a retired one goes with it, however deep."""
+    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("line")).distinct()
+    before = F.lag("line").over(Window.partitionBy("part").orderBy("line"))
+    return trees.surviving(lines.select("part", "line", before.alias("parent"), (F.col("line") % 9 == 4).alias("dead")), "part", "line", "parent", "dead")[0]
 
 
 @query(

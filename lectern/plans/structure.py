@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import structure
 from lectern.functions import text as t
+from lectern.operators import trees
 from lectern.operators.batches import batched
 from lectern.plans.base import CATALOG
 from lectern.session import spread, table
@@ -151,6 +152,41 @@ def content_segments(spark: SparkSession, d: str) -> DataFrame:
     return item.union(options.select("conv_id", F.concat(F.lit("/items/"), "i", F.lit("/options/"), "o", F.lit("/text")), "option.text"))
 
 
+# each conversation as a content tree below 0 to 30 more levels: a question for each turn, with citations of its own, of its level, or none
+CONTENT_SQL = """c AS (SELECT conv_id, '{"tipo":"quiz","titulo":"' || conv_id || '",' || CASE WHEN conv_id % 3 = 0 THEN '"referencias":[{"chunk_id":"c' || conv_id || '"}],' ELSE '' END || '"a/b~c":[' || string_agg('{"id":"q' || turn || '","pregunta":' || to_json(text) ||
+  CASE WHEN turn % 2 = 0 THEN ',"referencias":[{"chunk_id":"t' || turn || '"},{"chunk_id":"u"}]' ELSE '' END || ',"correct_option_id":"' || (turn % 3) || '","opciones":[' || '{"option_id":"0","texto":"' || role || ' 0"},{"option_id":"1","texto":"' || role || ' 1"},{"option_id":"2","texto":" "}' || ']}', ',' ORDER BY turn) || ']}' AS body FROM conversations GROUP BY 1),
+wrapped AS (SELECT conv_id, repeat('{"nivel":[7,', (conv_id % 31)::INT) || body || repeat(']}', (conv_id % 31)::INT) AS content FROM c)"""
+
+
+def contents(spark: SparkSession, d: str) -> DataFrame:
+    turn = F.col("turn").cast("string")
+    cited = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(',"referencias":[{"chunk_id":"t'), turn, F.lit('"},{"chunk_id":"u"}]'))).otherwise("")
+    said = F.expr("substring(to_json(named_struct('t', text)), 6, length(to_json(named_struct('t', text))) - 6)")
+    option = lambda n: F.concat(F.lit(f'{{"option_id":"{n}","texto":"'), "role", F.lit(f' {n}"}},'))
+    options = F.concat(F.lit(',"correct_option_id":"'), (F.col("turn") % 3).cast("string"), F.lit('","opciones":['), option(0), option(1), F.lit('{"option_id":"2","texto":" "}]}'))
+    asked = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit('{"id":"q'), turn, F.lit('","pregunta":'), said, cited, options).alias("item")))).alias("turns"))
+    conv = F.col("conv_id").cast("string")
+    level = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit('"referencias":[{"chunk_id":"c'), conv, F.lit('"}],'))).otherwise("")
+    body = F.concat(F.lit('{"tipo":"quiz","titulo":"'), conv, F.lit('",'), level, F.lit('"a/b~c":['), F.array_join(F.transform("turns", lambda t: t["item"]), ","), F.lit("]}"))
+    deep = (F.col("conv_id") % 31).cast("int")
+    whole = F.concat(F.repeat(F.lit('{"nivel":[7,'), deep), body, F.repeat(F.lit("]}"), deep))
+    return asked.select("conv_id", F.parse_json(whole).alias("content"), F.array(F.lit("all")).alias("cites"))
+
+
+@query(
+    "deep_segments",
+    f"""WITH RECURSIVE {CONTENT_SQL}, w AS (SELECT conv_id, '' AS path, content::JSON AS value, ['all'] AS cites, NULL::VARCHAR AS pick FROM wrapped
+UNION ALL SELECT conv_id, path || '/' || replace(replace(k, '~', '~0'), '/', '~1'), v, CASE WHEN len(own) > 0 THEN own ELSE cites END, CASE WHEN k = 'opciones' THEN value->>'$.correct_option_id' END FROM (
+  SELECT *, unnest(ks) AS k, unnest(CASE WHEN kind = 'OBJECT' THEN list_transform(ks, lambda n: json_extract(value, '/' || replace(replace(n, '~', '~0'), '/', '~1'))) ELSE json_extract(value, '$[*]') END) AS v FROM (
+    SELECT *, json_extract_string(value, '$.referencias[*].chunk_id') AS own, json_type(value) AS kind, CASE WHEN json_type(value) = 'OBJECT' THEN json_keys(value) ELSE list_transform(range(json_array_length(value)::BIGINT), lambda n: n::VARCHAR) END AS ks FROM w WHERE json_type(value) IN ('OBJECT', 'ARRAY')))
+WHERE (kind = 'ARRAY' OR k NOT IN ('referencias', 'tipo', 'id', 'option_id', 'correct_option_id')) AND (pick IS NULL OR v->>'$.option_id' = pick))
+SELECT conv_id, path, value->>'$' AS said, array_to_string(cites, ',') AS cites FROM w WHERE json_type(value) = 'VARCHAR' AND trim(value->>'$') <> ''""",
+)
+def deep_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of content trees of any depth with their JSON pointers and the citations they have or inherit; keys without facts and wrong options don't count."""
+    return trees.segments(contents(spark, d), "conv_id").withColumn("cites", F.array_join("cites", ","))
+
+
 # a page for each order, a drawing operator for each of its lines
 DRAWN_SQL = """ops AS (SELECT l_orderkey AS page, CASE WHEN l_suppkey % 40 = 0 THEN 'Do' ELSE ['m', 'l', 're', 're', 'S', 'f', 're', 'n', 'l', 're'][(l_suppkey % 10 + 1)::INT] END AS op, l_quantity AS x, floor(l_extendedprice / 20000) AS y,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos FROM lineitem),

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from lectern.operators import admission
 from lectern.plans.base import CATALOG
 from lectern.plans.registry import OUTCOME_SQL
-from lectern.session import table
+from lectern.session import folder_for, table
 from lectern.streaming import stateful
-from lectern.streaming.feed import drained, folder_for
+from lectern.streaming.feed import drained
 
 query = CATALOG.query
 TOKENS_SQL = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))"
@@ -143,7 +143,7 @@ def admission_stream(spark: SparkSession, d: str) -> DataFrame:
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
     """A stream of the events and one without a user, a day after the last of them, that moves the watermark past them."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    end = folder_for(spark)
+    end = folder_for(spark, "end")
     table(spark, d, "events").agg(F.max("ts").alias("ts")).select(F.lit(None).cast("long").alias("event_id"), F.expr("ts + interval 1 day").alias("ts"), *(F.lit(None).cast(k).alias(c) for c, k in (("user_id", "long"), ("event_type", "string"), ("value", "double"), ("props", "string")))).write.parquet(end)
     read = lambda path: spark.readStream.schema(schema).parquet(path)
     return read(f"{d}/events.parquet*").unionByName(read(end)).withColumn("ts", F.col("ts").cast("timestamp"))

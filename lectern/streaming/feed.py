@@ -7,26 +7,15 @@ folder counts from the moment its writer has finished it.
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-NUMBER = re.compile(r"batch=(\d+)")
-
+from lectern.session import folder_for
 
-def folder_for(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir or the context's checkpoint folder; on one machine, where neither is set, a temporary one."""
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not shared:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir isn't set: name a folder there that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="lectern-feed-")
-    return str(shared).rstrip("/") + "/feed-" + uuid.uuid4().hex
+NUMBER = re.compile(r"batch=(\d+)")
 
 
 def written(batch: DataFrame, number: int, sink: str) -> None:
@@ -61,7 +50,7 @@ def since(spark: SparkSession, sink: str, schema: str, last: int = -1) -> tuple[
 def drained(rows: DataFrame, sink: str | None = None) -> DataFrame:
     """All that a stream gives for what is there now, as a table."""
     spark = rows.sparkSession
-    sink = sink or folder_for(spark)
+    sink = sink or folder_for(spark, "feed")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     deliver(rows, f"{sink}/rows", f"{sink}/checkpoint", available_now=True).awaitTermination()
     return since(spark, f"{sink}/rows", schema)[0].drop("batch")
