@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import rounds
+
 
 def not_retired(rows: DataFrame, tombstones: DataFrame, key: str) -> DataFrame:
     return rows.join(tombstones, key, "left_anti")
@@ -35,3 +37,14 @@ def page(rows: DataFrame, key: tuple[str, str], after: tuple[Column, Column] | N
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("rn_", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("rn_ = 1").drop("rn_")
+
+
+def numbered(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """rows and place: the number of each from 0 on in its group by key. A group may have a third of all rows, so ranges of
+    (group, key) are numbered by themselves, and each starts after what the ranges before it have of the group."""
+    with rounds(rows.sparkSession) as kept:
+        parts = kept(rows.repartitionByRange(group, key).withColumn("range_", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy(group, "range_").orderBy(key)) - 1
+    earlier = Window.partitionBy(group).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a group
+    starts = parts.groupBy(group, "range_").agg(F.count("*").alias("n_")).withColumn("start_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)))
+    return parts.withColumn("place", inside).join(starts, [group, "range_"]).withColumn("place", F.col("place") + F.col("start_")).drop("range_", "start_", "n_")

@@ -290,7 +290,10 @@ def manifest_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return stored.join(incoming, "id").where(lower | lost).select("id", lower.alias("downgrade"), lost.alias("lost_tombstone"))
 
 
-@query("progress_latest", "SELECT user_id, value AS state, event_id AS version FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+PROGRESS_SQL = "SELECT user_id, value AS state, event_id AS version FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"
+
+
+@query("progress_latest", PROGRESS_SQL)
 def progress_latest(spark: SparkSession, d: str) -> DataFrame:
     newest = F.max_by(F.struct(F.col("value").alias("state"), F.col("event_id").alias("version")), "event_id").alias("x")
     return table(spark, d, "events").groupBy("user_id").agg(newest).select("user_id", "x.state", "x.version")
@@ -506,11 +509,13 @@ def scope_hash(spark: SparkSession, d: str) -> DataFrame:
     return generations(spark, d).select("gen_id", F.sha2(F.to_json(F.struct("format", "status", "workspace")), 256).alias("scope"))
 
 
-@query("backoff_bounds", "SELECT i::INT AS attempt, greatest(0.5 * pow(2, i) * 0.75, 3.0) AS least, greatest(0.5 * pow(2, i) * 1.25, 3.0) AS most FROM range(0, 8) t(i)")
+@query("backoff_bounds", "SELECT event_id, (event_id % 8)::INT AS attempt, greatest(0.5 * pow(2, event_id % 8) * 0.75, 3.0) AS least, greatest(0.5 * pow(2, event_id % 8) * 1.25, 3.0) AS most FROM events WHERE event_type = 'error'")
 def backoff_bounds(spark: SparkSession, d: str) -> DataFrame:
-    step = F.lit(0.5) * F.pow(F.lit(2.0), F.col("id"))
+    """Between which times the retry of each failed call waits, by the number of its attempt."""
+    attempt = F.col("event_id") % 8
+    step = F.lit(0.5) * F.pow(F.lit(2.0), attempt)
     at_least = lambda x: F.greatest(step * x, F.lit(3.0))
-    return spark.range(8).select(F.col("id").cast("int").alias("attempt"), at_least(0.75).alias("least"), at_least(1.25).alias("most"))
+    return table(spark, d, "events").where("event_type = 'error'").select("event_id", attempt.cast("int").alias("attempt"), at_least(0.75).alias("least"), at_least(1.25).alias("most"))
 
 
 @query(
@@ -590,10 +595,9 @@ SELECT source_name, count(*) AS pages, count(*) - count(DISTINCT cursor) AS repe
 def object_listing(spark: SparkSession, d: str) -> DataFrame:
     """Listings of all names under a prefix, page by page: how many pages each took, and whether a page's cursor came twice, which would never end."""
     names = table(spark, d, "documents").select(F.col("source").alias("source_name"), F.concat_ws("/", "source", F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("name"))
-    page = F.floor((F.row_number().over(Window.partitionBy("source_name").orderBy("name")) - 1) / 25)
-    listed = names.withColumn("page", page).groupBy("source_name", "page").agg(F.max("name").alias("cursor"))
-    stuck = F.lag("cursor").over(Window.partitionBy("source_name").orderBy("page"))
-    told = listed.withColumn("cursor", F.when((F.col("page") > 0) & (F.col("page") % 3 == 2), stuck).otherwise(F.col("cursor")))
+    listed = ops.numbered(names, "source_name", "name").groupBy("source_name", F.floor(F.col("place") / 25).alias("page")).agg(F.max("name").alias("cursor"))
+    before = listed.select("source_name", (F.col("page") + 1).alias("page"), F.col("cursor").alias("stuck"))
+    told = listed.join(before, ["source_name", "page"], "left").withColumn("cursor", F.when((F.col("page") > 0) & (F.col("page") % 3 == 2), F.col("stuck")).otherwise(F.col("cursor")))
     again = F.row_number().over(Window.partitionBy("source_name", "cursor").orderBy("page")) > 1
     rows = told.withColumn("again", again).groupBy("source_name")
     return rows.agg(F.count("*").alias("pages"), F.count_if("again").alias("repeated"), F.min(F.when(F.col("again"), F.col("page"))).alias("first_repeat"))

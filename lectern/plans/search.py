@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import chunking
 from lectern.functions import text as t
-from lectern.operators import search, selection
+from lectern.operators import retrieval, search, selection
 from lectern.operators.batches import batched
 from lectern.operators.vector_index import VectorIndex
 from lectern.plans.base import CATALOG
@@ -131,6 +131,28 @@ def coverage_round_robin(spark: SparkSession, d: str) -> DataFrame:
     return turns.withColumn("cost", F.sum(F.lit(20) + F.col("vec_id") % 7).over(running)).where("cost <= 600").select("query_id", "label", "turn", "vec_id", "cost")
 
 
+# a section's own query finds what is nearer than 0.7 in it; where that is nothing, a wider one takes its three nearest
+@query(
+    "coverage_widened",
+    f"""WITH {SCORED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY distance, vec_id) AS place, min(distance) OVER (PARTITION BY query_id, label) < 0.7 AS found FROM scored),
+pool AS (SELECT * FROM r WHERE CASE WHEN found THEN distance < 0.7 ELSE place <= 3 END), t AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY distance, vec_id) AS turn FROM pool),
+c AS (SELECT *, sum(20 + vec_id % 7) OVER (PARTITION BY query_id ORDER BY turn, label ROWS UNBOUNDED PRECEDING) AS cost FROM t)
+SELECT query_id, label, turn, vec_id, cost::BIGINT AS cost, NOT found AS widened FROM c WHERE cost <= 600""",
+)
+def coverage_widened(spark: SparkSession, d: str) -> DataFrame:
+    """Sections take turns; those that their own query finds nothing in are asked once more, and only those."""
+    vectors = search.with_norm(table(spark, d, "embeddings"))
+    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"), F.col("vec_norm").alias("q_norm"))
+    wanted = queries.select("query_id").crossJoin(vectors.select("label").distinct())  # a stated set by the sections
+    pools = retrieval.widened(
+        wanted, lambda asked: retrieval.fetched(search.score_pairs(queries, vectors).where("distance < 0.7"), asked, 30),
+        lambda asked: retrieval.fetched(search.score_pairs(queries, vectors), asked, 3), ["query_id", "label"],
+    )
+    turns = search.top_k(pools.drop("rn"), 30, ["query_id", "label"], ["vec_id"]).withColumnRenamed("rn", "turn")
+    running = Window.partitionBy("query_id").orderBy("turn", "label").rowsBetween(Window.unboundedPreceding, 0)
+    return turns.withColumn("cost", F.sum(F.lit(20) + F.col("vec_id") % 7).over(running)).where("cost <= 600").select("query_id", "label", "turn", "vec_id", "cost", "widened")
+
+
 @query(
     "source_coverage",
     f"""WITH {SCORED_SQL}, n AS (SELECT query_id, label FROM scored WHERE distance < 0.75 GROUP BY 1, 2), want AS (SELECT q.query_id, l.label FROM q, (SELECT DISTINCT label FROM embeddings) l)
@@ -244,3 +266,14 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
             return [(None, None, None, None, None, None, str(problem))]
 
     return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(batched(packed, kind, F.col("text"))).alias("c")).select("doc_id", "c.*")
+
+
+@query(
+    "chunk_record_ids",
+    "SELECT doc_id, idx, 'chk_' || substr(sha256('[\"' || source || '\",' || doc_id || ',' || idx || ',\"' || content || '\"]'), 1, 24) AS chunk_id FROM (" + CHUNKS_SQL + ") JOIN documents USING (doc_id)",
+)
+def chunk_record_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of the chunks themselves: each from its source, document, place and content."""
+    rows = chunks(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    recipe = F.concat(F.lit('["'), "source", F.lit('",'), "doc_id", F.lit(","), "idx", F.lit(',"'), "content", F.lit('"]'))
+    return rows.select("doc_id", "idx", F.concat(F.lit("chk_"), F.substring(F.sha2(recipe, 256), 1, 24)).alias("chunk_id"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions import structure
+from lectern.functions import markdown as md
+from lectern.functions import structure, table_functions
 from lectern.functions import text as t
 from lectern.operators import trees
 from lectern.operators.batches import batched
@@ -35,17 +36,16 @@ def markdown(spark: SparkSession, d: str) -> DataFrame:
     return turns.select("conv_id", F.array_join(F.transform("turns", lambda x: x["part"]), "\n\n").alias("text"))
 
 
-@query(
-    "markdown_sections",
-    f"""WITH {MARKDOWN_SQL}, h AS (SELECT conv_id, trim(regexp_extract(said, '#\\s+(.*)$', 1)) AS title, line FROM l WHERE heading),
+SECTIONS_SQL = f"""WITH {MARKDOWN_SQL}, h AS (SELECT conv_id, trim(regexp_extract(said, '#\\s+(.*)$', 1)) AS title, line FROM l WHERE heading),
 size AS (SELECT conv_id, max(line) AS lines FROM l GROUP BY 1), f AS (SELECT conv_id, min(line) AS first FROM h GROUP BY 1),
 starts AS (SELECT * FROM h UNION ALL SELECT DISTINCT l.conv_id, '(introducción)', 1 FROM l JOIN f ON f.conv_id = l.conv_id AND l.line < f.first WHERE trim(said) <> ''
   UNION ALL SELECT conv_id, '(sin encabezados)', 1 FROM size WHERE conv_id NOT IN (SELECT conv_id FROM f))
-SELECT conv_id, title, line::INT AS line_start, coalesce(lead(line) OVER (PARTITION BY conv_id ORDER BY line) - 1, lines)::INT AS line_end FROM starts JOIN size USING (conv_id)""",
-)
+SELECT conv_id, title, line::INT AS line_start, coalesce(lead(line) OVER (PARTITION BY conv_id ORDER BY line) - 1, lines)::INT AS line_end FROM starts JOIN size USING (conv_id)"""
+
+
+@query("markdown_sections", SECTIONS_SQL)
 def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
-    found = batched(structure.sections, "array<struct<title:string,line_start:int,line_end:int>>", F.col("text"))
-    return markdown(spark, d).select("conv_id", F.explode(found).alias("s")).select("conv_id", "s.*")
+    return md.sections(markdown(spark, d), "conv_id", "text")
 
 
 @query(
@@ -58,8 +58,25 @@ numbered AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY line) AS blo
 SELECT conv_id, kind, min(line)::INT AS line_start, max(line)::INT AS line_end FROM numbered WHERE kind <> '' GROUP BY conv_id, block, kind""",
 )
 def text_blocks(spark: SparkSession, d: str) -> DataFrame:
-    found = batched(structure.blocks, "array<struct<kind:string,line_start:int,line_end:int>>", F.col("text"))
-    return markdown(spark, d).select("conv_id", F.explode(found).alias("s")).select("conv_id", "s.*")
+    return md.blocks(markdown(spark, d), "conv_id", "text")
+
+
+@query("lateral_sections", SECTIONS_SQL)
+def lateral_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections by the table function that SQL calls."""
+    table_functions.register(spark)
+    return spark.sql("SELECT m.conv_id, s.* FROM {md} m, LATERAL sections(m.text) s", md=markdown(spark, d))
+
+
+@query(
+    "table_rows",
+    rf"""WITH {MARKDOWN_SQL} SELECT conv_id, line::INT AS line, said LIKE '%|%' AND trim(trim(said), '|') <> '' AS is_row, regexp_full_match(trim(trim(said), '|'), '\s*:?-{{3,}}:?\s*(\|\s*:?-{{3,}}:?\s*)*') AS is_delimiter FROM raw""",
+)
+def table_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Which lines of a Markdown text are rows of a table, and which its delimiter."""
+    lines = markdown(spark, d).select("conv_id", F.posexplode(F.split("text", "\n")).alias("at", "said"))
+    bare = F.regexp_replace(F.trim("said"), r"^\|+|\|+$", "")
+    return lines.select("conv_id", (F.col("at") + 1).alias("line"), (F.col("said").contains("|") & (bare != "")).alias("is_row"), bare.rlike(r"^\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*$").alias("is_delimiter"))
 
 
 @query(

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lectern.operators import admission
 from lectern.plans.base import CATALOG
-from lectern.plans.registry import OUTCOME_SQL
+from lectern.plans.registry import OUTCOME_SQL, PROGRESS_SQL
 from lectern.session import folder_for, table
+from lectern.sources.upserts import KeyedTable
 from lectern.streaming import stateful
 from lectern.streaming.feed import drained
 
@@ -64,7 +65,10 @@ def remaining_time(spark: SparkSession, d: str) -> DataFrame:
     return users.join(finished, "user_id", "left").select("user_id", F.round((F.col("kinds") * 10 - F.coalesce("done", F.lit(0))) * 5.0 / 10, 2).alias("minutes"))
 
 
-@query("monthly_requests", "SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+MONTHLY_SQL = "SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+
+
+@query("monthly_requests", MONTHLY_SQL)
 def monthly_requests(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).groupBy(F.date_format("ts", "yyyy-MM").alias("month"), "event_type").agg(F.count("*").alias("n"))
 
@@ -79,13 +83,46 @@ def budget_summary(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("source", "stored", (F.col("stored") >= 0.8 * BUDGET // 20).alias("alert"), (F.col("stored") >= limit - 1000).alias("blocked"))
 
 
-@query("inventory_merge", "SELECT name, max(bytes) AS bytes FROM (SELECT p_name AS name, p_size AS bytes FROM part UNION ALL SELECT p_name, (p_size * 3) % 50 FROM part WHERE p_partkey % 2 = 0) GROUP BY 1")
+INVENTORY_SQL = "SELECT name, max(bytes) AS bytes FROM (SELECT p_name AS name, p_size AS bytes FROM part UNION ALL SELECT p_name, (p_size * 3) % 50 FROM part WHERE p_partkey % 2 = 0) GROUP BY 1"
+
+
+@query("inventory_merge", INVENTORY_SQL)
 def inventory_merge(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
     newer = part.where("p_partkey % 2 = 0").select("p_name", (F.col("p_size") * 3) % 50)
     return part.select(F.col("p_name").alias("name"), F.col("p_size").alias("bytes")).union(newer).groupBy("name").agg(F.max("bytes").alias("bytes"))
 
 
+def in_batches(table_: KeyedTable, rows: DataFrame, part: str) -> DataFrame:
+    """Applies rows in three batches by a column of 0 to 2, the second of them twice."""
+    for batch in (0, 1, 1, 2):
+        table_.apply(rows.where(F.col(part) == batch), "query", batch)
+    return table_.rows()
+
+
+@query("monthly_requests_kept", MONTHLY_SQL)
+def monthly_requests_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The counters as batches of events add to them."""
+    kept = KeyedTable(spark, folder_for(spark, "kept"), "month string, event_type string, n long", ["month", "event_type"], {"n": "sum"}, buckets=8)
+    rows = events(spark, d).select(F.date_format("ts", "yyyy-MM").alias("month"), "event_type", F.lit(1).cast("long").alias("n"), (F.col("event_id") % 3).alias("part"))
+    return in_batches(kept, rows, "part")
+
+
+@query("inventory_kept", INVENTORY_SQL)
+def inventory_kept(spark: SparkSession, d: str) -> DataFrame:
+    kept = KeyedTable(spark, folder_for(spark, "kept"), "name string, bytes int", ["name"], {"bytes": "max"}, buckets=8)
+    part = table(spark, d, "part")
+    newer = part.where("p_partkey % 2 = 0").select("p_name", ((F.col("p_size") * 3) % 50).alias("bytes"), F.lit(2).alias("part"))
+    return in_batches(kept, part.select(F.col("p_name").alias("name"), F.col("p_size").alias("bytes"), (F.col("p_partkey") % 2).cast("int").alias("part")).union(newer), "part")
+
+
+@query("progress_kept", PROGRESS_SQL)
+def progress_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's last state: older versions that come later don't replace it."""
+    kept = KeyedTable(spark, folder_for(spark, "kept"), "user_id long, state double, version long", ["user_id"], {"state": "newest"}, "version", buckets=8)
+    return in_batches(kept, events(spark, d).select("user_id", F.col("value").alias("state"), F.col("event_id").alias("version"), F.pmod(-F.col("event_id"), F.lit(3)).alias("part")), "part")
+
+
 @query("history_suffix", f"SELECT conv_id, turn FROM (SELECT conv_id, turn, sum({TOKENS_SQL}) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS cost FROM conversations) WHERE cost <= 120")
 def history_suffix(spark: SparkSession, d: str) -> DataFrame:
     cost = F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0)))
@@ -115,6 +152,24 @@ def rolling_rate(spark: SparkSession, d: str) -> DataFrame:
     return told.join(minutes, ["event_type", "day", "minute"]).select("event_id", "calls", (F.col("so_far") + F.col("earlier")).alias("today"))
 
 
+@query(
+    "rolling_tokens",
+    """WITH e AS (SELECT event_id, event_type, ts, 10 + event_id % 60 AS tokens FROM events)
+SELECT event_id, (sum(tokens) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW))::BIGINT AS minute_tokens, (sum(tokens) OVER (PARTITION BY event_type, strftime(ts, '%Y-%m-%d') ORDER BY ts))::BIGINT AS day_tokens FROM e""",
+)
+def rolling_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of the type in the last 60 seconds, and of its day so far, in windows of a minute and the one before it."""
+    rows = events(spark, d).select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.lit(10) + F.col("event_id") % 60).alias("tokens"))
+    rows = rows.withColumn("minute", F.floor(F.col("us") / 60_000_000))
+    before = Window.partitionBy("event_type", "day").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    minutes = rows.groupBy("event_type", "day", "minute").agg(F.sum("tokens").alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    seen = rows.withColumn("part", F.explode(F.array("minute", F.col("minute") + 1)))
+    own = F.when(F.col("part") == F.col("minute"), F.col("tokens")).otherwise(0)
+    inside = Window.partitionBy("event_type", "part").orderBy("us")
+    told = seen.withColumns({"minute_tokens": F.sum("tokens").over(inside.rangeBetween(-60_000_000, 0)), "so_far": F.sum(own).over(inside.rangeBetween(Window.unboundedPreceding, 0))}).where("part = minute")
+    return told.join(minutes, ["event_type", "day", "minute"]).select("event_id", "minute_tokens", (F.col("so_far") + F.col("earlier")).alias("day_tokens"))
+
+
 ADMISSION_SQL = """WITH RECURSIVE c AS (SELECT event_id, user_id, epoch(ts)::BIGINT - (epoch(ts) < epoch(ts)::BIGINT)::INT AS second, 10 + event_id % 60 AS tokens, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT - (epoch(ts) < epoch(ts)::BIGINT)::INT, event_id) AS rn FROM events),
 s AS (SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, []::STRUCT(sec BIGINT, n BIGINT)[] AS win, -1::BIGINT AS day, 0 AS today, false AS accepted FROM (SELECT DISTINCT user_id FROM c)
 UNION ALL SELECT user_id, rn, event_id, CASE WHEN ok THEN list_append(live, {'sec': second, 'n': tokens}) ELSE live END, second // 86400, done + ok::INT, ok FROM (

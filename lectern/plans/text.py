@@ -110,10 +110,16 @@ def stable_ids(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", t.stable_id(F.concat_ws(":", "source", "doc_id")).alias("stable_id"))
 
 
-@query("lang_tag", "SELECT raw, CASE WHEN low = 'mixto' THEN low ELSE split_part(low, '-', 1) END AS tag FROM (SELECT raw, replace(lower(trim(raw)), '_', '-') AS low FROM (VALUES ('pt_BR'), ('ES'), ('en-US'), ('Mixto'), (' fr ')) v(raw))")
+@query(
+    "lang_tag",
+    """SELECT doc_id, raw, CASE WHEN low = 'mixto' THEN low ELSE split_part(low, '-', 1) END AS tag FROM (SELECT doc_id, raw, replace(lower(trim(raw)), '_', '-') AS low FROM (
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN lang WHEN 1 THEN upper(lang) || '-US' WHEN 2 THEN ' ' || lang || '_BR ' WHEN 3 THEN 'Mixto' ELSE upper(lang) END AS raw FROM documents))""",
+)
 def lang_tag(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("pt_BR", "ES", "en-US", "Mixto", " fr ")], "raw string")
-    return rows.select("raw", t.language_tag(F.col("raw")).alias("tag"))
+    """The languages of documents, written in five ways, as tags."""
+    kind = F.col("doc_id") % 5
+    raw = F.when(kind == 0, F.col("lang")).when(kind == 1, F.concat(F.upper("lang"), F.lit("-US"))).when(kind == 2, F.concat(F.lit(" "), "lang", F.lit("_BR "))).when(kind == 3, "Mixto").otherwise(F.upper("lang"))
+    return docs(spark, d).select("doc_id", raw.alias("raw")).withColumn("tag", t.language_tag(F.col("raw")))
 
 
 LANG = r"""w AS (SELECT doc_id, source, lang, regexp_extract_all(lower(text), '[\p{L}]+') AS words FROM documents),
@@ -258,48 +264,53 @@ def glossary_search(spark: SparkSession, d: str) -> DataFrame:
     return terms(spark, d).where(F.col("key").contains("ta")).select("key", plain.alias("sort_key")).distinct()
 
 
-FENCES = [(1, "plain"), (2, "a `b` c"), (3, "x ```` y"), (4, "``` z `````` w")]
-
-
-@query("fence_length", "SELECT id, repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(said, '`+'), lambda x: length(x))), 0) + 1)::INT) AS fence FROM (VALUES (1, 'plain'), (2, 'a `b` c'), (3, 'x ```` y'), (4, '``` z `````` w')) v(id, said)")
+@query(
+    "fence_length",
+    """SELECT conv_id, turn, repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(said, '`+'), lambda x: length(x))), 0) + 1)::INT) AS fence
+FROM (SELECT conv_id, turn, role || repeat('`', (turn % 6)::INT) || text || repeat('`', (conv_id % 9)::INT) AS said FROM conversations)""",
+)
 def fence_length(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(FENCES, "id int, said string").select("id", t.fence(F.col("said")).alias("fence"))
-
-
-@query("table_rows", r"SELECT id, line LIKE '%|%' AND trim(trim(line), '|') <> '' AS is_row, regexp_full_match(trim(trim(line), '|'), '\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*') AS is_delimiter FROM (VALUES (1, '| a | b |'), (2, '|---|:--:|'), (3, '---'), (4, 'a | b'), (5, '| -- |'), (6, '|')) v(id, line)")
-def table_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "| a | b |"), (2, "|---|:--:|"), (3, "---"), (4, "a | b"), (5, "| -- |"), (6, "|")], "id int, line string")
-    bare = F.regexp_replace(F.trim("line"), r"^\|+|\|+$", "")
-    return rows.select("id", (F.col("line").contains("|") & (bare != "")).alias("is_row"), bare.rlike(r"^\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*$").alias("is_delimiter"))
+    """The fence that each turn needs around it, when it has runs of marks itself."""
+    marks = lambda n: F.repeat(F.lit("`"), n.cast("int"))
+    said = F.concat("role", marks(F.col("turn") % 6), "text", marks(F.col("conv_id") % 9))
+    return table(spark, d, "conversations").select("conv_id", "turn", t.fence(said).alias("fence"))
 
 
 @query(
     "section_ranges",
-    """WITH h AS (SELECT * FROM (VALUES (1, 3, 'Intro'), (1, 9, 'Body'), (1, 20, 'End'), (2, 1, 'Only')) v(doc_id, line, title))
-SELECT doc_id, title, line AS line_start, coalesce(lead(line) OVER (PARTITION BY doc_id ORDER BY line) - 1, 30) AS line_end FROM h""",
+    """WITH h AS (SELECT conv_id, turn * 3 + 1 AS line, role || ' ' || turn AS title FROM conversations WHERE turn % 2 = 0), n AS (SELECT conv_id, max(turn) * 3 + 3 AS lines FROM conversations GROUP BY 1)
+SELECT conv_id, title, line AS line_start, coalesce(lead(line) OVER (PARTITION BY conv_id ORDER BY line) - 1, lines) AS line_end FROM h JOIN n USING (conv_id)""",
 )
 def section_ranges(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, 3, "Intro"), (1, 9, "Body"), (1, 20, "End"), (2, 1, "Only")], "doc_id int, line int, title string")
-    following = F.lead("line").over(Window.partitionBy("doc_id").orderBy("line")) - 1
-    return rows.select("doc_id", "title", F.col("line").alias("line_start"), F.coalesce(following, F.lit(30)).alias("line_end"))
+    """Three lines for each turn, of which every second one has a heading: a section ends before the next heading or with the text."""
+    turns = table(spark, d, "conversations")
+    lines = turns.groupBy("conv_id").agg((F.max("turn") * 3 + 3).alias("lines"))
+    heads = turns.where("turn % 2 = 0").select("conv_id", (F.col("turn") * 3 + 1).alias("line"), F.concat_ws(" ", "role", F.col("turn").cast("string")).alias("title"))
+    following = F.lead("line").over(Window.partitionBy("conv_id").orderBy("line")) - 1
+    return heads.withColumn("following", following).join(lines, "conv_id").select("conv_id", "title", F.col("line").alias("line_start"), F.coalesce("following", "lines").alias("line_end"))
 
 
-FILES = [("a.PDF", 100, "%PDF-1.7"), ("b.markdown", 10, "hi"), ("c.txt", 6000000, "x"), ("d.exe", 5, "x"), ("e.pdf", 30000000, "%PDF"), ("f.pdf", 9, "text")]
-FILES_SQL = ", ".join(f"('{a}', {b}, '{c}')" for a, b, c in FILES)
+# pages as files of seven kinds of names, some a thousand times as large, half of them with the mark of a PDF
+FILES_SQL = """f AS (SELECT page_id, 'p' || page_id || ['.PDF', '.markdown', '.txt', '.exe', '.pdf', '.TXT', '.md'][(page_id % 7 + 1)::INT] AS label, octet_length(encode(html)) * CASE WHEN page_id % 3 = 0 THEN 10000 ELSE 1 END AS size, CASE WHEN page_id % 2 = 0 THEN '%PDF-1.7 ' || html ELSE html END AS head FROM pages)"""
 
 
 @query(
     "gate_files",
-    f"""WITH f AS (SELECT *, lower(regexp_extract(label, '[^.]+$')) AS raw FROM (VALUES {FILES_SQL}) v(label, size, head)), x AS (SELECT *, CASE raw WHEN 'markdown' THEN 'md' ELSE raw END AS ext FROM f)
-SELECT label, ext, CASE WHEN ext NOT IN ('pdf', 'md', 'txt') THEN 'type' WHEN size > CASE ext WHEN 'pdf' THEN 20 ELSE 5 END * 1048576 THEN 'size' WHEN ext = 'pdf' AND NOT contains(substr(head, 1, 1024), '%PDF-') THEN 'magic' ELSE 'ok' END AS verdict FROM x""",
+    f"""WITH {FILES_SQL}, r AS (SELECT *, lower(regexp_extract(label, '[^.]+$')) AS raw FROM f), x AS (SELECT *, CASE raw WHEN 'markdown' THEN 'md' ELSE raw END AS ext FROM r)
+SELECT page_id, label, ext, CASE WHEN ext NOT IN ('pdf', 'md', 'txt') THEN 'type' WHEN size > CASE ext WHEN 'pdf' THEN 20 ELSE 5 END * 1048576 THEN 'size' WHEN ext = 'pdf' AND NOT contains(substr(head, 1, 1024), '%PDF-') THEN 'magic' ELSE 'ok' END AS verdict FROM x""",
 )
 def gate_files(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(FILES, "label string, size long, head string").withColumn("raw", F.lower(F.regexp_extract("label", "[^.]+$", 0)))
-    rows = rows.withColumn("ext", F.when(F.col("raw") == "markdown", "md").otherwise(F.col("raw")))
+    """What the gate says of each page as a file: its kind, its size, and what it starts with."""
+    page = F.col("page_id")
+    ends = F.array(*(F.lit(x) for x in (".PDF", ".markdown", ".txt", ".exe", ".pdf", ".TXT", ".md")))
+    label = F.concat(F.lit("p"), page.cast("string"), F.get(ends, (page % 7).cast("int")))
+    size = F.octet_length("html").cast("long") * F.when(page % 3 == 0, 10_000).otherwise(1)
+    rows = table(spark, d, "pages").select("page_id", label.alias("label"), size.alias("size"), F.when(page % 2 == 0, F.concat(F.lit("%PDF-1.7 "), "html")).otherwise(F.col("html")).alias("head"))
+    rows = rows.withColumn("raw", F.lower(F.regexp_extract("label", "[^.]+$", 0))).withColumn("ext", F.when(F.col("raw") == "markdown", "md").otherwise(F.col("raw")))
     most = F.when(F.col("ext") == "pdf", 20 << 20).otherwise(5 << 20)
     no_magic = (F.col("ext") == "pdf") & ~F.substring("head", 1, 1024).contains("%PDF-")
     verdict = F.when(~F.col("ext").isin("pdf", "md", "txt"), "type").when(F.col("size") > most, "size").when(no_magic, "magic").otherwise("ok")
-    return rows.select("label", "ext", verdict.alias("verdict"))
+    return rows.select("page_id", "label", "ext", verdict.alias("verdict"))
 
 
 @query(
@@ -312,11 +323,18 @@ def raster_budget(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.round(s, 6).alias("scale"), (258 * F.ceil(w * s / 360) * F.ceil(h * s / 360)).cast("bigint").alias("tokens"))
 
 
-@query("export_matrix", "SELECT kind, format, format IN ('json', 'md', 'pdf') OR kind = 'flashcards' AS allowed FROM (VALUES ('flashcards'), ('quiz'), ('summary'), ('tutorial'), ('script')) a(kind), (VALUES ('json'), ('md'), ('pdf'), ('csv'), ('tsv'), ('apkg')) b(format)")
+@query(
+    "export_matrix",
+    """SELECT kind, format, format IN ('json', 'md', 'pdf') OR kind = 'flashcards' AS allowed, count(*) AS asked FROM (
+SELECT ['flashcards', 'quiz', 'summary', 'tutorial', 'script'][(o_custkey % 5 + 1)::INT] AS kind, ['json', 'md', 'pdf', 'csv', 'tsv', 'apkg'][(o_orderkey % 6 + 1)::INT] AS format FROM orders) GROUP BY ALL""",
+)
 def export_matrix(spark: SparkSession, d: str) -> DataFrame:
-    kinds = ["flashcards", "quiz", "summary", "tutorial", "script"]
-    rows = [(k, f, f in ("json", "md", "pdf") or k == "flashcards") for k in kinds for f in ("json", "md", "pdf", "csv", "tsv", "apkg")]
-    return spark.createDataFrame(rows, "kind string, format string, allowed boolean")
+    """Which exports that were asked for are allowed, and how often each was: cards in every format, the others as text or pages."""
+    pick = lambda names, at: F.get(F.array(*(F.lit(x) for x in names)), at.cast("int"))
+    kind = pick(("flashcards", "quiz", "summary", "tutorial", "script"), F.col("o_custkey") % 5)
+    form = pick(("json", "md", "pdf", "csv", "tsv", "apkg"), F.col("o_orderkey") % 6)
+    asked = table(spark, d, "orders").select(kind.alias("kind"), form.alias("format")).groupBy("kind", "format").agg(F.count("*").alias("asked"))
+    return asked.withColumn("allowed", F.col("format").isin("json", "md", "pdf") | (F.col("kind") == "flashcards"))
 
 
 HTML_SQL = "'<span>' || replace(replace(replace(replace(replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;'), '[', '&#91;'), ']', '&#93;'), E'\\n', '<br>'), E'\\t', '&#9;') || '</span>'"

@@ -29,10 +29,20 @@ def query_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(built, 256).alias("query_digest"))
 
 
-@query("date_validation", "SELECT raw, regexp_full_match(raw, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_cast(raw AS DATE) IS NOT NULL AS valid FROM (VALUES ('2024-02-29'), ('2023-02-29'), ('2024-1-05'), ('x'), ('2024-12-31')) v(raw)")
+@query(
+    "date_validation",
+    """SELECT event_id, raw, regexp_full_match(raw, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_cast(raw AS DATE) IS NOT NULL AS valid FROM (
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-02-%d') WHEN 2 THEN month(ts) || '-' || strftime(ts, '%Y-%d') WHEN 3 THEN event_type ELSE strftime(ts, '%Y-%m-%d %H') END AS raw FROM events)""",
+)
 def date_validation(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("2024-02-29", "2023-02-29", "2024-1-05", "x", "2024-12-31")], "raw string")
-    return rows.select("raw", (F.col("raw").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date("raw", "yyyy-MM-dd").isNotNull()).alias("valid"))
+    """Which of the dates of events, written in five ways, are real days in the one form that counts."""
+    kind, said = F.col("event_id") % 5, lambda form: F.date_format("ts", form)
+    raw = (
+        F.when(kind == 0, said("yyyy-MM-dd")).when(kind == 1, said("yyyy-'02'-dd")).when(kind == 2, F.concat_ws("-", F.month("ts").cast("string"), said("yyyy-dd")))
+        .when(kind == 3, F.col("event_type")).otherwise(said("yyyy-MM-dd HH"))
+    )
+    real = F.col("raw").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date("raw", "yyyy-MM-dd").isNotNull()
+    return table(spark, d, "events").select("event_id", raw.alias("raw")).withColumn("valid", F.coalesce(real, F.lit(False)))
 
 
 @query("event_order", "SELECT user_id, count(*) AS n, bool_and(coalesce(ts >= before, true)) AS ordered FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) GROUP BY 1")

@@ -1,9 +1,6 @@
 from datetime import datetime, timedelta
 
-import pytest
-from pyspark.sql import functions as F
 
-from lectern.functions import tokens
 from lectern.sources import decks, tables
 from lectern.streaming import events as streams
 
@@ -52,13 +49,3 @@ def test_decks_as_files(spark, tmp_path):
         lines = part.read_bytes().decode().splitlines()
         assert lines[0].startswith("\ufeff") == (kind == "csv") and lines[5].endswith(sign.join(decks.COLUMNS)) and len(lines) == 8
         assert lines[6] == sign.join(['"a ""b"""', '"x"', '"t"', '"g"', '"d"'])
-
-
-def test_counters_share_an_interface(spark):
-    public_tokenizers = pytest.importorskip("public_tokenizers")
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    texts = ["", None, "Hello there, world!", "<|endoftext|> é 中文", "a" * 3000]
-    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", tokens.counter()(F.col("text")).alias("plain"), tokens.counter(path)(F.col("text")).alias("exact")).collect()
-    own = tokens.encoding(path)
-    assert [r.exact for r in rows] == [None if t is None else len(own.encode_ordinary(t)) for t in texts]
-    assert rows[2].plain == 5 and rows[3].exact > 5
