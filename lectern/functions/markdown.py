@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lectern.functions.structure import NO_HEADINGS, PREFACE
 
 #: A blank as the text functions see it.
-SPACE = r"[\s\x1C-\x1F\x85\xA0  -     　]"
+SPACE = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 EDGE = r"^ {0,3}(`{3,}|~{3,})"
 HEADING = rf"(?s)^ {{0,3}}#{{1,6}}{SPACE}+(.*)$"
 DELIMITER = rf"(?s)^(?=.*\|){SPACE}*\|*{SPACE}*:?-{{3,}}:?{SPACE}*(\|{SPACE}*:?-{{3,}}:?{SPACE}*)*\|*{SPACE}*$"
