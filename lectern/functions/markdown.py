@@ -21,7 +21,7 @@ DELIMITER = rf"(?s)^(?=.*\|){SPACE}*\|*{SPACE}*:?-{{3,}}:?{SPACE}*(\|{SPACE}*:?-
 ROW = rf"(?s)^(?=.*\|).*[^|{SPACE[1:-1]}]"
 #: A fence to its end, a header row over a delimiter row and the rows below, a paragraph up to a blank line or the next of these, or a blank line.
 BLOCK = r"of*c?|[rd]d[rd]*|(?:(?![rd]d)[rdhp])+|b"
-#: Fences are gathered in lists of so many, so that a text of fences alone takes no quadratic work.
+#: Fences are gathered in lists of so many. What is gathered is still copied for each edge, so a text of very many fences takes work with their square.
 LIST = 256
 FENCE = "struct<first:int,last:int>"
 
