@@ -109,3 +109,10 @@ def with_struct(df: DataFrame, fn: Callable, schema: str, *inputs: str, rows: in
     made = F.pandas_udf(one if len(inputs) == 1 else many, schema)(*inputs)
     struct = fresh("made", df)
     return df.withColumn(struct, made).select(*(F.col(f"`{c}`") for c in df.columns), f"{struct}.*")
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, in DuckDB's SQL: a byte is taken in at its first bit, and each bit is shifted out."""
+    taken = f"CASE WHEN i % 8 = 0 THEN xor(s, ascii(({text})[(i // 8 + 1)::INT])::BIGINT) ELSE s END"
+    step = f"CASE WHEN ({taken}) % 2 = 1 THEN xor(({taken}) // 2, 3988292384::BIGINT) ELSE ({taken}) // 2 END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, range(8 * length({text}))), lambda s, i: {step}), 4294967295::BIGINT)"

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import checkpointed, dropped
+from lectern.llm.common import checkpointed, crc32_sql, dropped
 from lectern.llm.radix import ranked
 
 BLOCK, FAN, SALTS = 256, 64, 16
@@ -227,3 +227,39 @@ def repair(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     done = checkpointed(out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")))
     dropped(texts, placed, told, best)
     return done
+
+
+def _oracle() -> str:
+    """One sweep over the rows of each conversation, with the best way to each of the four states."""
+    none, after = "{'cost': 1000000000::BIGINT, 'audit': '', 'said': []::VARCHAR[]}", ("q0", "q1", "q3")
+    stays, extra = "NOT fault IN ('b', 'd')", f"CASE fault WHEN 't' THEN {TRUNCATED} ELSE 0 END"
+
+    def way(state: str, cost: str | int, edit: str, line: str | None = None) -> str:
+        said = f"list_append({state}.said, {line})" if line else f"{state}.said"
+        return f"{{'cost': {state}.cost + {cost}, 'audit': {state}.audit || '{edit}', 'said': {said}}}"
+
+    least = lambda *ways: f"list_min([{', '.join(ways)}])"
+    if_ = lambda case, then: f"CASE WHEN {case} THEN {then} ELSE {none} END"
+    delete = lambda q: way(q, DELETE, "D")
+    insert = lambda q, role: way(q, INSERT, "I", f"'{ROLES[role]}:'")
+    keep = lambda q, role: if_(f"{stays} AND initial = '{role}'", way(q, f"({extra})", "K", "role || ':' || text"))
+    rerole = lambda q, role: if_(stays, way(q, f"({REROLE} + {extra})", "R", f"'{ROLES[role]}:' || text"))
+    system = least(delete("q1"), keep("q0", "s"))
+    user = least(delete("q2"), *(keep(q, "u") for q in after), *(rerole(q, "u") for q in after))
+    assistant = least(delete("q3"), keep("q2", "a"), rerole("q2", "a"))
+    return rf"""WITH RECURSIVE g AS (SELECT conv_id, turn, {crc32_sql("said")} % 20 AS kind, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS said FROM conversations)),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM g WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(octet_length(encode(role)) || ':' || role || text)) AS rn FROM d),
+r AS (SELECT *, role[1:1] AS initial, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '-' END AS fault FROM n),
+told AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY rn) || initial AS pair FROM r),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM told GROUP BY 1),
+-- the cheapest way to each state of the roles after each row: nothing yet, after the system row, after a user, after an assistant
+s AS (SELECT conv_id, 0::BIGINT AS rn, {{'cost': 0::BIGINT, 'audit': '', 'said': []::VARCHAR[]}} AS q0, {none} AS q1, {{'cost': 3::BIGINT, 'audit': 'I', 'said': ['user:']}} AS q2, {{'cost': 6::BIGINT, 'audit': 'II', 'said': ['user:', 'assistant:']}} AS q3 FROM (SELECT DISTINCT conv_id FROM r)
+UNION ALL SELECT conv_id, rn, q0, q1, q2, {least('q3', insert('q2', 'a'))} FROM (SELECT conv_id, rn, q0, q1, {least('q2', *(insert(q, 'u') for q in after))} AS q2, q3 FROM (
+  SELECT r.conv_id, r.rn, {delete('q0')} AS q0, {system} AS q1, {user} AS q2, {assistant} AS q3 FROM s JOIN r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.rn = s.rn + 1))),
+best AS (SELECT conv_id, max_by(list_min([q0, q3]), rn) AS best FROM s GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit,
+  sha256(coalesce(array_to_string(best.said, E'\n'), '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+ORACLE = _oracle()

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import checkpointed, dropped
+from lectern.llm.common import checkpointed, crc32_sql, dropped
 from lectern.llm.radix import ranked
 
 FAN, LEVELS = 3, 6
@@ -135,3 +135,26 @@ def manifest(docs: DataFrame) -> DataFrame:
     done = checkpointed(out.withColumn("verified", F.col("folded_root") == F.col("root")))
     dropped(parts, *trees.tables, *top.tables)
     return done
+
+
+def _oracle() -> str:
+    said = lambda c: f"coalesce(octet_length(encode(({c})::VARCHAR)) || ':' || ({c})::VARCHAR, '-')"
+    own, cut = ("sha256(" + " || ".join(map(said, ("doc_id", "source", "lang", "n_chars", t))) + ")" for t in ("text", "replace(text, chr(10), '')"))
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, source, {own} AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc32_sql('(doc_id::VARCHAR)')} % 2 = 0 THEN {cut} ELSE {own} END AS tampered FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+-- nodes of each level of the sources' trees
+t AS (SELECT source, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM l GROUP BY 1
+UNION ALL SELECT source, level + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], ''))) FROM t WHERE len(nodes) > 1),
+subroots AS (SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM t WHERE len(nodes) = 1),
+u AS (SELECT 0 AS level, list(subroot ORDER BY pos) AS nodes FROM subroots UNION ALL SELECT level + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], ''))) FROM u WHERE len(nodes) > 1),
+trees AS (SELECT source, list(nodes ORDER BY level) FILTER (len(nodes) > 1) AS levels FROM t GROUP BY 1), top AS (SELECT list(nodes ORDER BY level) FILTER (len(nodes) > 1) AS levels, max(nodes[1]) FILTER (len(nodes) = 1) AS root FROM u),
+steps AS (SELECT l.*, subroot, root, list_transform(range(coalesce(len(trees.levels), 0)), lambda k: {{'level': trees.levels[k + 1], 'pos': l.pos // pow(3, k)::BIGINT}}) || list_transform(range(coalesce(len(top.levels), 0)), lambda k: {{'level': top.levels[k + 1], 'pos': s.pos // pow(3, k)::BIGINT}}) AS steps
+  FROM l JOIN trees ON trees.source IS NOT DISTINCT FROM l.source JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source, top),
+sided AS (SELECT *, list_transform(steps, lambda x: array_to_string(x.level[x.pos - x.pos % 3 + 1:x.pos], '')) AS lefts, list_transform(steps, lambda x: array_to_string(x.level[x.pos + 2:x.pos - x.pos % 3 + 3], '')) AS rights FROM steps),
+-- the tampered leaf is folded up one step after the other
+f AS (SELECT doc_id, leaf, subroot, root, lefts, rights, tampered AS folded, 0 AS k FROM sided UNION ALL SELECT doc_id, leaf, subroot, root, lefts, rights, sha256(lefts[k + 1] || folded || rights[k + 1]), k + 1 FROM f WHERE k < len(lefts))
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(range(len(lefts)), lambda k: lefts[k + 1] || rights[k + 1]), '')) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM f WHERE k = len(lefts)"""
+
+
+#: The trees as lists of nodes, level by level.
+ORACLE = _oracle()

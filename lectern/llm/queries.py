@@ -66,12 +66,12 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(documents(spark, sf_dir))
 
 
-@LLM_CATALOG.query("op11_conversation_repair")
+@LLM_CATALOG.query("op11_conversation_repair", conversation.ORACLE)
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-@LLM_CATALOG.query("op12_merkle")
+@LLM_CATALOG.query("op12_merkle", merkle.ORACLE)
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(documents(spark, sf_dir))
 

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 
 from lectern.llm import conversation
@@ -122,3 +123,12 @@ def test_nulls_ties_and_long_conversations(spark, block):
 
 def test_empty_table(spark):
     assert conversation.repair(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def test_oracle_equals_brute_force(tmp_path):
+    """The SQL over nulls and ties, against the sweep."""
+    rnd, con = random.Random(6), duckdb.connect()
+    con.sql("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    rows = [(rnd.choice([None, 1, 2, i % 60]), rnd.choice([None, i % 9, i]), rnd.choice(["user", "assistant", "system", None, "tool"]), rnd.choice([None, "", "a.", f"b{i}", f"c{i}!"])) for i in range(300)]
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert {r[0]: r for r in told(con.sql(conversation.ORACLE).fetchall())}.items() >= {r[0]: r for r in told(brute(rows))}.items()
