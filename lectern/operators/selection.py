@@ -31,17 +31,31 @@ def mmr(hits: pd.DataFrame, k: int, trade: float, budget: int) -> pd.DataFrame:
     return out
 
 
-def mmr_sources(hits: pd.DataFrame, k: int, trade: float, budget: int) -> pd.DataFrame:
-    """Several sources: the cheapest item of each source first, then better ones that still fit, then diversity if every source is covered."""
+def mmr_sources(hits: pd.DataFrame, k: int, trade: float, budget: int, prior: pd.DataFrame | None = None) -> pd.DataFrame:
+    """Several sources: the cheapest item of each source first, then better ones that still fit, then diversity if every source is covered.
+
+    prior is evidence that is there already (doc, chunk_id, text, cost): it has its share of the budget and covers its sources, and neither its
+    chunks nor its texts are taken again. Diversity is measured against what is taken now.
+    """
     hits = hits[hits["sim"] > 0].sort_values(["sim", "doc", "idx", "chunk_id"], ascending=[False, True, True, True], kind="stable")
-    hits = hits.drop_duplicates("chunk_id").drop_duplicates(["doc", "text"]).reset_index(drop=True)
+    hits = hits.drop_duplicates("chunk_id").drop_duplicates(["doc", "text"])
+    covered, spent = set(), 0
+    every = set(hits["doc"])
+    if prior is not None and len(prior):
+        prior = prior.drop_duplicates("chunk_id").drop_duplicates(["doc", "text"])
+        covered, spent = set(prior["doc"]), int(prior["cost"].sum())
+        every |= covered
+        same = pd.MultiIndex.from_frame(hits[["doc", "text"]]).isin(pd.MultiIndex.from_frame(prior[["doc", "text"]]))
+        hits = hits[~hits["chunk_id"].isin(prior["chunk_id"]) & ~same]
+        if spent > budget:
+            raise ValueError("the evidence so far exceeds the budget")
+    hits = hits.reset_index(drop=True)
     if not len(hits):
         return hits.assign(place=pd.Series(dtype=int))
-    sources = sorted(hits["doc"].unique())
+    sources = sorted(set(hits["doc"]) - covered)
     base: dict[int, int] = {}
-    spent = 0
     for at in hits.sort_values(["cost", "sim", "doc", "idx", "chunk_id"], ascending=[True, False, True, True, True], kind="stable").index:
-        if hits["doc"][at] in base:
+        if hits["doc"][at] in base or hits["doc"][at] in covered:
             continue
         if spent + hits["cost"][at] > budget:
             break
@@ -58,8 +72,8 @@ def mmr_sources(hits: pd.DataFrame, k: int, trade: float, budget: int) -> pd.Dat
         vectors = np.array(hits["vec"].tolist(), float)
         vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
         pool = [i for i in hits.index if i not in taken]
-        while pool and len(taken) < max(k, len(sources)):
-            worth = [trade * hits["sim"][i] - (1 - trade) * (vectors[taken] @ vectors[i]).max() for i in pool]
+        while pool and len(taken) < max(k, len(every)):
+            worth = [trade * hits["sim"][i] - (1 - trade) * ((vectors[taken] @ vectors[i]).max() if taken else 0.0) for i in pool]
             at = pool.pop(int(np.argmax(worth)))
             if spent + hits["cost"][at] <= budget:
                 spent += hits["cost"][at]

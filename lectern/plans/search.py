@@ -162,10 +162,10 @@ def source_coverage(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).groupBy("query_id", "label").agg((F.min("distance") < 0.75).alias("covered"))
 
 
-def hits(spark: SparkSession, d: str) -> DataFrame:
-    """The 25 nearest chunks of each query with their vectors, texts and costs."""
+def hits(spark: SparkSession, d: str, fetch: int = 25) -> DataFrame:
+    """The nearest chunks of each query with their vectors, texts and costs."""
     vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    top = search.top_k(scored(spark, d), 25, ["query_id"], ["vec_id"]).join(vectors, "vec_id")
+    top = search.top_k(scored(spark, d), fetch, ["query_id"], ["vec_id"]).join(vectors, "vec_id")
     return top.select(
         "query_id", F.col("label").cast("long").alias("doc"), F.col("vec_id").alias("idx"), F.concat(F.lit("chk_"), "vec_id").alias("chunk_id"),
         search.similarity(F.col("distance")).alias("sim"), "vec", F.concat(F.lit("text "), F.col("vec_id") % 400).alias("text"), (F.lit(40) + F.col("vec_id") % 50).cast("long").alias("cost"),
@@ -221,6 +221,41 @@ def mmr_multi_source(spark: SparkSession, d: str) -> DataFrame:
     return hits(spark, d).groupBy("query_id").applyInPandas(select, "query_id long, doc long, chunk_id string, place long")
 
 
+FETCH_SQL = HITS_SQL.replace("rn <= 25", "rn <= 100")
+
+
+# with 10 sources min(100, max(25, 15 * 10)) hits are fetched; the one with the smallest id is evidence already
+@query(
+    "mmr_with_evidence",
+    f"""WITH RECURSIVE {FETCH_SQL}, prior AS (SELECT * FROM hits WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY idx) = 1),
+own AS (SELECT hits.*, row_number() OVER (PARTITION BY hits.query_id ORDER BY hits.sim DESC, hits.doc, hits.idx) AS place FROM hits LEFT JOIN prior p ON p.query_id = hits.query_id AND (p.idx = hits.idx OR p.doc = hits.doc AND p.said = hits.said) WHERE hits.sim > 0 AND p.idx IS NULL QUALIFY row_number() OVER (PARTITION BY hits.query_id, hits.doc, hits.said ORDER BY hits.sim DESC, hits.idx) = 1),
+options AS (SELECT query_id, doc, list({{'idx': idx, 'cost': cost}} ORDER BY place) AS options FROM own GROUP BY 1, 2),
+cheap AS (SELECT * FROM own WHERE (query_id, doc) NOT IN (SELECT (query_id, doc) FROM prior) QUALIFY row_number() OVER (PARTITION BY query_id, doc ORDER BY cost, sim DESC, idx) = 1),
+slots AS (SELECT query_id, doc, cost, count(*) OVER (PARTITION BY query_id) AS sources, row_number() OVER w AS slot, sum(cost) OVER w AS upto FROM cheap WINDOW w AS (PARTITION BY query_id ORDER BY cost, sim DESC, doc, idx)),
+base AS (SELECT slots.*, options, p.cost AS had FROM slots JOIN options USING (query_id, doc) JOIN prior p USING (query_id) WHERE upto + p.cost <= 700),
+raised AS (SELECT query_id, sources, count(*) AS slots, 0::BIGINT AS slot, (sum(cost) + max(had))::BIGINT AS spent, []::BIGINT[] AS taken FROM base GROUP BY 1, 2
+UNION ALL SELECT query_id, sources, slots, slot + 1, spent - cost + pick.cost, list_append(taken, pick.idx) FROM (
+  SELECT r.*, b.cost, list_filter(b.options, lambda x: r.spent - b.cost + x.cost <= 700)[1] AS pick FROM raised r JOIN base b ON b.query_id = r.query_id AND b.slot = r.slot + 1)),
+near AS (SELECT a.query_id, a.idx, list({{'idx': b.idx, 'cos': list_dot_product(a.vec, b.vec) / sqrt(list_dot_product(a.vec, a.vec)) / sqrt(list_dot_product(b.vec, b.vec))}}) AS others FROM own a JOIN own b USING (query_id) GROUP BY 1, 2),
+h AS (SELECT query_id, idx, sim, cost, place, others FROM own JOIN near USING (query_id, idx)),
+s AS (SELECT query_id, sources, slots, taken, taken AS seen, spent FROM raised WHERE slot = slots
+UNION ALL SELECT query_id, sources, slots, CASE WHEN spent + best.cost <= 700 THEN list_append(taken, best.idx) ELSE taken END, list_append(seen, best.idx), CASE WHEN spent + best.cost <= 700 THEN spent + best.cost ELSE spent END FROM (
+  SELECT s.query_id, s.sources, s.slots, s.taken, s.seen, s.spent, max({{'worth': 0.7 * h.sim - 0.3 * list_max(list_transform(list_filter(h.others, lambda x: list_contains(s.taken, x.idx)), lambda x: x.cos)), 'order': -h.place, 'idx': h.idx, 'cost': h.cost}}) AS best
+  FROM s JOIN h ON h.query_id = s.query_id AND NOT list_contains(s.seen, h.idx) WHERE s.slots = s.sources AND len(s.taken) < greatest(10, s.sources + 1) GROUP BY 1, 2, 3, 4, 5, 6)),
+done AS (SELECT query_id, max_by(taken, len(seen)) AS taken FROM s GROUP BY 1), each AS (SELECT query_id, unnest(taken) AS idx, generate_subscripts(taken, 1) AS place FROM done)
+SELECT query_id, doc, 'chk_' || idx AS chunk_id, each.place FROM each JOIN own USING (query_id, idx)""",
+)
+def mmr_with_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Several sources with evidence from before: it counts in the budget and covers its source."""
+
+    def select(rows: pd.DataFrame) -> pd.DataFrame:
+        return selection.mmr_sources(rows, 10, 0.7, 700, rows[rows["had"]])[["query_id", "doc", "chunk_id", "place"]]
+
+    had = F.col("idx") == F.min(F.when(F.col("sim") > 0, F.col("idx"))).over(Window.partitionBy("query_id"))  # 100 rows of a query
+    fetched = hits(spark, d, min(100, max(25, 15 * 10))).withColumn("had", F.coalesce(had, F.lit(False)))
+    return fetched.groupBy("query_id").applyInPandas(select, "query_id long, doc long, chunk_id string, place long")
+
+
 CHUNKS_SQL = r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, E'\n')) AS line, generate_subscripts(string_split(text, E'\n'), 1) AS no FROM documents),
 said AS (SELECT doc_id, line, no, no - row_number() OVER (PARTITION BY doc_id ORDER BY no) AS block FROM l WHERE regexp_matches(line, '\S')),
 blocks AS (SELECT doc_id, min(no) AS block, string_agg(line, E'\n' ORDER BY no) AS said FROM said GROUP BY doc_id, said.block),

@@ -72,6 +72,19 @@ def test_multi_source_invariants():
         assert sorted(out["chunk_id"]) == sorted(again["chunk_id"])
 
 
+def test_evidence_from_before():
+    for seed in range(30):
+        h = hits(seed)
+        prior = h.iloc[[3, 7]]
+        out = selection.mmr_sources(h, 6, 0.7, 260, prior)
+        assert out["cost"].sum() + prior["cost"].sum() <= 260 and not set(out["chunk_id"]) & set(prior["chunk_id"])
+        assert not set(zip(out["doc"], out["text"], strict=True)) & set(zip(prior["doc"], prior["text"], strict=True))
+    with pytest.raises(ValueError):
+        selection.mmr_sources(h, 6, 0.7, 10, prior)
+    one = h[h["doc"] == 1]
+    assert len(selection.mmr_sources(one, 6, 0.7, 900, one.iloc[:1])) == min(6, one["text"].nunique() - 1)
+
+
 def test_admission_counts_accepted_calls_only():
     calls = pd.DataFrame({"second": [0, 1, 2, 3, 60, 61, 62], "tokens": [1] * 7})
     assert selection.admit(calls, 3, 100, 100).tolist() == [True, True, True, False, False, True, True]
