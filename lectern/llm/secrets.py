@@ -9,7 +9,7 @@ every path that has the blob. DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import whole_text
@@ -33,38 +33,27 @@ RULES = (("assign", ASSIGN, 0), ("access", ACCESS, 20), ("hex", HEX, 0), ("key",
 BASE = ("assign", "access", "hex")
 
 
-def matches(text: Column, kind: int) -> Column:
-    """array<struct<at, kind, until>> of a rule's matches: the lengths of what lies between and in them, summed up."""
+def sizes(text: Column, kind: int) -> Column:
+    """array<struct<b, m, good>>: the lengths of a rule's matches and of what lies before each, and whether the match counts."""
     name, pattern, least = RULES[kind]
+    good = (lambda m: F.length(F.regexp_replace(m, LEAD, "")) >= 6) if name == "assign" else (lambda m: F.length(m) >= least)
     said = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern)
-    sizes = F.zip_with(F.transform(between, F.length), F.transform(said, F.length), lambda b, m: F.struct(b.alias("b"), F.coalesce(m, F.lit(0)).alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,kind:int,until:int>>").alias("found"))
-    walked = F.aggregate(
-        sizes,
-        start,
-        lambda s, x: F.struct(
-            (s["at"] + x["b"] + x["m"]).alias("at"),
-            F.when(
-                x["m"] > max(least - 1, 0),
-                F.concat(s["found"], F.array(F.struct((s["at"] + x["b"]).alias("at"), F.lit(kind).alias("kind"), (s["at"] + x["b"] + x["m"]).alias("until")))),
-            )
-            .otherwise(s["found"])
-            .alias("found"),
-        ),
-    )["found"]
-    if name == "assign":
-        value = lambda m: F.length(F.regexp_replace(F.substring(text, m["at"] + 1, m["until"] - m["at"]), LEAD, ""))
-        walked = F.filter(walked, lambda m: value(m) >= 6)
-    none = F.array().cast("array<struct<at:int,kind:int,until:int>>")
+    found = F.zip_with(F.slice(F.split(text, pattern), F.lit(1), F.size(said)), said, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m"), good(m).alias("good")))
     # most texts have no match, and a search that only looks stops at the first
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<b:int,m:int,good:boolean>>"))
 
 
 def rule_findings(blobs: DataFrame) -> DataFrame:
-    """blob, spans array<struct<at, kind, until>> by position and then kind, of blob, text."""
-    found = F.concat(*(matches(F.col("text"), k) for k in range(len(RULES))))
-    return blobs.select("blob", F.array_sort(found).alias("spans"))
+    """blob, spans array<struct<at, kind, until>> by position and then kind, of blob, text; blobs are unique.
+
+    Places are running sums over the rows of a blob's matches, so the work grows with their number, not with its square.
+    """
+    rules = F.filter(F.array(*(F.struct(F.lit(k).alias("kind"), sizes(F.col("text"), k).alias("sizes")) for k in range(len(RULES)))), lambda r: F.size(r["sizes"]) > 0)
+    each = blobs.select("blob", F.explode_outer(rules).alias("rule")).select("blob", "rule.kind", F.posexplode_outer("rule.sizes").alias("place", "size"))
+    until = F.sum(F.col("size.b") + F.col("size.m")).over(Window.partitionBy("blob", "kind").orderBy("place")).cast("int")
+    told = each.select("blob", "kind", "size.m", "size.good", until.alias("until"))
+    span = F.when(F.col("good"), F.struct((F.col("until") - F.col("m")).alias("at"), "kind", "until"))
+    return told.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 def unseen(docs: DataFrame, ledger: DataFrame | None, rule_version: str) -> DataFrame:
