@@ -6,7 +6,7 @@ whole block of either. All rolling runs of a block's length are probed against
 the index of blocks (a Bloom filter of fixed size; a second one holds blocks
 that several documents have, so that a document's own blocks don't count as
 hits). A hit is extended to the windows that hold it; these are candidates, with
-no false negatives. They alone are hashed, to 128 bits, gathered by hash and held
+no false negatives. They alone are hashed, to 96 bits, gathered by hash and held
 against the smallest document that has them, and neighbouring windows that repeat
 join into maximal repeats.
 
@@ -67,6 +67,12 @@ def window_hits(words: np.ndarray, window: int, block: int, one: np.ndarray, sev
     return (total[span : span + n] - total[:n]) > 0
 
 
+def hashes_at(words: np.ndarray, window: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each of these windows, of 64 and 32 bits."""
+    h, g = runs_at(words, window, at)
+    return h, (g >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def candidates(docs: DataFrame, window: int, block: int) -> DataFrame:
     """doc_id, h, g: the smallest document of each candidate window in a batch; doc_id, marks: windows known to repeat already, as packed bits."""
     shared = docs.sparkSession.sparkContext.broadcast(block_filters(docs, block))  # of fixed size
@@ -81,7 +87,7 @@ def candidates(docs: DataFrame, window: int, block: int) -> DataFrame:
                 sizes.append(max(0, len(words) - window + 1))
                 if sizes[-1]:
                     at = np.flatnonzero(window_hits(words, window, block, one, several))
-                    h, g = runs_at(words, window, at)
+                    h, g = hashes_at(words, window, at)
                     hashes.append(h)
                     more.append(g)
                     owner.append(np.full(len(at), i))
@@ -97,7 +103,7 @@ def candidates(docs: DataFrame, window: int, block: int) -> DataFrame:
             new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
             least = rank[new][np.cumsum(new) - 1]
             later = rank > least
-            yield pd.DataFrame({"doc_id": rank[new], "h": h[new].astype(np.int64), "g": g[new].astype(np.int64), "marks": None})
+            yield pd.DataFrame({"doc_id": rank[new], "h": h[new].astype(np.int64), "g": g[new], "marks": None})
             marked = pd.DataFrame({"i": i[later], "at": at[later]})
             out = []
             for k, own in marked.groupby("i")["at"]:
@@ -107,13 +113,13 @@ def candidates(docs: DataFrame, window: int, block: int) -> DataFrame:
             if out:
                 yield pd.DataFrame(out, columns=names)
 
-    return docs.mapInPandas(probe, "doc_id long, h long, g long, marks binary")
+    return docs.mapInPandas(probe, "doc_id long, h long, g int, marks binary")
 
 
 def found_again(words: np.ndarray, window: int, hs: np.ndarray, gs: np.ndarray) -> np.ndarray:
     """Which windows have one of these pairs of hashes."""
     size = len(words) - window + 1
-    h, g = runs_at(words, window, np.arange(size))
+    h, g = hashes_at(words, window, np.arange(size))
     flags = np.isin(h, hs)
     at = np.flatnonzero(flags)
     known = set(zip(hs.tolist(), gs.tolist(), strict=True))
@@ -153,7 +159,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, keep: bool = False) -> DataFr
                 if size > 0 and (hs is not None or marks is not None):
                     flags = np.zeros(size, bool)
                     if hs is not None:
-                        flags |= found_again(words, window, *(np.asarray(x, np.int64).astype(np.uint64) for x in (hs, gs)))
+                        flags |= found_again(words, window, np.asarray(hs, np.int64).astype(np.uint64), np.asarray(gs, np.int32))
                     for m in marks if marks is not None else []:
                         if m[:8] == _key(text):
                             flags |= np.unpackbits(np.frombuffer(m, np.uint8, offset=8), count=size).astype(bool)
