@@ -258,7 +258,8 @@ def score(docs: DataFrame, sample_docs: int = 600, sample_words: int = 250_000)
     tails = done.where("key_ is not null").select("key_", "tail_").dropDuplicates(["key_"]).select("key_", F.explode("tail_").alias("h"))
     settled = tails.join(words.select("h", "n"), "h", "left").select("key_", F.coalesce("n", F.lit(0)).alias("n"))
     sums = settled.groupBy("key_").agg(F.sum(F.log10(F.col("n") + ADD)).alias("logs_"), F.count(F.when(F.col("n") > 0, 1)).alias("more_"))
-    rows = done.join(sums, "key_", "left")
+    # texts without such words don't meet the join, where their null keys would be one task
+    rows = done.where("key_ is not null").join(sums, "key_", "left").unionByName(done.where("key_ is null"), allowMissingColumns=True)
     zero = F.lit(0.0)
     norm = math.log10(counts.total + ADD * (counts.distinct + 1))
     base = F.col("base_") + F.coalesce("logs_", zero) + F.lit(math.log10(end)) - F.col("n_tokens") * F.lit(norm)

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lectern.llm import lm_score, recurrent
 
@@ -88,3 +89,10 @@ def test_every_training_row_is_learnt_from(spark, monkeypatch):
     texts = [lm_score.symbols(counts, h)[0] for h in lm_score._texts([chain(150) for _ in range(40)])[1]]
     assert recurrent.log_likelihood(weights, texts).sum() > recurrent.log_likelihood(first, texts).sum()
     assert all((weights[k] != first[k]).any() for k in recurrent.NAMES)
+
+
+def test_texts_without_open_words_are_not_one_task(spark):
+    """Words that are all settled leave no key for the join of the others: these rows stay where they are."""
+    docs = spark.createDataFrame([(i, "the same few words again") for i in range(400)], "doc_id long, text string").repartition(4)
+    rows = lm_score.score(docs)
+    assert rows.count() == 400 and rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1
