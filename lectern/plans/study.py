@@ -191,7 +191,7 @@ def admission_replay(spark: SparkSession, d: str) -> DataFrame:
 @query("admission_stream", ADMISSION_SQL)
 def admission_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same from a stream of the events, whose state holds the windows and ends with them."""
-    rows = event_stream(spark, d).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", (F.lit(10) + F.col("event_id") % 60).alias("tokens"))
+    rows = event_stream(spark, d).select(F.coalesce("user_id", F.lit(-1)).alias("key"), F.col("event_id").alias("id"), "ts", (F.lit(10) + F.col("event_id") % 60).alias("tokens"))
     return drained(stateful.admitted(rows, "key", 60, 3, 120, 20).where("id is not null")).select(F.col("id").alias("event_id"), "accepted")
 
 
@@ -221,7 +221,7 @@ def attempt_lock(spark: SparkSession, d: str) -> DataFrame:
 
 @query("attempt_lock_stream", LOCK_SQL)
 def attempt_lock_stream(spark: SparkSession, d: str) -> DataFrame:
-    failed = event_stream(spark, d).where("value < 25 or event_id is null").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", F.lit(0).cast("long").alias("tokens"))
+    failed = event_stream(spark, d).where("value < 25 or event_id is null").select(F.coalesce("user_id", F.lit(-1)).alias("key"), F.col("event_id").alias("id"), "ts", F.lit(0).cast("long").alias("tokens"))
     return drained(stateful.admitted(failed, "key", 100_000, 5).where("id is not null")).select(F.col("id").alias("event_id"), (~F.col("accepted")).alias("locked"))
 
 

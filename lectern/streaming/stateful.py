@@ -164,6 +164,7 @@ class Outcomes(Ordered):
 
 
 def _run(rows: DataFrame, key: str, processor: Ordered, schema: str, late: str) -> DataFrame:
+    """Keys mustn't be null: beside a null key, rows of other keys were seen to come out under wrong ones."""
     spark = rows.sparkSession
     spark.conf.set(PROVIDER, ROCKSDB)  # the store that keeps lists and timers
     marked = rows.withColumn("second", F.unix_seconds("ts")).withWatermark("ts", late)
