@@ -135,8 +135,9 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _can_reach(percent: int) -> Column:
-    """Sizes na, nb allow the threshold."""
-    return (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+    """Sizes na, nb of two different sets allow the threshold; of equal sizes at most all shingles but one are shared."""
+    apart = (F.col("na") != F.col("nb")) | ((F.col("na") - 1) * 100 >= (F.col("na") + 1) * percent)
+    return (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent) & apart
 
 
 def _enough_left(percent: int) -> Column:

@@ -98,3 +98,15 @@ def test_very_long_texts_and_templates(spark):
     for k, percent in ((3, 90), (5, 80)):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.connected(docs, k, percent).collect()}
         assert got == brute(rows, k, percent)
+
+
+def test_short_sets_without_links_make_no_pairs(spark):
+    """Short texts over few words share prefixes by the hundred, yet no two of one size can link: lists give no pair for them."""
+    rnd = random.Random(9)
+    sets = [(t, 0, n, i, i) for i, (t, n) in enumerate((rnd.randrange(5), rnd.randint(5, 9)) for _ in range(400))]
+    rows = spark.createDataFrame([(*r, *[0] * jaccard_join.FOLDED_WORDS) for r in sets], "token long, place int, n long, doc_id long, label long, " + ", ".join(f"{f} long" for f in jaccard_join.FOLDED))
+    assert jaccard_join._apart_in_lists(rows, 90).count() == 0
+    texts = list({" ".join(rnd.choice("abcdef") for _ in range(rnd.randint(3, 22))): None for _ in range(250)})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for k, percent in ((1, 80), (3, 80), (3, 90)):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.connected(docs, k, percent).collect()} == brute(list(enumerate(texts)), k, percent)
