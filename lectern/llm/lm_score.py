@@ -8,8 +8,8 @@ leaves open are joined with their counts. The recurrent model (`recurrent`)
 knows the commonest words as symbols; the other words stand for 32 rare-word
 symbols by their last byte, and within such a symbol a word has its smoothed
 share of the training counts, so the probabilities of all words sum to one.
-It starts from weights learnt in one task from a few documents (`sample_docs`,
-`sample_words`) and then learns from every training document: in each of ROUNDS
+It starts from weights learnt in one task from pieces anywhere in the texts (about
+`sample_docs` of them with `sample_words` words) and then learns from every training document: in each of ROUNDS
 rounds every partition goes on from the same weights over its own documents of
 that round, and the weights are averaged by the words they have seen. Counts,
 score and state cover whole documents. Words are told apart by hashes of 59
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import recurrent
 from lectern.llm.bloom import filters, holds, size_for
-from lectern.llm.common import checkpointed, whole_text, with_struct
+from lectern.llm.common import checkpointed, dropped, whole_text, with_struct
 from lectern.llm.hashing import BLANK, lower_ascii, word_hashes
 
 ADD = 0.1
@@ -149,24 +149,37 @@ def sequences(counts: Counts, hashes: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def sampled(docs: DataFrame, words: int, pieces: int, sample_words: int) -> DataFrame:
+    """text: about so many pieces of docs (of `words` words in all), sample_words in all, each different piece once.
+
+    A hash of the text and the piece's number picks them anywhere in a text, so long texts give as much for
+    each of their words as short ones. A piece begins and ends at blanks.
+    """
+    size = max(200, 6 * sample_words // max(1, pieces))
+    share = min(1_000_000, math.ceil(1_000_000 * sample_words / max(1, words)))
+    last = F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / size).cast("int")
+    # the text's hash is bound to a name, so that a long text isn't hashed again for each of its pieces
+    picked = F.transform(F.array(F.xxhash64("text")), lambda h: F.filter(F.sequence(F.lit(0), last), lambda k: F.pmod(F.xxhash64(h, k), F.lit(1_000_000)) < share))[0]
+
+    def piece(k: Column) -> Column:
+        opened = F.regexp_replace(F.substring("text", k * size + 1, F.lit(size)), F.when(k > 0, r"^[^\x20\x09-\x0D]+").otherwise("^$"), F.lit(""))
+        return F.regexp_replace(opened, F.when(k < last, r"[^\x20\x09-\x0D]+$").otherwise("^$"), F.lit(""))
+
+    return docs.select(F.explode(F.transform(picked, piece)).alias("text")).distinct()
+
+
 def train(docs: DataFrame, counts: Counts, documents: int, sample_docs: int, sample_words: int) -> dict[str, np.ndarray]:
-    """First weights, learnt in one task from about sample_docs documents by a hash of their ids and texts, sample_words words at most."""
-    share = min(1_000_000, math.ceil(1_000_000 * sample_docs / max(1, documents)))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share)
+    """First weights, learnt in one task from a sample of docs: sample_words words in about sample_docs pieces, whatever the input's size."""
+    sample = sampled(docs, counts.total - documents, sample_docs, sample_words)
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def first(rows: pd.DataFrame) -> pd.DataFrame:
-        texts = sorted(set(rows["text"]), key=lambda t: (hash_of(t), t))
-        _, hashes = _texts(pd.Series(texts, dtype=object))
-        own, left = [], sample_words
-        for h in hashes:
-            if len(h) <= left:
-                own.append(symbols(shared.value, h)[0])
-                left -= len(h)
+        texts = sorted(rows["text"], key=lambda t: (hash_of(t), t))
+        own = [symbols(shared.value, h)[0] for h in _texts(pd.Series(texts, dtype=object))[1]]
         w = recurrent.train(own, shared.value.frequency)
         return pd.DataFrame([[w[k].astype(np.float32).tobytes() for k in recurrent.NAMES]], columns=list(recurrent.NAMES))
 
-    rows = sample.select("text").groupBy().applyInPandas(first, ", ".join(f"{k} binary" for k in recurrent.NAMES)).collect()
+    rows = sample.groupBy().applyInPandas(first, ", ".join(f"{k} binary" for k in recurrent.NAMES)).collect()
     like = recurrent.start(np.random.default_rng(3), counts.frequency)
     return {k: np.frombuffer(bytes(rows[0][k]), np.float32).reshape(like[k].shape) for k in recurrent.NAMES} if rows else like
 
@@ -257,7 +270,8 @@ def score(docs: DataFrame, sample_docs: int = 600, sample_words: int = 250_000)
     # words whose count isn't settled yet, once for each text
     tails = done.where("key_ is not null").select("key_", "tail_").dropDuplicates(["key_"]).select("key_", F.explode("tail_").alias("h"))
     settled = tails.join(words.select("h", "n"), "h", "left").select("key_", F.coalesce("n", F.lit(0)).alias("n"))
-    sums = settled.groupBy("key_").agg(F.sum(F.log10(F.col("n") + ADD)).alias("logs_"), F.count(F.when(F.col("n") > 0, 1)).alias("more_"))
+    sums = checkpointed(settled.groupBy("key_").agg(F.sum(F.log10(F.col("n") + ADD)).alias("logs_"), F.count(F.when(F.col("n") > 0, 1)).alias("more_")))
+    dropped(words)
     # texts without such words don't meet the join, where their null keys would be one task
     rows = done.where("key_ is not null").join(sums, "key_", "left").unionByName(done.where("key_ is null"), allowMissingColumns=True)
     zero = F.lit(0.0)

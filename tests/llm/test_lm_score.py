@@ -96,3 +96,29 @@ def test_texts_without_open_words_are_not_one_task(spark):
     docs = spark.createDataFrame([(i, "the same few words again") for i in range(400)], "doc_id long, text string").repartition(4)
     rows = lm_score.score(docs)
     assert rows.count() == 400 and rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_first_sample_comes_from_anywhere_in_long_texts(spark):
+    """A text far longer than the whole sample gives pieces from all over it, whole words only; copies give each piece once."""
+    rnd = random.Random(3)
+    long = " ".join(f"w{k}" for k in range(90_000))
+    docs = spark.createDataFrame([(1, long), (1, long), (2, long), (3, ""), (4, "x" * 50_000)] + [(10 + i, f"short{rnd.random()}") for i in range(50)], "doc_id long, text string")
+    got = [r.text for r in lm_score.sampled(docs, 270_052, 60, 9000).collect()]
+    known = set(long.split())
+    own = [w for t in got for w in t.split() if w.startswith("w")]
+    assert len(set(own)) == len(own) and set(own) <= known and 500 < len(own) < 15_000
+    places = sorted(int(w[1:]) for w in own)
+    assert places[0] < 30_000 and places[-1] > 60_000
+    assert lm_score.sampled(docs.limit(0), 0, 60, 9000).count() == 0
+
+
+def test_very_long_text(spark):
+    rnd = random.Random(6)
+    words = [f"v{rnd.randrange(500)}" for _ in range(60_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "v1 v2"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_score.score(docs).collect()}
+    count = Counter(words + ["v1", "v2"] + [None] * 3)
+    n, v = sum(count.values()), len(count)
+    want = sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*words, None])
+    assert got[1].n_tokens == got[1].n_known == 60_001 and abs(got[1].base_score - want) < 1e-6 * abs(want)
+    assert got[1].score < 0 and got[3].n_tokens == 1
