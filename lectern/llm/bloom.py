@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import checkpointed
+from lectern.llm.common import checkpointed, dropped
 
 #: Log2 of the most 64-bit words of a filter: 4,194,304 words, 32 MB. Beyond about 30 million keys a filter lets more through; what it lets through is always looked at.
 MOST_BITS = 22
@@ -72,9 +72,11 @@ def filters(hashes: DataFrame, size: int, **members: Column) -> list[np.ndarray]
 
     packed = words.groupBy(F.expr(f"slot div {chunk}")).applyInPandas(pack, "first long, " + ", ".join(f"{k} binary" for k in names))
     out = [np.zeros(1 << size, np.uint64) for _ in names]
-    for row in checkpointed(packed).coalesce(8).toLocalIterator():
+    chunks = checkpointed(packed)
+    for row in chunks.coalesce(8).toLocalIterator():
         for f, name in zip(out, names, strict=True):
             f[row["first"] : row["first"] + chunk] = np.frombuffer(row[name], np.uint64)
+    dropped(chunks)
     return out
 
 

@@ -222,13 +222,13 @@ def _digest(packed: bytes, decoded: bytes, keep: bool) -> tuple:
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """encoded and a column decoded: the text of its ids."""
+    """encoded and a column decoded: the text of its ids; null ids have no text, empty ones the empty text."""
     path = vocabulary or public_tokenizers.path(DEFAULT_VOCABULARY)
 
     @F.pandas_udf("string")
     def said(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for ids in batches:
-            yield pd.Series([codec(path).decode([int(i) for i in x]) for x in ids], dtype=object)
+            yield pd.Series([None if x is None else codec(path).decode([int(i) for i in x]) for x in ids], dtype=object)
 
     return encoded.withColumn("decoded", said("ids"))
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,10 +60,50 @@ def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(CLEANUP, before)
 
 
+#: The folders that `checkpointed` has written in the innermost open scope.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """The tables that operators write inside are deleted at the end: results must have been read or written by then.
+
+    Operators delete what has no later reader themselves; what their results still read stays until the scope ends.
+    """
+    own: list[str] = []
+    outer = _written.set(own)
+    try:
+        yield
+    finally:
+        _written.reset(outer)
+        for folder in own:
+            _delete(spark, folder)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` gives as a table; all other tables that were written for it are deleted."""
+    with intermediates(spark):
+        done = checkpointed(make())
+        path = _written.get().pop()
+    _note(path)
+    return done
+
+
+def _note(folder: str) -> None:
+    if _written.get() is not None:
+        _written.get().append(folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: computed once, and read again after executors are lost."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lectern-{uuid.uuid4().hex}"
+    _note(path)
     with shuffles_cleaned(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -71,11 +112,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Deletes what `checkpointed` wrote, after the last reader of these tables has been written itself."""
     for table in tables:
-        folders = {file.rsplit("/", 1)[0] for file in table.inputFiles()}
-        for folder in folders:
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
             if folder.rsplit("/", 1)[-1].startswith("lectern-"):
-                path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+                _delete(table.sparkSession, folder)
 
 
 def fresh(name: str, *taken: DataFrame) -> str:

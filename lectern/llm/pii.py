@@ -255,7 +255,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with every span of its text replaced; null text stays null, other columns stay."""
+    """docs with every span of its text replaced; null text stays null, empty text empty, other columns stay. Repeated rows are redacted alike, each for itself."""
     trees = docs.sparkSession.sparkContext.broadcast(trained())
 
     @F.pandas_udf("string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.catalog import Catalog
 from lectern.llm import bpe, byte_bpe, conversation, decontaminate, jaccard_join, lm_score, merkle, pii, secrets, simhash, substring_dedup, suffix_dedup, toxicity
-from lectern.llm.common import checkpointed, documents
+from lectern.llm.common import checkpointed, documents, dropped
 
 LLM_CATALOG = Catalog()
 
@@ -23,7 +23,9 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     first = docs.where(F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True)))
     ledger = checkpointed(secrets.scan(first))
-    return secrets.by_document(docs, checkpointed(secrets.scan(docs, ledger)))
+    whole = checkpointed(secrets.scan(docs, ledger))
+    dropped(ledger)
+    return secrets.by_document(docs, whole)
 
 
 @LLM_CATALOG.query("op7_pii")

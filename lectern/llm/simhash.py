@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BLANKS, checkpointed, whole_text
+from lectern.llm.common import BLANKS, checkpointed, dropped, whole_text
 
 HALVES = 0x0000000100000001
 BITS = 128
@@ -104,10 +104,13 @@ def ring(rows: DataFrame) -> DataFrame:
     inside = Window.partitionBy("block").orderBy("doc_id", "key")
     placed = dealt.withColumns({"next": F.lead(who).over(inside), "prior": F.lag(who).over(inside)}).join(ends, "block")
     placed = placed.withColumns({"next": F.coalesce("next", "after"), "prior": F.coalesce("prior", "ahead")})
-    return placed.select(
+    placed = placed.select(
         "doc_id", "key", "n_chars", "copies", F.col("next.doc_id").alias("next_id"), F.col("next.key").alias("next_key"),
         F.col("prior.doc_id").alias("prior_id"), F.col("prior.key").alias("prior_key"), F.col("prior.n_chars").alias("prior_chars"),
     )
+    order = checkpointed(placed)
+    dropped(dealt)
+    return order
 
 
 def _quarter(n: Column) -> Column:
@@ -132,7 +135,7 @@ def edited(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     rows = rows.withColumns({"key": F.unhex(F.md5("text")), "n_chars": F.length("text").cast("long")})
     named = rows.where("doc_id is not null")
-    order = checkpointed(ring(named.select("doc_id", "key", "n_chars")))
+    order = ring(named.select("doc_id", "key", "n_chars"))
     own = named.select("doc_id", "key", "text").dropDuplicates(["doc_id", "key"])
     starts = own.join(order.select("doc_id", "key", "prior_id", "prior_key", "prior_chars"), ["doc_id", "key"])
     starts = starts.select(F.col("prior_id").alias("doc_id"), F.col("prior_key").alias("key"), F.substring("text", F.lit(1), _quarter(F.col("prior_chars"))).alias("ahead"))
@@ -160,6 +163,7 @@ def edited(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         F.lit(None).cast("long").alias("doc_id"), "n_chars", F.col("print").alias("a"), F.col("print").alias("e"), "sha", F.lit(None).cast(each.schema["b"].dataType).alias("b"), F.explode(F.sequence(F.lit(1), "copies")).alias("copy")
     )
     every = checkpointed(each.unionByName(alone.drop("copy")).withColumn("fingerprint", spelled(F.col("a"))))
+    dropped(order, prints)
     asked = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
     counts = near_counts(every.where(asked).select("fingerprint"), every.select("fingerprint"), radius)
     found = every.join(counts, "fingerprint", "left")

@@ -75,3 +75,9 @@ def test_ids_round_trip_and_empty_table(spark):
     row = bpe.decode(bpe.encode(docs, keep=True)).first()
     assert row.decoded.replace("</w>", "") == "hello there world" and row.n_tokens == len(row.ids)
     assert bpe.encode(docs.limit(0)).count() == 0
+
+
+def test_decode_of_null_ids(spark):
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [5, 6])], "doc_id long, ids array<int>")
+    said = {r.doc_id: r.decoded for r in bpe.decode(rows).collect()}
+    assert said[1] is None and said[2] == "" and said[3]
