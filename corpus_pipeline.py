@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, jaccard_join, pii, toxicity
-from lectern.llm.common import checkpointed, documents, dropped, fresh
+from lectern.llm.common import documents, dropped, fresh, settled
 
 TOXIC_FROM = 0.3
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -73,7 +73,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        kept = checkpointed(stage(spark, docs, sf_dir))
+        kept = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
         if k:
             dropped(docs)
         docs = kept
