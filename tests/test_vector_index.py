@@ -81,3 +81,32 @@ def test_refused(spark):
         VectorIndex.build(search.with_norm(rows), "vec_id")
     with pytest.raises(ValueError):
         VectorIndex.build(search.with_norm(rows.limit(0)), "vec_id")
+
+
+def test_nearest_equals_all_pairs(spark):
+    """Blocks keep what top_k of all pairs has, with many copies of one vector, by groups and without, and compare vectors of one size only."""
+    rnd = np.random.default_rng(3)
+    made = np.vstack([np.tile(rnd.normal(size=8), (150, 1)), rnd.normal(size=(350, 8))])
+    rows = [(i, [float(x) for x in v], i % 4) for i, v in enumerate(made)] + [(900 + i, [1.0, float(i)], 0) for i in range(40)]
+    vectors = search.with_norm(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3))
+    queries, small = asked(vectors), {"block_queries": 7, "block_vectors": 60}
+    lengths = {r.vec_id: len(r.embedding) for r in vectors.collect()}
+    every = search.score_pairs(queries, vectors, 5, 50)
+    assert every.count() == sum(lengths[a] == lengths[b] for a in lengths for b in lengths if a % 20 == 0)
+    by_expression = vectors.join(queries, F.size("q_vec") == F.size("embedding")).withColumn("distance", F.round(search.cosine_distance(F.col("q_vec"), F.col("embedding"), F.col("q_norm"), F.col("vec_norm")), 6))
+    assert told(every) == told(by_expression)
+    for by, k in (([], 10), (["label"], 3)):
+        assert told(search.nearest(queries, vectors, k, by, "vec_id", **small)) == told(search.top_k(every, k, ["query_id", *by], ["vec_id"]))
+    ranked = search.top_k(every, 30, ["query_id", "label"], ["vec_id"])
+    first = lambda rows: told(search.top_k(rows.withColumn("distance", F.col("rn") * 10.0 + F.col("label")), 6, ["query_id"], ["vec_id"]))
+    assert first(search.nearest(queries, vectors, 30, ["label"], "vec_id", turns=6, **small)) == first(ranked)
+    assert told(search.nearest(queries, vectors, 2, ["label"], "vec_id", below=0.6, **small)) == told(search.top_k(every.where("distance < 0.6"), 2, ["query_id", "label"], ["vec_id"]))
+    assert search.nearest(queries.limit(0), vectors, 3, [], "vec_id").count() == 0 == search.nearest(queries, vectors.limit(0), 3, [], "vec_id").count()
+
+
+def test_a_task_holds_few_of_the_best(spark):
+    """What leaves the blocks is k rows for each query and block, not all pairs."""
+    rnd = np.random.default_rng(4)
+    vectors = search.with_norm(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rnd.normal(size=(2000, 8)))], "vec_id long, embedding array<double>"))
+    plan = search.nearest(asked(vectors), vectors, 3, [], "vec_id")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
