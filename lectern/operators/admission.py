@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import together
+
 DAY = 86_400
 
 
@@ -87,7 +89,7 @@ def replayed(calls: DataFrame, key: str, id_: str, limits: Limits) -> DataFrame:
     """id and accepted of calls (key, id, second, tokens), taken by second and id. Repeated rows are calls of their own; null keys are one key."""
     rows = with_sessions(calls.select(F.coalesce(key, F.lit(-1)).alias("key_"), F.col(id_).alias("id_"), "second", "tokens"), "key_", limits.window)
     days = rows.groupBy("key_", "session").agg(F.expr(f"min(second) div {DAY}").alias("day_"), F.expr(f"max(second) div {DAY}").alias("last_"))
-    rows = rows.join(days, ["key_", "session"]).repartition("key_", "session").sortWithinPartitions("key_", "session", "second", "id_")
+    rows = rows.join(days, ["key_", "session"])
 
     def free(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sessions of one day without the day limit."""
@@ -103,7 +105,7 @@ def replayed(calls: DataFrame, key: str, id_: str, limits: Limits) -> DataFrame:
 
     long, ids = "long", dict(calls.dtypes)[id_]
     kinds = f"key_ {dict(rows.dtypes)['key_']}, session {long}, day_ {long}"
-    ordered = lambda df: df.repartition("key_", "session").sortWithinPartitions("key_", "session", "second", "id_")
+    ordered = lambda df: together(df, ["key_", "session"], ["second", "id_"])
     plain = ordered(rows.where("day_ = last_")).mapInPandas(free, f"{kinds}, id_ {ids}, good boolean, nth long")
     if limits.per_day is None:
         whole = ordered(rows.withColumn("last_", F.col("day_"))).mapInPandas(free, f"{kinds}, id_ {ids}, good boolean, nth long")
@@ -141,7 +143,7 @@ def replayed(calls: DataFrame, key: str, id_: str, limits: Limits) -> DataFrame:
 
         yield from _grouped(batches, "key_", each, ["key_", "session", "before"])
 
-    begun = sessions.repartition("key_").sortWithinPartitions("key_", "session").mapInPandas(fold, f"key_ {dict(rows.dtypes)['key_']}, session long, before long")
+    begun = together(sessions, ["key_"], ["session"]).mapInPandas(fold, f"key_ {dict(rows.dtypes)['key_']}, session long, before long")
 
     def settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: list[Replay] = []

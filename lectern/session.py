@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "lectern", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -37,6 +38,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def together(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """All rows of a key in one partition and in order, for a mapInPandas that goes through them.
+
+    They are dealt by a hash of the key: after a join on the key itself Spark drops a repartition as repeated, and as mapInPandas asks for no
+    distribution, it may then split the join's partitions or make it a broadcast that reads them as they come.
+    """
+    return df.repartition(F.xxhash64(*by)).sortWithinPartitions(*by, *order)
+
+
 def folder_for(spark: SparkSession, what: str) -> str:
     """A new name below the folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
 

@@ -124,3 +124,20 @@ def test_feed_goes_on_after_a_crash(spark, tmp_path, monkeypatch):
     assert last == 4 and sorted(first + rest) == list(range(50))
     none, same = feed.since(spark, sink, "id long", last)
     assert none.count() == 0 and same == last
+
+
+def test_sessions_stay_whole_when_a_join_becomes_a_broadcast(spark):
+    """Spark then reads the partitions of a join as they come, and nothing but the replay's own repartition keeps a session together."""
+    rnd, limits = random.Random(1), admission.Limits(100_000, 5)
+    calls = [(rnd.randrange(300), i, 1_704_067_200 + rnd.randrange(30 * 86_400), 1) for i in range(12_000)]
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "300k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rows = spark.createDataFrame(calls, "key long, id long, second long, tokens long").repartition(6)
+        got = {r.id: r.accepted for r in admission.replayed(rows, "key", "id", limits).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == brute(calls, limits)
