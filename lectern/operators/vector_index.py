@@ -12,12 +12,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators.search import cosine_distance, norm, score_pairs, top_k
+from lectern.operators.search import BLOCK_QUERIES, BLOCK_VECTORS, SLICE, cosine_distance, held_together, millionths, nearest, norm, score_pairs, top_k, units
 
 #: Vectors that centroids are trained on, about, and the most lists: what the driver holds and sends to every task.
 SAMPLE, MOST_LISTS = 65_536, 4096
@@ -90,6 +93,45 @@ class VectorIndex:
         distance = cosine_distance(F.col("q_vec"), F.col("embedding"), F.col("q_norm"), F.col("vec_norm"))
         return pairs.withColumn("distance", F.round(distance, 6)).drop("q_vec", "q_norm", "embedding", "vec_norm", "list", "part")
 
+    def probed(self, queries: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+        """top_k of `scored` without its pairs: lists meet blocks of queries region by region, and a query goes to a region once, with the lists that it probes there."""
+        key, none = self.key, (np.empty(0, np.int64),) * 3
+        regions = max(1, -(-(self.centers.agg(F.sum("size")).first()[0] or 0) // BLOCK_VECTORS))
+        blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+        region = F.pmod(F.xxhash64("list", "part"), F.lit(regions)).cast("int")
+        asked = probes.select("query_id", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).withColumn("region_", region)
+        asked = asked.groupBy("query_id", "region_").agg(F.collect_set("list").alias("lists_")).join(queries, "query_id")
+        right = asked.withColumn("q_block_", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        left = self.lists.withColumn("region_", region).withColumn("q_block_", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+        def kept(v: pa.Table, q: pa.Table) -> tuple:
+            sorting, n = pc.sort_indices(v, sort_keys=[(key, "ascending")], null_placement="at_start").to_numpy(), v.num_rows
+            near, vectors, own = units(v, "embedding", "vec_norm")[sorting], units(q, "q_vec", "q_norm"), v["list"].to_numpy()[sorting]
+            by_list = np.argsort(own, kind="stable")  # places in the order of the key, list by list
+            lists, starts = np.unique(own[by_list], return_index=True)
+            row = np.repeat(np.arange(q.num_rows), pc.list_value_length(q["lists_"]).to_numpy())
+            wanted = np.concatenate([c.flatten().to_numpy() for c in q["lists_"].chunks])
+            rows, found = [], []
+            for x, place in zip(lists, np.split(by_list, starts[1:])):
+                those = row[wanted == x]
+                for at in range(0, len(those), SLICE):
+                    some = those[at : at + SLICE]
+                    ranked = millionths(vectors[some], near[place]) * n + place
+                    ranked = np.partition(ranked, k - 1, axis=1)[:, :k] if len(place) > k else ranked
+                    rows.append(np.repeat(some, ranked.shape[1]))
+                    found.append(ranked.ravel())
+            if not rows:
+                return none
+            rows, found = np.concatenate(rows), np.concatenate(found)
+            order = np.lexsort((found, rows))
+            rows, found = rows[order], found[order]
+            begun = np.maximum.accumulate(np.where(np.diff(rows, prepend=-1) != 0, np.arange(len(rows)), 0))
+            first = np.arange(len(rows)) - begun < k
+            return sorting[found[first] % n], rows[first], found[first] // n
+
+        columns = self.lists.drop("embedding", "vec_norm", "list", "part").schema, queries.drop("q_vec", "q_norm").schema
+        return top_k(held_together(left, right, ["region_", "q_block_"], 2 * regions * blocks, *columns, kept), k, ["query_id"], [key])
+
     def approximate(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
         """The k nearest vectors of each query (query_id, q_vec, q_norm) among those of its `probes` nearest lists.
 
@@ -99,23 +141,22 @@ class VectorIndex:
         found = top_k(self.scored(queries, near), k, ["query_id"], [self.key])
         enough = found.where(F.col("rn") == k).select("query_id")
         rest = queries.join(enough, "query_id", "left_anti")
-        whole = top_k(score_pairs(rest, self.lists.drop("list", "part")), k, ["query_id"], [self.key])
+        whole = nearest(rest, self.lists.drop("list", "part"), k, [], self.key)
         return found.join(enough, "query_id", "left_semi").unionByName(whole)
 
     def certified(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
         """The k nearest vectors of each query, exactly: after its `probes` nearest lists it probes the others that aren't ruled out."""
         lists = self.ranked_lists(queries)
-        first = top_k(self.scored(queries, lists.where(F.col("rn") <= probes)), k, ["query_id"], [self.key])
+        first = self.probed(queries, lists.where(F.col("rn") <= probes), k)
         reach = queries.select("query_id").join(first.where(F.col("rn") == k).select("query_id", F.col("distance").alias("reach")), "query_id", "left")
         least = F.greatest(F.lit(0.0), angle(F.col("distance")) - F.col("radius") - ANGLE_SLACK)
         open_ = lists.where(F.col("rn") > probes).join(reach, "query_id").where(F.col("reach").isNull() | (1 - F.cos(least) <= F.col("reach") + DISTANCE_SLACK))
-        more = top_k(self.scored(queries, open_), k, ["query_id"], [self.key])
+        more = self.probed(queries, open_, k)
         return top_k(first.unionByName(more).drop("rn"), k, ["query_id"], [self.key])
 
     def probes_for(self, queries: DataFrame, k: int, target: float = 0.95) -> int:
         """The fewest probes, by doubling, that reach a recall on a bounded set of queries; their number must be small, as each is compared with all vectors."""
-        exact = score_pairs(queries, self.lists.drop("list", "part"))
-        want = top_k(exact, k, ["query_id"], [self.key]).select("query_id", self.key).cache()
+        want = nearest(queries, self.lists.drop("list", "part"), k, [], self.key).select("query_id", self.key).cache()
         lists, probes = self.centers.count(), 1
         while probes < lists:
             got = self.approximate(queries, k, probes).select("query_id", self.key)
@@ -130,5 +171,5 @@ def search(vectors: DataFrame, queries: DataFrame, key: str, k: int, index: Vect
     """The k nearest: all vectors are compared where the scope has k at most, else the index is asked."""
     scope = vectors.limit(k + 1).count()
     if scope <= k:
-        return top_k(score_pairs(queries, vectors), k, ["query_id"], [key])
+        return nearest(queries, vectors, k, [], key)
     return index.approximate(queries, k, probes)

@@ -110,3 +110,15 @@ def test_a_task_holds_few_of_the_best(spark):
     vectors = search.with_norm(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rnd.normal(size=(2000, 8)))], "vec_id long, embedding array<double>"))
     plan = search.nearest(asked(vectors), vectors, 3, [], "vec_id")._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_probed_keeps_what_scored_has(spark, given, monkeypatch):
+    """The lists that a query probes meet it region by region; what comes back is top_k of all their pairs, which the certified search no longer makes."""
+    vectors, queries, index = given
+    monkeypatch.setattr("lectern.operators.vector_index.BLOCK_VECTORS", 30)
+    monkeypatch.setattr("lectern.operators.vector_index.BLOCK_QUERIES", 4)
+    few = queries.where("query_id % 100 = 0")
+    lists = index.ranked_lists(few).where("rn in (1, 2, 5)")
+    found = index.probed(few, lists, 4)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert told(found) == told(search.top_k(index.scored(few, lists), 4, ["query_id"], ["vec_id"]))
