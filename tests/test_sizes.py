@@ -15,3 +15,9 @@ def test_sketches_are_held_by_type_alone(spark):
     """Beside a distinct count Spark held a sketch for each user of a type."""
     for keys in re.findall(r"keys=\[([^\]]*)\], functions=\[[^\]]*approx_count_distinct", plan(spark, "ext_approx_distinct")):
         assert "event_type" in keys and "user_id" not in keys
+
+
+def test_claims_and_verdicts_are_counted_without_a_join(spark):
+    """One exchange by evaluation, into partitions whose number grows with the input; a full join sorted both sides."""
+    told = plan(spark, "quality_verdict")
+    assert "Join" not in told and told.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in told
