@@ -192,7 +192,12 @@ def admission_replay(spark: SparkSession, d: str) -> DataFrame:
 def admission_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same from a stream of the events, whose state holds the windows and ends with them."""
     rows = event_stream(spark, d).select(F.coalesce("user_id", F.lit(-1)).alias("key"), F.col("event_id").alias("id"), "ts", (F.lit(10) + F.col("event_id") % 60).alias("tokens"))
-    return drained(stateful.admitted(rows, "key", 60, 3, 120, 20).where("id is not null")).select(F.col("id").alias("event_id"), "accepted")
+    return drained(stateful.admitted(rows, "key", 60, 3, 120, 20, n=buckets(spark, d)).where("id is not null")).select(F.col("id").alias("event_id"), "accepted")
+
+
+def buckets(spark: SparkSession, d: str) -> int:
+    """Buckets of keys for a stream of all events: their number grows with the table, what a task holds of one doesn't."""
+    return stateful.buckets(table(spark, d, "events").count())
 
 
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -222,14 +227,14 @@ def attempt_lock(spark: SparkSession, d: str) -> DataFrame:
 @query("attempt_lock_stream", LOCK_SQL)
 def attempt_lock_stream(spark: SparkSession, d: str) -> DataFrame:
     failed = event_stream(spark, d).where("value < 25 or event_id is null").select(F.coalesce("user_id", F.lit(-1)).alias("key"), F.col("event_id").alias("id"), "ts", F.lit(0).cast("long").alias("tokens"))
-    return drained(stateful.admitted(failed, "key", 100_000, 5).where("id is not null")).select(F.col("id").alias("event_id"), (~F.col("accepted")).alias("locked"))
+    return drained(stateful.admitted(failed, "key", 100_000, 5, n=buckets(spark, d)).where("id is not null")).select(F.col("id").alias("event_id"), (~F.col("accepted")).alias("locked"))
 
 
 @query("idempotency_stream", OUTCOME_SQL)
 def idempotency_stream(spark: SparkSession, d: str) -> DataFrame:
     """What each event of a user and type is to the first one's body, as the stream tells it."""
     rows = event_stream(spark, d).select(F.concat_ws(":", "user_id", "event_type").alias("key"), F.col("event_id").alias("id"), "ts", F.coalesce("props", F.lit("")).alias("body"))
-    return drained(stateful.outcomes(rows, "key", 400 * 86_400).where("id is not null")).select(F.col("id").alias("event_id"), "outcome")
+    return drained(stateful.outcomes(rows, "key", 400 * 86_400, n=buckets(spark, d)).where("id is not null")).select(F.col("id").alias("event_id"), "outcome")
 
 
 # a job for each user and day of events: it is queued first, a purchase completes it, an error fails it, and six hours without an event end it
@@ -249,7 +254,7 @@ def job_feed(spark: SparkSession, d: str) -> DataFrame:
     first = table(spark, d, "events").groupBy((F.col("user_id") * 1000 + F.dayofyear("ts")).alias("job")).agg(F.min_by("event_id", F.struct(F.unix_seconds(F.col("ts").cast("timestamp")), "event_id")).alias("first"))
     kind = F.when(F.col("first").isNotNull(), "queued").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("running")
     told = rows.withColumn("job", job).join(first.withColumnRenamed("first", "event_id").withColumn("first", F.col("event_id")), ["job", "event_id"], "left")
-    states = stateful.job_states(told.select(F.coalesce("job", F.lit(-1)).alias("job"), F.col("event_id").alias("id"), "ts", F.coalesce(kind, F.lit("")).alias("body")), "queued", ("completed", "failed"), 21_600)
+    states = stateful.job_states(told.select(F.coalesce("job", F.lit(-1)).alias("job"), F.col("event_id").alias("id"), "ts", F.coalesce(kind, F.lit("")).alias("body")), "queued", ("completed", "failed"), 21_600, n=buckets(spark, d))
     return drained(states).where("job >= 0").select("job", F.col("id").alias("event_id"), "state", "second")
 
 

@@ -141,3 +141,17 @@ def test_sessions_stay_whole_when_a_join_becomes_a_broadcast(spark):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert got == brute(calls, limits)
+
+
+def test_keys_of_a_bucket_share_its_timer(spark, tmp_path):
+    """Many keys in one group of the stream and rows that come late: each key is judged alone, nothing stays held, and the number of groups follows the rows, not the keys."""
+    limits, rnd = admission.Limits(60, 2, 90, 4), random.Random(7)
+    calls = [(rnd.randrange(40), i, 86_400 * 19_700 - 300 + 2 * i + rnd.choice([0, 0, 900, 80_000]), rnd.randint(1, 60)) for i in range(600)]
+    folder, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    written(spark, calls, folder, 2)
+    written(spark, [(-1, -1, max(c[2] for c in calls) + 200_000, 1)], folder, 1)
+    rows = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = feed.drained(stateful.admitted(rows, "key", 60, 2, 90, 4, late="1 day", n=3), sink)
+    assert {r.id: r.accepted for r in got.where("id >= 0").collect()} == brute(calls, limits)
+    assert [stored(spark, f"{sink}/checkpoint", name) for name in ("held", "today")] == [0, 0] and stored(spark, f"{sink}/checkpoint", "next") <= 1
+    assert stateful.buckets(10) == stateful.BUCKETS and stateful.buckets(36_000_000) * stateful.BUCKET_ROWS >= 36_000_000
