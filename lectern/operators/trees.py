@@ -8,26 +8,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import rounds
+from lectern.session import parts_for, rounds
 
 
-def surviving(nodes: DataFrame, tree: str, node: str, parent: str, dead: str) -> tuple[DataFrame, int]:
+def surviving(nodes: DataFrame, tree: str, node: str, parent: str, dead: str, parts: int | None = None) -> tuple[DataFrame, int]:
     """tree, node of the nodes that are left when each dead one goes with all that hangs on it, and how many rounds that took.
 
     Pointer jumping: in each round a node learns what its ancestor knows and looks twice as far up, so a
     depth of n takes log2(n) rounds, in whatever order the rows are. A parent that isn't there counts as
     none. Nodes on a cycle hang on no root: they go. Of repeated rows of a node one dead one is enough.
+    Only nodes that still look up are joined. parts: partitions of each step, else by the number of nodes.
     """
     spark = nodes.sparkSession
-    start = nodes.groupBy(F.col(tree).alias("tree"), F.col(node).alias("node")).agg(F.max(parent).alias("up"), F.max(F.coalesce(dead, F.lit(False))).alias("dead"))
+    parts = parts or parts_for(spark, nodes.count())
+    start = nodes.repartition(parts, tree, node).groupBy(F.col(tree).alias("tree"), F.col(node).alias("node")).agg(F.max(parent).alias("up"), F.max(F.coalesce(dead, F.lit(False))).alias("dead"))
     done = 0
     with rounds(spark) as kept:
         rows = kept(start)
         size = rows.count()
-        while not rows.where("up is not null and not dead").isEmpty() and 2**done <= 2 * size:
-            above = rows.select("tree", F.col("node").alias("up"), F.col("up").alias("further"), F.col("dead").alias("above"))
-            told = rows.join(above, ["tree", "up"], "left")
-            rows = kept(told.select("tree", "node", F.when(~F.coalesce("above", F.lit(False)), F.col("further")).alias("up"), (F.col("dead") | F.coalesce("above", F.lit(False))).alias("dead")))
+        looks_up = F.col("up").isNotNull() & ~F.col("dead")
+        while not rows.where(looks_up).isEmpty() and 2**done <= 2 * size:
+            above = rows.select("tree", F.col("node").alias("up"), F.col("up").alias("further"), F.col("dead").alias("above")).repartition(parts, "tree", "up")
+            told = rows.where(looks_up).repartition(parts, "tree", "up").join(above, ["tree", "up"], "left")
+            told = told.select("tree", "node", F.when(~F.coalesce("above", F.lit(False)), F.col("further")).alias("up"), F.coalesce("above", F.lit(False)).alias("dead"))
+            rows = kept(rows.where(~looks_up).unionByName(told))
             done += 1
             kept.drop(but=1)
     left = rows.where("up is null and not dead").select(F.col("tree").alias(tree), F.col("node").alias(node))

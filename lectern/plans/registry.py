@@ -10,7 +10,7 @@ from lectern.operators import trees
 from lectern.plans.base import (
     ADM, CATALOG, DOC, GEN, LINK, NOW, TOMB, WS, admissions, generations, links, registry_documents, retired, stamp, with_, workspaces,
 )
-from lectern.session import table
+from lectern.session import parts_for, table
 
 query = CATALOG.query
 
@@ -579,9 +579,11 @@ dead AS (SELECT part, min(place) AS first FROM c WHERE line % 9 = 4 GROUP BY 1)
 )
 def prune_chain(spark: SparkSession, d: str) -> DataFrame:
     """Chains of a part's lines: what stands below a retired one goes with it, however deep."""
-    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("line")).distinct()
+    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("line"))
+    parts = parts_for(spark, lines.count())
     before = F.lag("line").over(Window.partitionBy("part").orderBy("line"))
-    return trees.surviving(lines.select("part", "line", before.alias("parent"), (F.col("line") % 9 == 4).alias("dead")), "part", "line", "parent", "dead")[0]
+    chains = lines.repartition(parts, "part").distinct().select("part", "line", before.alias("parent"), (F.col("line") % 9 == 4).alias("dead"))
+    return trees.surviving(chains, "part", "line", "parent", "dead", parts)[0]
 
 
 @query(

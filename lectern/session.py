@@ -38,6 +38,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def parts_for(spark: SparkSession, rows: int, each: int = 250_000) -> int:
+    """Partitions for a repartition of so many rows: their number grows with the rows, so what a task sorts doesn't. Spark itself merges partitions up to a size in bytes, which may be millions of short rows."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
 def together(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """All rows of a key in one partition and in order, for a mapInPandas that goes through them.
 

@@ -21,3 +21,21 @@ def test_claims_and_verdicts_are_counted_without_a_join(spark):
     """One exchange by evaluation, into partitions whose number grows with the input; a full join sorted both sides."""
     told = plan(spark, "quality_verdict")
     assert "Join" not in told and told.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in told
+
+
+def test_chains_are_dealt_to_partitions_by_their_number(spark, monkeypatch):
+    """Spark merged the partitions of each sort to a size in bytes; now each exchange of the chain's steps has a number that follows the rows."""
+    from lectern.operators import trees
+    from lectern.session import Rounds, parts_for
+
+    told, plain = [], Rounds.__call__
+    monkeypatch.setattr(Rounds, "__call__", lambda self, rows: told.append(rows._jdf.queryExecution().executedPlan().toString()) or plain(self, rows))
+    CATALOG.queries["prune_chain"](spark, DATA)
+    assert len(told) > 2
+    for each in told:
+        assert "REPARTITION_BY_NUM" in each and "ENSURE_REQUIREMENTS" not in each
+    told.clear()
+    nodes = spark.createDataFrame([(1, i, i - 1 if i else None, i == 7) for i in range(12)], "tree long, node long, parent long, dead boolean")
+    left, _ = trees.surviving(nodes, "tree", "node", "parent", "dead", parts=3)
+    assert sorted(r.node for r in left.collect()) == list(range(7)) and ", 3), REPARTITION_BY_NUM" in told[0]
+    assert parts_for(spark, 10) == spark.sparkContext.defaultParallelism and parts_for(spark, 216_000_000) == 864
