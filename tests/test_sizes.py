@@ -39,3 +39,9 @@ def test_chains_are_dealt_to_partitions_by_their_number(spark, monkeypatch):
     left, _ = trees.surviving(nodes, "tree", "node", "parent", "dead", parts=3)
     assert sorted(r.node for r in left.collect()) == list(range(7)) and ", 3), REPARTITION_BY_NUM" in told[0]
     assert parts_for(spark, 10) == spark.sparkContext.defaultParallelism and parts_for(spark, 216_000_000) == 864
+
+
+def test_texts_of_a_task_are_few(spark, tmp_path):
+    """The number of tasks that cut chunks follows the rows, so Python never holds a batch of 10,000 texts."""
+    spark.range(20_000).selectExpr("id AS doc_id", "'a' AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert "RoundRobinPartitioning(10)" in CATALOG.queries["chunks"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
