@@ -45,3 +45,15 @@ def test_texts_of_a_task_are_few(spark, tmp_path):
     """The number of tasks that cut chunks follows the rows, so Python never holds a batch of 10,000 texts."""
     spark.range(20_000).selectExpr("id AS doc_id", "'a' AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     assert "RoundRobinPartitioning(10)" in CATALOG.queries["chunks"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_pair_costs_no_decimal(spark):
+    """F.round made a decimal of each of the pairs; the sum in doubles gives the same for every distance there is. The pairs carry ids alone."""
+    from pyspark.sql import functions as F
+
+    from lectern.operators import search
+
+    told = plan(spark, "cosine_scores")
+    assert "round(" not in told and "label" not in told
+    all_ = spark.range(2_000_001).select((F.col("id") / 1e6).alias("distance"))
+    assert all_.where(search.similarity_of_millionths(F.col("distance")) != F.round(search.similarity(F.col("distance")), 6)).count() == 0
