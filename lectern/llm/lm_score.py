@@ -41,8 +41,10 @@ END = RARE
 #: Each training document is learnt from in one of so many rounds.
 ROUNDS = 2
 RATE = 0.003
-#: A task learns from about so many words at once, and from so many in all at least if the input has them.
-LEARN_WORDS, TASK_WORDS = 200_000, 500_000
+#: A task learns from about so many words at once, and from so many in all at least if the input has them. With fewer at once, most lanes would
+#: have ended while the longest text goes on.
+LEARN_WORDS, TASK_WORDS = 2_000_000, 500_000
+LEARN_LANES = 96
 #: Weights travel in so many pieces, so that their average spreads.
 PIECES = 256
 KNOWN = recurrent.SYMBOLS - RARE - 1
@@ -205,13 +207,13 @@ def learn(docs: DataFrame, counts: Counts, weights: dict[str, np.ndarray]) -> di
             for batch in batches:
                 for at in range(0, len(batch), 1000):
                     for sequence in sequences(table.value, _texts(batch["text"].iloc[at : at + 1000])[1]):
-                        own.append(sequence)
-                        held += len(own[-1])
+                        own.append(sequence.astype(np.int16))
+                        held += len(sequence)
                         if held >= LEARN_WORDS:
-                            adam.learn(own, RATE, recurrent.LANES)
+                            adam.learn(own, RATE, LEARN_LANES)
                             words, own, held = words + held, [], 0
             if own:
-                adam.learn(own, RATE, recurrent.LANES)
+                adam.learn(own, RATE, LEARN_LANES)
             if words + held:
                 parts = np.array_split(recurrent.flattened(adam.w), PIECES)
                 yield pd.DataFrame({"piece": range(PIECES), "words": words + held, "part": [x.tobytes() for x in parts]})

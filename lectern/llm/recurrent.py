@@ -10,6 +10,7 @@ state goes on from window to window.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 
@@ -34,8 +35,12 @@ def start(rnd: np.random.Generator, frequency: np.ndarray) -> dict[str, np.ndarr
 
 
 def lanes(docs: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, owner) of shape (steps, width): documents laid into lanes, longest first, each in the shortest lane; owner -1 where a lane has ended."""
-    width = max(1, min(width, len(docs)))
+    """(symbols, owner) of shape (steps, width): documents laid into lanes, longest first, each in the shortest lane; owner -1 where a lane has ended.
+
+    There are no more lanes than the longest document leaves work for, so that the arrays follow the words.
+    """
+    longest = max(map(len, docs), default=0)
+    width = max(1, min(width, len(docs), 4 * sum(map(len, docs)) // max(1, longest)))
     heap = [(0, k) for k in range(width)]
     parts: list[list[int]] = [[] for _ in range(width)]
     for d in sorted(range(len(docs)), key=lambda d: -len(docs[d])):
@@ -53,37 +58,64 @@ def lanes(docs: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
     return symbols, owner
 
 
-def _forward(w: dict, before: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+class Space:
+    """Arrays by name that each window uses again: asked for anew, most of the time would go into their pages."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, kind: np.dtype, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.held or self.held[name].size < size:
+            self.held[name] = np.empty(size, kind)
+        return self.held[name][:size].reshape(shape)
+
+
+def _forward(w: dict, before: np.ndarray, fresh: np.ndarray, h: np.ndarray, space: Space) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
     """States after each step, from the symbols before, and what the way back needs of each step; fresh marks steps that start a document."""
-    u, H = w["u"], HIDDEN
-    x = w["table"][before]
-    kind = x.dtype
-    states, prior, cand, carried = (np.empty((*before.shape, H), kind) for _ in range(4))
-    gates = np.empty((*before.shape, 2 * H), kind)
+    H, kind, (steps, width) = HIDDEN, w["table"].dtype, before.shape
+    # the gates' share is negated once, here, instead of at each step
+    gate_u, cand_u = -w["u"][:, : 2 * H], np.ascontiguousarray(w["u"][:, 2 * H :])
+    gate_x = np.take(-w["table"][:, : 2 * H], before, axis=0, mode="clip", out=space("gate_x", kind, steps, width, 2 * H))
+    cand_x = np.take(np.ascontiguousarray(w["table"][:, 2 * H :]), before, axis=0, mode="clip", out=space("cand_x", kind, steps, width, H))
+    states, prior, cand, carried = (space(name, kind, steps, width, H) for name in ("states", "prior", "cand", "carried"))
+    gates = space("gates", kind, steps, width, 2 * H)
     started = fresh.any(1)
-    for t in range(len(before)):
+    for t in range(steps):
         if started[t]:
             h = np.where(fresh[t][:, None], kind.type(0), h)
-        g = h @ u
-        zr = gates[t]
-        np.add(x[t, :, : 2 * H], g[:, : 2 * H], out=zr)
-        np.negative(zr, out=zr)
+        zr, n, state = gates[t], cand[t], states[t]
+        np.matmul(h, gate_u, out=zr)
+        zr += gate_x[t]
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        prior[t], carried[t] = h, g[:, 2 * H :]
-        np.tanh(x[t, :, 2 * H :] + zr[:, H:] * carried[t], out=cand[t])
-        h = cand[t] + zr[:, :H] * (h - cand[t])
-        states[t] = h
+        prior[t] = h
+        np.matmul(h, cand_u, out=carried[t])
+        np.multiply(zr[:, H:], carried[t], out=n)
+        n += cand_x[t]
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=state)
+        state *= zr[:, :H]
+        state += n
+        h = state
     return states, (prior, gates, cand, carried)
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    """In place."""
-    logits -= logits.max(-1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(-1, keepdims=True)
-    return logits
+def _tame(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no state's logits leave the range that exp has: units lie in -1 to 1. Then softmax needn't look for the largest."""
+    return bool((np.abs(weights).sum(-2) + np.abs(bias)).max() < 80)
+
+
+def _exp(s: np.ndarray, weights: np.ndarray, bias: np.ndarray, tame: bool, goal: tuple[np.ndarray, np.ndarray], out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fills out with exp of the logits, up to a factor for each row; (the logits at goal, with that factor; the sums of exp)."""
+    np.matmul(s, weights, out=out)
+    out += bias
+    if not tame:
+        out -= out.max(-1, keepdims=True)
+    chosen = out[goal]
+    np.exp(out, out=out)
+    return chosen, out @ np.ones(out.shape[1], out.dtype)
 
 
 def _windows(symbols: np.ndarray, owner: np.ndarray):
@@ -104,76 +136,85 @@ def log_likelihood(w: dict, docs: list[np.ndarray]) -> np.ndarray:
     if not docs_here:
         return total
     symbols, owner = lanes([docs[d] for d in docs_here], LANES)
+    kind, space = w["table"].dtype, Space()
     h = np.zeros((symbols.shape[1], HIDDEN), np.float32)
     sums = np.zeros(len(docs_here))
-    for before, fresh, target, own in _windows(symbols, owner):
-        active = (own >= 0).any(0)
-        if not active.all():  # lanes that have ended stay at the right; go on with the others
-            before, fresh, target, own = before[:, active], fresh[:, active], target[:, active], own[:, active]
-            symbols_h = h[active]
-        else:
-            symbols_h = h
-        states, _ = _forward(w, before, fresh, symbols_h)
-        if active.all():
-            h = states[-1]
-        else:
-            h[active] = states[-1]
-        live = own.ravel() >= 0
-        s, goal, who = states.reshape(-1, HIDDEN)[live], target.ravel()[live], own.ravel()[live]
-        group, word = goal // CLASS_WORDS, goal % CLASS_WORDS
-        logits = s @ w["out_class"] + w["bias_class"]
-        top = logits.max(1)
-        got = logits[np.arange(len(goal)), group] - top - np.log(np.exp(logits - top[:, None]).sum(1))
-        order = np.argsort(group.astype(np.int8), kind="stable")  # a radix sort
-        edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        sorted_s, sorted_word, inside = s[order], word[order], np.empty(len(goal), np.float32)
+    tame, tame_words = _tame(w["out_class"], w["bias_class"]), _tame(w["out_word"], w["bias_word"])
+    for window in _windows(symbols, owner):
+        active = (window[3] >= 0).any(0)  # lanes that have ended stay out; go on with the others
+        before, fresh, target, own = window if active.all() else (x[:, active] for x in window)
+        states, _ = _forward(w, before, fresh, h[active], space)
+        h[active] = states[-1]
+        s, group, word, at, edges = _by_class(states, target, own, space)
+        every = np.arange(len(at))
+        got, whole = _exp(s, w["out_class"], w["bias_class"], tame, (every, group), space("p", kind, len(at), CLASSES))
+        got -= np.log(whole)
+        q = space("q", kind, len(at), CLASS_WORDS)
         for c in np.flatnonzero(np.diff(edges)):
             part = slice(edges[c], edges[c + 1])
-            logits = sorted_s[part] @ w["out_word"][c] + w["bias_word"][c]
-            top = logits.max(1)
-            chosen = logits[np.arange(len(logits)), sorted_word[part]] - top
-            logits -= top[:, None]
-            np.exp(logits, out=logits)
-            inside[part] = chosen - np.log(logits.sum(1))
-        got[order] += inside
-        sums += np.bincount(who, got, len(docs_here))
+            inside, whole[part] = _exp(s[part], w["out_word"][c], w["bias_word"][c], tame_words, (every[: edges[c + 1] - edges[c]], word[part]), q[part])
+            got[part] += inside
+        sums += np.bincount(own.ravel()[at], got - np.log(whole), len(docs_here))
     total[docs_here] = sums
     return total
 
 
-def _gradients(w: dict, before: np.ndarray, fresh: np.ndarray, target: np.ndarray, own: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float, int]:
-    H = HIDDEN
-    states, kept = _forward(w, before, fresh, h)
-    live = (own >= 0).ravel()
-    n = max(1, int(live.sum()))
-    s, goal = states.reshape(-1, H)[live], target.ravel()[live]
-    group, word = goal // CLASS_WORDS, goal % CLASS_WORDS
-    g = {k: np.zeros_like(v) for k, v in w.items() if k not in ("table",)}
-    p = _softmax(s @ w["out_class"] + w["bias_class"])
-    loss = -np.log(p[np.arange(len(goal)), group] + 1e-20).sum()
-    p[np.arange(len(goal)), group] -= 1
-    g["out_class"], g["bias_class"] = s.T @ p / n, p.sum(0) / n
-    ds = p @ w["out_class"].T
+def _by_class(states: np.ndarray, target: np.ndarray, own: np.ndarray, space: Space) -> tuple[np.ndarray, ...]:
+    """The live steps of a window by the class of their symbol: (states, classes, places in the class, places in the window, where each class begins)."""
+    live = np.flatnonzero(own.ravel() >= 0)
+    group = target.ravel()[live] // CLASS_WORDS
     order = np.argsort(group.astype(np.int8), kind="stable")  # a radix sort
-    edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    sorted_s, sorted_word, sorted_ds = s[order], word[order], np.empty_like(s)
+    at, group = live[order], group[order]
+    s = np.take(states.reshape(-1, HIDDEN), at, axis=0, mode="clip", out=space("s", states.dtype, len(at), HIDDEN))
+    return s, group, target.ravel()[at] % CLASS_WORDS, at, np.searchsorted(group, np.arange(CLASSES + 1))
+
+
+def _gradients(w: dict, before: np.ndarray, fresh: np.ndarray, target: np.ndarray, own: np.ndarray, h: np.ndarray, space: Space | None = None) -> tuple[dict, np.ndarray, float, int]:
+    H, kind, space = HIDDEN, w["table"].dtype, space or Space()
+    states, (prior, gates, cand, carried) = _forward(w, before, fresh, h, space)
+    s, group, word, at, edges = _by_class(states, target, own, space)
+    n, every = max(1, len(at)), np.arange(len(at))
+    ones = np.ones(len(at), kind)
+    g = {k: np.zeros_like(v) for k, v in w.items() if k not in ("table",)}
+    p = space("p", kind, len(at), CLASSES)
+    got, whole = _exp(s, w["out_class"], w["bias_class"], _tame(w["out_class"], w["bias_class"]), (every, group), p)
+    p *= (1 / whole)[:, None]
+    p[every, group] -= 1
+    got -= np.log(whole)
+    g["out_class"], g["bias_class"] = s.T @ p / n, ones @ p / n
+    ds = np.matmul(p, w["out_class"].T, out=space("ds", kind, len(at), H))
+    tame, places = _tame(w["out_word"], w["bias_word"]), space("q", kind, len(at), CLASS_WORDS)
     for c in np.flatnonzero(np.diff(edges)):
         part = slice(edges[c], edges[c + 1])
-        q = _softmax(sorted_s[part] @ w["out_word"][c] + w["bias_word"][c])
-        at = np.arange(len(q))
-        loss -= np.log(q[at, sorted_word[part]] + 1e-20).sum()
-        q[at, sorted_word[part]] -= 1
-        g["out_word"][c], g["bias_word"][c] = sorted_s[part].T @ q / n, q.sum(0) / n
-        sorted_ds[part] = q @ w["out_word"][c].T
-    ds[order] += sorted_ds
-    dstates = np.zeros((live.size, H), np.float32)
-    dstates[live] = ds / n
+        q, goal = places[part], (every[: edges[c + 1] - edges[c]], word[part])
+        inside, whole[part] = _exp(s[part], w["out_word"][c], w["bias_word"][c], tame, goal, q)
+        got[part] += inside
+        q *= (1 / whole[part])[:, None]
+        q[goal] -= 1
+        np.matmul(s[part].T, q, out=g["out_word"][c])
+        np.matmul(ones[: len(q)], q, out=g["bias_word"][c])
+        ds[part] += q @ w["out_word"][c].T
+    g["out_word"] /= n
+    g["bias_word"] /= n
+    ds /= n
+    dstates = space("dstates", kind, own.size, H)
+    dstates[:] = 0
+    dstates[at] = ds
     dstates = dstates.reshape(states.shape)
-    prior, gates, cand, carried = kept
     z, r = gates[..., :H], gates[..., H:]
-    to_cand, to_z, to_r = (1 - z) * (1 - cand * cand), (prior - cand) * z * (1 - z), carried * r * (1 - r)
-    dg, dx = (np.empty((*before.shape, 3 * H), states.dtype) for _ in range(2))
-    back, dh, started = np.ascontiguousarray(w["u"].T), np.zeros_like(h), fresh.any(1)
+    to_cand, to_z, to_r, spare = (space(name, kind, *states.shape) for name in ("to_cand", "to_z", "to_r", "spare"))
+    np.subtract(1, z, out=spare)  # (1 - z) * (1 - cand * cand), (prior - cand) * z * (1 - z), carried * r * (1 - r)
+    np.subtract(prior, cand, out=to_z)
+    to_z *= z
+    to_z *= spare
+    np.multiply(cand, cand, out=to_cand)
+    np.subtract(1, to_cand, out=to_cand)
+    to_cand *= spare
+    np.subtract(1, r, out=to_r)
+    to_r *= r
+    to_r *= carried
+    dg, dx = (space(name, kind, *before.shape, 3 * H) for name in ("dg", "dx"))
+    back, dh, started = np.ascontiguousarray(w["u"].T), np.zeros(h.shape, kind), fresh.any(1)
     for t in range(len(before) - 1, -1, -1):
         dh = dh + dstates[t]
         dn = dh * to_cand[t]
@@ -181,16 +222,18 @@ def _gradients(w: dict, before: np.ndarray, fresh: np.ndarray, target: np.ndarra
         np.multiply(dn, to_r[t], out=dg[t, :, H : 2 * H])
         np.multiply(dn, r[t], out=dg[t, :, 2 * H :])
         dx[t, :, 2 * H :] = dn
-        dh = dh * z[t] + dg[t] @ back
+        dh *= z[t]
+        dh += dg[t] @ back
         if started[t]:
-            dh = np.where(fresh[t][:, None], dh.dtype.type(0), dh)
+            dh[fresh[t]] = 0
     dx[:, :, : 2 * H] = dg[:, :, : 2 * H]
     g["u"] = prior.reshape(-1, H).T @ dg.reshape(-1, 3 * H)
     order = np.argsort(before.astype(np.int16), axis=None, kind="stable")  # a radix sort
     sorted_before = before.ravel()[order]
     edges = np.flatnonzero(np.append(True, sorted_before[1:] != sorted_before[:-1]))
-    g["table"] = (sorted_before[edges], np.add.reduceat(dx.reshape(-1, 3 * H)[order], edges))
-    return g, states[-1], float(loss), n
+    sorted_dx = np.take(dx.reshape(-1, 3 * H), order, axis=0, mode="clip", out=space("sorted_dx", kind, before.size, 3 * H))
+    g["table"] = (sorted_before[edges], np.add.reduceat(sorted_dx, edges))
+    return g, states[-1], float((np.log(whole) - got).sum()), n
 
 
 class Adam:
@@ -199,7 +242,7 @@ class Adam:
     def __init__(self, w: dict[str, np.ndarray]) -> None:
         self.w = w
         self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-        self.step = 0
+        self.step, self.space = 0, Space()
 
     def learn(self, docs: list[np.ndarray], rate: float, width: int) -> None:
         """Changes w by one pass over docs."""
@@ -208,7 +251,7 @@ class Adam:
         h = np.zeros((symbols.shape[1], HIDDEN), np.float32)
         for window in _windows(symbols, owner):
             active = (window[3] >= 0).any(0)  # lanes that have ended stay out
-            g, h[active], _, _ = _gradients(w, *(x[:, active] for x in window), h[active])
+            g, h[active], _, _ = _gradients(w, *(x[:, active] for x in window), h[active], self.space)
             self.step += 1
             size = np.sqrt(sum(float(((x[1] if isinstance(x, tuple) else x) ** 2).sum()) for x in g.values()))
             cut, now = min(1.0, 1.0 / (size + 1e-9)), rate * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)

@@ -122,3 +122,28 @@ def test_very_long_text(spark):
     want = sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*words, None])
     assert got[1].n_tokens == got[1].n_known == 60_001 and abs(got[1].base_score - want) < 1e-6 * abs(want)
     assert got[1].score < 0 and got[3].n_tokens == 1
+
+
+def test_arrays_follow_the_words():
+    """A text far longer than all others made every lane as long as itself; and a task that learns holds enough words that lanes don't wait for its longest text."""
+    docs = [np.zeros(100_000, np.int16)] + [np.zeros(50, np.int16)] * 300
+    symbols, owner = recurrent.lanes(docs, recurrent.LANES)
+    assert symbols.size == owner.size <= 5 * sum(map(len, docs)) and (owner >= 0).sum() == sum(map(len, docs))
+    assert lm_score.LEARN_WORDS >= 20_000 * lm_score.LEARN_LANES
+
+
+def test_arrays_that_are_used_again_change_nothing():
+    """Windows of several sizes one after the other give what each gives alone; logits that exp can't hold are met as well."""
+    rnd = np.random.default_rng(4)
+    docs = [rnd.integers(0, recurrent.SYMBOLS, n) for n in (150, 40, 7, 90)]
+    w = recurrent.start(rnd, np.ones(recurrent.SYMBOLS))
+    w = {k: (x + rnd.normal(0, 0.1, x.shape)).astype(np.float32) for k, x in w.items()}
+    space = recurrent.Space()
+    for before, fresh, target, own in recurrent._windows(*recurrent.lanes(docs, 4)):
+        active = (own >= 0).any(0)
+        window, h = [x[:, active] for x in (before, fresh, target, own)], np.zeros((active.sum(), recurrent.HIDDEN), np.float32)
+        again, alone = recurrent._gradients(w, *window, h, space), recurrent._gradients(w, *window, h)
+        assert all((again[0][k] == alone[0][k]).all() for k in w if k != "table") and (again[0]["table"][1] == alone[0]["table"][1]).all() and (again[1] == alone[1]).all()
+    wild = {k: x * np.float32(3000 if k.startswith("out") else 1) for k, x in w.items()}
+    got = recurrent.log_likelihood(wild, docs)
+    assert np.isfinite(got).all() and np.allclose(got, recurrent.log_likelihood({k: x.astype(float) for k, x in wild.items()}, docs), rtol=1e-3)
