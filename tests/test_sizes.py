@@ -57,3 +57,11 @@ def test_every_pair_costs_no_decimal(spark):
     assert "round(" not in told and "label" not in told
     all_ = spark.range(2_000_001).select((F.col("id") / 1e6).alias("distance"))
     assert all_.where(search.similarity_of_millionths(F.col("distance")) != F.round(search.similarity(F.col("distance")), 6)).count() == 0
+
+
+def test_every_pair_copies_no_block(spark):
+    """Each block of vectors went to disk once for each block of queries, and the other way round: the shuffle grew as the product of both. Now a block is written once, packed."""
+    told = plan(spark, "cosine_scores")
+    assert "Generate" not in told and "CoGroup" not in told
+    below = told[told.index("CartesianProduct") :].splitlines()
+    assert sum("Exchange" in line for line in below) == 4 and sum(" collect_list(" in line or "[collect_list(" in line for line in below) == 2

@@ -104,6 +104,28 @@ def test_nearest_equals_all_pairs(spark):
     assert search.nearest(queries.limit(0), vectors, 3, [], "vec_id").count() == 0 == search.nearest(queries, vectors.limit(0), 3, [], "vec_id").count()
 
 
+def test_pairs_of_blocks_leave_by_distance(spark):
+    """Equal distances stand together, over all pieces of two blocks, so that a file of them is small; every pair is there once."""
+    rnd = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v], str(i)) for i, v in enumerate(rnd.normal(size=(450, 8)))]
+    vectors = search.with_norm(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"))
+    queries = vectors.selectExpr("vec_id AS query_id", "embedding AS q_vec", "vec_norm AS q_norm")
+    found = search.score_pairs(queries, vectors, 450, 450).toPandas()
+    assert len(found) == 450 * 450 > search.PIECE and not found.duplicated(["query_id", "vec_id"]).any()
+    assert found["distance"].is_monotonic_increasing and (found["label"] == found["vec_id"].astype(str)).all()
+    assert told(search.score_pairs(queries, vectors, 60, 70)) == told(search.score_pairs(queries, vectors, 450, 450))
+
+
+def test_pairs_of_copies(spark):
+    """Rows that are alike to the last column fall into one block, which a task takes in parts; without queries or vectors there are no pairs."""
+    vectors = search.with_norm(spark.createDataFrame([(20, [1.0, 2.0])] * 90 + [(i, [1.0, float(i)]) for i in range(30)], "vec_id long, embedding array<double>"))
+    queries = asked(vectors)
+    found = search.score_pairs(queries, vectors, 7, 11)
+    assert found.count() == queries.count() * 120 == 92 * 120
+    assert found.where("query_id = 20 AND vec_id = 20 AND distance = 0").count() >= 90 * 90
+    assert search.score_pairs(queries.limit(0), vectors).count() == 0 == search.score_pairs(queries, vectors.limit(0)).count()
+
+
 def test_a_task_holds_few_of_the_best(spark):
     """What leaves the blocks is k rows for each query and block, not all pairs."""
     rnd = np.random.default_rng(4)
